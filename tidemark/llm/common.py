@@ -55,3 +55,34 @@ def keep_ids(docs: DataFrame, ids: DataFrame, drop: bool, most: int = 2_000_000)
     ids = cut(ids.select("doc_id").where("doc_id IS NOT NULL").distinct())
     small = ids.count() <= most
     return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti" if drop else "left_semi")
+
+
+#: Bytes of text in an Arrow batch. A text longer than this makes a batch of its own.
+BATCH_BYTES = 16 << 20
+
+
+def map_texts(docs: DataFrame, work, schema: str, *columns) -> DataFrame:
+    """docs' columns through work, an iterator over Arrow batches of at most BATCH_BYTES.
+
+    The limit is the session's spark.sql.execution.arrow.maxBytesPerBatch, set here where the
+    session has none, so that a task's memory depends on neither table nor partition size.
+    """
+    conf = docs.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name, str(2**63 - 1))) > 4 * BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return docs.select(*columns).mapInArrow(work, schema)
+
+
+def as_bytes(column) -> list[bytes]:
+    """An Arrow string column as UTF-8 bytes, null as empty."""
+    import pyarrow as pa
+
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def to_batch(**columns):
+    """A record batch of the given columns, in their order."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import fold_of, table
 from tidemark.llm.exact_dedup import exact_duplicates
+from tidemark.llm.langid import identify, sample_by_language
+from tidemark.llm.langid import train as train_languages
 from tidemark.llm.sharding import assign_shards, even_topology
+from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.url_filter import Rule, judge_urls
 
 QUERIES: dict = {}
@@ -75,3 +78,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host and path, the contract's rule that fits it, and the verdict."""
     judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", F.when(F.col("tier") == 1, F.col("fitted")).alias("rule"), "verdict")
+
+
+@query("op7_simhash_near_dedup")
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash and the smallest document that it reaches by links of 3 bits or fewer."""
+    rows = near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op3_ppm_language_id")
+def op3_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by PPM trees learned from the documents outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    model = train_languages(sample_by_language(docs, fold_of(F.col("doc_id"), 5) != 0))
+    return identify(docs, model).select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,7 +70,7 @@ def map_texts(docs: DataFrame, work, schema: str, *columns) -> DataFrame:
     """
     conf = docs.sparkSession.conf
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(name, str(2**63 - 1))) > 4 * BATCH_BYTES:
+    if int(re.sub(r"\D", "", conf.get(name))) > 4 * BATCH_BYTES:  # the default is no limit
         conf.set(name, str(BATCH_BYTES))
     return docs.select(*columns).mapInArrow(work, schema)
 

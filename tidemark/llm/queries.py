@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import quality
+from tidemark.llm.bpe import encoding_digests
 from tidemark.llm.common import fold_of, table
 from tidemark.llm.exact_dedup import exact_duplicates
 from tidemark.llm.langid import identify, sample_by_language
 from tidemark.llm.langid import train as train_languages
+from tidemark.llm.order_minhash import compare_with_edits
+from tidemark.llm.packing import pack_documents
 from tidemark.llm.sharding import assign_shards, even_topology
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.url_filter import Rule, judge_urls
@@ -17,6 +21,12 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     def register(build):
         QUERIES[name] = build
@@ -93,3 +103,30 @@ def op3_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_languages(sample_by_language(docs, fold_of(F.col("doc_id"), 5) != 0))
     return identify(docs, model).select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_byte_cnn_quality")
+def op9_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's chance of quality label 1, by a network that learned outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents")
+    net = quality.train(*quality.labelled_sample(docs, table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 4) != 2))
+    scored = quality.score(docs, net)
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op6_bpe_round_trip")
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids under the word-end BPE and what they decode to, as digests."""
+    return encoding_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op1_order_minhash")
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of every document and of its edited text, with their likeness."""
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op2_sum_of_squares_packing")
+def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of byte-level BPE ids, packed into sequences of 1024 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 1024, end=2)

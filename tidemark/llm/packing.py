@@ -98,7 +98,7 @@ def packer(capacity: int, turn: int, last: bool):
     def work(rows):
         rows = rows.sort_values(["order", "doc_id", "piece"], kind="stable").reset_index(drop=True)
         bins, offsets, gaps = pack_group(rows["length"].to_numpy(), capacity, last)
-        rows["sequence_id"] = (turn << 56) + (rows["group"] << 24) + bins
+        rows["sequence_id"] = (turn << 56) + rows["group"] * (1 << 24) + bins
         rows["offset"] = offsets
         rows["loose"] = (gaps >= REOPEN)[bins] & (not last)
         return rows.drop(columns=["order", "group"])

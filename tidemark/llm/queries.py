@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality
+from tidemark.llm import lm_score, quality
 from tidemark.llm.bpe import encoding_digests
 from tidemark.llm.common import fold_of, table
 from tidemark.llm.exact_dedup import exact_duplicates
@@ -130,3 +130,11 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces of byte-level BPE ids, packed into sequences of 1024 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 1024, end=2)
+
+
+@query("op4_gru_scores")
+def op4_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 likelihood under unigram counts and under the recurrent net, learned outside fold 1 of 5."""
+    held_out = fold_of(F.col("doc_id"), 5) == 1
+    scored = lm_score.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -47,31 +47,34 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % folds
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, drop: bool, most: int = 2_000_000) -> DataFrame:
-    """The rows of docs whose doc_id is in ids (or, with drop, is not).
+def keep_ids(docs: DataFrame, ids: DataFrame, drop: bool, most: int = 1_000_000) -> DataFrame:
+    """The rows of docs whose doc_id is in ids (or, with drop, is not). Null is in no list.
 
-    ids is counted first: up to ``most`` distinct ids (16 MB) are broadcast, so that whole texts
-    aren't shuffled; beyond that both sides are shuffled by doc_id.
+    ids is counted first: up to ``most`` distinct ids (tens of MB) are broadcast, so that whole
+    texts aren't shuffled; beyond that both sides are shuffled by doc_id.
     """
     ids = cut(ids.select("doc_id").where("doc_id IS NOT NULL").distinct())
     small = ids.count() <= most
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti" if drop else "left_semi")
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti" if drop else "left_semi").select(docs.columns)
 
 
 #: Bytes of text in an Arrow batch. A text longer than this makes a batch of its own.
 BATCH_BYTES = 16 << 20
 
 
-def map_texts(docs: DataFrame, work, schema: str, *columns) -> DataFrame:
-    """docs' columns through work, an iterator over Arrow batches of at most BATCH_BYTES.
+def limit_batches(spark: SparkSession) -> None:
+    """Sets spark.sql.execution.arrow.maxBytesPerBatch where the session has no limit.
 
-    The limit is the session's spark.sql.execution.arrow.maxBytesPerBatch, set here where the
-    session has none, so that a task's memory depends on neither table nor partition size.
+    So a task's memory depends on neither table nor partition size.
     """
-    conf = docs.sparkSession.conf
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", conf.get(name))) > 4 * BATCH_BYTES:  # the default is no limit
-        conf.set(name, str(BATCH_BYTES))
+    if int(re.sub(r"\D", "", spark.conf.get(name))) > 4 * BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def map_texts(docs: DataFrame, work, schema: str, *columns) -> DataFrame:
+    """docs' columns through work, an iterator over Arrow batches of at most BATCH_BYTES."""
+    limit_batches(docs.sparkSession)
     return docs.select(*columns).mapInArrow(work, schema)
 
 

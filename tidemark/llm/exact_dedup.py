@@ -74,3 +74,25 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest", text_col: str = "text", most: int = 500_000) -> DataFrame:
+    """The rows of docs, as they are, that stay; of rows that repeat an id and its text, one.
+
+    Verdicts are brought back by id and digest, so rows that share an id but not a text are told
+    apart, and rows without an id as well. The rows to drop are counted: up to ``most`` (about
+    100 MB at most) are broadcast, and texts aren't shuffled; beyond, both sides are.
+    """
+    verdicts = cut(exact_duplicates(docs, text_col=text_col, keep=keep).select("doc_id", "kept", F.unhex("text_sha256").alias("digest")))
+    own = F.unhex(F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256))
+
+    def match(listed: DataFrame, how: str) -> DataFrame:
+        listed = listed.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+        return docs.join(F.broadcast(listed) if listed.count() <= most else listed, docs["doc_id"].eqNullSafe(F.col("__id")) & (own == F.col("__digest")), how)
+
+    repeated = cut(verdicts.where("kept").groupBy("doc_id", "digest").count().where("count > 1"))
+    away = verdicts.where("NOT kept").select("doc_id", "digest").distinct()
+    if repeated.isEmpty():
+        return match(away, "left_anti")
+    once = match(repeated, "left_semi").withColumn("__key", own).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    return match(away.union(repeated.select("doc_id", "digest")), "left_anti").unionByName(once)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts, to_batch
+from tidemark.llm.common import limit_batches, map_texts, to_batch
 
 ORDER = 3
 #: Training rows of a language, and their bytes, at most. Whole rows, drawn by a hash of the id.
@@ -141,6 +143,20 @@ def sample_by_language(docs: DataFrame, train_on: Column, rows: int = SAMPLE_ROW
     return out
 
 
+def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Each text's language and score; see identify."""
+    named = [bool(model.langs) and has_letter(t) for t in texts]
+    pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    where = [k for k, x in enumerate(named) if x]
+    if where:
+        bits = code_lengths(model, [normalised(texts[k]) for k in where])
+        best = bits.argmin(axis=1)
+        score[where] = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
+        for k, b in zip(where, best.tolist(), strict=True):
+            pred[k] = model.langs[b]
+    return pred, score
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of each row, from its text alone.
 
@@ -152,18 +168,21 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
-        model = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            named = [bool(model.langs) and has_letter(t) for t in texts]
-            pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            where = [k for k, x in enumerate(named) if x]
-            if where:
-                bits = code_lengths(model, [normalised(texts[k]) for k in where])
-                best = bits.argmin(axis=1)
-                score[where] = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
-                for k, b in zip(where, best.tolist(), strict=True):
-                    pred[k] = model.langs[b]
-            yield to_batch(doc_id=batch.column(0), lang_pred=pred, score=score)
+            pred, score = predict(shared.value, batch.column(1).to_pylist())
+            yield to_batch(doc_id=batch.column(0), lang_pred=pa.array(pred, pa.string()), score=score)
 
     return map_texts(docs, work, "doc_id long, lang_pred string, score double", F.col(id_col).cast("long"), F.col(text_col))
+
+
+def identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, as they are, that have a language and a score of ``least`` or more."""
+    limit_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def named(texts: pd.Series) -> pd.Series:
+        pred, score = predict(shared.value, texts.tolist())
+        return pd.Series([p != UNKNOWN for p in pred], dtype=bool) & (score >= least)
+
+    return docs.where(named(text_col))

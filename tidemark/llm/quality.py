@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, keep_ids, map_texts, to_batch
+from tidemark.llm.common import as_bytes, keep_ids, limit_batches, map_texts, to_batch
 
 #: Filters, bytes under a filter, bytes of a block, and blocks of a chunk; chunks overlap by a block.
 FILTERS, WIDTH, BLOCK, CHUNK = 16, 5, 64, 8
@@ -195,3 +196,16 @@ def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "te
             yield to_batch(doc_id=batch.column(0), score=probability(net, np.array(feats).reshape(-1, 3 * FILTERS)))
 
     return map_texts(docs, work, "doc_id long, score double", F.col(id_col).cast("long"), F.col(text_col))
+
+
+def of_quality(docs: DataFrame, net: Net, least: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, as they are, that score ``least`` or more."""
+    limit_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        feats = [features(shared.value, (t or "").encode()) for t in texts.tolist()]
+        return pd.Series(probability(shared.value, np.array(feats).reshape(-1, 3 * FILTERS)) >= least)
+
+    return docs.where(good(text_col))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, UPPER, as_bytes, cut, map_texts, shuffle_partitions, to_batch
+from tidemark.llm.common import LOWER, UPPER, as_bytes, cut, keep_ids, map_texts, shuffle_partitions, to_batch
 from tidemark.llm.components import components
 
 SEED, WORDS, BITS, LINK = 42, 3, 64, 3
@@ -223,3 +223,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     named = cut(rooted.join(smallest, "root").select("bits", "component_id"))
     return rows.join(named, "bits").select("doc_id", "bits", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, as they are, whose id is the smallest of their component.
+
+    Rows that share an id stay together if any of them stays. Rows without an id stay.
+    """
+    found = near_duplicates(docs, text_col=text_col).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    return keep_ids(docs, ids.where("NOT kept"), drop=True)

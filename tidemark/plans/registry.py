@@ -62,3 +62,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.max("last_activity").alias("last_activity"),
         )
     )
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from tidemark.plans import relational  # noqa: F401
+
+
+load()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def local_day(instant: Column, tz: str) -> Column:
     """The calendar day that an instant (UTC) falls on in the time zone."""
-    return F.to_date(F.from_utc_timestamp(instant, tz))
+    return F.to_date(F.from_utc_timestamp(instant.cast("timestamp"), tz))
 
 
 def day_start(day: Column, tz: str) -> Column:
@@ -17,7 +17,7 @@ def day_start(day: Column, tz: str) -> Column:
 
 
 def minute_of_day(instant: Column, tz: str) -> Column:
-    local = F.from_utc_timestamp(instant, tz)
+    local = F.from_utc_timestamp(instant.cast("timestamp"), tz)
     return F.hour(local) * 60 + F.minute(local)
 
 
@@ -32,7 +32,7 @@ def day_key(day: Column) -> Column:
 
 def days_between_instants(start: Column, end: Column) -> Column:
     """Whole days between instants, rounded half up: a day and a half are two."""
-    return F.floor((F.unix_millis(end) - F.unix_millis(start)) / 86_400_000 + 0.5)
+    return F.floor((F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp"))) / 86_400_000 + 0.5)
 
 
 def week_start(day: Column) -> Column:
@@ -72,7 +72,7 @@ def relative_day(day: Column, today: Column) -> Column:
 
 def time_ago(instant: Column, now: Column) -> Column:
     """'just now', then whole minutes, hours, days, and months of 30 days."""
-    minutes = F.floor((F.unix_millis(now) - F.unix_millis(instant)) / 60_000)
+    minutes = F.floor((F.unix_millis(now.cast("timestamp")) - F.unix_millis(instant.cast("timestamp"))) / 60_000)
     say = lambda x, unit: F.concat(x.cast("string"), F.lit(f"{unit} ago"))
     return (
         F.when(minutes < 1, "just now").when(minutes < 60, say(minutes, "m"))

@@ -39,10 +39,10 @@ def within_range(left: DataFrame, right: DataFrame, keys: list[str], left_at: Co
     and both neighbours, so the join is an equi-join on keys and bucket. Columns of both sides
     besides the keys must differ.
     """
-    slot = lambda at: F.floor(F.unix_seconds(at) / seconds)
+    slot = lambda at: F.floor(F.unix_seconds(at.cast("timestamp")) / seconds)
     a = left.withColumn("__slot", slot(left_at))
     b = right.withColumn("__slot", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: slot(right_at) + d)))
-    return a.join(b, [*keys, "__slot"]).drop("__slot").where(F.abs(F.unix_micros(left_at) - F.unix_micros(right_at)) <= seconds * 1_000_000)
+    return a.join(b, [*keys, "__slot"]).drop("__slot").where(F.abs(F.unix_micros(left_at.cast("timestamp")) - F.unix_micros(right_at.cast("timestamp"))) <= seconds * 1_000_000)
 
 
 def for_all(parents: DataFrame, children: DataFrame, on: str, holds: Column) -> DataFrame:

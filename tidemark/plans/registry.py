@@ -66,7 +66,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from tidemark.plans import hard_joins, relational  # noqa: F401
+    from tidemark.plans import analytics, hard_joins, relational  # noqa: F401
 
 
 load()

@@ -206,7 +206,7 @@ def q46b(spark, sf):
 
 @query(
     "q46c_weighted_pipeline",
-    """SELECT c_mktsegment AS segment, round(sum(o_totalprice * p / 100), 2) AS weighted, round(sum(CASE WHEN o_orderstatus = 'F' OR (o_orderstatus = 'O' AND p >= 90) THEN o_totalprice ELSE 0 END), 2) AS committed
+    """SELECT c_mktsegment AS segment, round(sum(o_totalprice * p / 100), 4) AS weighted, round(sum(CASE WHEN o_orderstatus = 'F' OR (o_orderstatus = 'O' AND p >= 90) THEN o_totalprice ELSE 0 END), 2) AS committed
        FROM (SELECT *, CASE o_orderstatus WHEN 'F' THEN 100 WHEN 'P' THEN 50 ELSE 10 + 20 * CAST(left(o_orderpriority, 1) AS INT) END AS p FROM orders) JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
 )
 def q46c(spark, sf):
@@ -214,7 +214,7 @@ def q46c(spark, sf):
     p = F.when(F.col("o_orderstatus") == "F", 100).when(F.col("o_orderstatus") == "P", 50).otherwise(10 + 20 * F.substring("o_orderpriority", 1, 1).cast("int"))
     deals = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_totalprice", p.alias("p")).join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
     sure = (F.col("o_orderstatus") == "F") | ((F.col("o_orderstatus") == "O") & (F.col("p") >= 90))
-    return deals.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.round(F.sum(F.col("o_totalprice") * F.col("p") / 100), 2).alias("weighted"), F.round(F.sum(F.when(sure, F.col("o_totalprice")).otherwise(0.0)), 2).alias("committed"))
+    return deals.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.round(F.sum(F.col("o_totalprice") * F.col("p") / 100), 4).alias("weighted"), F.round(F.sum(F.when(sure, F.col("o_totalprice")).otherwise(0.0)), 2).alias("committed"))
 
 
 @query(

@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
     """
     SELECT c.c_mktsegment AS segment, count(*) FILTER (o.o_orderstatus = 'O') AS open_deals,
            round(coalesce(sum(o.o_totalprice) FILTER (o.o_orderstatus = 'O'), 0), 2) AS open_value,
-           round(sum(o.o_totalprice * CASE o.o_orderstatus WHEN 'O' THEN 0.5 WHEN 'P' THEN 0.25 ELSE 1.0 END), 2) AS weighted_value,
+           round(sum(o.o_totalprice * CASE o.o_orderstatus WHEN 'O' THEN 0.5 WHEN 'P' THEN 0.25 ELSE 1.0 END), 4) AS weighted_value,
            max(o.o_orderdate) AS last_activity
     FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1
     """,
@@ -58,7 +58,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.coalesce(F.sum("open_deals"), F.lit(0)).alias("open_deals"),
             F.round(F.coalesce(F.sum("open_value"), F.lit(0.0)), 2).alias("open_value"),
-            F.round(F.sum("weighted_value"), 2).alias("weighted_value"),
+            F.round(F.sum("weighted_value"), 4).alias("weighted_value"),
             F.max("last_activity").alias("last_activity"),
         )
     )
@@ -66,7 +66,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from tidemark.plans import analytics, hard_joins, relational  # noqa: F401
+    from tidemark.plans import analytics, hard_joins, ingestion, relational  # noqa: F401
 
 
 load()

@@ -23,7 +23,7 @@ def minute_of_day(instant: Column, tz: str) -> Column:
 
 def parse_day(text: Column) -> Column:
     """Strict YYYY-MM-DD, or null."""
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, F.lit("yyyy-MM-dd")))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def day_key(day: Column) -> Column:

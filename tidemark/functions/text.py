@@ -45,7 +45,7 @@ def light_stem(word: Column) -> Column:
         F.when(word.rlike("^.{2,}ies$"), F.regexp_replace(word, "ies$", "y"))
         .when(word.rlike("^.{3,}ing$"), F.regexp_replace(word, "ing$", ""))
         .when(word.rlike("^.{3,}ed$"), F.regexp_replace(word, "ed$", ""))
-        .when(word.rlike("^.{3,}(s|x|z|ch|sh)es$"), F.regexp_replace(word, "es$", ""))
+        .when(word.rlike("^.{2,}(s|x|z|ch|sh)es$"), F.regexp_replace(word, "es$", ""))
         .when(word.rlike("^.{2,}[^s]s$"), F.regexp_replace(word, "s$", ""))
         .otherwise(word)
     )

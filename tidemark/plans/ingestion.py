@@ -11,7 +11,7 @@ from tidemark.plans.registry import query, table
 from tidemark.sources import html
 
 STEM = """CASE WHEN regexp_matches(w, '^.{2,}ies$') THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '^.{3,}ing$') THEN regexp_replace(w, 'ing$', '')
-  WHEN regexp_matches(w, '^.{3,}ed$') THEN regexp_replace(w, 'ed$', '') WHEN regexp_matches(w, '^.{3,}(s|x|z|ch|sh)es$') THEN regexp_replace(w, 'es$', '')
+  WHEN regexp_matches(w, '^.{3,}ed$') THEN regexp_replace(w, 'ed$', '') WHEN regexp_matches(w, '^.{2,}(s|x|z|ch|sh)es$') THEN regexp_replace(w, 'es$', '')
   WHEN regexp_matches(w, '^.{2,}[^s]s$') THEN regexp_replace(w, 's$', '') ELSE w END"""
 
 

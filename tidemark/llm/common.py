@@ -47,6 +47,14 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % folds
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as keep it apart from df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, drop: bool, most: int = 1_000_000) -> DataFrame:
     """The rows of docs whose doc_id is in ids (or, with drop, is not). Null is in no list.
 
@@ -55,7 +63,8 @@ def keep_ids(docs: DataFrame, ids: DataFrame, drop: bool, most: int = 1_000_000)
     """
     ids = cut(ids.select("doc_id").where("doc_id IS NOT NULL").distinct())
     small = ids.count() <= most
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti" if drop else "left_semi").select(docs.columns)
+    kept = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti" if drop else "left_semi")
+    return kept.select(*(f"`{c}`" for c in docs.columns))
 
 
 #: Bytes of text in an Arrow batch. A text longer than this makes a batch of its own.

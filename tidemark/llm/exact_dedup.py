@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, cut
+from tidemark.llm.common import ascii_lower, cut, free_name
 
 #: Runs of the first level, and how many runs one round merges.
 RUNS, FAN_IN = 64, 8
@@ -86,13 +86,15 @@ def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest", text_col: str
     verdicts = cut(exact_duplicates(docs, text_col=text_col, keep=keep).select("doc_id", "kept", F.unhex("text_sha256").alias("digest")))
     own = F.unhex(F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256))
 
+    id_name, digest_name = free_name(docs, "listed_id"), free_name(docs, "listed_digest")
+
     def match(listed: DataFrame, how: str) -> DataFrame:
-        listed = listed.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-        return docs.join(F.broadcast(listed) if listed.count() <= most else listed, docs["doc_id"].eqNullSafe(F.col("__id")) & (own == F.col("__digest")), how)
+        listed = listed.select(F.col("doc_id").alias(id_name), F.col("digest").alias(digest_name))
+        return docs.join(F.broadcast(listed) if listed.count() <= most else listed, docs["doc_id"].eqNullSafe(F.col(id_name)) & (own == F.col(digest_name)), how)
 
     repeated = cut(verdicts.where("kept").groupBy("doc_id", "digest").count().where("count > 1"))
     away = verdicts.where("NOT kept").select("doc_id", "digest").distinct()
     if repeated.isEmpty():
         return match(away, "left_anti")
-    once = match(repeated, "left_semi").withColumn("__key", own).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    once = match(repeated, "left_semi").withColumn(digest_name, own).dropDuplicates(["doc_id", digest_name]).drop(digest_name)
     return match(away.union(repeated.select("doc_id", "digest")), "left_anti").unionByName(once)

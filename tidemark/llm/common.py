@@ -68,7 +68,7 @@ def keep_ids(docs: DataFrame, ids: DataFrame, drop: bool, most: int = 1_000_000)
 
 
 #: Bytes of text in an Arrow batch. A text longer than this makes a batch of its own.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def limit_batches(spark: SparkSession) -> None:

@@ -45,9 +45,10 @@ def train(samples: dict[str, list[str]]) -> Model:
     """Counts each language's contexts of 0 to ORDER bytes and works out all code lengths.
 
     Escape method C: a context seen n times with d different next symbols gives a seen symbol
-    count / (n + d), and an unseen one d / (n + d) of what the context without its first byte
-    gives; below order 0 all symbols are alike. Statistics never change while scoring, so the
-    code length of a byte is a number looked up by its context.
+    count / (n + d); the rest, d / (n + d), goes to the unseen ones in proportion to what the
+    context without its first byte gives them, those seen being excluded. Below order 0 all
+    symbols are alike. Each context's chances sum to 1, and statistics never change while
+    scoring, so the code length of a byte is a number looked up by its context.
     """
     langs = sorted(samples)
     texts = {k: [np.frombuffer(normalised(t), np.uint8) for t in samples[k]] for k in langs}
@@ -80,7 +81,9 @@ def train(samples: dict[str, list[str]]) -> Model:
             else:
                 place, size, shorter = np.searchsorted(long, context), len(long), long % (n * n)
             total, kinds = np.bincount(place, count, size), np.bincount(place, minlength=size)
-            p = np.atleast_2d(p)[shorter] * np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1)[:, None]
+            p = np.atleast_2d(p)[shorter]
+            left = 1 - np.bincount(place, p[place, symbol], size)  # what the shorter context gives to symbols not seen here
+            p *= np.where(total > 0, kinds / np.maximum(total + kinds, 1) / np.maximum(left, 1e-12), 1)[:, None]
             p[place, symbol] = count / (total + kinds)[place]
             if order == ORDER - 1:
                 bits[: n * n, :, k] = -np.log2(p)

@@ -13,8 +13,8 @@ from tidemark.llm.common import as_bytes, keep_ids, limit_batches, map_texts, to
 
 #: Filters, bytes under a filter, bytes of a block, and blocks of a chunk; chunks overlap by a block.
 FILTERS, WIDTH, BLOCK, CHUNK = 16, 5, 64, 8
-#: Labelled rows to learn from at most, passes over them, rows of a step, and step size.
-SAMPLE_ROWS, EPOCHS, STEP_ROWS, RATE = 2000, 6, 32, 0.01
+#: Labelled rows to learn from at most, training steps, rows of a step, and step size.
+SAMPLE_ROWS, STEPS, STEP_ROWS, RATE = 2000, 320, 32, 0.01
 #: A byte counts as an echo if the GRAM bytes from it on stood up to REACH bytes before.
 GRAM, REACH = 6, 24
 SYMBOLS = 512
@@ -109,25 +109,21 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Net:
     net.out = rng.normal(0, 0.1, 3 * FILTERS)
     grams = [symbols_of(t) for t in texts]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (net.filters, net.bias, net.out)] + [[0.0, 0.0]]
-    step = 0
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(y))
-        for at in range(0, len(y), STEP_ROWS):
-            grads = [np.zeros_like(net.filters), np.zeros_like(net.bias), np.zeros_like(net.out), 0.0]
-            rows = order[at : at + STEP_ROWS]
-            for k in rows:
-                _backward(net, grams[k], y[k], weight[k] / len(rows), grads)
-            step += 1
-            rate = RATE * (1 - epoch / EPOCHS)
-            moves = []
-            for g, m in zip(grads, moments, strict=True):
-                m[0] = 0.9 * m[0] + 0.1 * g
-                m[1] = 0.99 * m[1] + 0.01 * g * g
-                moves.append(rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6))
-            net.filters -= moves[0].astype(np.float32)
-            net.bias -= moves[1].astype(np.float32)
-            net.out -= moves[2]
-            net.out_bias -= float(moves[3])
+    order = np.concatenate([rng.permutation(len(y)) for _ in range(-(-STEPS * STEP_ROWS // len(y)))])
+    for step in range(1, STEPS + 1):
+        grads = [np.zeros_like(net.filters), np.zeros_like(net.bias), np.zeros_like(net.out), 0.0]
+        for k in order[(step - 1) * STEP_ROWS : step * STEP_ROWS]:
+            _backward(net, grams[k], y[k], weight[k] / STEP_ROWS, grads)
+        rate = RATE * (1 - (step - 1) / STEPS)
+        moves = []
+        for g, m in zip(grads, moments, strict=True):
+            m[0] = 0.9 * m[0] + 0.1 * g
+            m[1] = 0.99 * m[1] + 0.01 * g * g
+            moves.append(rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6))
+        net.filters -= moves[0].astype(np.float32)
+        net.bias -= moves[1].astype(np.float32)
+        net.out -= moves[2]
+        net.out_bias -= float(moves[3])
     return net
 
 

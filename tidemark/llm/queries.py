@@ -51,7 +51,32 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
-@query("op5_hash_tree_shards")
+def shards_sql() -> str:
+    """DuckDB SQL for op5: crc32 from its polynomial, then the draws of two regions (three when grown), racks and shards."""
+
+    def draw(path: str, weight: int) -> str:
+        return f"-ln((('0x' || substr(md5(k || '|{path}'), 1, 13))::BIGINT + 0.5) / 4503599627370496) / {weight}"
+
+    def lower(region: int, rack: int) -> str:
+        a, b = 4 * region + 2 * rack, 4 * region + 2 * rack + 1
+        return f"CASE WHEN {draw(f'{region}/{rack}/{a}', 1)} <= {draw(f'{region}/{rack}/{b}', 1)} THEN {a} ELSE {b} END"
+
+    def region(r: int) -> str:
+        return f"CASE WHEN {draw(f'{r}/0', 2)} <= {draw(f'{r}/1', 2)} THEN {lower(r, 0)} ELSE {lower(r, 1)} END"
+
+    old = f"CASE WHEN {draw('0', 4)} <= {draw('1', 4)} THEN {region(0)} ELSE {region(1)} END"
+    return f"""
+    WITH RECURSIVE steps AS (SELECT i AS b, i AS c, 0 AS n FROM range(256) t(i) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM steps WHERE n < 8),
+    crc AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE n = 8),
+    d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, encode(coalesce(text, '')) AS bytes FROM documents),
+    e AS (SELECT doc_id, k, octet_length(bytes) + 1 AS size, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(bytes), '..'), lambda x: ('0x' || x)::BIGINT)) AS b FROM d),
+    f AS (SELECT doc_id, k, size, xor(list_reduce(b, lambda c, x: xor(c >> 8, list_extract(crc.t, (xor(c, x) & 255) + 1))), 4294967295) AS text_crc32,
+                 {old} AS shard, CASE WHEN {draw("2", 1)} < least({draw("0", 4)}, {draw("1", 4)}) THEN 8 ELSE {old} END AS grown_shard FROM e, crc)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(k), doc_id, text_crc32) - 1 AS slot, grown_shard FROM f
+    """
+
+
+@query("op5_hash_tree_shards", shards_sql())
 def op5_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dealt over shards 0 to 7, two to a rack, two racks to a region, under the law ``key``."""
     return assign_shards(table(spark, sf_dir, "documents"), even_topology(8))

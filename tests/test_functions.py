@@ -67,17 +67,72 @@ def test_percent_bands_steps_and_backoff(spark):
     assert one(spark, rounding.backoff(F.lit(20), 5.0, 600.0)) == 600.0
     assert one(spark, rounding.recency(F.lit(45), 90.0)) == 0.5
     assert one(spark, scoring.urgency(F.lit(None).cast("int"))) == 0.5
-    assert [one(spark, scoring.urgency(F.lit(d))) for d in (-5, 0, 5, 100)] == [1.0, 0.95, 0.65, 0.1]
+    assert [one(spark, scoring.urgency(F.lit(d))) for d in (-5, 0, 1, 5, 100)] == [5.0, 5.0, 4.5, 3.0, 0.5]
 
 
 def test_weights():
-    assert sum(scoring.normalised_weights({"a": 1, "b": -4, "c": 3}).values()) == pytest.approx(100)
-    assert scoring.normalised_weights({"a": 0, "b": -1}) == pytest.approx(scoring.normalised_weights(scoring.WEIGHTS))
-
-
-def test_drivers(spark):
-    points = {"a": F.lit(2.9), "b": F.lit(9.0), "c": F.lit(20.0), "d": F.lit(3.0), "e": F.lit(5.0)}
-    assert one(spark, scoring.drivers(points)) == "c, b, e"
+    assert sum(scoring.PRIORITY_WEIGHTS.values()) == sum(scoring.ATTENTION_WEIGHTS.values()) == 100
+    assert sum(scoring.normalised_weights({"strategic": 90, "urgency": -4}).values()) == pytest.approx(100)
+    assert scoring.normalised_weights({"urgency": -4})["urgency"] == 0
+    assert scoring.normalised_weights(dict.fromkeys(scoring.PRIORITY_WEIGHTS, 0)) == scoring.PRIORITY_WEIGHTS
+
+
+def task(**over):
+    base = dict.fromkeys(("strategic", "revenue", "fundraising", "customer", "scientific", "risk", "opportunity", "blocks", "postponed"), 0) | {"uniqueness": 3, "due_days": None, "milestone_days": None, "milestone_status": None, "hard": False, "priority": "P2", "goal_status": None, "status": "NOT_STARTED"}
+    kinds = {"due_days": "int", "milestone_days": "int", "milestone_status": "string", "goal_status": "string"}
+    return {k: F.lit(v).cast(kinds[k]) if k in kinds else F.lit(v) for k, v in (base | over).items()}
+
+
+def priority(spark, **over):
+    t = task(**over)
+    return one(spark, scoring.priority_score(scoring.priority_factors(t), t)["score"])
+
+
+def test_priority_scores(spark):
+    # 13 * 3 / 5 for uniqueness and 12 * 0.5 / 5 for urgency
+    assert priority(spark) == 9.0
+    assert priority(spark, due_days=0) == pytest.approx(7.8 + 12 + 2)
+    assert priority(spark, milestone_days=-7) == pytest.approx(7.8 + 12 + 2.8)
+    assert priority(spark, priority="P0") == pytest.approx(9.9) and priority(spark, status="WAITING") == pytest.approx(7.2)
+    assert priority(spark, uniqueness=2) == pytest.approx(5.4)  # (5.2 + 1.2) * 0.85
+    assert priority(spark, postponed=3) == 12.0
+    high = dict.fromkeys(("strategic", "revenue", "fundraising", "customer", "scientific", "risk", "opportunity"), 5) | {"uniqueness": 5, "blocks": 4, "hard": True, "due_days": 0, "priority": "P0"}
+    assert priority(spark, **high) == 100.0
+    assert priority(spark, strategic=5, uniqueness=5) > priority(spark, strategic=1, uniqueness=1, due_days=0)
+    t = task(strategic=5, risk=4, customer=3, due_days=0)
+    f = scoring.priority_factors(t)
+    assert one(spark, scoring.drivers(f, scoring.priority_score(f, t))) == "strategic, urgency, uniqueness"
+
+
+def item(**over):
+    base = {
+        "noise": False, "relevance": "MEDIUM", "category": "OTHER", "company_type": "VENDOR", "company_relationship": None, "strategic_score": 0.0, "revenue": None, "fundraising": False, "fundraising_value": None, "risk_severity": None,
+        "days_to_due": None, "hard": False, "deal_owner": False, "sole_recipient": False, "replied_before": False, "legal": False, "scientific": False, "opportunity_value": None, "asked": False, "owes_due_soon": False,
+        "urgent_action": False, "decision_needed": False, "team_owned": False, "wrote": False, "change_importance": None, "change_soon": False,
+    }
+    kinds = {"company_relationship": "int", "revenue": "double", "fundraising_value": "double", "opportunity_value": "double", "risk_severity": "int", "days_to_due": "int", "change_importance": "int"}
+    return {k: F.lit(v).cast(kinds[k]) if k in kinds else F.lit(v) for k, v in (base | over).items()}
+
+
+@pytest.mark.parametrize(
+    "over, level",
+    [
+        ({"noise": True, "asked": True}, "ARCHIVE"), ({"relevance": "LOW"}, "ARCHIVE"), ({}, "ARCHIVE"), ({"wrote": True}, "MONITOR"),
+        ({"asked": True, "company_type": "CUSTOMER", "days_to_due": 3}, "TODAY"), ({"owes_due_soon": True, "days_to_due": 0, "company_type": "INVESTOR"}, "IMMEDIATE"), ({"owes_due_soon": True}, "TODAY"),
+        ({"decision_needed": True}, "THIS_WEEK"), ({"team_owned": True}, "DELEGATE"), ({"team_owned": True, "decision_needed": True}, "DELEGATE"), ({"change_importance": 4}, "THIS_WEEK"), ({"change_importance": 4, "change_soon": True}, "TODAY"),
+        ({"relevance": "CRITICAL", "risk_severity": 5, "category": "BOARD"}, "IMMEDIATE"),
+    ],
+)
+def test_attention_levels(spark, over, level):
+    assert one(spark, scoring.attention_score(item(**over))["level"]) == level
+
+
+@pytest.mark.parametrize(
+    "confidence, relevance, protected, out",
+    [(0.8, None, None, "WRITE"), (0.79, "HIGH", None, "REVIEW"), (0.54, "CRITICAL", None, "DROP"), (float("nan"), "HIGH", None, "DROP"), (7.0, "LOW", None, "WRITE"), (0.99, "LOW", "ENTITY_MERGE", "REVIEW"), (0.3, "HIGH", "OWNER_CHANGE", "DROP"), (0.3, "CRITICAL", "OWNER_CHANGE", "REVIEW")],
+)
+def test_gate(spark, confidence, relevance, protected, out):
+    assert one(spark, scoring.gate(F.lit(confidence), F.lit(relevance).cast("string"), F.lit(protected).cast("string"))) == out
 
 
 @pytest.mark.parametrize("raw, out", [("  Ærøskøbing   Straße ", "aeroskobing strasse"), ("José ŁÓDŹ", "jose lodz"), ("", "")])
@@ -91,11 +146,18 @@ def test_company_core_and_keys(spark):
     assert one(spark, text.action_key(F.lit("Send the signed contracts to Ada"))) == one(spark, text.action_key(F.lit("ada: contract sign send")))
 
 
-@pytest.mark.parametrize("word, stem", [("parties", "party"), ("sending", "send"), ("signed", "sign"), ("boxes", "box"), ("contracts", "contract"), ("class", "class"), ("ring", "ring")])
+@pytest.mark.parametrize("word, stem", [("parties", "party"), ("sending", "send"), ("signed", "sign"), ("boxes", "box"), ("contracts", "contract"), ("class", "class"), ("ring", "ring"), ("hired", "hir"), ("hire", "hir"), ("revised", "revis"), ("revise", "revis"), ("status", "status"), ("need", "need"), ("studied", "study")])
 def test_light_stem(spark, word, stem):
     assert one(spark, text.light_stem(F.col("w")), w=word) == stem
 
 
+def test_action_tokens(spark):
+    assert one(spark, text.action_tokens(F.lit("Please send the revised $1.5M packages to Ada's team by Friday. 0.88 hits"))) == ["send", "revis", "$1.5m", "packag", "ada", "team", "friday", "0.88", "hit"]
+    same = lambda a, b, shared: one(spark, text.is_duplicate_action(text.action_tokens(F.lit(a)), text.action_tokens(F.lit(b)), F.lit(shared)))
+    assert same("Sign Vantage NDA", "Sign Vantage mutual NDA via DocuSign", True) and not same("Sign Vantage NDA", "Sign Vantage mutual NDA via DocuSign", False)
+    assert same("Send signed contracts", "send the signed contract", False)
+
+
 def test_similarities(spark):
     a, b = F.array(F.lit("sign"), F.lit("contract"), F.lit("ada")), F.array(F.lit("contract"), F.lit("sign"))
     assert one(spark, text.jaccard(a, b)) == pytest.approx(2 / 3)

@@ -16,7 +16,12 @@ PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiiiinnnooooooorrsstuuuuuuuuyyzzzg"
 LEGAL = ["inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "gmbh", "ag", "sa", "sarl", "bv", "nv", "plc", "lp", "llp", "as", "aps", "ab", "oy"]
 GENERIC = ["group", "holding", "holdings", "international", "global", "partners", "capital", "ventures", "labs", "technologies", "technology", "systems", "solutions", "services"]
 # Words that carry no action.
-STOP = ["a", "an", "and", "the", "to", "of", "for", "in", "on", "at", "by", "with", "from", "is", "are", "be", "it", "this", "that", "as", "or"]
+STOP = (
+    "a an the to for of and or with on in at by from as is are be been being our your my their his her its we i you they he she it me us them "
+    "this that these those please pls kindly will would could can should shall must need needs want wants asap re fw fwd about into over also just "
+    "all any some so then than do does did have has had get got let know up out back again soon today tomorrow week next by end eod there here "
+    "what when which who whom whose how why if not no yes ok okay thanks thank hi hello dear regards best cheers via using"
+).split()
 
 
 def fold(text: Column) -> Column:
@@ -40,20 +45,34 @@ def company_core(name: Column) -> Column:
 
 
 def light_stem(word: Column) -> Column:
-    """Drops plural and verb endings: -ies to -y, then -ing, -ed, -es, -s, where a stem of three is left."""
-    return (
-        F.when(word.rlike("^.{2,}ies$"), F.regexp_replace(word, "ies$", "y"))
-        .when(word.rlike("^.{3,}ing$"), F.regexp_replace(word, "ing$", ""))
-        .when(word.rlike("^.{3,}ed$"), F.regexp_replace(word, "ed$", ""))
-        .when(word.rlike("^.{2,}(s|x|z|ch|sh)es$"), F.regexp_replace(word, "es$", ""))
-        .when(word.rlike("^.{2,}[^s]s$"), F.regexp_replace(word, "s$", ""))
+    """Drops verb and plural endings, the first of a list that fits, and then a last e, if enough is left."""
+    cut = lambda n: F.left(word, F.length(word) - n)
+    stem = (
+        F.when(word.rlike("^.{3,}ing$"), cut(3))
+        .when(word.rlike("^.{2,}ie[ds]$"), F.concat(cut(3), F.lit("y")))
+        .when(word.rlike("^.{3,}ed$"), cut(2))
+        .when(word.rlike("^.{3,}es$") & word.rlike("(ss|x|ch|sh)es$"), cut(2))
+        .when(word.rlike("^.{3,}s$") & ~word.rlike("(ss|us|is)$"), cut(1))
         .otherwise(word)
     )
+    return F.regexp_replace(stem, "^(.{3,})e$", "$1")
 
 
 def action_tokens(text: Column) -> Column:
-    """Stems of the words that carry an action, each once, in order."""
-    return F.array_distinct(F.transform(F.filter(words(text), lambda w: ~w.isin(STOP)), light_stem))
+    """Stems of the words that carry an action, each once, in order; amounts keep their $, % and decimal point."""
+    plain = F.regexp_replace(F.regexp_replace(fold(text), "['’`]", ""), "[^a-z0-9$%.]+", " ")
+    found = F.transform(F.split(plain, " "), lambda w: F.trim(w, F.lit(".")))
+    return F.array_distinct(F.transform(F.filter(found, lambda w: (F.length(w) >= 2) & ~w.isin(STOP)), light_stem))
+
+
+def token_coverage(needle: Column, haystack: Column) -> Column:
+    """The share of needle's tokens that haystack has."""
+    return F.when(F.size(needle) > 0, F.size(F.array_intersect(needle, haystack)) / F.size(needle)).otherwise(F.lit(0.0))
+
+
+def is_duplicate_action(a: Column, b: Column, shared: Column) -> Column:
+    """Whether two actions' tokens say the same: 0.6 and up in a shared context, else 0.85."""
+    return F.when(shared, contextual_similarity(a, b) >= 0.6).otherwise(jaccard(a, b) >= 0.85)
 
 
 def action_key(text: Column) -> Column:
@@ -68,9 +87,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def contextual_similarity(a: Column, b: Column) -> Column:
-    """Jaccard, or 0.9 of the share of the shorter set if that has two or more shared elements."""
+    """Jaccard, or 0.9 of the share of the shorter set that is in the longer, if it has two elements or more."""
     shared, short = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))
-    return F.greatest(jaccard(a, b), F.when((short >= 2) & (shared >= 2), shared * 0.9 / short).otherwise(F.lit(0.0)))
+    return F.greatest(jaccard(a, b), F.when(short >= 2, shared * 0.9 / short).otherwise(F.lit(0.0)))
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:

@@ -12,30 +12,65 @@ from tidemark.plans.registry import query, table
 TODAY = "2001-08-01"
 
 
-@query(
-    "q37_priority_score",
-    """WITH b AS (SELECT o_orderkey, 5 - CAST(left(o_orderpriority, 1) AS INT) AS impact, datediff('day', TIMESTAMP '2001-08-01', o_orderdate) + 60 AS days, o_totalprice, o_orderstatus,
-              (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders WHERE o_orderkey < 3000),
-       p AS (SELECT *, floor(least(1, greatest(0, impact / 4.0)) * 30 * 10 + 0.5) / 10 AS impact_points,
-              floor((CASE WHEN days <= -1 THEN 1.0 WHEN days <= 0 THEN 0.95 WHEN days <= 1 THEN 0.9 WHEN days <= 3 THEN 0.8 WHEN days <= 7 THEN 0.65 WHEN days <= 14 THEN 0.45 WHEN days <= 30 THEN 0.25 ELSE 0.1 END) * 25 * 10 + 0.5) / 10 AS urgency_points,
-              floor(CAST(0.5 AS DOUBLE) * 10 * 10 + 0.5) / 10 AS effort_points, floor(least(1, n / 7.0) * 15 * 10 + 0.5) / 10 AS dependencies_points, floor(least(1, o_totalprice / 400000) * 20 * 10 + 0.5) / 10 AS value_points FROM b)
-       SELECT o_orderkey, impact_points, urgency_points, dependencies_points, value_points,
-              floor(least(100, greatest(0, (impact_points + urgency_points + effort_points + dependencies_points + value_points) * CASE WHEN o_orderstatus = 'P' THEN 0.5 ELSE 1 END * CASE WHEN impact = 4 THEN 1.1 ELSE 1 END + CASE WHEN days < -365 THEN 3 ELSE 0 END)) * 10 + 0.5) / 10 AS score FROM p""",
-)
+#: A task's fields, derived from an order and the number of its lines, as SQL that both engines read.
+TASK = {
+    "strategic": "6 - CAST(left(o_orderpriority, 1) AS INT)", "revenue": "o_totalprice / 100000", "fundraising": "o_custkey % 6", "customer": "o_orderkey % 4", "scientific": "o_orderkey % 7",
+    "risk": "n - 2", "uniqueness": "o_orderkey % 6", "opportunity": "o_custkey % 4", "blocks": "n % 4", "hard": "o_orderkey % 3 = 0", "postponed": "o_orderkey % 5",
+    "due_days": "CASE WHEN o_orderkey % 8 > 0 THEN o_custkey % 50 - 10 END", "milestone_days": "CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 45 END", "milestone_status": "CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_custkey % 3 = 0 THEN 'AT_RISK' ELSE 'ON_TRACK' END END",
+    "priority": "concat('P', CAST(o_custkey % 4 AS VARCHAR(1)))", "goal_status": "CASE WHEN o_custkey % 5 = 0 THEN 'OFF_TRACK' WHEN o_custkey % 5 < 3 THEN 'ON_TRACK' END", "status": "CASE o_orderstatus WHEN 'P' THEN 'WAITING' WHEN 'F' THEN 'BLOCKED' ELSE 'OPEN' END",
+}
+
+
+def priority_sql() -> str:
+    five = lambda x: f"greatest(0.0::DOUBLE, least(5.0::DOUBLE, ({x})::DOUBLE))"
+    days = "least(due_days, milestone_days + 7)"
+    factor = {k: five(k) for k in ("strategic", "revenue", "fundraising", "customer", "scientific", "risk", "uniqueness", "opportunity")}
+    factor["urgency"] = f"CASE WHEN {days} IS NULL THEN 0.5 WHEN {days} <= 0 THEN 5 WHEN {days} <= 1 THEN 4.5 WHEN {days} <= 3 THEN 4 WHEN {days} <= 7 THEN 3 WHEN {days} <= 14 THEN 2 WHEN {days} <= 30 THEN 1 ELSE 0.5 END"
+    factor["dependency"] = five("blocks * 1.5 + CASE WHEN milestone_days <= 14 THEN 2 WHEN milestone_days <= 30 THEN 1 ELSE 0 END + CASE WHEN milestone_status IN ('AT_RISK', 'BLOCKED') THEN 1 ELSE 0 END")
+    factor["deadline"] = "CASE WHEN hard THEN 5 WHEN due_days IS NOT NULL THEN 2 ELSE 0 END"
+    points = {k: f"floor(({factor[k]})::DOUBLE * {float(w)}::DOUBLE / 5 * 10 + 0.5) / 10" for k, w in scoring.PRIORITY_WEIGHTS.items()}
+    times = """CASE priority WHEN 'P0' THEN 1.1::DOUBLE WHEN 'P1' THEN 1.04::DOUBLE WHEN 'P3' THEN 0.85::DOUBLE ELSE 1 END * CASE WHEN goal_status IN ('AT_RISK', 'OFF_TRACK') THEN 1.05::DOUBLE ELSE 1 END
+        * CASE WHEN uniqueness <= 2 THEN 0.85::DOUBLE ELSE 1 END * CASE status WHEN 'BLOCKED' THEN 0.93::DOUBLE WHEN 'WAITING' THEN 0.8::DOUBLE ELSE 1 END"""
+    return f"""WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1), o AS (SELECT orders.*, coalesce(n, 0) AS n FROM orders LEFT JOIN l ON l_orderkey = o_orderkey WHERE o_orderkey < 3000),
+        t AS (SELECT o_orderkey, {", ".join(f"{v} AS {k}" for k, v in TASK.items())} FROM o), p AS (SELECT *, {", ".join(f"{v} AS {k}_points" for k, v in points.items())} FROM t)
+        SELECT o_orderkey, {", ".join(f"{k}_points" for k in points)}, greatest(0, least(100, floor((({" + ".join(f"{k}_points" for k in points)}) * {times} + CASE WHEN postponed >= 3 THEN 3 ELSE 0 END) * 10 + 0.5) / 10)) AS score FROM p"""
+
+
+@query("q37_priority_score", priority_sql())
 def q37(spark, sf):
-    """A task's score from factors rounded one by one, modifiers in order, and a bonus for slippage."""
+    """A task's score: factors rounded one by one, multipliers in their order, points for slippage last."""
     lines = table(spark, sf, "lineitem").where("l_orderkey < 3000").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     orders = table(spark, sf, "orders").where("o_orderkey < 3000")
-    base = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumns({
-        "n": F.coalesce("n", F.lit(0)), "impact": 5 - F.substring("o_orderpriority", 1, 1).cast("int"), "days": F.datediff("o_orderdate", F.lit(TODAY).cast("date")) + 60,
+    base = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    tasks = base.select("o_orderkey", *(F.expr(v).alias(k) for k, v in TASK.items()))
+    t = {k: F.col(k) for k in TASK}
+    scored = scoring.priority_score(scoring.priority_factors(t), t)
+    return tasks.select("o_orderkey", *(v.alias(k) for k, v in scored.items()))
+
+
+@query(
+    "q37b_attention_levels",
+    """WITH i AS (SELECT event_id, value, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type FROM events),
+       s AS (SELECT *, greatest(0, least(100, floor(14 * greatest(least(1.0::DOUBLE, value / 100), CASE WHEN k % 3 = 0 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END) + 9 * CASE WHEN value * 20000 >= 1000000 THEN 0.9::DOUBLE WHEN value * 20000 >= 300000 THEN 0.75::DOUBLE WHEN value * 20000 >= 100000 THEN 0.5::DOUBLE WHEN value * 20000 >= 1e-9 THEN 0.3::DOUBLE ELSE 0 END
+             + 8 * CASE WHEN k % 4 = 0 THEN least(1.0::DOUBLE, 0.5::DOUBLE + 0.1::DOUBLE * (user_id % 6)) ELSE 0 END + 9 * ((k % 6) / 5.0::DOUBLE) + 13 * CASE WHEN user_id % 20 <= 0 THEN 1.0::DOUBLE WHEN user_id % 20 <= 1 THEN 0.9::DOUBLE WHEN user_id % 20 <= 2 THEN 0.8::DOUBLE WHEN user_id % 20 <= 7 THEN 0.6::DOUBLE WHEN user_id % 20 <= 14 THEN 0.35::DOUBLE ELSE 0.1::DOUBLE END
+             + 10 * CASE WHEN event_type = 'error' THEN 1 ELSE 0 END + CASE WHEN k % 7 = 0 THEN 5 ELSE 0 END + 0.5::DOUBLE))) AS score FROM i)
+       SELECT event_id, CAST(score AS BIGINT) AS score, CASE WHEN score >= 66 THEN 'IMMEDIATE' WHEN score >= 50 OR (event_type = 'error' AND (k % 4 = 0 OR k % 3 = 0) AND user_id % 20 <= 3) OR (k % 6 >= 4 AND (k % 4 = 0 OR k % 3 = 0)) THEN 'TODAY'
+             WHEN score >= 35 OR (event_type = 'error' AND user_id % 20 <= 7) THEN 'THIS_WEEK' WHEN score >= 18 THEN 'MONITOR' ELSE 'ARCHIVE' END AS level FROM s""",
+)
+def q37b(spark, sf):
+    """How much attention an incoming item deserves, and when."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    events = table(spark, sf, "events").withColumn("k", k)
+    no, none = F.lit(False), F.lit(None)
+    score = scoring.attention_score({
+        "noise": no, "relevance": F.when(F.col("k") % 7 == 0, "HIGH").otherwise("MEDIUM"), "category": F.when(F.col("k") % 3 == 0, "LEGAL").otherwise("OTHER"),
+        "company_type": F.when(F.col("k") % 4 == 0, "CUSTOMER").otherwise("VENDOR"), "company_relationship": F.col("user_id") % 6, "strategic_score": F.col("value") / 100,
+        "revenue": F.col("value") * 20000, "fundraising": no, "fundraising_value": none.cast("double"), "risk_severity": F.col("k") % 6, "days_to_due": F.col("user_id") % 20,
+        "hard": no, "deal_owner": no, "sole_recipient": no, "replied_before": no, "legal": no, "scientific": no, "opportunity_value": none.cast("double"),
+        "asked": F.col("event_type") == "error", "owes_due_soon": no, "urgent_action": no, "decision_needed": no, "team_owned": no, "wrote": no,
+        "change_importance": none.cast("int"), "change_soon": no,
     })
-    factors = {
-        "impact": F.col("impact") / 4.0, "urgency": scoring.urgency(F.col("days")), "effort": F.lit(0.5),
-        "dependencies": F.col("n") / 7.0, "value": F.col("o_totalprice") / 400000,
-    }
-    modifiers = [F.when(F.col("o_orderstatus") == "P", 0.5).otherwise(1.0), F.when(F.col("impact") == 4, 1.1).otherwise(1.0)]
-    scored = scoring.weighted_score(factors, scoring.WEIGHTS, modifiers, F.when(F.col("days") < -365, 3.0).otherwise(0.0))
-    return base.select("o_orderkey", *(v.alias(k) for k, v in scored.items() if k != "effort_points"))
+    return events.select("event_id", *(v.alias(n) for n, v in score.items()))
 
 
 @query(

@@ -10,9 +10,9 @@ from tidemark.operators import groups, search, security, upsert
 from tidemark.plans.registry import query, table
 from tidemark.sources import html
 
-STEM = """CASE WHEN regexp_matches(w, '^.{2,}ies$') THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '^.{3,}ing$') THEN regexp_replace(w, 'ing$', '')
-  WHEN regexp_matches(w, '^.{3,}ed$') THEN regexp_replace(w, 'ed$', '') WHEN regexp_matches(w, '^.{2,}(s|x|z|ch|sh)es$') THEN regexp_replace(w, 'es$', '')
-  WHEN regexp_matches(w, '^.{2,}[^s]s$') THEN regexp_replace(w, 's$', '') ELSE w END"""
+STEM = """regexp_replace(CASE WHEN regexp_matches(w, '^.{3,}ing$') THEN left(w, length(w) - 3) WHEN regexp_matches(w, '^.{2,}ie[ds]$') THEN left(w, length(w) - 3) || 'y'
+  WHEN regexp_matches(w, '^.{3,}ed$') THEN left(w, length(w) - 2) WHEN regexp_matches(w, '^.{3,}es$') AND regexp_matches(w, '(ss|x|ch|sh)es$') THEN left(w, length(w) - 2)
+  WHEN regexp_matches(w, '^.{3,}s$') AND NOT regexp_matches(w, '(ss|us|is)$') THEN left(w, length(w) - 1) ELSE w END, '^(.{3,})e$', '\\1')"""
 
 
 @query(

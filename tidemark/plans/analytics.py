@@ -51,7 +51,7 @@ def q37(spark, sf):
 @query(
     "q37b_attention_levels",
     """WITH i AS (SELECT event_id, value, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type FROM events),
-       s AS (SELECT *, greatest(0, least(100, floor(14 * greatest(least(1.0::DOUBLE, value / 100), CASE WHEN k % 3 = 0 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END) + 9 * CASE WHEN value * 20000 >= 1000000 THEN 0.9::DOUBLE WHEN value * 20000 >= 300000 THEN 0.75::DOUBLE WHEN value * 20000 >= 100000 THEN 0.5::DOUBLE WHEN value * 20000 >= 1e-9 THEN 0.3::DOUBLE ELSE 0 END
+       s AS (SELECT *, greatest(0, least(100, floor(14 * greatest(least(1.0::DOUBLE, value / 100), CASE WHEN k % 3 = 0 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END) + 9 * CASE WHEN value * 20000 >= 5000000 THEN 1 WHEN value * 20000 >= 1000000 THEN 0.9::DOUBLE WHEN value * 20000 >= 300000 THEN 0.75::DOUBLE WHEN value * 20000 >= 100000 THEN 0.5::DOUBLE WHEN value * 20000 >= 1e-9 THEN 0.3::DOUBLE ELSE 0 END
              + 8 * CASE WHEN k % 4 = 0 THEN least(1.0::DOUBLE, 0.5::DOUBLE + 0.1::DOUBLE * (user_id % 6)) ELSE 0 END + 9 * ((k % 6) / 5.0::DOUBLE) + 13 * CASE WHEN user_id % 20 <= 0 THEN 1.0::DOUBLE WHEN user_id % 20 <= 1 THEN 0.9::DOUBLE WHEN user_id % 20 <= 2 THEN 0.8::DOUBLE WHEN user_id % 20 <= 7 THEN 0.6::DOUBLE WHEN user_id % 20 <= 14 THEN 0.35::DOUBLE ELSE 0.1::DOUBLE END
              + 10 * CASE WHEN event_type = 'error' THEN 1 ELSE 0 END + CASE WHEN k % 7 = 0 THEN 5 ELSE 0 END + 0.5::DOUBLE))) AS score FROM i)
        SELECT event_id, CAST(score AS BIGINT) AS score, CASE WHEN score >= 66 THEN 'IMMEDIATE' WHEN score >= 50 OR (event_type = 'error' AND (k % 4 = 0 OR k % 3 = 0) AND user_id % 20 <= 3) OR (k % 6 >= 4 AND (k % 4 = 0 OR k % 3 = 0)) THEN 'TODAY'

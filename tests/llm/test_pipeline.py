@@ -19,9 +19,8 @@ def test_each_operator_has_one_query():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
-def test_stages_on_planted_documents(spark, odd, empty, tmp_path):
+def test_stages_on_planted_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(400)
-    clean = docs.where("doc_id IN (5, 19, 20)").withColumn("doc_id", F.col("doc_id") + 100_000).withColumn("text", F.upper("text"))
     copies = docs.where("doc_id IN (5, 19, 20)").withColumn("doc_id", F.col("doc_id") + 200_000)
     nothing = docs.limit(1).withColumn("doc_id", F.lit(300_000).cast("long")).withColumn("text", F.lit("12345 !!"))
     rows = docs.unionByName(copies).unionByName(nothing).unionByName(nothing.withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(300_001).cast("long")))
@@ -34,12 +33,13 @@ def test_stages_on_planted_documents(spark, odd, empty, tmp_path):
         seen.append(spark.read.parquet(str(tmp_path / str(k))))
     ids = [{r["doc_id"] for r in x.select("doc_id").collect()} for x in seen[1:]]
     assert not ids[0] & {300_000, 300_001} and ids[0] >= {r["doc_id"] for r in docs.where("text RLIKE '[A-Za-z]'").collect()}
-    texts = [r["t"] for r in seen[3].select(F.lower("text").alias("t")).collect()]
-    assert len(texts) == len(set(texts)) and not ids[2] & {5, 19, 20} or ids[2] & {200_005, 200_019, 200_020}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = [r["text"].translate(lower) for r in seen[3].select("text").collect()]
+    assert len(texts) == len(set(texts)) and not ids[2] & {5, 19, 20}
+    assert {k for k in (200_005, 200_019, 200_020) if k in ids[1]} <= ids[2]
     bits = [simhash.fingerprint(r["text"].encode()) for r in seen[4].collect()]
     assert all((a ^ b).bit_count() > 3 for k, a in enumerate(bits) for b in bits[:k])
     assert {r["doc_id"] for r in seen[5].select("doc_id").collect()} == ids[3]
-    del clean
 
 
 def test_stages_take_odd_and_empty_tables(spark, odd, empty):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_texts, shuffle_partitions, to_batch
 
+#: Buckets of ids at most; their bounds and first ids are what reaches the driver.
+MOST_BUCKETS = 20_000
 #: Bytes of a k-mer, k-mers of a tuple, and tuples (bins) of a fingerprint.
 K, TUPLE, BINS = 8, 2, 64
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]  # fixed: splitmix64's constants
@@ -105,7 +107,7 @@ def with_following(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     partitions = shuffle_partitions(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    count = 8 * partitions
+    count = min(8 * partitions, MOST_BUCKETS)
     quantiles = F.percentile_approx("key", F.array(*(F.lit(k / count) for k in range(1, count))), F.lit(20 * count))
     bounds = np.array(rows.agg(quantiles.alias("q")).first()["q"] or [], np.int64)
 

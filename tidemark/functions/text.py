@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,17 +47,22 @@ def company_core(name: Column) -> Column:
 
 
 def light_stem(word: Column) -> Column:
-    """Drops verb and plural endings, the first of a list that fits, and then a last e, if enough is left."""
-    cut = lambda n: F.left(word, F.length(word) - n)
+    """Drops verb and plural endings, the first of a list that fits, and then a last e, if enough is left.
+
+    Endings and lengths are compared plainly; one regular expression takes the last e.
+    """
+    size = F.length(word)
+    ends = lambda *endings: reduce(lambda a, b: a | b, [F.endswith(word, F.lit(e)) for e in endings])
+    cut = lambda n: F.left(word, size - n)
     stem = (
-        F.when(word.rlike("^.{3,}ing$"), cut(3))
-        .when(word.rlike("^.{2,}ie[ds]$"), F.concat(cut(3), F.lit("y")))
-        .when(word.rlike("^.{3,}ed$"), cut(2))
-        .when(word.rlike("^.{3,}es$") & word.rlike("(ss|x|ch|sh)es$"), cut(2))
-        .when(word.rlike("^.{3,}s$") & ~word.rlike("(ss|us|is)$"), cut(1))
+        F.when((size >= 6) & ends("ing"), cut(3))
+        .when((size >= 5) & ends("ied", "ies"), F.concat(cut(3), F.lit("y")))
+        .when((size >= 5) & ends("ed"), cut(2))
+        .when((size >= 5) & ends("sses", "xes", "ches", "shes"), cut(2))
+        .when((size >= 4) & ends("s") & ~ends("ss", "us", "is"), cut(1))
         .otherwise(word)
     )
-    return F.regexp_replace(stem, "^(.{3,})e$", "$1")
+    return F.regexp_replace(stem, "(?<=...)e$", "")
 
 
 def action_tokens(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,27 +83,30 @@ def neighbours(edges: DataFrame, node: Column, limit: int) -> DataFrame:
 def opposite_pairs(df: DataFrame, key: list[str], amount: str, account: str, id_col: str) -> DataFrame:
     """(out_id, in_id) of transfers: legs of opposite sign and equal size, in different accounts, each used once.
 
-    Legs of a key (day, currency, size) are few; each key is matched by itself, in order of id:
-    an outgoing leg takes the first free incoming one of another account.
+    A key's legs (day, currency, size) are matched by themselves, in order of id: an outgoing leg
+    takes the first free incoming one of another account. Keys with legs of one sign only are left
+    out before the shuffle's rows reach Python; there a partition's keys stream by, incoming legs
+    first, and only one key's free legs are held, a queue for each account.
     """
 
-    def match(rows):
-        import pandas as pd
-
-        rows = rows.sort_values("id")
-        free = [(r.id, r.account) for r in rows[rows.amount > 0].itertuples()]
-        pairs = []
-        for leg in rows[rows.amount < 0].itertuples():
-            for k, (other, where) in enumerate(free):
-                if where != leg.account:
-                    pairs.append((leg.id, other))
-                    free.pop(k)
-                    break
-        return pd.DataFrame(pairs, columns=["out_id", "in_id"], dtype="int64")
-
-    legs = df.select(*key, F.abs(F.col(amount)).alias("size"), F.col(amount).alias("amount"), F.col(account).alias("account"), F.col(id_col).alias("id"))
-    both = legs.groupBy(*key, "size").agg(F.min("amount").alias("low"), F.max("amount").alias("high")).where("low < 0 AND high > 0")
-    return legs.join(both.select(*key, "size"), [*key, "size"], "left_semi").groupBy(*key, "size").applyInPandas(match, "out_id long, in_id long")
+    def match(batches):
+        now, free = None, {}
+        for rows in batches:
+            pairs = []
+            for k, leg, size, where in zip(rows["key"], rows["id"], rows["amount"], rows["account"], strict=True):
+                if k != now:
+                    now, free = k, {}
+                if size > 0:
+                    free.setdefault(where, deque()).append(leg)
+                elif others := [(queue[0], name) for name, queue in free.items() if queue and name != where]:
+                    pairs.append((leg, free[min(others)[1]].popleft()))
+            yield pd.DataFrame(pairs, columns=["out_id", "in_id"], dtype="int64")
+
+    value = F.col(amount)
+    legs = df.select(F.to_json(F.struct(*key, F.abs(value).alias("size"))).alias("key"), value.alias("amount"), F.col(account).alias("account"), F.col(id_col).alias("id")).where(value != 0)
+    both = legs.groupBy("key").agg(F.min("amount").alias("low"), F.max("amount").alias("high")).where("low < 0 AND high > 0")
+    paired = legs.join(both.select("key"), "key", "left_semi").repartition("key").sortWithinPartitions("key", F.col("amount") < 0, "id")
+    return paired.mapInPandas(match, "out_id long, in_id long")
 
 
 def bag_difference(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:

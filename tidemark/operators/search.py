@@ -26,21 +26,24 @@ class SearchPlan:
         return SearchPlan(tuple(w for w in found if w[0] != "-"), tuple(w[1:] for w in found if w[0] == "-"), **rest)
 
 
-def tokens(text: Column) -> Column:
-    """Stems of the runs of ASCII letters and digits, repeats included."""
-    return F.transform(F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: F.length(w) >= 2), light_stem)
-
-
-def postings(docs: DataFrame, id_col: str, fields: dict[str, float]) -> DataFrame:
+def postings(docs: DataFrame, id_col: str, fields: dict[str, float], plan: SearchPlan | None = None) -> DataFrame:
     """(term, id, weight): each stem of a document once, weighted by field and number.
 
-    To be written sorted and bucketed by term; a search then reads its terms' rows only.
+    Terms are the stems of runs of two or more ASCII letters and digits. Words are exploded
+    before they are stemmed, so that the stemmer is compiled with the rest of the stage. To be
+    written sorted and bucketed by term; a search then reads its terms' rows only. For a search
+    without such a table, plan leaves out words that can't have its stems: a stem keeps a word's
+    first two letters.
     """
     each = None
     for name, weight in fields.items():
-        one = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(name))).alias("term"), F.lit(weight).alias("weight"))
+        word = F.explode(F.split(F.regexp_replace(F.lower(F.col(name)), "[^a-z0-9]+", " "), " "))
+        one = docs.select(F.col(id_col).alias("id"), word.alias("word"), F.lit(weight).alias("weight"))
         each = one if each is None else each.unionByName(one)
-    return each.groupBy("term", "id").agg(F.sum("weight").alias("weight"))
+    if plan:
+        begins = sorted({t[:2] for t in plan.terms + plan.without})
+        each = each.where(F.left("word", F.lit(2)).isin(begins))
+    return each.where(F.length("word") >= 2).groupBy(light_stem(F.col("word")).alias("term"), "id").agg(F.sum("weight").alias("weight"))
 
 
 def stems_of(spark, terms: tuple[str, ...]) -> DataFrame:

@@ -22,8 +22,9 @@ STEM = """regexp_replace(CASE WHEN regexp_matches(w, '^.{3,}ing$') THEN left(w,
 )
 def q47(spark, sf):
     """Documents with all stems that are asked for and without those that are not wanted, by weight."""
-    index = search.postings(table(spark, sf, "documents"), "doc_id", {"text": 1.0})
-    return search.match_all(index, search.SearchPlan.parse("the hainha -tion")).select("id", F.col("rank").cast("long").alias("rank"))
+    plan = search.SearchPlan.parse("the hainha -tion")
+    index = search.postings(table(spark, sf, "documents"), "doc_id", {"text": 1.0}, plan)
+    return search.match_all(index, plan).select("id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -33,8 +34,8 @@ def q47(spark, sf):
 )
 def q47b(spark, sf):
     """The fallback from whole words to beginnings to any text: the best tier that has hits."""
-    docs = table(spark, sf, "documents")
-    return search.cascade(docs, search.postings(docs, "doc_id", {"text": 1.0}), "doc_id", "text", search.SearchPlan.parse("erthereru"))
+    docs, plan = table(spark, sf, "documents"), search.SearchPlan.parse("erthereru")
+    return search.cascade(docs, search.postings(docs, "doc_id", {"text": 1.0}, plan), "doc_id", "text", plan)
 
 
 @query(

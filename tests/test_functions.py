@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, finance, rounding, scoring, text
+from tidemark.functions import dates, finance, formats, rounding, scoring, text
 
 NY = "America/New_York"
 
@@ -202,3 +202,23 @@ def test_deal_signals(spark):
     old = spark.createDataFrame([(1, "OPEN", 2), (2, "OPEN", 4), (3, "OPEN", 2), (5, "WON", 7)], "deal_id int, outcome string, place int")
     assert {(r["deal_id"], r["signal"]) for r in finance.deal_signals(now, old).collect()} == {(1, "advanced"), (2, "won"), (3, "moved_back"), (4, "created")}
     assert finance.deal_signals(now, old.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("amount, out", [(0.0, "$0"), (1234.5, "$1,235"), (-1234.4, "-$1,234"), (9999.9, "$10,000"), (10_000.0, "$10K"), (123_456.0, "$123K"), (-6_000_000.0, "-$6M"), (6_150_000.0, "$6.2M"), (2.5e12, "$2.5T")])
+def test_currency(spark, amount, out):
+    assert one(spark, formats.currency(F.col("x")), x=amount) == out
+
+
+@pytest.mark.parametrize("minutes, out", [(0, "0m"), (59, "59m"), (60, "1h"), (90, "1h 30m"), (1440, "24h")])
+def test_minutes_label(spark, minutes, out):
+    assert one(spark, formats.minutes_label(F.col("x")), x=minutes) == out
+
+
+@pytest.mark.parametrize("name, letters, short", [("ada  lovelace king", "AL", "ada  love…"), (" x", "X", " x"), ("", "", ""), ("abcdefghi jkl", "AJ", "abcdefghi…")])
+def test_initials_and_truncate(spark, name, letters, short):
+    assert one(spark, formats.initials(F.col("x")), x=name) == letters
+    assert one(spark, formats.truncate(F.col("x"), 10), x=name) == short
+
+
+def test_plurals(spark):
+    assert [one(spark, formats.pluralize(F.lit(n), "task")) for n in (0, 1, 2)] == ["0 tasks", "1 task", "2 tasks"]

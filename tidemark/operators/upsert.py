@@ -13,6 +13,11 @@ def content_hash(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
+def stable_json(held: Column) -> Column:
+    """A map as JSON with its keys in order, so that equal contents have equal texts; null for null."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(held))))
+
+
 def classify_changes(current: DataFrame, incoming: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
     """incoming with ``change``: created, updated or unchanged against current, by key and content."""
     old = current.select(*keys, content_hash(*payload).alias("__old"))

@@ -222,9 +222,11 @@ def q19(spark, sf):
     return table(spark, sf, "customer").select("c_custkey").join(opened, "c_custkey", "left_semi")
 
 
-@query("q20_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("q20_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def q20(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without an order that waits."""
+    waiting = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf, "customer").select("c_custkey").join(waiting, "c_custkey", "left_anti")
 
 
 @query(

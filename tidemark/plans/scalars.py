@@ -89,13 +89,16 @@ def q69(spark, sf):
 
 @query(
     "q70_evidence",
-    """SELECT conv_id, turn, contains(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), substr(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 5, 20)) AND length(trim(substr(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 5, 20))) >= 3 AS found FROM conversations WHERE length(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) >= 30 AND NOT regexp_matches(text, '[^A-Za-z0-9 ,?]')""".replace("\\\\", "\\"),
+    r"""WITH w AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[‘’‚‛′]', '''', 'g'), '[“”„″]', '"', 'g'), '[–—]', '-', 'g'), '…', '...', 'g'), '\s+', ' ', 'g')) AS form, regexp_extract_all(lower(text), '[a-z]{4,}') AS ws FROM conversations),
+             p AS (SELECT *, CASE turn % 2 WHEN 0 THEN ws[1] ELSE ws[len(ws)] END AS a, CASE turn % 2 WHEN 0 THEN ws[len(ws)] ELSE ws[1] END AS b FROM w WHERE len(ws) >= 2)
+        SELECT conv_id, turn, contains(form, a || ' ... ' || b) OR (contains(form, a) AND contains(substr(form, strpos(form, a) + length(a)), b)) AS found FROM p""",
 )
 def q70(spark, sf):
-    """Quotes found in what they quote."""
-    plain = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
-    rows = table(spark, sf, "conversations").where((F.length(plain) >= 30) & ~F.col("text").rlike("[^A-Za-z0-9 ,?]"))
-    return rows.select("conv_id", "turn", resolution.evidence_found(F.col("text"), F.substring(plain, 5, 20)).alias("found"))
+    """Quotes with an ellipsis found in what they quote; those of odd turns have their parts the wrong way round."""
+    rows = table(spark, sf, "conversations").withColumn("ws", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1)).where("size(ws) >= 2")
+    first, last, even = F.element_at("ws", 1), F.element_at("ws", -1), F.col("turn") % 2 == 0
+    quote = F.concat(F.when(even, first).otherwise(last), F.lit(" ... "), F.when(even, last).otherwise(first))
+    return rows.select("conv_id", "turn", resolution.evidence_found(F.col("text"), quote).alias("found"))
 
 
 @query(

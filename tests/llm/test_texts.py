@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import odd_rows
 from tidemark.llm import bpe, order_minhash, packing
+from tidemark.llm.common import cut
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ENCODERS = {kind: bpe.Encoder(path, kind) for kind, path in (("word", WORD), ("byte", BYTE))}
@@ -224,3 +225,12 @@ def test_rounds_pack_nearly_as_well_as_one_group(spark):
     total = items.agg(F.sum("length")).first()[0]
     used = [check_packing(packing.pack(items, 100, group).collect(), 100) for group in (500, 10_000)]
     assert used[0] <= 1.02 * total / 100 and used[1] <= 1.02 * total / 100
+
+
+def test_rounds_end_when_pieces_over_half_a_bin_stay_loose(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(packing, "cut", lambda df: rounds.append(df) or cut(df) if len(rounds) < 6 else pytest.fail("rounds go on"))
+    items = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(700).cast("long").alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
+    rows = packing.pack(items, 1024, 5000)
+    assert rows.count() == rows.select("sequence_id").distinct().count() == 100_000 and rows.select("doc_id").distinct().count() == 100_000
+    assert rows.agg(F.max("offset")).first()[0] == 0

@@ -15,6 +15,8 @@ from tidemark.llm.common import as_bytes, cut, map_texts, to_batch
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one group packs, about, and the gap from which a group's bin is packed once more.
 GROUP, REOPEN = 40_000, 32
+#: A round that leaves more than this share of its pieces loose is followed by the last one.
+SHRINK = 0.75
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end: int | None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -110,25 +112,30 @@ def pack(items: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
     """items (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
     Pieces are dealt into groups of about ``group`` by a hash of doc_id and piece, in whose order
-    each group packs its own. What a group leaves loosely filled, a few hundred bins however
-    large it is, is taken out and packed with that of other groups in a next round, until a
-    round has one group. So the waste is that of one group, no task has more than a group, and
-    each round has a small fraction of the pieces of the one before. Every round is checkpointed.
-    sequence_id holds round, group and bin. Repeated rows are pieces of their own.
+    each group packs its own. What a group leaves loosely filled is taken out and packed with
+    that of other groups in a next round, until a round has one group. Where lengths tile
+    capacity well, that is a few hundred bins a group, and the waste is that of one group. Where
+    they don't (most pieces over half of capacity), the loose bins are the lengths' own and other
+    groups can't fill them: after a round that leaves more than SHRINK of its pieces loose, the
+    next is the last, in which each group keeps what it packs. So no task has more than a group,
+    all rounds together pack at most 1 / (1 - SHRINK) + 1 times the pieces, and rounds are fewer
+    than the 128 that sequence_id, which holds round, group and bin, has room for. Every round is
+    checkpointed. Repeated rows are pieces of their own.
     """
     schema = f"{PIECES}, sequence_id long, offset long, loose boolean"
-    done, todo, turn = None, items, 0
+    done, todo, turn, before = None, items, 0, None
     while True:
-        groups = max(1, -(-todo.count() // group))
+        count = todo.count()
+        groups = max(1, -(-count // group))
         order = F.xxhash64("doc_id", "piece", F.lit(turn))
         dealt = todo.withColumn("order", order).withColumn("group", F.pmod(F.xxhash64("order"), F.lit(groups)))
-        last = groups == 1
+        last = groups == 1 or (before is not None and count > SHRINK * before)
         packed = cut(dealt.groupBy("group").applyInPandas(packer(capacity, turn, last), schema))
         kept = packed.where("NOT loose").drop("loose")
         done = kept if done is None else done.unionByName(kept)
         if last:
             return done
-        todo, turn = packed.where("loose").drop("loose", "sequence_id", "offset"), turn + 1
+        todo, turn, before = packed.where("loose").drop("loose", "sequence_id", "offset"), turn + 1, count
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -234,3 +234,12 @@ def test_rounds_end_when_pieces_over_half_a_bin_stay_loose(spark, monkeypatch):
     rows = packing.pack(items, 1024, 5000)
     assert rows.count() == rows.select("sequence_id").distinct().count() == 100_000 and rows.select("doc_id").distinct().count() == 100_000
     assert rows.agg(F.max("offset")).first()[0] == 0
+
+
+def test_rows_without_an_id_spread_over_groups(spark):
+    items = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.pmod(F.xxhash64("id"), F.lit(50)) + 1).alias("length"), F.col("id").alias("ids_crc32"))
+    rows = packing.pack(items, 100, 500)
+    assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert rows.select("ids_crc32").distinct().count() == 6000 and check_packing(rows.collect(), 100) <= 1.02 * items.agg(F.sum("length")).first()[0] / 100
+    groups = rows.where("sequence_id < (1L << 56)").groupBy(F.expr("sequence_id >> 24")).count().agg(F.max("count"), F.count("*")).first()
+    assert groups[0] < 700 and groups[1] == 12

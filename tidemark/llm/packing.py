@@ -98,7 +98,7 @@ def packer(capacity: int, turn: int, last: bool):
     """The function that packs one group's rows in a round."""
 
     def work(rows):
-        rows = rows.sort_values(["order", "doc_id", "piece"], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["order", "salt"], kind="stable").reset_index(drop=True)
         bins, offsets, gaps = pack_group(rows["length"].to_numpy(), capacity, last)
         rows["sequence_id"] = (turn << 56) + rows["group"] * (1 << 24) + bins
         rows["offset"] = offsets
@@ -111,9 +111,10 @@ def packer(capacity: int, turn: int, last: bool):
 def pack(items: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
     """items (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    Pieces are dealt into groups of about ``group`` by a hash of doc_id and piece, in whose order
-    each group packs its own. What a group leaves loosely filled is taken out and packed with
-    that of other groups in a next round, until a round has one group. Where lengths tile
+    Pieces are dealt into groups of about ``group`` by a hash of doc_id, piece and the row's
+    number, which is checkpointed with it, so rows that share an id (or have none) spread like
+    any others. In the hash's order each group packs its own. What a group leaves loosely filled
+    is taken out and packed with that of other groups in a next round, until a round has one group. Where lengths tile
     capacity well, that is a few hundred bins a group, and the waste is that of one group. Where
     they don't (most pieces over half of capacity), the loose bins are the lengths' own and other
     groups can't fill them: after a round that leaves more than SHRINK of its pieces loose, the
@@ -122,16 +123,16 @@ def pack(items: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
     than the 128 that sequence_id, which holds round, group and bin, has room for. Every round is
     checkpointed. Repeated rows are pieces of their own.
     """
-    schema = f"{PIECES}, sequence_id long, offset long, loose boolean"
-    done, todo, turn, before = None, items, 0, None
+    schema = f"{PIECES}, salt long, sequence_id long, offset long, loose boolean"
+    done, todo, turn, before = None, cut(items.withColumn("salt", F.monotonically_increasing_id())), 0, None
     while True:
         count = todo.count()
         groups = max(1, -(-count // group))
-        order = F.xxhash64("doc_id", "piece", F.lit(turn))
+        order = F.xxhash64("doc_id", "piece", "salt", F.lit(turn))
         dealt = todo.withColumn("order", order).withColumn("group", F.pmod(F.xxhash64("order"), F.lit(groups)))
         last = groups == 1 or (before is not None and count > SHRINK * before)
         packed = cut(dealt.groupBy("group").applyInPandas(packer(capacity, turn, last), schema))
-        kept = packed.where("NOT loose").drop("loose")
+        kept = packed.where("NOT loose").drop("loose", "salt")
         done = kept if done is None else done.unionByName(kept)
         if last:
             return done
@@ -145,4 +146,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end: int |
     text is empty. Without end, an empty text has one piece of no length. An empty table gives an
     empty result. Ids of rows may repeat or be null; other columns are not read.
     """
-    return pack(cut(pieces(docs, path, capacity, end, id_col, text_col)), capacity)
+    return pack(pieces(docs, path, capacity, end, id_col, text_col), capacity)

@@ -218,3 +218,12 @@ def test_fields_of_the_net_round_trip():
     net = perturbed(9)
     again = gru.start(np.arange(9, 0, -1).astype(float), 7).load(net.vector())
     assert all(np.array_equal(getattr(net, f.name), getattr(again, f.name)) for f in fields(net))
+
+
+def test_the_net_learns_from_every_training_document_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(lm_score, "net_ids", lambda vocab, places, own=lm_score.net_ids: seen.add(1) or own(vocab, places))
+    docs = spark.range(4000).select(F.when(F.col("id") % 4 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("a b c w"), F.col("id") % 50).alias("text"))
+    counts = lm_score.count_words(docs)
+    lm_score.train(docs, lm_score.vocabulary(counts, 4000))
+    assert seen.value == 4000

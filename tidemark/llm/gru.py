@@ -199,19 +199,26 @@ class Trainer:
         _, back = log_likelihood(net, states[mask], target[mask], grads)
         to_states = np.zeros_like(states)
         to_states[mask] = back
-        table_grad = np.zeros((net.inputs.shape[0], 3 * d), np.float32)
+        before, r, z, new, u = (np.stack(x) for x in zip(*kept, strict=True))
+        # What the gradient of a state hands to the candidate, and to the update and reset gates; only dh goes from step to step.
+        to_new, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), u * r * (1 - r)
+        dx, du = (np.empty((*given.shape, 3 * d), np.float32) for _ in range(2))
         dh = np.zeros_like(h)
         for t in range(len(given) - 1, -1, -1):
-            before, r, z, new, u = kept[t]
             dh = dh + to_states[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = dnew * u * r * (1 - r)
-            dx = np.concatenate([dr, dz, dnew], axis=1)
-            du = np.concatenate([dr, dz, dnew * r], axis=1)
-            np.add.at(table_grad, given[t], dx)
-            grads.state += before.T @ du
-            dh = dh * z + du @ net.state.T
+            dnew = dh * to_new[t]
+            dx[t, :, 2 * d :] = dnew
+            dx[t, :, d : 2 * d] = dh * to_z[t]
+            dx[t, :, :d] = dnew * to_r[t]
+            du[t, :, : 2 * d] = dx[t, :, : 2 * d]
+            du[t, :, 2 * d :] = dnew * r[t]
+            dh = dh * z[t] + du[t] @ net.state.T
+        grads.state += before.reshape(-1, d).T @ du.reshape(-1, 3 * d)
+        ids = given.ravel()
+        order = np.argsort(ids, kind="stable")
+        firsts = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        table_grad = np.zeros((net.inputs.shape[0], 3 * d), np.float32)
+        table_grad[ids[order[firsts]]] = np.add.reduceat(dx.reshape(-1, 3 * d)[order], firsts, axis=0)
         grads.into += net.inputs.T @ table_grad
         grads.bias += table_grad.sum(axis=0)
         grads.inputs += table_grad @ net.into.T

@@ -16,8 +16,8 @@ from tidemark.llm.common import LOWER, UPPER, as_bytes, cut, map_texts, shuffle_
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Words of the net with the end, and words whose counts every task gets, at most.
 NET_WORDS, HEAD_WORDS = 1024, 200_000
-#: Rounds of training; a round learns from this share of the training documents, but from about FEW of them at least.
-ROUNDS, SHARE, FEW = 2, 1 / 64, 1500
+#: Rounds of training; each training document is in one of them.
+ROUNDS = 2
 #: Words that a task counts before it hands them on, and weights in a row when nets are averaged.
 COUNTED, BLOCK = 250_000, 1024
 
@@ -97,23 +97,24 @@ def vocabulary(counts: DataFrame, ends: int, most: int = HEAD_WORDS) -> Vocabula
 
 
 def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", id_col: str = "doc_id") -> gru.Gru:
-    """The net after ROUNDS of training on disjoint shares of the documents, whole texts, drawn by a hash of the id.
+    """The net after one pass over all documents, whole texts, in ROUNDS rounds.
 
-    In a round every partition of the share starts from the same net and trains on its own
-    texts; the nets are averaged, weighted by tokens, block by block. The share follows the
-    corpus's size, and so do the partitions that work on it.
+    A hash of id and text gives each document its round, so the rounds are disjoint and together
+    have every document, whatever the corpus's size. In a round every partition starts from the
+    same net and trains on its own texts; the nets are averaged, weighted by tokens, block by
+    block. Documents are dealt over partitions by id and row number, so those that share an id
+    (or have none) spread like any others.
     """
     net = gru.start(vocab.net_counts, vocab.rare_tokens)
     if not vocab.tokens:
         return net
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    share = min(1.0, max(SHARE, FEW / max(1, vocab.ends)))
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("gru")), F.lit(1 << 30)) / float(1 << 30)
+    rounds = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("gru")), F.lit(ROUNDS))
     known = spark.sparkContext.broadcast(vocab)
     for turn in range(ROUNDS):
-        low = turn * share if ROUNDS * share <= 1 else 0.0
-        drawn = docs.where((draw >= low) & (draw < low + share)).repartition(parts, F.xxhash64(F.col(id_col), F.lit(turn)))
+        drawn = docs.where(rounds == turn).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("salt"))
+        dealt = drawn.repartition(parts, F.xxhash64("id", "salt"))
         shared = spark.sparkContext.broadcast(net)
 
         def work(batches, known=known, shared=shared):
@@ -128,7 +129,7 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", id_col: st
                 blocks = [weights[k : k + BLOCK] for k in range(0, len(weights), BLOCK)]
                 yield to_batch(block=np.arange(len(blocks), dtype=np.int32), tokens=np.full(len(blocks), tokens, np.int64), weights=[b.tobytes() for b in blocks])
 
-        nets = map_texts(drawn, work, "block int, tokens long, weights binary", F.col(text_col))
+        nets = map_texts(dealt, work, "block int, tokens long, weights binary", F.col("text"))
         mean = nets.groupBy("block").applyInPandas(average, "block int, weights binary").collect()
         if mean:
             net = gru.start(vocab.net_counts, vocab.rare_tokens).load(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(mean, key=lambda r: r["block"])]))

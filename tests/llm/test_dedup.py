@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import odd_rows
+import corpus_pipeline
 from tidemark.llm import exact_dedup, simhash
 from tidemark.llm.components import components
 
@@ -138,3 +139,24 @@ def test_near_duplicates_against_brute_force(odd, empty):
     left = simhash.drop_near_duplicates(odd)
     assert left.columns == odd.columns and {r["doc_id"] for r in left.collect()} >= {4, 10, 14, None}
     assert not {r["doc_id"] for r in left.collect()} & {6, 1, 2}
+
+
+def test_the_stage_drops_copies_of_likeness_from_eight_tenths(spark):
+    rng = random.Random(3)
+    docs = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 300)))) for k in range(300)]
+    cuts = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    near, far = [], []
+    for k, t in docs:
+        words = t.split()
+        for _ in range(rng.randrange(1, 1 + len(words) // 40)):
+            words[rng.randrange(len(words))] = "edited"
+        a, b = cuts(t), cuts(" ".join(words))
+        likeness = len(a & b) / len(a | b)
+        (near if likeness >= 0.8 else far).append((1000 + k, " ".join(words), likeness))
+    rows = spark.createDataFrame(docs + [x[:2] for x in near + far], "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, rows, "").collect()}
+    assert len(near) > 100 and len(far) > 30 and sum(x[2] < 0.9 for x in near) > 50
+    assert sum(x[0] in left for x in near) <= 0.01 * len(near)
+    assert left >= {k for k, _ in docs} | {x[0] for x in far if x[2] < 0.5}
+    bits = {k: simhash.fingerprint(t.encode()) for k, t, *_ in docs + far}
+    assert left >= {x[0] for x in far if (bits[x[0]] ^ bits[x[0] - 1000]).bit_count() > 3}

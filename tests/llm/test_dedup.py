@@ -36,12 +36,22 @@ def test_exact_duplicates_of_nothing(empty):
 
 
 def test_runs_merge_to_the_same_in_any_tree(spark):
-    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 50).cast("string"))).alias("text"))
+    docs = spark.range(0, 500, 1, 10).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 50).cast("string"))).alias("text"))
     rows = exact_dedup.digests(docs)
-    trees = [sorted(tuple(r) for r in exact_dedup.merge_runs(rows, "smallest", runs, fan).collect()) for runs, fan in ((64, 8), (64, 2), (1, 2), (7, 3))]
+    trees = [sorted(tuple(r) for r in exact_dedup.merge_runs(rows, "smallest", rounds, fan).collect()) for rounds, fan in ((2, 8), (4, 2), (1, 2), (2, 3))]
     assert all(t == trees[0] for t in trees) and sum(t[-1] for t in trees[0]) == 500
 
 
+def test_rounds_hand_sorted_runs_over_and_merge_them(spark):
+    rows = exact_dedup.digests(spark.range(200).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text")))
+    merged = exact_dedup.merge_runs(rows, rounds=3, fan_in=2)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange shufflepartitionidpassthrough") == 2  # one hand-over a round
+    assert "HashAggregate" not in plan and plan.count("SortAggregate") == 6 and plan.count("Sort [") == 4  # each round sorts once; the first also in the tasks before
+    places = [[bytes(r["digest"]) for r in part] for part in merged.rdd.glom().collect()]
+    assert len(places) == 8 and [d for p in places for d in p] == sorted(d for p in places for d in p)  # one run, sorted over all places
+
+
 def test_a_false_digest_match_is_not_merged(spark):
     rows = spark.createDataFrame([(1, b"same", 4, 11), (2, b"same", 4, 12)], "doc_id long, digest binary, octets int, proof long")
     assert exact_dedup.merge_runs(rows).count() == 2

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, cut, free_name
+from tidemark.llm.common import ascii_lower, cut, free_name, shuffle_partitions
 
-#: Runs of the first level, and how many runs one round merges.
-RUNS, FAN_IN = 64, 8
+#: Runs that one merge takes in.
+FAN_IN = 8
 KEY = ["digest", "octets", "proof"]
 
 
@@ -28,32 +28,34 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def merge_runs(rows: DataFrame, keep: str = "smallest", runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
+def merge_runs(rows: DataFrame, keep: str = "smallest", rounds: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """One row per distinct text: KEY, keep_id and group_size.
 
-    Rows are dealt over ``runs`` runs by a hash of their id, whatever their text, so the copies
-    of a text, however many, are spread over all runs. In each round the runs that share the
-    high bits of their number are exchanged by digest and merged: Spark sorts each side's
-    (run, digest) and merges the sorted streams, keeping for each digest the best identifier
-    and the number of rows. A round is preceded by the same merge inside each task, so a digest
-    leaves a task once per run. After log(runs)/log(fan_in) rounds one run is left.
+    There are fan_in ** rounds places, by default the first such number that shuffle partitions
+    don't exceed. At the start each task sorts its own rows by digest and merges equal ones: its
+    runs. In every round, fan_in neighbouring runs become one: they hand the pieces of their
+    sorted rows to the same places, each of which has a range of digests, sorts what it got and
+    merges it in one stream, keeping for each digest the best identifier and the number of rows.
+    So a run is spread over fan_in times as many places as before, and after the last round one
+    run is left, sorted over all places. A digest, however frequent, reaches a place at most once
+    from each task in the first round and fan_in times in any other. Rows merge only if length
+    and second hash agree as well.
     """
     best = F.min if keep == "smallest" else F.max
-    # The aggregate's value is a struct, which Spark aggregates by sorting: sorted runs in and out.
-    state = rows.select(
-        *KEY,
-        F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int").alias("run"),
-        F.when(F.col("doc_id").isNotNull(), F.struct("doc_id")).alias("best"),
-        F.lit(1).cast("long").alias("group_size"),
-    )
-    left = runs
-    while True:
-        state = state.groupBy(*(["run"] if left > 1 else []), *KEY).agg(best("best").alias("best"), F.sum("group_size").alias("group_size"))
-        if left <= 1:
-            break
-        left = -(-left // fan_in)
-        if left > 1:
-            state = state.withColumn("run", (F.col("run") / fan_in).cast("int"))
+    parts = shuffle_partitions(rows.sparkSession)
+    if rounds is None:
+        rounds = next(k for k in range(1, 64) if fan_in**k >= parts)
+    places = fan_in**rounds
+    range_of = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
+    # The aggregate's value is a struct, which Spark merges from sorted rows and in their order.
+    state = rows.select(*KEY, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id")).alias("best"), F.lit(1).cast("long").alias("group_size"), F.pmod(F.spark_partition_id(), F.lit(places)).alias("place"))
+    for turn in range(1, rounds + 1):
+        ranges = fan_in**turn
+        place = F.floor(F.col("place") / ranges) * ranges + F.shiftright(range_of * ranges, 32)
+        state = state.withColumn("place", place.cast("int"))
+        if turn > 1:
+            state = state.repartitionById(places, F.col("place")).sortWithinPartitions("place", *KEY)
+        state = state.groupBy("place", *KEY).agg(best("best").alias("best"), F.sum("group_size").alias("group_size"))
     return state.select(*KEY, F.col("best.doc_id").alias("keep_id"), "group_size")
 
 

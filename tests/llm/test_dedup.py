@@ -120,11 +120,25 @@ def test_tree_links_are_exact(n):
     assert len(set(zip(got.tolist(), want, strict=True))) == len(set(want)) == len(set(got.tolist()))
 
 
-@pytest.mark.parametrize("blocks, most", [(4, 4096), (4, 20), (5, 4096), (2, 4096), (1, 4096)])
-def test_shards_and_splits_lose_no_link(spark, blocks, most):
-    bits = clustered(300, 77)
+@pytest.mark.parametrize("halves, most", [(2, 4096), (1, 4096), (2, 64), (1, 64), (3, 64)])
+def test_every_link_has_a_shard_of_its_own(spark, halves, most):
+    bits = np.array(clustered(600, 5), np.uint64)
+    nodes = spark.createDataFrame([(int(b),) for b in bits.view(np.int64)], "bits long")
+    levels = simhash.levels_for(len(bits), most)
+    shards = defaultdict(set)
+    for r in simhash.vantage_shards(nodes, levels, halves).collect():
+        shards[r["bits"]].add(r["shard"])
+    i, j = np.nonzero(np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 3)
+    assert levels >= (4 if most == 64 else 1) and len(set.union(*shards.values())) > (50 if most == 64 else 2)
+    assert all(shards[int(a)] & shards[int(b)] for a, b in zip(bits.view(np.int64)[i], bits.view(np.int64)[j], strict=True))
+
+
+@pytest.mark.parametrize("halves, most, dense", [(2, 4096, False), (1, 4096, False), (2, 20, False), (2, 4, False), (2, 60, True), (1, 8, True)])
+def test_shards_and_splits_lose_no_link(spark, halves, most, dense):
+    rng = random.Random(8)
+    bits = sorted({0x5A5A << 40 ^ sum(1 << 5 * b for b in range(12) if rng.random() < 0.4) for _ in range(300)}) if dense else clustered(300, 77)
     signed = [b - 2**64 if b >> 63 else b for b in bits]
-    edges = simhash.near_links(spark.createDataFrame([(b,) for b in signed], "bits long"), 3, blocks, most)
+    edges = simhash.near_links(spark.createDataFrame([(b,) for b in signed], "bits long"), 3, halves, most)
     root = {r["node"]: r["root"] for r in components(edges).collect()}
     want = slow_components(bits, 3)
     got = [root.get(b, b) for b in signed]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from itertools import combinations
 
 import numpy as np
@@ -18,6 +17,8 @@ TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 STEP, SHARD = 1 << 16, 4096
 #: Fingerprints below which a tree compares all with all.
 LEAF = 192
+#: Distances in a ring, and by how much a level of rings divides a shard of 32-bit halves.
+RING, PER_LEVEL = 4, 2.7
 #: Bands of least hashes in which sets of shingles may meet, and hashes of a band. At a likeness of 0.8 a pair misses all bands in 0.2 % of cases.
 BANDS, ROWS = 16, 5
 
@@ -202,66 +203,79 @@ def link_within(bits: np.ndarray, radius: int = LINK, leaf: int = LEAF) -> np.nd
     return labels.of
 
 
-def plan(count: int) -> int:
-    """Blocks to cut 64 bits into, so that shards stay small: 4 up to 30 million fingerprints, then 5 and 6."""
-    return 4 if count <= 30_000_000 else 5 if count <= 10_000_000_000 else 6
+def levels_for(count: int, most: int) -> int:
+    """Levels of vantage points after which a shard is expected to have well under ``most`` of count fingerprints."""
+    return max(1, round(np.log(max(1, 8 * count / most)) / np.log(PER_LEVEL)))
 
 
-def vantage_shards(nodes: DataFrame, blocks: int, radius: int = LINK, vantages: int | None = None) -> DataFrame:
-    """(shard, bits): each fingerprint in every shard in which it may meet a link.
+def vantage_shards(nodes: DataFrame, levels: int, halves: int = 2, radius: int = LINK) -> DataFrame:
+    """(shard, bits): each fingerprint in every shard of the trees in which it may meet a link.
 
-    Of ``blocks`` blocks of bits, two fingerprints within ``radius`` differ by at most
-    radius // blocks in one block, or not at all in blocks - radius of them together; those
-    bits are the views that follow. In each view, a shard is a branch of a tree of vantage
-    points: the list of a fingerprint's distances (or rings of distances) to each. If linked
-    fingerprints agree on the view, their distances agree and a fingerprint has one shard a
-    view. Else distances differ by up to the view's radius, so a fingerprint near a ring's
-    boundary is also sent to the shards beyond it.
+    The bits are cut into ``halves`` parts, each with a tree of its own: fingerprints within
+    radius differ by at most near = radius // halves in one of the parts, so they are near
+    neighbours there. A node of a tree has a vantage point (a hash of the node's number), and a
+    branch for each ring of RING distances to it. By the triangle inequality, distances of near
+    neighbours to a vantage point differ by near at most: a fingerprint goes to the ring of its
+    own distance and, if the distance less near lies in the ring before, to that one as well.
+    The farther of two neighbours so always comes along to the ring of the nearer, at every node
+    on the way down, and both end in a common shard.
     """
-    edges = [round(k * BITS / blocks) for k in range(blocks + 1)]
-    masks = [sum(1 << b for b in range(edges[k], edges[k + 1])) for k in range(blocks)]
-    near = radius // blocks
-    views = [sum(x) for x in combinations(masks, blocks - radius)] if blocks > radius else masks
-    draw = random.Random(SEED)
+    edges = [round(k * BITS / halves) for k in range(halves + 1)]
+    near = radius // halves
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     shards = None
-    for k, view in enumerate(views):
-        count = vantages or (max(8, view.bit_count() // 2) if not near else 4)
-        points = [draw.getrandbits(64) & view for _ in range(count)]
-        far = [F.bit_count(F.col("bits").bitwiseXOR(F.lit(signed(p))).bitwiseAND(F.lit(signed(view)))) for p in points]
-        if near == 0:
-            rows = nodes.select(F.xxhash64(F.lit(k), *far).alias("shard"), "bits")
-        else:
-            width = 4 * near + 1
-            rows = nodes.select(F.lit(k).cast("long").alias("shard"), "bits")
-            for d in far:
-                rings = F.sequence(F.floor((d - near) / width), F.floor((d + near) / width))
-                rows = rows.select(F.explode(rings).alias("ring"), "shard", "bits").select(F.xxhash64("shard", "ring").alias("shard"), "bits")
+    for tree in range(halves):
+        part = F.lit(signed(sum(1 << b for b in range(edges[tree], edges[tree + 1]))))
+        rows = nodes.select(F.xxhash64(F.lit(tree)).alias("shard"), "bits")
+        for _ in range(levels):
+            far = F.bit_count(F.col("bits").bitwiseXOR(F.xxhash64("shard", F.lit("vantage"))).bitwiseAND(part))
+            rings = F.array_distinct(F.array(F.floor(far / RING), F.floor(F.greatest(far - near, F.lit(0)) / RING)))
+            rows = rows.select("shard", "bits", F.explode(rings).alias("ring")).select(F.xxhash64("shard", "ring").alias("shard"), "bits")
         shards = rows if shards is None else shards.unionAll(rows)
     return shards
 
 
-def split_large(shards: DataFrame, most: int = SHARD) -> DataFrame:
-    """Shards of over ``most`` fingerprints, cut into blocks; every pair of blocks is a shard of its own.
+def split_large(shards: DataFrame, most: int = SHARD, radius: int = LINK) -> DataFrame:
+    """Shards of over ``most`` fingerprints (dense ones, which vantage points can't part) in smaller ones; no link is lost.
 
-    No pair is lost, and no task gets more than about ``most`` fingerprints of a shard.
+    Fingerprints within radius agree on all bits of b - radius of b blocks. So a large shard is
+    dealt anew by the bits of each such choice, for growing b until it is small: with b = 4 on 16
+    bits in 4 copies, with 6 on 32 in 20, with 8 on 40 in 56. If even that leaves large ones,
+    these are cut by a hash and each pair of cuts compared.
     """
-    large = cut(shards.groupBy("shard").count().where(F.col("count") > most).select("shard", F.ceil(F.col("count") * 2 / most).cast("int").alias("n")))
-    if large.isEmpty():
-        return shards
-    block = F.pmod(F.xxhash64("bits", "shard"), F.col("n")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    cut_up = shards.join(large, "shard").withColumn("block", block).withColumn("other", other)
-    cut_up = cut_up.select(F.xxhash64("shard", F.least("block", "other"), F.greatest("block", "other")).alias("shard"), "bits")
-    return shards.join(large, "shard", "left_anti").select("shard", "bits").unionAll(cut_up)
-
-
-def near_links(nodes: DataFrame, radius: int = LINK, blocks: int | None = None, most: int = SHARD) -> DataFrame:
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    done, todo = None, shards.withColumn("part", F.col("shard"))
+    for blocks in (0, radius + 1, radius + 3, radius + 5, None):
+        if blocks:
+            edges = [round(k * BITS / blocks) for k in range(blocks + 1)]
+            masks = [sum(1 << b for b in range(edges[k], edges[k + 1])) for k in range(blocks)]
+            views = F.explode(F.array(*(F.lit(signed(sum(x))) for x in combinations(masks, blocks - radius))))
+            dealt = todo.select("shard", "bits", views.alias("view")).select("shard", "bits", F.xxhash64("shard", "view", F.col("bits").bitwiseAND(F.col("view"))).alias("part"))
+        elif blocks == 0:
+            dealt = todo
+        else:
+            sizes = cut(todo.groupBy("shard").agg(F.ceil(F.count("*") * 2 / most).cast("int").alias("n")))
+            block = F.pmod(F.xxhash64("bits", "shard"), F.col("n")).cast("int")
+            each = todo.join(sizes, "shard").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+            dealt = each.select("shard", "bits", F.xxhash64("shard", F.least("block", "other"), F.greatest("block", "other")).alias("part"))
+            return done.unionAll(dealt.select(F.col("part").alias("shard"), "bits"))
+        # Sizes are of a choice of bits within a shard; a shard is dealt anew if any of its parts is large.
+        large = cut(dealt.groupBy("part", "shard").count().where(F.col("count") > most).select("shard").distinct())
+        few = large.isEmpty()
+        kept = (dealt if few else dealt.join(large, "shard", "left_anti")).select(F.col("part").alias("shard"), "bits")
+        done = kept if done is None else done.unionAll(kept)
+        if few:
+            return done
+        todo = cut(todo.join(large, "shard", "left_semi").select("shard", "bits"))
+    return done
+
+
+def near_links(nodes: DataFrame, radius: int = LINK, halves: int = 2, most: int = SHARD) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints which links within ``radius`` connect.
 
     nodes has distinct ``bits``. A shard yields a star for each component in it, not its pairs.
     """
-    shards = split_large(vantage_shards(nodes, blocks or plan(nodes.count()), radius), most)
+    shards = split_large(vantage_shards(nodes, levels_for(nodes.count(), most), halves, radius), most, radius)
     dealt = shards.repartition(shuffle_partitions(nodes.sparkSession), "shard").sortWithinPartitions("shard", "bits")
 
     def work(batches):
@@ -293,7 +307,7 @@ def near_links(nodes: DataFrame, radius: int = LINK, blocks: int | None = None,
     return dealt.mapInArrow(work, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = LINK, blocks: int | None = None, most: int = SHARD, similarity: float | None = None, width: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = LINK, halves: int = 2, most: int = SHARD, similarity: float | None = None, width: int = 5) -> DataFrame:
     """One row per row of docs: doc_id, bits (signed), component_id.
 
     Rows link when their fingerprints differ in at most ``radius`` bits; component_id is the
@@ -306,7 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = cut(sketches(docs, width, id_col, text_col) if similarity else fingerprints(docs, id_col, text_col))
     nodes = cut(rows.groupBy("bits").agg(F.min("doc_id").alias("first")))
-    links = near_links(nodes.select("bits"), radius, blocks, most)
+    links = near_links(nodes.select("bits"), radius, halves, most)
     if similarity:
         links = links.unionAll(alike(rows, docs, width, similarity, text_col))
     roots = cut(components(links))

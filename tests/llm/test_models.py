@@ -130,8 +130,11 @@ def test_quality_on_held_out_rows(spark, odd, empty):
     assert quality.score(empty, net).count() == 0 and quality.of_quality(odd, net).columns == odd.columns
 
 
+TAILS = np.array([7, 0, 5])
+
+
 def perturbed(words: int, seed: int = 0) -> gru.Gru:
-    net = gru.start(np.arange(words, 0, -1).astype(float), 7)
+    net = gru.start(np.arange(words, 0, -1).astype(float), TAILS)
     v = net.vector()
     return net.load(v + np.random.default_rng(seed).normal(0, 0.3, len(v)))
 
@@ -141,13 +144,13 @@ def test_net_is_a_distribution(words):
     net = perturbed(words)
     used, members = gru.shape_of(words)
     h = np.random.default_rng(1).normal(0, 1, (1, gru.WIDTH)).astype(np.float32)
-    assert sum(math.exp(gru.log_likelihood(net, h, np.array([k]))[0][0]) for k in range(used * members + 1)) == pytest.approx(1, abs=1e-5)
+    assert sum(math.exp(gru.log_likelihood(net, h, np.array([k]))[0][0]) for k in range(used * members + len(TAILS))) == pytest.approx(1, abs=1e-5)
 
 
 def test_net_gradient():
     net = perturbed(40)
     v = net.vector().copy()
-    texts = [np.random.default_rng(k).integers(0, 41, 6) for k in range(3)]
+    texts = [np.random.default_rng(k).integers(0, 43, 6) for k in range(3)]
     trainer = gru.Trainer(net)
     given = np.stack([np.append(0, t[:-1]) for t in texts]).T
     target = np.stack(texts).T
@@ -166,7 +169,7 @@ def test_net_gradient():
 
 def test_state_is_carried_across_windows_and_lanes(monkeypatch):
     net = perturbed(40)
-    texts = [np.random.default_rng(k).integers(0, 41, n) for k, n in enumerate((300, 1, 64, 65, 7, 300))]
+    texts = [np.random.default_rng(k).integers(0, 43, n) for k, n in enumerate((300, 1, 64, 65, 7, 300))]
     plain = [gru.log_likelihood(net, gru.run(net, np.append(3, t[:-1])[:, None], np.zeros((1, gru.WIDTH), np.float32))[0][:, 0], t)[0].sum() / math.log(10) for t in texts]
     assert gru.score(net, texts, 3) == pytest.approx(plain, rel=1e-5)
     monkeypatch.setattr(gru, "SCORE_WINDOW", 5)
@@ -200,6 +203,62 @@ def test_base_scores_against_the_definition(odd, monkeypatch, head):
     assert len(same) == 1
 
 
+def slow_net_score(net: gru.Gru, ids: list[int], end: int) -> float:
+    """log10 of the product of class and word chances, one word at a time and one number at a time."""
+    d, out, h, before = gru.WIDTH, 0.0, [0.0] * gru.WIDTH, end
+    used, members = net.word_bias.shape
+    dot = lambda m, v, j: sum(float(m[i, j]) * v[i] for i in range(len(v)))
+    share = lambda x, k: x[k] - math.log(sum(math.exp(y) for y in x))
+    for t in ids:
+        x = [float(e) for e in net.inputs[before]]
+        a, u = [dot(net.into, x, j) + float(net.bias[j]) for j in range(3 * d)], [dot(net.state, h, j) for j in range(3 * d)]
+        r, z = ([1 / (1 + math.exp(-a[j] - u[j])) for j in range(k, k + d)] for k in (0, d))
+        new = [math.tanh(a[2 * d + j] + r[j] * u[2 * d + j]) for j in range(d)]
+        h = [(1 - z[j]) * new[j] + z[j] * h[j] for j in range(d)]
+        own = t // members if t < used * members else used + t - used * members
+        out += share([dot(net.by_class, h, c) + float(net.class_bias[c]) for c in range(len(net.class_bias))], own)
+        if own < used:
+            out += share([dot(net.by_word[own], h, m) + float(net.word_bias[own, m]) for m in range(members)], t % members)
+        before = t
+    return out / math.log(10)
+
+
+@pytest.mark.parametrize("head", [200_000, 40, 0])
+def test_scores_against_a_plain_loop(spark, monkeypatch, head):
+    rng = random.Random(4)
+    docs = [(k, " ".join(rng.choice(["Der", "die", "das", "ALPHA", "beta", *(f"w{rng.randrange(40)}" for _ in range(3)), "neu" + str(k)]) for _ in range(rng.randrange(0, 90)))) for k in range(25)]
+    taught, asked = docs[:15], docs
+    monkeypatch.setattr(lm_score, "NET_WORDS", 12)
+    monkeypatch.setattr(lm_score.vocabulary, "__defaults__", (head,))
+    shared = {}
+
+    def fixed_net(rows, vocab, *_):
+        net = gru.start(vocab.net_counts, vocab.tail_tokens)
+        v = net.vector()
+        shared["net"], shared["vocab"] = net.load(v + np.random.default_rng(3).normal(0, 0.2, len(v))), vocab
+        return net
+
+    monkeypatch.setattr(lm_score, "train", fixed_net)
+    rows = spark.createDataFrame(asked, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(rows, F.col("doc_id") < 15).collect()}
+    net, vocab = shared["net"], shared["vocab"]
+    split = lambda t: t.translate(LOWER).encode().split()
+    counts = Counter(w for _, t in taught for w in split(t))
+    in_net = {w: int(vocab.ids[k]) for k, w in enumerate(vocab.words[:11])}
+    assert len(in_net) == (0 if not head else 11)
+    tail = lambda w: zlib.crc32(w[-3:]) % 96
+    tokens, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        if w not in in_net:
+            tokens[tail(w)] += n
+            kinds[tail(w)] += 1
+    for k, t in asked:
+        ids = [in_net.get(w, vocab.first_tail + tail(w)) for w in split(t)] + [vocab.end]
+        want = slow_net_score(net, ids, vocab.end)
+        want += sum(math.log10((counts[w] + 0.5) / (tokens[tail(w)] + 0.5 * (kinds[tail(w)] + 1))) for w in split(t) if w not in in_net)
+        assert got[k] == pytest.approx(want, rel=2e-4)
+
+
 def test_scores_without_rows_or_training(empty, odd):
     assert lm_score.score(empty, F.lit(True)).count() == 0
     rows = lm_score.score(odd, F.lit(False)).collect()
@@ -216,14 +275,14 @@ def test_the_net_beats_the_counts_on_held_out_text(spark):
 
 def test_fields_of_the_net_round_trip():
     net = perturbed(9)
-    again = gru.start(np.arange(9, 0, -1).astype(float), 7).load(net.vector())
+    again = gru.start(np.arange(9, 0, -1).astype(float), TAILS).load(net.vector())
     assert all(np.array_equal(getattr(net, f.name), getattr(again, f.name)) for f in fields(net))
 
 
 def test_the_net_learns_from_every_training_document_once(spark, monkeypatch):
     seen = spark.sparkContext.accumulator(0)
-    monkeypatch.setattr(lm_score, "net_ids", lambda vocab, places, own=lm_score.net_ids: seen.add(1) or own(vocab, places))
     docs = spark.range(4000).select(F.when(F.col("id") % 4 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("a b c w"), F.col("id") % 50).alias("text"))
-    counts = lm_score.count_words(docs)
-    lm_score.train(docs, lm_score.vocabulary(counts, 4000))
+    vocab = lm_score.vocabulary(lm_score.count_words(docs), 4000)
+    monkeypatch.setattr(lm_score, "words_of", lambda text, own=lm_score.words_of: seen.add(1) or own(text))
+    lm_score.train(docs, vocab)
     assert seen.value == 4000

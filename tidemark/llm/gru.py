@@ -16,8 +16,8 @@ LANES_TRAIN, LANES_SCORE, RATE = 64, 1024, 0.004
 class Gru:
     """Ids 0 to n - 1 are the n words of the net by falling frequency.
 
-    A word's class is its id // members. Any rarer word has the first id beyond all classes, and
-    these words are a class of their own, the last.
+    A word's class is its id // members. Rarer words have the ids beyond these classes, one for
+    each tail class; the net gives a tail class its chance and leaves its words to their counts.
     inputs: embeddings; into, state and bias: what an input and the state add to the gates
     (reset, update, candidate); by_class, by_word: the output layers with their biases.
     """
@@ -48,26 +48,26 @@ class Gru:
 
 
 def shape_of(words: int) -> tuple[int, int]:
-    """Classes that so many words fill, and members of each; the id of rarer words is their product."""
+    """Classes that so many words fill, and members of each; the first tail class has the id that is their product."""
     members = max(1, -(-words // CLASSES))
     return -(-words // members), members
 
 
-def start(counts: np.ndarray, rare: int, seed: int = 11) -> Gru:
-    """A net that gives each word its share of the counts, whatever came before."""
+def start(counts: np.ndarray, tails: np.ndarray, seed: int = 11) -> Gru:
+    """A net that gives each word and each tail class its share of the counts, whatever came before."""
     rng = np.random.default_rng(seed)
     words = len(counts)
     used, members = shape_of(words)
     padded = np.full(used * members, 0.0)
     padded[:words] = counts + 0.5
     share = padded.reshape(used, members)
-    mass = np.append(share.sum(axis=1), rare + 0.5)
+    mass = np.append(share.sum(axis=1), np.asarray(tails) + 0.5)
     with np.errstate(divide="ignore"):
         word_bias = np.maximum(np.log(share / share.sum(axis=1, keepdims=True)), -60)
     f = lambda *shape, scale=0.1: rng.normal(0, scale, shape).astype(np.float32)
     return Gru(
-        f(used * members + 1, WIDTH, scale=0.3), f(WIDTH, 3 * WIDTH, scale=0.25), f(WIDTH, 3 * WIDTH, scale=0.25), np.zeros(3 * WIDTH, np.float32),
-        f(WIDTH, used + 1, scale=0.01), np.log(mass / mass.sum()).astype(np.float32), f(used, WIDTH, members, scale=0.01), word_bias.astype(np.float32),
+        f(used * members + len(tails), WIDTH, scale=0.3), f(WIDTH, 3 * WIDTH, scale=0.25), f(WIDTH, 3 * WIDTH, scale=0.25), np.zeros(3 * WIDTH, np.float32),
+        f(WIDTH, used + len(tails), scale=0.01), np.log(mass / mass.sum()).astype(np.float32), f(used, WIDTH, members, scale=0.01), word_bias.astype(np.float32),
     )
 
 
@@ -103,7 +103,7 @@ def log_likelihood(net: Gru, states: np.ndarray, targets: np.ndarray, grads: Gru
     """Natural log-probability of each target, and the loss gradient of the states if grads is given."""
     members = net.members
     words = net.word_bias.shape[0]
-    kind = np.minimum(targets // members, words) if words else np.zeros_like(targets)
+    kind = np.where(targets < words * members, targets // members, targets - words * (members - 1))
     logp = log_softmax(states @ net.by_class + net.class_bias)
     rows = np.arange(len(targets))
     out = logp[rows, kind].astype(np.float64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -16,6 +17,8 @@ from tidemark.llm.common import LOWER, UPPER, as_bytes, cut, map_texts, shuffle_
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Words of the net with the end, and words whose counts every task gets, at most.
 NET_WORDS, HEAD_WORDS = 1024, 200_000
+#: Tail classes of the words that the net doesn't tell apart, and the bytes at a word's end that decide its class.
+TAILS, ENDING = 96, 3
 #: Rounds of training; each training document is in one of them.
 ROUNDS = 2
 #: Words that a task counts before it hands them on, and weights in a row when nets are averaged.
@@ -26,6 +29,10 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(TO_LOWER).split()
 
 
+def tail_of(word: bytes) -> int:
+    return zlib.crc32(word[-ENDING:]) % TAILS
+
+
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all whole texts. A task adds up its own before the shuffle, COUNTED words at a time."""
 
@@ -50,7 +57,10 @@ class Vocabulary:
     """What all tasks know: the most frequent words with their counts, falling, and the corpus's totals.
 
     Words are those with a count of ``least`` or more, so that the others are told apart by their
-    count. The end token is among the net's ids. tokens and kinds count it, too.
+    count. The end token is among the net's ids. tokens and kinds count it, too. The net has an
+    id for each of the NET_WORDS - 1 most frequent words; any other word has the id of its tail
+    class, which its last letters decide, so words of like form and language share one.
+    tail_tokens and tail_kinds are what each tail class has of such words.
     """
 
     words: list[bytes]
@@ -59,6 +69,8 @@ class Vocabulary:
     ends: int
     tokens: int
     kinds: int
+    tail_tokens: np.ndarray
+    tail_kinds: np.ndarray
     place: dict | None = field(default=None, repr=False)
 
     def __post_init__(self):
@@ -68,11 +80,12 @@ class Vocabulary:
         rank = np.empty(len(own), np.int64)
         rank[order] = np.arange(len(own))
         classes, members = gru.shape_of(len(own))
-        self.end, self.net_counts, self.rare = int(rank[-1]), own[order], classes * members
+        self.end, self.net_counts, self.first_tail = int(rank[-1]), own[order], classes * members
+        tails = np.array([tail_of(w) for w in self.words], np.int64)
+        self.tail_tokens = self.tail_tokens - np.bincount(tails[:inside], self.counts[:inside], TAILS).astype(np.int64)
+        self.tail_kinds = self.tail_kinds - np.bincount(tails[:inside], minlength=TAILS)
         #: The net's id of each head word.
-        self.ids = np.append(rank[:-1], np.full(len(self.words) - inside, self.rare, np.int64))
-        self.rare_tokens = self.tokens - int(own.sum())
-        self.rare_kinds = self.kinds - inside - (self.ends > 0)
+        self.ids = np.append(rank[:-1], self.first_tail + tails[inside:])
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
         """Each word's place among the head words, or -1."""
@@ -81,19 +94,41 @@ class Vocabulary:
         get = self.place.get
         return np.array([get(w, -1) for w in words], np.int64)
 
+    def net_ids(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
+        """The net's ids of a text's words and of the end."""
+        ids = np.empty(len(places) + 1, np.int64)
+        known = places >= 0
+        ids[:-1][known] = self.ids[places[known]]
+        lacking = np.flatnonzero(~known)
+        ids[lacking] = [self.first_tail + tail_of(words[k]) for k in lacking.tolist()]
+        ids[-1] = self.end
+        return ids
+
 
 def vocabulary(counts: DataFrame, ends: int, most: int = HEAD_WORDS) -> Vocabulary:
-    """Head words, at most ``most``: those in the highest eighths of octaves of counts that fit together."""
+    """Head words: all with counts from the least one on that leaves ``most`` words at most.
+
+    Counts are tabulated by eighths of octaves (a few hundred rows); the step in which ``most``
+    is passed is tabulated again by count, so head words end at a count and not at a step.
+    """
     step = F.floor(F.log2("n") * 8)
-    steps = sorted(((r["step"], r["kinds"], r["tokens"], r["least"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("kinds"), F.sum("n").alias("tokens"), F.min("n").alias("least")).collect()), reverse=True)
-    tokens, kinds = sum(s[2] for s in steps) + ends, sum(s[1] for s in steps) + (ends > 0)
+    sizes = lambda rows, key: sorted(((r["key"], r["kinds"], r["least"]) for r in rows.groupBy(key.alias("key")).agg(F.count("*").alias("kinds"), F.min("n").alias("least")).collect()), reverse=True)
     taken, least = 0, 2**62
-    for _, n, _, low in steps:
+    for key, n, low in sizes(counts, step):
         if taken + n > most:
+            for _, n, low in sizes(counts.where(step == key), F.floor("n" if key < 100 else F.col("n") / 2 ** (key // 8 - 10))):
+                if taken + n > most:
+                    break
+                taken, least = taken + n, low
             break
         taken, least = taken + n, low
     head = sorted(((-r["n"], bytes(r["word"])) for r in counts.where(F.col("n") >= least).collect())) if taken else []
-    return Vocabulary([w for _, w in head], np.array([-n for n, _ in head], np.int64), least, ends, tokens, kinds)
+    tails = np.zeros((2, TAILS), np.int64)
+    tail = F.crc32(F.substring("word", -ENDING, ENDING)) % TAILS
+    for r in counts.groupBy(tail.alias("tail")).agg(F.sum("n").alias("tokens"), F.count("*").alias("kinds")).collect():
+        tails[:, r["tail"]] = r["tokens"], r["kinds"]
+    tokens, kinds = int(tails[0].sum()) + ends, int(tails[1].sum()) + (ends > 0)
+    return Vocabulary([w for _, w in head], np.array([-n for n, _ in head], np.int64), least, ends, tokens, kinds, *tails)
 
 
 def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", id_col: str = "doc_id") -> gru.Gru:
@@ -105,7 +140,7 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", id_col: st
     block. Documents are dealt over partitions by id and row number, so those that share an id
     (or have none) spread like any others.
     """
-    net = gru.start(vocab.net_counts, vocab.rare_tokens)
+    net = gru.start(vocab.net_counts, vocab.tail_tokens)
     if not vocab.tokens:
         return net
     spark = docs.sparkSession
@@ -121,7 +156,7 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", id_col: st
             vocab = known.value
             trainer, tokens = gru.Trainer(shared.value), 0
             for batch in batches:
-                texts = [net_ids(vocab, vocab.look_up(words_of(t))) for t in as_bytes(batch.column(0))]
+                texts = [vocab.net_ids(words, vocab.look_up(words)) for words in map(words_of, as_bytes(batch.column(0)))]
                 trainer.fit(texts, vocab.end)
                 tokens += sum(map(len, texts))
             if tokens:
@@ -132,7 +167,7 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", id_col: st
         nets = map_texts(dealt, work, "block int, tokens long, weights binary", F.col("text"))
         mean = nets.groupBy("block").applyInPandas(average, "block int, weights binary").collect()
         if mean:
-            net = gru.start(vocab.net_counts, vocab.rare_tokens).load(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(mean, key=lambda r: r["block"])]))
+            net = gru.start(vocab.net_counts, vocab.tail_tokens).load(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(mean, key=lambda r: r["block"])]))
     return net
 
 
@@ -145,14 +180,6 @@ def average(rows):
     return pd.DataFrame({"block": rows["block"].iloc[:1], "weights": [mean.tobytes()]})
 
 
-def net_ids(vocab: Vocabulary, places: np.ndarray) -> np.ndarray:
-    ids = np.full(len(places) + 1, vocab.rare, np.int64)
-    known = places >= 0
-    ids[:-1][known] = vocab.ids[places[known]]
-    ids[-1] = vocab.end
-    return ids
-
-
 def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -160,9 +187,9 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
     is empty: the end alone. Counts and net learn from the rows that learn_from picks; null there
     picks none. base_score is the log10 likelihood under add-one-half unigram counts. score is
     the net's: log10 of P(class | words before) P(word | class, words before) for each of its
-    words. Words too rare for it are one class, in which a word has the probability
-    (c + 1/2) / (their tokens + (their kinds + 1) / 2), so that rare and unknown words count as
-    well. Ids may repeat or be null; other columns are not read; an empty table gives an empty result.
+    words. A rarer word's class is a tail class, in which it has the probability
+    (c + 1/2) / (the class's tokens + (its kinds + 1) / 2), so that rare and unknown words count
+    as well. Ids may repeat or be null; other columns are not read; an empty table gives an empty result.
 
     A document's score needs counts of words that are too many for one task. The HEAD_WORDS most
     frequent go to all tasks; what a document has besides is joined by word, after which sums
@@ -173,12 +200,13 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
     vocab = vocabulary(counts, taught.count())
     net = train(taught, vocab, text_col, id_col)
     known, shared = docs.sparkSession.sparkContext.broadcast(vocab), docs.sparkSession.sparkContext.broadcast(net)
-    schema = "row long, doc_id long, n_tokens long, n_known long, head double, rare_head double, n_rare long, net double, tail array<binary>"
+    schema = "row long, doc_id long, n_tokens long, n_known long, head double, rare_head double, net double, tail array<binary>"
 
     def work(batches):
         vocab, net = known.value, shared.value
         log_count = np.log10(vocab.counts + 0.5)
         log_end = np.log10(vocab.ends + 0.5)
+        log_tail = np.log10(vocab.tail_tokens + 0.5 * (vocab.tail_kinds + 1))
         for batch in batches:
             rows: list[tuple] = []
             texts = []
@@ -186,15 +214,15 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
                 words = words_of(text)
                 places = vocab.look_up(words)
                 inside = places[places >= 0]
-                ids = net_ids(vocab, places)
+                ids = vocab.net_ids(words, places)
                 texts.append(ids.astype(np.int32))
-                rare = inside[vocab.ids[inside] == vocab.rare]
+                rare = log_count[inside[vocab.ids[inside] >= vocab.first_tail]].sum() - log_tail[ids[ids >= vocab.first_tail] - vocab.first_tail].sum()
                 tail = [words[k] for k in np.flatnonzero(places < 0).tolist()] if len(inside) < len(words) else []
-                rows.append((len(words) + 1, len(inside) + (vocab.ends > 0), log_count[inside].sum() + log_end, log_count[rare].sum(), int((ids == vocab.rare).sum()), tail))
-            n, known_, head, rare_head, n_rare, tails = zip(*rows, strict=True) if rows else [()] * 6
+                rows.append((len(words) + 1, len(inside) + (vocab.ends > 0), log_count[inside].sum() + log_end, rare, tail))
+            n, known_, head, rare, tails = zip(*rows, strict=True) if rows else [()] * 5
             yield to_batch(
                 row=batch.column(0), doc_id=batch.column(1), n_tokens=pa.array(n, pa.int64()), n_known=pa.array(map(int, known_), pa.int64()), head=pa.array(map(float, head), pa.float64()),
-                rare_head=pa.array(map(float, rare_head), pa.float64()), n_rare=pa.array(n_rare, pa.int64()), net=gru.score(net, texts, vocab.end), tail=pa.array(tails, pa.list_(pa.binary())),
+                rare_head=pa.array(map(float, rare), pa.float64()), net=gru.score(net, texts, vocab.end), tail=pa.array(tails, pa.list_(pa.binary())),
             )
 
     rows = cut(map_texts(docs.withColumn("__row", F.monotonically_increasing_id()), work, schema, "__row", F.col(id_col).cast("long"), F.col(text_col)))
@@ -203,12 +231,11 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
     sums = tails.groupBy("row").agg(F.sum(F.log10(c + 0.5)).alias("tail_sum"), F.count_if(c > 0).alias("tail_known"))
     tail_sum, tail_known = F.coalesce("tail_sum", F.lit(0.0)), F.coalesce("tail_known", F.lit(0))
     total = float(np.log10(vocab.tokens + 0.5 * (vocab.kinds + 1)))
-    rare_total = float(np.log10(vocab.rare_tokens + 0.5 * (vocab.rare_kinds + 1)))
     return rows.join(sums, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + tail_known).alias("n_known"),
         F.lit(vocab.tokens).cast("long").alias("train_tokens"),
         (F.col("head") + tail_sum - F.col("n_tokens") * total).alias("base_score"),
-        (F.col("net") + F.col("rare_head") + tail_sum - F.col("n_rare") * rare_total).alias("score"),
+        (F.col("net") + F.col("rare_head") + tail_sum).alias("score"),
     )

@@ -9,7 +9,7 @@ import numpy as np
 #: Width of embeddings and state, classes of words, tokens of a training and of a scoring window.
 WIDTH, CLASSES, TRAIN_WINDOW, SCORE_WINDOW = 16, 32, 24, 64
 #: Texts that go side by side, and Adam's step size.
-LANES_TRAIN, LANES_SCORE, RATE = 64, 1024, 0.004
+LANES_TRAIN, LANES_SCORE, RATE = 256, 1024, 0.012
 
 
 @dataclass

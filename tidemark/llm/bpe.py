@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import as_bytes, map_texts, to_batch
 
-#: Letters of an unsplit run from which it is encoded by halves, of a leaf, and of the first window.
-LONG, LEAF, WINDOW = 1024, 512, 32
+#: Letters of an unsplit run from which it is encoded by halves, and of a leaf; bytes of a text for the same.
+LONG, LEAF = 1024, 512
+LONG_TEXT, TEXT_LEAF = 4096, 2048
+#: Letters or bytes of the first window at either side of a join.
+WINDOW = 32
 #: Chunks whose tokens a task remembers.
 REMEMBERED = 500_000
 
@@ -23,9 +26,10 @@ REMEMBERED = 500_000
 class Encoder:
     """Encodes texts as Tokenizer.from_file(path) does with add_special_tokens=False.
 
-    If the tokenizer drops white space (``word``), a text is cut there, and what lies between, a
-    chunk, is encoded once and remembered; a run of LONG or more letters is encoded by tree
-    concatenation. If white space belongs to the next token (``byte``), texts are cut only at
+    If the tokenizer drops white space (``word``), what lies between, a chunk, is encoded once and
+    remembered. A text of LONG_TEXT or more bytes is encoded by tree concatenation (see
+    concatenated) of its halves, cut anywhere, with chunks as units; a run of LONG or more
+    letters by tree concatenation of its halves with tokens as units. If white space belongs to the next token (``byte``), texts are cut only at
     spaces where the tokenizer is sure to cut as well; where the vocabulary allows, they go to
     tiktoken instead, which gives the same ids in half the time.
     """
@@ -67,13 +71,7 @@ class Encoder:
         for text in texts:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            own = self.chunks(text)
-            pairs = list(map(self.known.get, own))
-            if None in pairs:
-                lacking = [k for k, p in enumerate(pairs) if p is None]
-                self.learn(list({own[k] for k in lacking}))
-                for k in lacking:
-                    pairs[k] = self.known[own[k]]
+            pairs = self.long_text(text) if len(text) >= LONG_TEXT and self.spaces == "word" else self.encoded(self.chunks(text))
             ids = b"".join([p[0] for p in pairs])
             if not named:
                 yield ids, b""
@@ -84,12 +82,42 @@ class Encoder:
 
     def chunks(self, text: bytes) -> list[bytes]:
         if self.spaces == "word":
-            return (text.lower() if self.lowers and not (self.special and self.special.search(text.decode())) else text).split()
+            return self.lowered(text).split()
         if UNSURE.search(text):
             return [text]
         first, *rest = text.split(b" ")
         return [first, *(b" " + x for x in rest)]
 
+    def lowered(self, text: bytes) -> bytes:
+        return text.lower() if self.lowers and not (self.special and self.special.search(text.decode())) else text
+
+    def encoded(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Each chunk's ids and its tokens' texts; unknown chunks are encoded side by side."""
+        pairs = list(map(self.known.get, chunks))
+        if None in pairs:
+            lacking = [k for k, p in enumerate(pairs) if p is None]
+            self.learn(list({chunks[k] for k in lacking}))
+            for k in lacking:
+                pairs[k] = self.known[chunks[k]]
+        return pairs
+
+    def long_text(self, text: bytes) -> list[tuple[bytes, bytes]]:
+        """The encoded chunks of a long text, by tree concatenation."""
+        text = self.lowered(text)
+
+        def units(spans: list[tuple[int, int]]) -> list[list[tuple]]:
+            found = [[(a + m.start(), a + m.end()) for m in CHUNK.finditer(text[a:b])] for a, b in spans]
+            pairs = iter(self.encoded([text[a:b] for part in found for a, b in part]))
+            return [[(a, b, next(pairs)) for a, b in part] for part in found]
+
+        def whole(at: int) -> int:
+            """at, or the start of the letter that it would cut."""
+            while at < len(text) and text[at] & 0xC0 == 0x80:
+                at -= 1
+            return at
+
+        return [pair for _, _, pair in concatenated(len(text), TEXT_LEAF, units, whole)]
+
     def learn(self, chunks: list[bytes]) -> None:
         """Adds chunks to known. Those of visible ASCII letters need no normalisation other than lower case."""
         found: dict[bytes, list[int]] = {}
@@ -130,46 +158,61 @@ class Encoder:
         return [[(at + a, at + b, i) for (a, b), i in zip(e.offsets, e.ids, strict=True)] for (at, _), e in zip(runs, found, strict=True)]
 
     def tree(self, run: str) -> list[tuple[int, int, int]]:
-        """Tokens of a long run: halves down to LEAF letters, all leaves at once, then level by level the joins."""
-        cuts = [0, len(run)]
-        while max(b - a for a, b in zip(cuts, cuts[1:])) > LEAF:  # noqa: B905, RUF007
-            cuts = sorted({*cuts, *((a + b) // 2 for a, b in zip(cuts, cuts[1:]))})  # noqa: B905, RUF007
-        parts = self.tokens([(a, run[a:b]) for a, b in zip(cuts, cuts[1:])])  # noqa: B905, RUF007
-        while len(parts) > 1:
-            joined = [self.join(run, a, b) for a, b in zip(parts[::2], parts[1::2])]  # noqa: B905
-            parts = joined + parts[len(joined) * 2 :]
-        return parts[0]
-
-    def join(self, run: str, left: list, right: list) -> list[tuple[int, int, int]]:
-        """The tokens of two neighbouring parts of a run, encoded apart, as if encoded together.
-
-        A window around the join is encoded; it grows until it has a token in common with the
-        left part and one with the right part, at the same place. Whether tokens may stand side
-        by side depends on the two alone, and every two neighbours of the result are neighbours
-        in the left part, the window or the right part; so the result is the encoding.
-        """
-        first, seam, last = left[0][0], right[0][0], right[-1][1]
-        size = WINDOW
-        while True:
-            a, b = max(first, seam - size), min(last, seam + size)
-            window = self.tokens([(a, run[a:b])])[0]
-            if a == first and b == last:
-                return window
-            inside = {t: k for k, t in enumerate(window)}
-            at_left = next((k for k in range(len(left) - 1, -1, -1) if left[k] in inside), None) if a > first else -1
-            at_right = next((k for k in range(len(right)) if right[k] in inside), None) if b < last else len(right)
-            if at_left is not None and at_right is not None:
-                start = inside[left[at_left]] + 1 if at_left >= 0 else 0
-                end = inside[right[at_right]] if at_right < len(right) else len(window)
-                if start <= end:
-                    return left[: at_left + 1] + window[start:end] + right[at_right:]
-            size *= 2
+        """The tokens of a long run, by tree concatenation."""
+        return concatenated(len(run), LEAF, lambda spans: self.tokens([(a, run[a:b]) for a, b in spans]))
 
     def decode(self, ids: bytes) -> bytes:
         """What the tokenizer's decode(ids, skip_special_tokens=False) gives, in UTF-8."""
         return self.whole.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False).encode()
 
 
+def concatenated(length: int, leaf: int, units, whole=lambda at: at) -> list[tuple]:
+    """The units (start, end, what) of something long: halves down to ``leaf``, all leaves at once, then level by level the joins.
+
+    units gives those of each of several spans, encoded apart, side by side; whole moves a cut to
+    where a span may end. Whether two units may stand side by side depends on these two alone.
+    """
+    cuts = [0, length]
+    while True:
+        finer = sorted({*cuts, *(whole((a + b) // 2) for a, b in zip(cuts, cuts[1:]) if b - a > leaf)})  # noqa: B905, RUF007
+        if finer == cuts:
+            break
+        cuts = finer
+    spans = list(zip(cuts, cuts[1:]))  # noqa: B905, RUF007
+    parts = [(a, b, own) for (a, b), own in zip(spans, units(spans), strict=True)]
+    while len(parts) > 1:
+        joined = join_all(list(zip(parts[::2], parts[1::2])), units, whole)  # noqa: B905
+        parts = joined + parts[len(joined) * 2 :]
+    return parts[0][2]
+
+
+def join_all(pairs: list[tuple], units, whole) -> list[tuple]:
+    """Pairs of neighbouring parts (start, end, units), encoded apart, as if encoded together; the joins of a level go side by side.
+
+    A window around each join is encoded; it grows until it has a unit in common with the left
+    part and one with the right part, at the same place. Every two neighbours of the result are
+    neighbours in the left part, the window or the right part; so the result is the encoding.
+    """
+    out: list = [None] * len(pairs)
+    size, open_ = WINDOW, list(range(len(pairs)))
+    while open_:
+        spans = [(whole(max(pairs[k][0][0], pairs[k][0][1] - size)), whole(min(pairs[k][1][1], pairs[k][0][1] + size))) for k in open_]
+        for k, (a, b), window in zip(open_, spans, units(spans), strict=True):
+            (first, _, left), (_, last, right) = pairs[k]
+            place = {unit: n for n, unit in enumerate(window)}
+            at_left = next((n for n in range(len(left) - 1, -1, -1) if left[n] in place), None) if a > first else -1
+            at_right = next((n for n in range(len(right)) if right[n] in place), None) if b < last else len(right)
+            if at_left is None or at_right is None:
+                continue
+            start = place[left[at_left]] + 1 if at_left >= 0 else 0
+            end = place[right[at_right]] if at_right < len(right) else len(window)
+            if start <= end:
+                out[k] = (first, last, left[: at_left + 1] + window[start:end] + right[at_right:])
+        open_ = [k for k in open_ if out[k] is None]
+        size *= 2
+    return out
+
+
 def ranked(tokenizer):
     """A tiktoken encoding with the tokenizer's merges, if it is byte-level BPE whose ids are in the order of its merges."""
     import tiktoken
@@ -197,6 +240,9 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 PLAIN = re.compile(rb"[!-@\[-~]+")
 RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
+#: What lies between white space.
+CHUNK = re.compile(rb"[^ \t-\r]+")
+
 #: A space that has no visible ASCII character before it and perhaps more white space after it.
 UNSURE = re.compile(rb"(?<![!-~]) (?=[\x00-\x20\xc2\xe1-\xe3]|\Z)")
 

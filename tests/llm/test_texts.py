@@ -57,6 +57,28 @@ def test_joins_agree_at_every_cut(monkeypatch):
         assert [t[2] for t in own.tree(run)] == own.model.encode(run, add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=60).map("".join))
+def test_long_texts_by_tree_concatenation(text):
+    with pytest.MonkeyPatch.context() as patch:
+        for name, value in (("LONG_TEXT", 1), ("TEXT_LEAF", 7), ("WINDOW", 2)):
+            patch.setattr(bpe, name, value)
+        agrees("word", [text])
+
+
+def test_windows_grow_until_both_sides_agree():
+    text, asked = b"ab cdefgh ij", []
+
+    def units(spans):
+        asked.extend(spans)
+        return [[(a + m.start(), a + m.end(), text[a + m.start() : a + m.end()]) for m in bpe.CHUNK.finditer(text[a:b])] for a, b in spans]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bpe, "WINDOW", 1)
+        got = bpe.concatenated(len(text), 6, units)
+    assert [u[2] for u in got] == [b"ab", b"cdefgh", b"ij"] and asked == [(0, 6), (6, 12), (5, 7), (4, 8), (2, 10), (0, 12)]
+
+
 def test_byte_encoder_without_ranks_agrees():
     own = bpe.Encoder(BYTE, "byte")
     own.ranked = None
@@ -98,7 +120,11 @@ def slow_minhash(text: bytes) -> list:
         item = mix(code + seen[mer] * int(order_minhash.ODD[0]))
         seen[mer] += 1
         bins.setdefault(item >> (64 - 6), []).append((item, at, mer))
-    return [tuple(m for _, m in sorted((at, mer) for _, at, mer in sorted(bins[b])[: order_minhash.TUPLE])) if b in bins else None for b in range(order_minhash.BINS)]
+    sketch = []
+    for b in range(order_minhash.BINS):
+        after = [x for d in range(order_minhash.BINS) for x in sorted(bins.get((b + d) % order_minhash.BINS, []))]  # its own, then those of the bins after it
+        sketch.append(tuple(m for _, m in sorted((at, mer) for _, at, mer in (after * 2)[: order_minhash.TUPLE])))
+    return sketch
 
 
 @pytest.mark.parametrize("seed", range(4))

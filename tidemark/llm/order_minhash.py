@@ -26,17 +26,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: bytes) -> np.ndarray:
-    """BINS 16-bit numbers; 0 stands for a bin that no k-mer fell into.
+    """BINS 16-bit numbers, none of them 0; of an empty text all are 0.
 
     The k-mers of the UTF-8 text are numbered by occurrence: the second "abcdefgh" is another
     item than the first. A hash of k-mer and number sends an item to a bin. Of a bin, the TUPLE
     items of the smallest hashes are put back in their order in the text, and the bin's number
     is a hash of their k-mers in that order: it stays only if the items and their order stay. A
-    text shorter than a k-mer is one item; an empty one has none.
+    bin of fewer items borrows the smallest ones of the bins after it (after the last: of the
+    first), so that every tuple has an order to lose, in short texts as well. A text shorter than
+    a k-mer is one item, which is all its tuples; an empty one has none.
     """
-    out = np.zeros(BINS, np.uint16)
     if not text:
-        return out
+        return np.zeros(BINS, np.uint16)
     if len(text) < K:
         text += b"\0" * (K - len(text))
     n = len(text) - K + 1
@@ -58,19 +59,12 @@ def fingerprint(text: bytes) -> np.ndarray:
     at = (key & place).astype(np.int64)
     bins = key >> np.uint64(64 - BINS.bit_length() + 1)
     edges = np.searchsorted(bins, np.arange(BINS + 1, dtype=np.uint64))
-    starts, sizes = edges[:-1], np.diff(edges)
-    full = sizes > 0
-    chosen = np.full((BINS, TUPLE), n, np.int64)
-    for k in range(TUPLE):
-        has = sizes > k
-        chosen[has, k] = at[starts[has] + k]
+    chosen = at[(edges[:-1, None] + np.arange(TUPLE)) % n]
     chosen.sort(axis=1)
-    codes = np.append(code, np.uint64(0))
     value = np.zeros(BINS, np.uint64)
     for k in range(TUPLE):
-        value = mix(value * ODD[0] + codes[chosen[:, k]] + ODD[1])
-    out[full] = np.maximum(value[full] >> np.uint64(48), 1)
-    return out
+        value = mix(value * ODD[0] + code[chosen[:, k]] + ODD[1])
+    return np.maximum(value >> np.uint64(48), 1).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

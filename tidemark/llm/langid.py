@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import limit_batches, map_texts, to_batch
 
 ORDER = 3
-#: Training rows of a language, and their bytes, at most. Whole rows, drawn by a hash of the id.
-SAMPLE_ROWS, SAMPLE_BYTES = 400, 2_000_000
+#: Training rows of a language, and their bytes, at most; longer texts than LONGEST aren't learned from. Whole rows, drawn by a hash of the id.
+SAMPLE_ROWS, SAMPLE_BYTES, LONGEST = 400, 2_000_000, 1 << 18
+#: A text is foreign if its best tree needs more than FOREIGN times the bits a byte that QUANTILE of its own language's
+#: training texts of SETTLED bytes or more need, and SLACK bits more than that (short texts tell little).
+FOREIGN, QUANTILE, SETTLED, SLACK = 1.5, 0.99, 100, 256
 UNKNOWN = "und"
 
 
@@ -24,13 +27,15 @@ class Model:
 
     symbols maps a byte to its symbol: 0 is the padding before a text, the last one any byte
     that training didn't have. rows maps a context of ORDER symbols to its row in bits, which has
-    the bits that each language's tree needs for each next symbol.
+    the bits that each language's tree needs for each next symbol. limits are the bits a byte
+    from which a text is foreign to its best language.
     """
 
     langs: list[str]
     symbols: np.ndarray
     rows: np.ndarray
     bits: np.ndarray
+    limits: np.ndarray | None = None
 
 
 def normalised(text: str | None) -> bytes:
@@ -88,7 +93,13 @@ def train(samples: dict[str, list[str]]) -> Model:
             if order == ORDER - 1:
                 bits[: n * n, :, k] = -np.log2(p)
         bits[n * n :, :, k] = -np.log2(p)
-    return Model(langs, symbols, rows, bits)
+    model = Model(langs, symbols, rows, bits, np.full(len(langs), np.inf))
+    for k, lang in enumerate(langs):
+        own = [normalised(t) for t in samples[lang]]
+        own = [t for t in own if len(t) >= SETTLED]
+        if own:
+            model.limits[k] = FOREIGN * np.quantile(code_lengths(model, own)[:, k] / np.array([len(t) for t in own]), QUANTILE)
+    return model
 
 
 def code_lengths(model: Model, texts: list[bytes], step: int = 1 << 20) -> np.ndarray:
@@ -123,41 +134,44 @@ def code_lengths(model: Model, texts: list[bytes], step: int = 1 << 20) -> np.nd
 
 
 def sample_by_language(docs: DataFrame, train_on: Column, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> dict[str, list[str]]:
-    """For each language, up to ``rows`` whole texts of the rows that train_on picks.
+    """For each language, up to ``rows`` whole texts of the rows that train_on picks, and most_bytes bytes at most.
 
     Languages are counted first; then a row is drawn by a hash of its id with the chance that
-    gives a language 1.3 times ``rows``, so that no language, however common, is gathered in
-    one task, and what reaches the driver is bounded by languages x rows.
+    gives a language 1.3 times ``rows`` or most_bytes, whichever is less. So no language, however
+    common, is gathered in one task, and what reaches the driver is bounded by the languages.
     """
-    usable = docs.where(train_on & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    size = F.octet_length("text")
+    usable = docs.where(train_on & F.col("lang").isNotNull() & F.col("text").isNotNull() & (size <= LONGEST))
+    counts = {r["lang"]: (r["n"], r["bytes"]) for r in usable.groupBy("lang").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()}
     if not counts:
         return {}
-    chance = F.create_map(*(F.lit(x) for k, v in counts.items() for x in (k, min(1.0, 1.3 * rows / v))))
+    chance = F.create_map(*(F.lit(x) for k, (n, b) in counts.items() for x in (k, min(1.0, 1.3 * rows / n, 1.3 * most_bytes / max(1, b)))))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     drawn = usable.withColumn("draw", draw).where(F.col("draw") < chance[F.col("lang")]).select("lang", "text", "draw").collect()
     out: dict[str, list[str]] = {}
-    size: dict[str, int] = {}
+    taken: dict[str, int] = {}
     for r in sorted(drawn, key=lambda r: (r["draw"], r["text"])):
-        own = out.setdefault(r["lang"], [])
-        if len(own) < rows and size.get(r["lang"], 0) < most_bytes:
+        own, after = out.setdefault(r["lang"], []), taken.get(r["lang"], 0) + len(r["text"].encode())
+        if len(own) < rows and after <= most_bytes:
             own.append(r["text"])
-            size[r["lang"]] = size.get(r["lang"], 0) + len(r["text"])
+            taken[r["lang"]] = after
     return out
 
 
-def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Each text's language and score; see identify."""
+def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Each text's language and score (see identify), and whether its best tree codes it like text of its language."""
     named = [bool(model.langs) and has_letter(t) for t in texts]
-    pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    pred, score, fits = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
     where = [k for k, x in enumerate(named) if x]
     if where:
-        bits = code_lengths(model, [normalised(texts[k]) for k in where])
+        own = [normalised(texts[k]) for k in where]
+        bits = code_lengths(model, own)
         best = bits.argmin(axis=1)
         score[where] = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
+        fits[where] = bits.min(axis=1) <= model.limits[best] * np.array([len(t) for t in own]) + SLACK
         for k, b in zip(where, best.tolist(), strict=True):
             pred[k] = model.langs[b]
-    return pred, score
+    return pred, score, fits
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,20 +186,24 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def work(batches):
         for batch in batches:
-            pred, score = predict(shared.value, batch.column(1).to_pylist())
+            pred, score, _ = predict(shared.value, batch.column(1).to_pylist())
             yield to_batch(doc_id=batch.column(0), lang_pred=pa.array(pred, pa.string()), score=score)
 
     return map_texts(docs, work, "doc_id long, lang_pred string, score double", F.col(id_col).cast("long"), F.col(text_col))
 
 
 def identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, as they are, that have a language and a score of ``least`` or more."""
+    """The rows of docs, as they are, that have a language, a score of ``least`` or more, and aren't foreign to it.
+
+    Null texts, texts without a letter, ties between languages, texts in a language that nobody
+    taught and strings of random letters go.
+    """
     limit_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def named(texts: pd.Series) -> pd.Series:
-        pred, score = predict(shared.value, texts.tolist())
-        return pd.Series([p != UNKNOWN for p in pred], dtype=bool) & (score >= least)
+        pred, score, fits = predict(shared.value, texts.tolist())
+        return pd.Series([p != UNKNOWN for p in pred], dtype=bool) & (score >= least) & fits
 
     return docs.where(named(text_col))

@@ -74,30 +74,48 @@ def test_held_out_languages(spark):
     assert langid.sample_by_language(docs.limit(0), F.lit(True)) == {}
 
 
+def test_foreign_texts_and_random_letters_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 200")
+    model = langid.train(langid.sample_by_language(docs.where("lang <> 'fr'"), F.lit(True)))
+    rng = random.Random(2)
+    noise = spark.createDataFrame([(k, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300))) for k in range(50)], "doc_id long, text string")
+    assert langid.identified(noise, model).count() == 0
+    french = docs.where("lang = 'fr'")
+    assert langid.identified(french, model).count() <= 0.05 * french.count()
+    own = docs.where("lang <> 'fr'")
+    assert langid.identified(own, model).count() >= 0.995 * own.count()
+
+
 def test_samples_are_bounded(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"), F.lit("x").alias("lang"))
     assert len(langid.sample_by_language(docs, F.lit(True), rows=50)["x"]) == 50
+    long = docs.withColumn("text", F.repeat("text", 1000))
+    assert 15 <= len(langid.sample_by_language(long, F.lit(True), most_bytes=40_000)["x"]) <= 20
     texts, _ = quality.labelled_sample(docs, docs.select("doc_id", F.lit(1).alias("quality")), F.lit(True), rows=50)
     assert len(texts) == 50
 
 
+def odd_net(seed: int) -> quality.Net:
+    rng = np.random.default_rng(seed)
+    f = quality.FILTERS * quality.MEMBERS
+    return quality.Net(rng.normal(0, 0.5, (quality.WIDTH, 256, f)).astype(np.float32), rng.normal(0, 0.1, f).astype(np.float32), rng.normal(0, 0.1, 2 * f), 0.1)
+
+
 def test_network_gradient():
     rng = np.random.default_rng(3)
-    net = quality.train([], [])
+    net = quality.train_member([], [], 0)
     net.filters = rng.normal(0, 0.5, net.filters.shape)
     net.bias = rng.normal(0, 0.1, net.bias.shape)
     net.out = rng.normal(0, 0.5, net.out.shape)
-    symbols = quality.symbols_of(bytes(rng.integers(97, 104, 900).astype(np.uint8)))
+    b = quality.bytes_of(bytes(rng.integers(97, 104, 900).astype(np.uint8)))
     grads = [np.zeros_like(net.filters, dtype=np.float32), np.zeros_like(net.bias), np.zeros_like(net.out), 0.0]
-    quality._backward(net, symbols, 1.0, 1.0, grads)
+    quality._backward(net, b, 1.0, 1.0, grads)
 
     def loss():
-        r = quality.responses(net, symbols)
-        cuts = np.arange(0, len(r), quality.BLOCK)
-        f = quality.pool(np.maximum.reduceat(r, cuts), np.add.reduceat(r, cuts), len(r))
-        return -math.log(quality.probability(net, f))
+        r = quality.responses(net, b)
+        return -math.log(quality.probability(net, quality.pool(np.maximum.reduceat(r, np.arange(0, len(r), quality.BLOCK)))))
 
-    for k in range(12):
+    for k in range(40):
         where = (int(rng.integers(quality.WIDTH)), int(rng.integers(97, 104)), int(rng.integers(quality.FILTERS)))
         old = net.filters[where]
         net.filters[where] = old + 1e-5
@@ -109,14 +127,47 @@ def test_network_gradient():
 
 
 def test_features_are_the_same_in_any_span(monkeypatch):
-    net = quality.train([], [])
-    net.filters = np.random.default_rng(1).normal(0, 0.5, net.filters.shape).astype(np.float32)
+    net = odd_net(1)
     text = " ".join(random.Random(1).choice(WORDS) for _ in range(9000)).encode()
     whole = quality.features(net, text)
     monkeypatch.setattr(quality, "SPAN", 4096)
     assert quality.features(net, text) == pytest.approx(whole, rel=1e-5)
 
 
+def slow_quality(net: quality.Net, text: bytes) -> float:
+    """The probability by definition: each filter at each place, peaks of blocks, of chunks of blocks, then the linear layer."""
+    b = text + b"\0" * max(0, 69 - len(text))
+    f = net.filters.shape[2]
+    at = [[max(0.0, float(net.bias[c]) + sum(float(net.filters[k, b[p + k], c]) for k in range(5))) for c in range(f)] for p in range(len(b) - 4)]
+    blocks = [[max(col) for col in zip(*at[k : k + 64], strict=True)] for k in range(0, len(at), 64)]
+    chunks, k = [], 0
+    while not chunks or k < len(blocks) - 1:  # a chunk begins at every seventh block that isn't the last
+        chunks.append([max(col) for col in zip(*blocks[k : k + 8], strict=True)])
+        k += 7
+    feats = [sum(col) / len(chunks) for col in zip(*chunks, strict=True)] + [max(col) for col in zip(*chunks, strict=True)]
+    return 1 / (1 + math.exp(-sum(x * float(w) for x, w in zip(feats, net.out, strict=True)) - net.out_bias))
+
+
+def test_scores_of_the_network_against_a_plain_loop(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    texts = [None, "", "a", say(9), say(10), "x" * 68, "x" * 69, *(say(rng.randrange(20, 300)) for _ in range(12))]
+    net = odd_net(2)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality.score(rows, net).collect()}
+    assert all(got[k] == pytest.approx(slow_quality(net, (t or "").encode()), rel=1e-4) for k, t in enumerate(texts))
+
+
+def test_members_join_to_the_mean_of_their_logits(spark):
+    texts, labels = [say.encode() for say in ("good words here " * 20, "zzz qqq zzz " * 20)] * 20, [1, 0] * 20
+    nets = [quality.train_member(texts, labels, s) for s in (7, 8)]
+    joined = quality.join_members(nets)
+    logit = lambda net, t: math.log((p := float(quality.probability(net, quality.features(net, t)))) / (1 - p))
+    for t in (texts[0], b"good zzz", b""):
+        assert logit(joined, t) == pytest.approx(sum(logit(n, t) for n in nets) / 2, rel=1e-4)
+    assert quality.probability(joined, quality.features(joined, texts[0])) > 0.9 > 0.1 > quality.probability(joined, quality.features(joined, texts[1]))
+
+
 def test_quality_on_held_out_rows(spark, odd, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4

@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import as_bytes, keep_ids, limit_batches, map_texts, to_batch
 
-#: Filters, bytes under a filter, bytes of a block, and blocks of a chunk; chunks overlap by a block.
-FILTERS, WIDTH, BLOCK, CHUNK = 16, 5, 64, 8
-#: Labelled rows to learn from at most, training steps, rows of a step, and step size.
-SAMPLE_ROWS, STEPS, STEP_ROWS, RATE = 2000, 320, 32, 0.01
-#: A byte counts as an echo if the GRAM bytes from it on stood up to REACH bytes before.
-GRAM, REACH = 6, 24
-SYMBOLS = 512
+#: Filters of a member net, members, bytes under a filter, bytes of a block, and blocks of a chunk; chunks overlap by a block.
+FILTERS, MEMBERS, WIDTH, BLOCK, CHUNK = 8, 4, 5, 64, 8
+#: Labelled rows to learn from at most, and bytes of each (longer texts aren't learned from); training steps, rows of a step, and step size.
+SAMPLE_ROWS, LONGEST, STEPS, STEP_ROWS, RATE = 2000, 1 << 20, 480, 32, 0.01
 #: Bytes through the filters at a time.
 SPAN = 1 << 18
 
 
 @dataclass
 class Net:
-    """filters: for each offset and symbol what it adds to each filter; then a linear layer."""
+    """filters: for each offset and byte what it adds to each filter; then a linear layer."""
 
     filters: np.ndarray
     bias: np.ndarray
@@ -32,26 +30,17 @@ class Net:
     out_bias: float
 
 
-def symbols_of(text: bytes) -> np.ndarray:
-    """A symbol for each byte: the byte, plus 256 if it is an echo. Short texts are padded with zeros."""
-    b = np.frombuffer(text + b"\0" * max(0, BLOCK + WIDTH - len(text)), np.uint8)
-    code = np.zeros(len(b) - GRAM + 1, np.int64)
-    for k in range(GRAM):
-        code = code << 8 | b[k : len(b) - GRAM + 1 + k]
-    echo = np.zeros(len(code), bool)
-    for lag in range(1, min(REACH, len(code) - 1) + 1):
-        echo[lag:] |= code[lag:] == code[:-lag]
-    out = b.astype(np.int16)
-    out[: len(echo)][echo] += 256
-    return out
+def bytes_of(text: bytes) -> np.ndarray:
+    """The bytes of a text; short ones are padded with zeros."""
+    return np.frombuffer(text + b"\0" * max(0, BLOCK + WIDTH - len(text)), np.uint8)
 
 
-def responses(net: Net, symbols: np.ndarray) -> np.ndarray:
+def responses(net: Net, b: np.ndarray) -> np.ndarray:
     """Each filter's response at each place, not below 0."""
-    n = len(symbols) - WIDTH + 1
-    r = net.filters[0][symbols[:n]] + net.bias
+    n = len(b) - WIDTH + 1
+    r = net.filters[0][b[:n]] + net.bias
     for k in range(1, WIDTH):
-        r += net.filters[k][symbols[k : n + k]]
+        r += net.filters[k][b[k : n + k]]
     return np.maximum(r, 0, out=r)
 
 
@@ -60,45 +49,39 @@ def chunk_bounds(blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.minimum(starts + CHUNK, blocks)
 
 
-def pool(peak: np.ndarray, total: np.ndarray, n: int) -> np.ndarray:
-    """A text's features: its chunks' peaks, averaged and at their highest, and its mean response.
+def pool(peak: np.ndarray) -> np.ndarray:
+    """A text's features: the peaks of its chunks, averaged and at their highest.
 
-    peak and total are each block's; every chunk spans CHUNK blocks and shares one with the next.
+    peak is each block's; every chunk spans CHUNK blocks and shares one with the next.
     """
     starts, ends = chunk_bounds(len(peak))
     chunks = np.stack([peak[a:b].max(axis=0) for a, b in zip(starts, ends, strict=True)])
-    return np.concatenate([chunks.mean(axis=0), chunks.max(axis=0), total.sum(axis=0) / n])
+    return np.concatenate([chunks.mean(axis=0), chunks.max(axis=0)])
 
 
 def features(net: Net, text: bytes) -> np.ndarray:
     """Features of a whole text, SPAN bytes at a time, so that memory doesn't grow with it."""
-    s = symbols_of(text) if len(text) <= SPAN else None
-    peaks, totals, n = [], [], max(len(text), BLOCK + WIDTH) - WIDTH + 1
+    b = bytes_of(text)
+    n = len(b) - WIDTH + 1
+    peaks = []
     for at in range(0, n, SPAN):
-        if s is not None:
-            part = s
-        else:
-            before = min(at, REACH)
-            part = symbols_of(text[at - before : at + SPAN + WIDTH - 1 + GRAM])[before:][: min(SPAN, n - at) + WIDTH - 1]
-        r = responses(net, part)
-        cuts = np.arange(0, len(r), BLOCK)
-        peaks.append(np.maximum.reduceat(r, cuts))
-        totals.append(np.add.reduceat(r, cuts))
-    return pool(np.concatenate(peaks), np.concatenate(totals), n)
+        r = responses(net, b[at : min(at + SPAN, n) + WIDTH - 1])
+        peaks.append(np.maximum.reduceat(r, np.arange(0, len(r), BLOCK)))
+    return pool(np.concatenate(peaks))
 
 
 def probability(net: Net, feats: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(feats @ net.out + net.out_bias, -60, 60)))
 
 
-def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Net:
+def train_member(texts: list[bytes], labels: list[int], seed: int) -> Net:
     """Fits the filters and the linear layer together by Adam on the logistic loss.
 
     Rows of the rarer label weigh as much in all as half of the others. Without rows of both labels
     the net answers the share of label 1 (or 1/2).
     """
     rng = np.random.default_rng(seed)
-    net = Net(rng.normal(0, 0.15, (WIDTH, SYMBOLS, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), np.zeros(3 * FILTERS), 0.0)
+    net = Net(rng.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS), 0.0)
     y = np.asarray(labels, float)
     if len(set(labels)) < 2:
         share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
@@ -106,14 +89,13 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Net:
         return net
     rare = float(y.mean() < 0.5)
     weight = np.where(y == rare, max(1.0, 0.5 * (y != rare).sum() / (y == rare).sum()), 1.0)
-    net.out = rng.normal(0, 0.1, 3 * FILTERS)
-    grams = [symbols_of(t) for t in texts]
+    net.out = rng.normal(0, 0.1, 2 * FILTERS)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (net.filters, net.bias, net.out)] + [[0.0, 0.0]]
     order = np.concatenate([rng.permutation(len(y)) for _ in range(-(-STEPS * STEP_ROWS // len(y)))])
     for step in range(1, STEPS + 1):
         grads = [np.zeros_like(net.filters), np.zeros_like(net.bias), np.zeros_like(net.out), 0.0]
         for k in order[(step - 1) * STEP_ROWS : step * STEP_ROWS]:
-            _backward(net, grams[k], y[k], weight[k] / STEP_ROWS, grads)
+            _backward(net, bytes_of(texts[k]), y[k], weight[k] / STEP_ROWS, grads)
         rate = RATE * (1 - (step - 1) / STEPS)
         moves = []
         for g, m in zip(grads, moments, strict=True):
@@ -127,51 +109,64 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Net:
     return net
 
 
-def _backward(net: Net, symbols: np.ndarray, y: float, weight: float, grads: list) -> None:
+def _backward(net: Net, b: np.ndarray, y: float, weight: float, grads: list) -> None:
     """Adds one text's gradient. Peaks pass it to the place that they came from."""
-    r = responses(net, symbols)
+    r = responses(net, b)
     n = len(r)
     cuts = np.arange(0, n, BLOCK)
     peak = np.maximum.reduceat(r, cuts)
-    feats = pool(peak, np.add.reduceat(r, cuts), n)
+    feats = pool(peak)
     slope = weight * (probability(net, feats) - y)
     grads[2] += slope * feats
     grads[3] += slope
     back = slope * net.out
-    mean_back, top_back, all_back = back[:FILTERS], back[FILTERS : 2 * FILTERS], back[2 * FILTERS :]
     starts, ends = chunk_bounds(len(peak))
     to_block = np.zeros_like(peak, dtype=float)
     each = np.arange(FILTERS)
-    tops = np.stack([a + peak[a:b].argmax(axis=0) for a, b in zip(starts, ends, strict=True)])
-    for row in tops:
-        to_block[row, each] += mean_back / len(tops)
-    to_block[peak.argmax(axis=0), each] += top_back
-    full = np.zeros((len(cuts) * BLOCK, FILTERS), np.float32)
+    tops = np.stack([a + peak[a:z].argmax(axis=0) for a, z in zip(starts, ends, strict=True)])
+    np.add.at(to_block, (tops, each[None, :]), back[:FILTERS] / len(tops))
+    to_block[peak.argmax(axis=0), each] += back[FILTERS:]
+    full = np.full((len(cuts) * BLOCK, FILTERS), -1, np.float32)
     full[:n] = r
     place = full.reshape(len(cuts), BLOCK, FILTERS).argmax(axis=1) + cuts[:, None]
-    g = np.broadcast_to((all_back / n).astype(np.float32), r.shape).copy()
-    hit = to_block != 0
-    block, which = np.nonzero(hit)
-    np.add.at(g, (place[block, which], which), to_block[block, which].astype(np.float32))
-    g[r <= 0] = 0
-    grads[1] += g.sum(axis=0)
+    block, which = np.nonzero((to_block != 0) & (peak > 0))
+    at, g = place[block, which], to_block[block, which]
+    grads[1] += np.bincount(which, g, FILTERS).astype(np.float32)
     for k in range(WIDTH):
-        order = symbols[k : n + k].astype(np.int64)
-        flat = np.bincount((order[:, None] * FILTERS + each).ravel(), g.ravel(), SYMBOLS * FILTERS)
-        grads[0][k] += flat.reshape(SYMBOLS, FILTERS).astype(np.float32)
+        np.add.at(grads[0][k], (b[at + k], which), g.astype(np.float32))
+
+
+def join_members(nets: list[Net]) -> Net:
+    """One net with the filters of all: its logit is the mean of theirs."""
+    halves = [np.concatenate([n.out[k * FILTERS : (k + 1) * FILTERS] for n in nets]) for k in (0, 1)]
+    return Net(np.concatenate([n.filters for n in nets], axis=2), np.concatenate([n.bias for n in nets]), np.concatenate(halves) / len(nets), float(np.mean([n.out_bias for n in nets])))
+
+
+def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Net:
+    """MEMBERS small nets, each fitted in a task of its own from the same rows and another start, joined."""
+    spark = SparkSession.active()
+    sample = spark.sparkContext.broadcast((texts, labels))
+
+    def fit(batches):
+        for ids in batches:
+            yield pd.DataFrame({"id": ids["id"], "net": [pickle.dumps(train_member(*sample.value, seed + int(k))) for k in ids["id"]]})
+
+    found = spark.range(0, MEMBERS, 1, MEMBERS).mapInPandas(fit, "id long, net binary").collect()
+    return join_members([pickle.loads(r["net"]) for r in sorted(found, key=lambda r: r["id"])])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], list[int]]:
     """At most ``rows`` whole texts with their labels, of the rows of labels that learn_from picks.
 
     A row is drawn by a hash of its id with a chance that gives 1.2 times ``rows``; the ids
-    drawn, bounded so, fetch their texts. Null labels and null ids are left out, a null text is empty.
+    drawn, bounded so, fetch their texts. Null labels, null ids and texts of over LONGEST bytes are
+    left out, a null text is empty.
     """
     usable = labels.where(learn_from & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
     count = usable.count()
     drawn = usable.where(draw < min(1.0, 1.2 * rows / max(1, count))).withColumn("draw", draw)
-    texts = keep_ids(docs.select("doc_id", "text"), drawn, drop=False)
+    texts = keep_ids(docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST), drawn, drop=False)
     found = drawn.join(texts, "doc_id").select("draw", "doc_id", "text", "quality").collect()
     found = sorted(found, key=lambda r: (r["draw"], r["doc_id"], r["text"] or "", r["quality"]))[:rows]
     return [(r["text"] or "").encode() for r in found], [int(r["quality"]) for r in found]
@@ -189,7 +184,7 @@ def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "te
         net = shared.value
         for batch in batches:
             feats = [features(net, t) for t in as_bytes(batch.column(1))]
-            yield to_batch(doc_id=batch.column(0), score=probability(net, np.array(feats).reshape(-1, 3 * FILTERS)))
+            yield to_batch(doc_id=batch.column(0), score=probability(net, np.array(feats).reshape(len(feats), -1)))
 
     return map_texts(docs, work, "doc_id long, score double", F.col(id_col).cast("long"), F.col(text_col))
 
@@ -202,6 +197,6 @@ def of_quality(docs: DataFrame, net: Net, least: float = 0.7, text_col: str = "t
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:
         feats = [features(shared.value, (t or "").encode()) for t in texts.tolist()]
-        return pd.Series(probability(shared.value, np.array(feats).reshape(-1, 3 * FILTERS)) >= least)
+        return pd.Series(probability(shared.value, np.array(feats).reshape(len(feats), -1)) >= least)
 
     return docs.where(good(text_col))

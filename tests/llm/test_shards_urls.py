@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -49,7 +50,7 @@ def test_movement_stays_in_subtrees_whose_weights_change(spark):
 URLS = [
     None, "", "no scheme example.net/en/", "http://", "http://a.example.net/en/x", "https://A.Example.NET/en/x?q=1#f", "http://example.net/de/", "http://foo.net", "http://foo.net/", "http://foo.net:80/x",
     "http://sub.example.com/de/1", "http://example.com/DE/1", "http://xexample.com/de/1", "http://a.org/fr/", "http://a.org/en/", "http://casino.example.com/en/", "http://m.casino-win.example.com/x", "http://mycasinos.com/",
-    "http://u?x=http://casino.net/", "http://u#://y", "ftp://b.net/en", "http://example.net/en", "http://a.org/fr/casino/", "http://é.net/fr/",
+    "http://m.x.example.com/a/CASINO-night", "http://x.com/Jackpot/county/3", "http://ads.site.com/", "http://uploads.site.com/a", "http://s.com/calendar/2020/feed/", "http://s.com/Case/x", "http://s.com/case/x", "http://u?x=http://casino.net/", "http://u#://y", "ftp://b.net/en", "http://example.net/en", "http://a.org/fr/casino/", "http://é.net/fr/",
 ]
 
 
@@ -65,7 +66,7 @@ def judge(url, rules):
 
 
 def test_urls_against_all_rules_one_by_one(spark):
-    rules = [*queries.URL_RULES, url_filter.Rule("no token", "*x*", "block"), url_filter.Rule("ends", "/1^", "allow")]
+    rules = [*queries.URL_RULES, url_filter.Rule("no token", "*x*", "block"), url_filter.Rule("ends", "/1^", "allow"), url_filter.Rule("case", "/Case/", "block")]
     pages = spark.createDataFrame([(k % 20, u, "h") for k, u in enumerate(URLS * 2)], "page_id long, url string, host string").withColumn("token", F.lit("t"))
     got = url_filter.judge_urls(pages, rules)
     want = Counter((k % 20, *judge(u, rules)) for k, u in enumerate(URLS * 2))
@@ -73,6 +74,23 @@ def test_urls_against_all_rules_one_by_one(spark):
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_thousands_of_rules_against_all_one_by_one(spark):
+    rng = random.Random(6)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta", "x1", "x2", "news", "shop"])
+    lines = [f"{rng.choice(['block', 'allow'])} {rng.choice(['^', '||', '/', '', '*'])}{word()}{rng.choice(['^', '.', '/', '-', '*', ''])}{word()}{rng.choice(['^', '', '/*x', '*'])}{rng.choice(['', ' case'])}" for _ in range(3000)]
+    rules = list({r.name: r for r in url_filter.read_rules(["# comment", "", *lines])}.values())
+    urls = [f"http://{word()}.{rng.choice([word(), word().title()])}-{word()}.com/{word()}/{rng.choice(['', word().upper()])}{word()}" for _ in range(300)]
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert len(rules) > 1000 and sum(r["fitted"] is not None for r in got) > 200
+    assert {(r["page_id"], r["host"], r["path"], r["fitted"], r["verdict"]) for r in got} == {(k, *judge(u, rules)) for k, u in enumerate(urls)}
+
+
+def test_an_own_name_of_the_url_column(spark):
+    pages = spark.createDataFrame([("a", "http://x.net/", "nothing"), ("b", None, "nothing")], "page string, address string, url string")
+    got = url_filter.judge_urls(pages, queries.URL_RULES, "page", "address").collect()
+    assert {(r["page_id"], r["host"], r["verdict"]) for r in got} == {("a", "x.net", "block"), ("b", "", "allow")}
+
+
 def test_many_rules_give_the_same_without_broadcast(spark, monkeypatch):
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
     plain = sorted(map(str, url_filter.judge_urls(pages, queries.URL_RULES).collect()))

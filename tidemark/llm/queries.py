@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from tidemark.llm.order_minhash import compare_with_edits
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.sharding import assign_shards, even_topology
 from tidemark.llm.simhash import near_duplicates
-from tidemark.llm.url_filter import Rule, judge_urls
+from tidemark.llm.url_filter import Rule, judge_urls, read_rules
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -82,19 +84,26 @@ def op5_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), even_topology(8))
 
 
-#: The contract's rules (host and path), then what the method adds: words of spam hosts.
+#: The contract's rules (host and path), then what the method adds: the list of rules beside this module.
 URL_RULES = [
     Rule("net/", "||net/", "block", 1),
     Rule("example.net/en/", "||example.net/en/", "allow", 1),
     Rule("example.com/de/", "||example.com/de/", "block", 1),
     Rule("org/fr/", "||org/fr/", "allow", 1),
-    *(Rule(f"spam:{word}", f"^{word}^", "block") for word in ("bets", "betting", "bonus", "casino", "jackpot", "loans", "pills", "porn", "viagra", "xxx")),
+    *read_rules((Path(__file__).parent / "url_rules.txt").read_text().splitlines()),
 ]
 
 
+def listed_sql(host_path: str) -> str:
+    """DuckDB SQL: the verdict of the listed rules, tried one by one. The longest that fits wins, block before allow."""
+    ranked = sorted((r for r in URL_RULES if r.tier == 0), key=lambda r: (-len(r.pattern.removeprefix("||")), r.verdict != "block"))
+    quote = lambda text: "'" + text.replace("'", "''") + "'"
+    return "CASE " + " ".join(f"WHEN regexp_matches({host_path}, {quote(r.regex())}) THEN '{r.verdict}'" for r in ranked) + " ELSE 'allow' END"
+
+
 @query(
     "op10_url_filter",
-    r"""
+    rf"""
     WITH r AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
     p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
@@ -104,8 +113,7 @@ URL_RULES = [
                          WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM p)
     SELECT page_id, host, path, rule,
            CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-                WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9])(bets|betting|bonus|casino|jackpot|loans|pills|porn|viagra|xxx)($|[^A-Za-z0-9])') THEN 'block'
-                ELSE 'allow' END AS verdict
+                ELSE {listed_sql("host || path")} END AS verdict
     FROM q
     """,
 )

@@ -20,7 +20,7 @@ class Rule:
 
     ``*`` is any run of characters, ``^`` one character other than a letter or digit, or either
     end; a leading ``||`` holds the pattern to the start of the host or of one of its labels.
-    All else is literal. Of the rules that fit, the one of the highest tier wins, then the
+    All else is literal; ASCII case counts only if ``case`` says so. Of the rules that fit, the one of the highest tier wins, then the
     longest, then block before allow, then the first by name.
     """
 
@@ -28,11 +28,12 @@ class Rule:
     pattern: str
     verdict: str
     tier: int = 0
+    case: bool = True
 
     def regex(self) -> str:
         body = self.pattern.removeprefix("||")
         parts = [{"*": ".*", "^": "(?:^|$|[^A-Za-z0-9])"}.get(c, re.sub(r"([^A-Za-z0-9])", r"\\\1", c)) for c in body]
-        return (r"^(?:[^/]*\.)?" if body != self.pattern else "") + "".join(parts)
+        return ("" if self.case else "(?i)") + (r"^(?:[^/]*\.)?" if body != self.pattern else "") + "".join(parts)
 
     def tokens(self) -> list[str]:
         """The literal tokens that every URL which the rule fits has as whole tokens."""
@@ -40,9 +41,16 @@ class Rule:
         return sorted({m[0] for m in re.finditer(r"[a-z0-9]+", text) if text[: m.start()][-1:] not in ("", "*") and text[m.end() :][:1] not in ("", "*")})
 
 
+def read_rules(lines: list[str]) -> list[Rule]:
+    """Rules from lines of verdict, pattern and, where case counts, the word "case"; named by their pattern. # begins a comment."""
+    parts = [p for line in lines if (p := line.split()) and not line.startswith("#")]
+    return [Rule(pattern, pattern, verdict, 0, "case" in more) for verdict, pattern, *more in parts]
+
+
 def host_and_path(url: Column) -> dict[str, Column]:
     """host: from the first :// up to /, ? or #, A-Z lower-cased; path: from there up to ? or #."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substr({0}, instr({0}, '://') + 3)".format("url")))
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substr(url, at + 3))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return {"host": ascii_lower(F.coalesce(host, F.lit(""))), "path": F.coalesce(path, F.lit(""))}
@@ -61,7 +69,8 @@ def index_rules(urls: DataFrame, rules: list[Rule]) -> list[tuple]:
     so the counts are as many as those at most.
     """
     wanted = sorted({t for r in rules for t in r.tokens()})
-    seen = urls.select(F.explode(url_tokens(F.concat("host", "path"))).alias("token")).where(F.col("token").isin(wanted)).groupBy("token").count()
+    known = urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
+    seen = urls.select(F.explode(url_tokens(F.concat("host", "path"))).alias("token")).join(F.broadcast(known) if len(wanted) <= 4 * BROADCAST_RULES else known, "token").groupBy("token").count()
     count = {row["token"]: row["count"] for row in seen.collect()} if wanted else {}
     rarest = lambda r: min(r.tokens(), key=lambda t: (count.get(t, 0), -len(t), t), default="")
     ranked = sorted(rules, key=lambda r: (r.verdict != "block", r.name))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, fields
 
 import numpy as np
 
 #: Width of embeddings and state, classes of words, tokens of a training and of a scoring window.
 WIDTH, CLASSES, TRAIN_WINDOW, SCORE_WINDOW = 16, 32, 24, 64
-#: Texts that go side by side, and Adam's step size.
-LANES_TRAIN, LANES_SCORE, RATE = 256, 1024, 0.012
+#: Lanes of texts side by side at most, and at least; Adam's step size.
+LANES_TRAIN, LANES_SCORE, LEAST_LANES, RATE = 128, 512, 32, 0.008
 
 
 @dataclass
@@ -75,13 +76,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def run(net: Gru, ids: np.ndarray, h: np.ndarray, keep: bool = False):
-    """States (time, lane, WIDTH) after each of ids (time, lane), and what a backward pass needs."""
+def run(net: Gru, ids: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, keep: bool = False):
+    """States (time, lane, WIDTH) after each of ids (time, lane), and what a backward pass needs.
+
+    fresh (time, lane) says where a text begins: there the state is 0.
+    """
     table = net.inputs @ net.into + net.bias
     states = np.empty((*ids.shape, WIDTH), np.float32)
     kept = []
     d = WIDTH
+    begins = fresh.any(axis=1) if fresh is not None else np.zeros(len(ids), bool)
     for t in range(len(ids)):
+        if begins[t]:
+            h = np.where(fresh[t][:, None], np.float32(0), h)
         x = table[ids[t]]
         u = h @ net.state
         gates = sigmoid(x[:, : 2 * d] + u[:, : 2 * d])
@@ -134,37 +141,68 @@ def log_likelihood(net: Gru, states: np.ndarray, targets: np.ndarray, grads: Gru
     return out, back
 
 
-def lanes_of(texts: list[np.ndarray], lanes: int):
-    """Groups of at most ``lanes`` texts of like length, longest first: their places and ids (time, lane)."""
-    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-    for k in range(0, len(order), lanes):
-        yield order[k : k + lanes]
+@dataclass
+class Lanes:
+    """Texts side by side, and in each lane one after the other: (time, lane) matrices, longest lane first.
+
+    ids are a lane's tokens, texts the number of the text that each belongs to, fresh where one
+    begins; sizes are the lanes' lengths.
+    """
+
+    ids: np.ndarray
+    texts: np.ndarray
+    fresh: np.ndarray
+    sizes: np.ndarray
+
+    def windows(self, end: int, window: int):
+        """(given, targets, texts, fresh, mask) of each window; lanes that are over are left out."""
+        for at in range(0, len(self.ids), window):
+            live = int(np.count_nonzero(self.sizes > at))
+            part = slice(at, at + window)
+            given = np.empty_like(self.ids[part, :live])
+            given[1:] = self.ids[part, :live][:-1]
+            given[0] = self.ids[at - 1, :live] if at else end
+            mask = np.arange(at, at + len(given))[:, None] < self.sizes[None, :live]
+            yield given, self.ids[part, :live], self.texts[part, :live], self.fresh[part, :live], mask
+
+
+def side_by_side(texts: list[np.ndarray], most: int) -> Lanes:
+    """Longest first, each text goes to the lane that is shortest; as many lanes as the longest text fits into all, ``most`` at most.
+
+    Every text ends with the end token, so the token before a text is always the end.
+    """
+    sizes = np.array([len(t) for t in texts])
+    lanes = int(np.clip(sizes.sum() // max(1, sizes.max()), min(LEAST_LANES, len(texts)), most))
+    heap = [(0, lane) for lane in range(lanes)]
+    own: list[list[int]] = [[] for _ in range(lanes)]
+    for k in np.argsort(-sizes, kind="stable").tolist():
+        length, lane = heap[0]
+        own[lane].append(k)
+        heapq.heapreplace(heap, (length + int(sizes[k]), lane))
+    own.sort(key=lambda ks: -sum(int(sizes[k]) for k in ks))
+    lengths = np.array([sizes[ks].sum() for ks in own])
+    ids, text, fresh = (np.zeros((int(lengths[0]), lanes), kind) for kind in (np.int32, np.int32, bool))
+    for lane, ks in enumerate(own):
+        if ks:
+            ids[: lengths[lane], lane] = np.concatenate([texts[k] for k in ks])
+            text[: lengths[lane], lane] = np.repeat(ks, sizes[ks])
+            fresh[np.cumsum(np.append(0, sizes[ks[:-1]])), lane] = True
+    return Lanes(ids, text, fresh, lengths)
 
 
 def score(net: Gru, texts: list[np.ndarray], end: int) -> np.ndarray:
     """log10 P of each text's ids, of which the last is ``end``, given that an end came before.
 
-    Texts of like length go side by side, in windows; a lane's state goes on from window to
-    window through its whole text, and a lane leaves when its text is over.
+    A lane's state goes on from window to window through each whole text.
     """
     out = np.zeros(len(texts))
-    for group in lanes_of(texts, LANES_SCORE):
-        sizes = np.array([len(texts[k]) for k in group])
-        h = np.zeros((len(group), WIDTH), np.float32)
-        previous = np.full(len(group), end, np.int64)
-        for at in range(0, int(sizes[0]) if len(sizes) else 0, SCORE_WINDOW):
-            live = int(np.count_nonzero(sizes > at))
-            span = min(SCORE_WINDOW, int(sizes[0]) - at)
-            target = np.zeros((live, span), np.int64)
-            real = np.minimum(sizes[:live] - at, span)
-            for lane, k in enumerate(group[:live]):
-                target[lane, : real[lane]] = texts[k][at : at + span]
-            given = np.concatenate([previous[:live, None], target[:, :-1]], axis=1)
-            states, h, _ = run(net, given.T, h[:live])
-            previous = target[:, -1]
-            mask = np.arange(span)[None, :] < real[:, None]
-            logp, _ = log_likelihood(net, states.transpose(1, 0, 2)[mask], target[mask])
-            out[group[:live]] += np.add.reduceat(logp, np.cumsum(np.append(0, real[:-1])))
+    if not texts:
+        return out
+    h = np.zeros((LANES_SCORE, WIDTH), np.float32)
+    for given, target, text, fresh, mask in side_by_side(texts, LANES_SCORE).windows(end, SCORE_WINDOW):
+        states, h, _ = run(net, given, h[: given.shape[1]], fresh)
+        logp, _ = log_likelihood(net, states[mask], target[mask])
+        out += np.bincount(text[mask], logp, len(texts))
     return out / np.log(10)
 
 
@@ -177,25 +215,14 @@ class Trainer:
 
     def fit(self, texts: list[np.ndarray], end: int) -> None:
         """One pass: windows of TRAIN_WINDOW tokens, the state carried on, the gradient cut between windows."""
-        for group in lanes_of(texts, LANES_TRAIN):
-            sizes = np.array([len(texts[k]) for k in group])
-            h = np.zeros((len(group), WIDTH), np.float32)
-            previous = np.full(len(group), end, np.int64)
-            for at in range(0, int(sizes[0]), TRAIN_WINDOW):
-                live = int(np.count_nonzero(sizes > at))
-                span = min(TRAIN_WINDOW, int(sizes[0]) - at)
-                target = np.zeros((live, span), np.int64)
-                real = np.minimum(sizes[:live] - at, span)
-                for lane, k in enumerate(group[:live]):
-                    target[lane, : real[lane]] = texts[k][at : at + span]
-                given = np.concatenate([previous[:live, None], target[:, :-1]], axis=1)
-                h = self.step(given.T, h[:live], target.T, (np.arange(span)[None, :] < real[:, None]).T)
-                previous = target[:, -1]
-
-    def step(self, given: np.ndarray, h: np.ndarray, target: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        h = np.zeros((LANES_TRAIN, WIDTH), np.float32)
+        for given, target, _, fresh, mask in side_by_side(texts, LANES_TRAIN).windows(end, TRAIN_WINDOW) if texts else ():
+            h = self.step(given, h[: given.shape[1]], target, mask, fresh)
+
+    def step(self, given: np.ndarray, h: np.ndarray, target: np.ndarray, mask: np.ndarray, fresh: np.ndarray | None = None) -> np.ndarray:
         net, d = self.net, WIDTH
         grads = Gru(*(np.zeros_like(getattr(net, f.name)) for f in fields(net)))
-        states, last, kept = run(net, given, h, keep=True)
+        states, last, kept = run(net, given, h, fresh, keep=True)
         _, back = log_likelihood(net, states[mask], target[mask], grads)
         to_states = np.zeros_like(states)
         to_states[mask] = back
@@ -213,6 +240,8 @@ class Trainer:
             du[t, :, : 2 * d] = dx[t, :, : 2 * d]
             du[t, :, 2 * d :] = dnew * r[t]
             dh = dh * z[t] + du[t] @ net.state.T
+            if fresh is not None:
+                dh[fresh[t]] = 0
         grads.state += before.reshape(-1, d).T @ du.reshape(-1, 3 * d)
         ids = given.ravel()
         order = np.argsort(ids, kind="stable")

@@ -18,7 +18,7 @@ TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Words of the net with the end, and words whose counts every task gets, at most.
 NET_WORDS, HEAD_WORDS = 1024, 200_000
 #: Tail classes of the words that the net doesn't tell apart, and the bytes at a word's end that decide its class.
-TAILS, ENDING = 96, 3
+TAILS, ENDING = 64, 3
 #: Rounds of training; each training document is in one of them.
 ROUNDS = 2
 #: Words that a task counts before it hands them on, and weights in a row when nets are averaged.

@@ -142,7 +142,11 @@ def test_fold(spark, raw, out):
 
 def test_company_core_and_keys(spark):
     assert one(spark, text.company_core(F.lit("Northwind Holdings, Inc."))) == "northwind"
-    assert one(spark, text.company_core(F.lit("Global Group"))) == "global group"
+    assert one(spark, text.company_core(F.lit("Global Group"))) == "global"
+    assert one(spark, text.company_core(F.lit("Capital One & Co."))) == "capital one" and one(spark, text.company_normal(F.lit("The Brightwater Therapeutics, Inc."))) == "brightwater therapeutics"
+    assert one(spark, text.person_normal(F.lit("Dr. Henrik Sørensen, PhD"))) == "henrik sorensen" == one(spark, text.person_normal(F.lit("Sørensen, Henrik <h@x.io>")))
+    alike = lambda a, b: one(spark, text.token_set_similarity(F.split(F.lit(a), " "), F.split(F.lit(b), " ")))
+    assert alike("aurelius", "aurelius pharma") == 1.0 and alike("lumen pharma", "pharma") == 0.5
     assert one(spark, text.action_key(F.lit("Send the signed contracts to Ada"))) == one(spark, text.action_key(F.lit("ada: contract sign send")))
 
 

@@ -14,9 +14,18 @@ FOLDS = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ø": "o", "ł": "l", "
 # Accented Latin letters and the letters below the accents.
 ACCENTED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįıñńňòóôõöōőŕřśšťùúûüūůűųýÿźżžğ"
 PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiiiinnnooooooorrsstuuuuuuuuyyzzzg"
-# Words that say what kind of company a name belongs to.
-LEGAL = ["inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "gmbh", "ag", "sa", "sarl", "bv", "nv", "plc", "lp", "llp", "as", "aps", "ab", "oy"]
-GENERIC = ["group", "holding", "holdings", "international", "global", "partners", "capital", "ventures", "labs", "technologies", "technology", "systems", "solutions", "services"]
+# Endings of names that say what legal form a company has, and words that say what kind it is of.
+LEGAL = (
+    "inc incorporated ltd limited llc llp lp gmbh ag sa sas sarl plc corp corporation co nv bv srl spa kk oy ab as pty pte kgaa se"
+).split()
+GENERIC = (
+    "pharma pharmaceutical pharmaceuticals pharmaceutica bio biotech biologics bioscience biosciences biopharma therapeutics sciences science life health healthcare medical oncology "
+    "labs laboratories laboratory ventures venture capital partners fund funds investments holdings group global international instruments technologies technology systems solutions "
+    "cloud institute university hospital foundation research and company"
+).split()
+# Titles before a person's name, and what may follow it.
+TITLES = "dr prof professor mr mrs ms miss mx sir dame herr frau mme mlle".split()
+DEGREES = "phd md mba msc bsc dphil pharmd jr sr ii iii iv esq frcp facc".split()
 # Words that carry no action.
 STOP = (
     "a an the to for of and or with on in at by from as is are be been being our your my their his her its we i you they he she it me us them "
@@ -40,10 +49,40 @@ def words(text: Column, longer_than: int = 0) -> Column:
     return found
 
 
+def without_last(names: Column, dropped: list[str], least: int = 1) -> Column:
+    """An array without the words of ``dropped`` that end it; at least ``least`` words stay."""
+    last = F.array_max(F.transform(names, lambda w, k: F.when(w.isin(dropped), F.lit(0)).otherwise(k + 1)))
+    return F.slice(names, 1, F.greatest(F.coalesce(last, F.lit(0)), F.least(F.size(names), F.lit(least))))
+
+
+def company_words(name: Column) -> Column:
+    """The words of a company's normal form: & and + read as "and", no leading "the", no legal form at the end."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(fold(name), "[&+]", " and "), "['’`]", ""), "[^a-z0-9]+", " ")
+    plain = F.regexp_replace(F.regexp_replace(F.trim(plain), "^the ", ""), " a s$", " as")
+    each = F.filter(F.split(plain, " "), lambda w: w != "")
+    return without_last(each, [*LEGAL, "and"])
+
+
+def company_normal(name: Column) -> Column:
+    return F.array_join(company_words(name), " ")
+
+
 def company_core(name: Column) -> Column:
-    """A company's name without legal forms and kinds; all of it if nothing else is left."""
-    kept = F.filter(words(name), lambda w: ~w.isin(LEGAL + GENERIC))
-    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(F.array_join(words(name), " "))
+    """A company's name without legal form and without the generic words that end it; one word stays at least."""
+    return F.array_join(without_last(company_words(name), GENERIC), " ")
+
+
+def person_words(name: Column) -> Column:
+    """The words of a person's name: no address, brackets, titles or degrees; "Last, First" the right way round."""
+    bare = fold(F.regexp_replace(name, r"<[^>]*>|\([^)]*\)|[\"“”]", " "))
+    bare = F.regexp_replace(bare, rf"(?:[\s,]+(?:{'|'.join(DEGREES)}|ph\.?\s?d|m\.d|m\.sc)\.?)+$", "")
+    turned = F.regexp_replace(bare, r"^([^,]+),\s*([^,]+)$", "$2 $1")
+    plain = F.regexp_replace(F.regexp_replace(turned, rf"^(?:(?:{'|'.join(TITLES)})\.?\s+)+", ""), "['’`]", "")
+    return F.filter(F.split(F.regexp_replace(plain, "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+
+def person_normal(name: Column) -> Column:
+    return F.array_join(person_words(name), " ")
 
 
 def light_stem(word: Column) -> Column:
@@ -105,12 +144,14 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 
 
 def token_set_similarity(a: Column, b: Column) -> Column:
-    """The best ratio between the sorted shared words and those with each side's rest."""
+    """The best ratio between the sorted shared words and those with each side's rest; 0 without words, and 0.5 at most if all that is shared is generic."""
     both = F.array_sort(F.array_intersect(a, b))
     join = lambda rest: F.trim(F.array_join(F.concat(both, F.array_sort(rest)), " "))
     common, left, right = F.array_join(both, " "), join(F.array_except(a, b)), join(F.array_except(b, a))
     best = F.greatest(levenshtein_ratio(common, left), levenshtein_ratio(common, right), levenshtein_ratio(left, right))
-    return F.when(F.size(both) > 0, best).otherwise(levenshtein_ratio(left, right))
+    capped = F.when(F.forall(both, lambda w: w.isin(GENERIC)), F.least(best, F.lit(0.5))).otherwise(best)
+    alike = F.when(F.size(both) > 0, capped).otherwise(levenshtein_ratio(left, right))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), alike).otherwise(F.lit(0.0))
 
 
 def jaro(a: str, b: str) -> float:

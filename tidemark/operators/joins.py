@@ -57,19 +57,15 @@ def for_all(parents: DataFrame, children: DataFrame, on: str, holds: Column) ->
 def family(edges: DataFrame, roots: DataFrame, most: int = 6) -> DataFrame:
     """(root, node, depth) of all that hangs below each root in edges (parent, child), down to ``most`` levels.
 
-    Level by level; a node that a root has reached already isn't followed again, so cycles end.
+    A level is joined from the one before alone, each node once; a node that is reached again
+    farther down keeps its least depth, so cycles do no harm.
     """
-    reached = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth"))
-    level = reached
+    level = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
+    reached = level
     for depth in range(1, most + 1):
-        level = (
-            level.join(edges, level.node == edges.parent)
-            .select("root", F.col("child").alias("node"), F.lit(depth).alias("depth"))
-            .distinct()
-            .join(reached.select("root", "node"), ["root", "node"], "left_anti")
-        )
+        level = level.join(edges, level.node == edges.parent).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
         reached = reached.unionByName(level)
-    return reached
+    return reached.groupBy("root", "node").agg(F.min("depth").alias("depth"))
 
 
 def neighbours(edges: DataFrame, node: Column, limit: int) -> DataFrame:
@@ -85,8 +81,10 @@ def opposite_pairs(df: DataFrame, key: list[str], amount: str, account: str, id_
 
     A key's legs (day, currency, size) are matched by themselves, in order of id: an outgoing leg
     takes the first free incoming one of another account. Keys with legs of one sign only are left
-    out before the shuffle's rows reach Python; there a partition's keys stream by, incoming legs
-    first, and only one key's free legs are held, a queue for each account.
+    out. Where one account pays and one other receives, that is the n-th of one with the n-th of
+    the other, a join on their numbers. Only keys on which more accounts meet reach Python, where
+    a partition's keys stream by, incoming legs first, and one key's free legs are held, a queue
+    for each account.
     """
 
     def match(batches):
@@ -104,24 +102,48 @@ def opposite_pairs(df: DataFrame, key: list[str], amount: str, account: str, id_
 
     value = F.col(amount)
     legs = df.select(F.to_json(F.struct(*key, F.abs(value).alias("size"))).alias("key"), value.alias("amount"), F.col(account).alias("account"), F.col(id_col).alias("id")).where(value != 0)
-    both = legs.groupBy("key").agg(F.min("amount").alias("low"), F.max("amount").alias("high")).where("low < 0 AND high > 0")
-    paired = legs.join(both.select("key"), "key", "left_semi").repartition("key").sortWithinPartitions("key", F.col("amount") < 0, "id")
-    return paired.mapInPandas(match, "out_id long, in_id long")
+    out = F.when(F.col("amount") < 0, F.col("account"))
+    into = F.when(F.col("amount") > 0, F.col("account"))
+    kinds = legs.groupBy("key").agg(F.min(out).alias("o1"), F.max(out).alias("o2"), F.min(into).alias("i1"), F.max(into).alias("i2")).where("o1 IS NOT NULL AND i1 IS NOT NULL")
+    kinds = kinds.select("key", F.expr("o1 = o2 AND i1 = i2 AND o1 <> i1").alias("plain")).where("NOT (o1 = o2 AND i1 = i2 AND o1 = i1)")
+    both = legs.join(kinds, "key")
+    number = F.row_number().over(Window.partitionBy("key", F.col("amount") < 0).orderBy("id"))
+    numbered = both.where("plain").withColumn("n", number)
+    payers = numbered.where("amount < 0").select("key", "n", F.col("id").cast("long").alias("out_id"))
+    takers = numbered.where("amount > 0").select("key", "n", F.col("id").cast("long").alias("in_id"))
+    paired = both.where("NOT plain").drop("plain").repartition("key").sortWithinPartitions("key", F.col("amount") < 0, "id")
+    return payers.join(takers, ["key", "n"]).select("out_id", "in_id").unionByName(paired.mapInPandas(match, "out_id long, in_id long"))
 
 
 def bag_difference(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """What changed between two bags of (key, value): values on one side only, paired by their order within a key.
 
     (key, old, new); old null for what was added, new null for what is gone. Values on both sides
-    as often as on the other cancel out.
+    as often as on the other cancel out. Copies are counted and subtracted; only what is left
+    over becomes rows, numbered from its values' counts.
     """
-
-    def numbered(df: DataFrame, name: str) -> DataFrame:
-        return df.select(key, value, F.row_number().over(Window.partitionBy(key, value).orderBy(value)).alias("__copy"))
-
-    a, b = numbered(before, "old"), numbered(after, "new")
-    same = [key, value, "__copy"]
-    place = F.row_number().over(Window.partitionBy(key).orderBy(value, "__copy"))
-    gone = a.join(b, same, "left_anti").select(key, F.col(value).alias("old"), place.alias("__n"))
-    come = b.join(a, same, "left_anti").select(key, F.col(value).alias("new"), place.alias("__n"))
-    return gone.join(come, [key, "__n"], "full").select(key, "old", "new")
+    signed = before.select(key, value, F.lit(1).alias("__n")).unionByName(after.select(key, value, F.lit(-1).alias("__n")))
+    left = signed.groupBy(key, value).agg(F.sum("__n").alias("__n")).where("__n <> 0")
+    upto = F.sum(F.abs("__n")).over(Window.partitionBy(key, F.col("__n") > 0).orderBy(value))
+    left = left.withColumn("__upto", upto)
+    placed = left.select(key, value, "__n", F.explode(F.sequence(F.col("__upto") - F.abs("__n") + 1, "__upto")).alias("__place"))
+    gone = placed.where("__n > 0").select(key, "__place", F.col(value).alias("old"))
+    come = placed.where("__n < 0").select(key, "__place", F.col(value).alias("new"))
+    return gone.join(come, [key, "__place"], "full").select(key, "old", "new")
+
+
+def jaccard_pairs(df: DataFrame, key: str, id_col: str, tokens: str, least: float) -> DataFrame:
+    """(key, a, b, likeness) of rows of one key, a < b, whose token sets have a Jaccard likeness of ``least`` or more.
+
+    Prefix filter: in one order of all tokens (long ones first, which are rare), two such sets
+    share a token among the first size - ceil(least * size) + 1 of each. So only pairs that share
+    one of these are made, not all of a key.
+    """
+    ordered = F.transform(F.array_sort(F.transform(F.array_distinct(tokens), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"])
+    sets = df.select(key, id_col, ordered.alias("__set")).where("size(__set) > 0")
+    first = F.slice("__set", 1, F.size("__set") - F.ceil(F.size("__set") * F.lit(least)).cast("int") + 1)
+    side = lambda name: sets.select(key, F.col(id_col).alias(name), F.col("__set").alias(f"__{name}"), F.explode(first).alias("__token"))
+    met = side("a").join(side("b"), [key, "__token"]).where("a < b").dropDuplicates([key, "a", "b"])
+    shared = F.size(F.array_intersect("__a", "__b"))
+    likeness = shared / (F.size("__a") + F.size("__b") - shared)
+    return met.select(key, "a", "b", likeness.alias("likeness")).where(F.col("likeness") >= least)

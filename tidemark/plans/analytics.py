@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import rounding, scoring, text
-from tidemark.operators import groups, series
+from tidemark.operators import groups, percentiles, series
 from tidemark.plans.registry import query, table
 
 TODAY = "2001-08-01"
@@ -31,7 +31,7 @@ def priority_sql() -> str:
     points = {k: f"floor(({factor[k]})::DOUBLE * {float(w)}::DOUBLE / 5 * 10 + 0.5) / 10" for k, w in scoring.PRIORITY_WEIGHTS.items()}
     times = """CASE priority WHEN 'P0' THEN 1.1::DOUBLE WHEN 'P1' THEN 1.04::DOUBLE WHEN 'P3' THEN 0.85::DOUBLE ELSE 1 END * CASE WHEN goal_status IN ('AT_RISK', 'OFF_TRACK') THEN 1.05::DOUBLE ELSE 1 END
         * CASE WHEN uniqueness <= 2 THEN 0.85::DOUBLE ELSE 1 END * CASE status WHEN 'BLOCKED' THEN 0.93::DOUBLE WHEN 'WAITING' THEN 0.8::DOUBLE ELSE 1 END"""
-    return f"""WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1), o AS (SELECT orders.*, coalesce(n, 0) AS n FROM orders LEFT JOIN l ON l_orderkey = o_orderkey WHERE o_orderkey < 3000),
+    return f"""WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), o AS (SELECT orders.*, coalesce(n, 0) AS n FROM orders LEFT JOIN l ON l_orderkey = o_orderkey),
         t AS (SELECT o_orderkey, {", ".join(f"{v} AS {k}" for k, v in TASK.items())} FROM o), p AS (SELECT *, {", ".join(f"{v} AS {k}_points" for k, v in points.items())} FROM t)
         SELECT o_orderkey, {", ".join(f"{k}_points" for k in points)}, greatest(0, least(100, floor((({" + ".join(f"{k}_points" for k in points)}) * {times} + CASE WHEN postponed >= 3 THEN 3 ELSE 0 END) * 10 + 0.5) / 10)) AS score FROM p"""
 
@@ -39,8 +39,8 @@ def priority_sql() -> str:
 @query("q37_priority_score", priority_sql())
 def q37(spark, sf):
     """A task's score: factors rounded one by one, multipliers in their order, points for slippage last."""
-    lines = table(spark, sf, "lineitem").where("l_orderkey < 3000").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    orders = table(spark, sf, "orders").where("o_orderkey < 3000")
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    orders = table(spark, sf, "orders")
     base = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
     tasks = base.select("o_orderkey", *(F.expr(v).alias(k) for k, v in TASK.items()))
     t = {k: F.col(k) for k in TASK}
@@ -148,14 +148,16 @@ def q41(spark, sf):
     orders = table(spark, sf, "orders").where(F.expr(f"o_orderdate >= {start} AND o_orderdate < timestamp'2001-08-01'")).withColumn("now", F.expr(f"o_orderdate >= {middle}"))
     now, before = F.col("now"), ~F.col("now")
     of = lambda c, p: F.when(p, F.col(c))
-    return orders.agg(
+    mids = percentiles.exact_percentiles(orders, ["now"], F.col("o_totalprice"), {"mid": 0.5})
+    mid = mids.agg(F.round(F.max(of("mid", now)), 2).alias("mid"), F.round(F.max(of("mid", before)), 2).alias("mid_before"))
+    figures = orders.agg(
         F.count_if(now).alias("orders"), F.count_if(before).alias("orders_before"),
         F.round(F.sum(of("o_totalprice", now)), 2).alias("amount"), F.round(F.sum(of("o_totalprice", before)), 2).alias("amount_before"),
         F.countDistinct(of("o_custkey", now)).alias("buyers"), F.countDistinct(of("o_custkey", before)).alias("buyers_before"),
-        F.round(F.median(of("o_totalprice", now)), 2).alias("mid"), F.round(F.median(of("o_totalprice", before)), 2).alias("mid_before"),
         rounding.percent(F.count_if(now & (F.col("o_orderstatus") == "F")), F.count_if(now)).alias("won_pct"),
         (F.count_if(now) - F.count_if(before)).alias("change"),
     )
+    return figures.crossJoin(mid)  # a row each
 
 
 @query(
@@ -179,13 +181,16 @@ def q42(spark, sf):
 
 @query(
     "q43_stage_rollup_names",
-    """SELECT o_orderstatus AS stage, count(*) AS n, round(sum(o_totalprice), 2) AS amount, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) FILTER (o_totalprice > 400000) AS names FROM orders WHERE o_custkey < 500 GROUP BY 1""",
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders)
+       SELECT o_orderstatus AS stage, count(*) AS n, round(sum(o_totalprice), 2) AS amount, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY k) FILTER (k <= 20) AS names FROM r GROUP BY 1""",
 )
 def q43(spark, sf):
-    """Count, sum and sorted names of each stage."""
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("o_totalprice") > 400000, F.col("o_orderkey")))), lambda k: k.cast("string")), ",")
-    staged = table(spark, sf, "orders").where("o_custkey < 500").groupBy(F.col("o_orderstatus").alias("stage"))
-    return staged.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("amount"), names.alias("names")).withColumn("names", F.when(F.col("names") != "", F.col("names")))
+    """Count and sum of each stage, and the names of its twenty largest."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("stage"), "o_orderkey", "o_totalprice")
+    totals = orders.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("amount"))
+    top = groups.top_per_group(orders, ["stage"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 20, "place")
+    listed = top.groupBy("stage").agg(F.array_sort(F.collect_list(F.struct("place", "o_orderkey"))).alias("top"))
+    return totals.join(listed, "stage").select("stage", "n", "amount", F.array_join(F.transform("top", lambda t: t["o_orderkey"].cast("string")), ",").alias("names"))
 
 
 @query(
@@ -264,13 +269,12 @@ def q46d(spark, sf):
 
 @query(
     "q46e_first_from_last_to",
-    """SELECT user_id, arg_min(event_type, ts) AS first_type, arg_max(event_type, ts) AS last_type, count(*) AS moves FROM (SELECT user_id, event_type, ts FROM events QUALIFY count(*) OVER (PARTITION BY user_id, ts) = 1) GROUP BY 1""",
+    "SELECT user_id, first(event_type ORDER BY ts, event_id) AS first_type, last(event_type ORDER BY ts, event_id) AS last_type, count(*) AS moves FROM events GROUP BY 1",
 )
 def q46e(spark, sf):
-    """Where each thread began and ended, and in how many moves."""
-    events = table(spark, sf, "events").select("user_id", "event_type", "ts")
-    alone = events.groupBy("user_id", "ts").agg(F.first("event_type").alias("event_type"), F.count("*").alias("n")).where("n = 1")
-    return alone.groupBy("user_id").agg(F.min_by("event_type", "ts").alias("first_type"), F.max_by("event_type", "ts").alias("last_type"), F.count("*").alias("moves"))
+    """Where each thread began and ended, and in how many moves; of moves at one instant the id decides."""
+    at = F.struct("ts", "event_id")
+    return table(spark, sf, "events").groupBy("user_id").agg(F.min_by("event_type", at).alias("first_type"), F.max_by("event_type", at).alias("last_type"), F.count("*").alias("moves"))
 
 
 @query(

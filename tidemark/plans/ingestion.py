@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
-from tidemark.operators import groups, search, security, upsert
+from tidemark.operators import groups, percentiles, search, security, upsert
 from tidemark.plans.registry import query, table
 from tidemark.sources import html
 
@@ -267,16 +267,17 @@ def q61(spark, sf):
 @query(
     "q62_job_health",
     """WITH j AS (SELECT event_type AS kind, CASE WHEN value > 90 THEN 'failed' WHEN value > 70 THEN 'retrying' ELSE 'done' END AS state, value, ts, event_id FROM events)
-       SELECT kind, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'retrying') AS retrying, count(*) FILTER (state = 'failed') AS failed, round(avg(value) FILTER (state = 'done'), 4) AS mean, round(quantile_cont(value, 0.95) FILTER (state = 'done'), 4) AS p95, arg_max(state, ts) AS latest FROM (SELECT * FROM j QUALIFY count(*) OVER (PARTITION BY kind, ts) = 1) GROUP BY 1""",
+       SELECT kind, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'retrying') AS retrying, count(*) FILTER (state = 'failed') AS failed, round(avg(value) FILTER (state = 'done'), 4) AS mean, round(quantile_cont(value, 0.95) FILTER (state = 'done'), 4) AS p95, last(state ORDER BY ts, event_id) AS latest FROM j GROUP BY 1""",
 )
 def q62(spark, sf):
     """Ingestion health by kind of job: counts by state, mean and p95 of those done, the latest state."""
     state = F.when(F.col("value") > 90, "failed").when(F.col("value") > 70, "retrying").otherwise("done")
-    jobs = table(spark, sf, "events").select(F.col("event_type").alias("kind"), state.alias("state"), "value", "ts")
-    alone = jobs.withColumn("n", F.count("*").over(Window.partitionBy("kind", "ts"))).where("n = 1")
+    jobs = table(spark, sf, "events").select(F.col("event_type").alias("kind"), state.alias("state"), "value", "ts", "event_id")
     n = lambda s: F.count_if(F.col("state") == s).alias(s)
     done = F.when(F.col("state") == "done", F.col("value"))
-    return alone.groupBy("kind").agg(n("done"), n("retrying"), n("failed"), F.round(F.avg(done), 4).alias("mean"), F.round(F.percentile(done, 0.95), 4).alias("p95"), F.max_by("state", "ts").alias("latest"))
+    p95 = percentiles.exact_percentiles(jobs, ["kind"], done, {"p95": 0.95}).select("kind", F.round("p95", 4).alias("p95"))
+    totals = jobs.groupBy("kind").agg(n("done"), n("retrying"), n("failed"), F.round(F.avg(done), 4).alias("mean"), F.max_by("state", F.struct("ts", "event_id")).alias("latest"))
+    return totals.join(p95, "kind", "left")
 
 
 @query(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, rounding, text
-from tidemark.operators import groups, joins, security, series
+from tidemark.operators import groups, joins, percentiles, security, series
 from tidemark.plans.registry import query, table
 
 AS_OF = "2001-08-01"
@@ -159,7 +160,9 @@ def q12b(spark, sf):
 )
 def q13(spark, sf):
     """Mean and exact, interpolated 95th percentile of durations by stage."""
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.percentile("value", 0.95), 4).alias("p95"))
+    events = table(spark, sf, "events").select("event_type", "value")
+    p95 = percentiles.exact_percentiles(events, ["event_type"], F.col("value"), {"p95": 0.95}).select("event_type", F.round("p95", 4).alias("p95"))
+    return events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean")).join(p95, "event_type", "left")
 
 
 @query(
@@ -276,15 +279,14 @@ def q24(spark, sf):
 
 @query(
     "q24b_null_order",
-    """SELECT doc_id, toxic, row_number() OVER (ORDER BY toxic ASC NULLS LAST, doc_id) AS place FROM (SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)) ORDER BY toxic ASC NULLS LAST, doc_id LIMIT 60""",
+    """SELECT doc_id, toxic, row_number() OVER (ORDER BY toxic ASC NULLS LAST, doc_id) AS place, count(*) OVER () > 60 AS more FROM (SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)) ORDER BY toxic ASC NULLS LAST, doc_id LIMIT 60""",
 )
 def q24b(spark, sf):
     """A sort with nulls last, cut to 60 rows, with a flag for more: limit + 1 rows are read."""
     labelled = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
-    first = labelled.orderBy(F.asc_nulls_last("toxic"), "doc_id").limit(60)
-    from pyspark.sql import Window
-
-    return first.select("doc_id", "toxic", F.row_number().over(Window.orderBy(F.asc_nulls_last("toxic"), "doc_id")).alias("place"))
+    first = labelled.orderBy(F.asc_nulls_last("toxic"), "doc_id").limit(61)
+    placed = first.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("toxic"), "doc_id"))).withColumn("more", F.count("*").over(Window.partitionBy()) > 60)
+    return placed.where("place <= 60").select("doc_id", "toxic", "place", "more")
 
 
 @query(

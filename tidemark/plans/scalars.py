@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, rounding, scoring, text
+from tidemark.functions import date_phrases, dates, rounding, scoring, text
 from tidemark.operators import resolution
 from tidemark.plans.registry import query, table
 
@@ -29,12 +29,13 @@ def q64(spark, sf):
 
 @query(
     "q65_business_days",
-    """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(o_orderkey % 9 AS INT) AS n FROM orders WHERE o_orderkey < 5000)
-       SELECT o_orderkey, strftime((SELECT max(x) FROM (SELECT x, row_number() OVER (ORDER BY x) AS k FROM (SELECT CAST(unnest(generate_series(o.day + INTERVAL 1 DAY, o.day + INTERVAL 20 DAY, INTERVAL 1 DAY)) AS DATE) AS x) WHERE isodow(x) < 6) WHERE k <= o.n), '%Y-%m-%d') AS due FROM o WHERE n > 0""",
+    """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(o_orderkey % 9 AS INT) AS n FROM orders),
+            s AS (SELECT day, CAST(unnest(generate_series(day + INTERVAL 1 DAY, day + INTERVAL 20 DAY, INTERVAL 1 DAY)) AS DATE) AS x FROM (SELECT DISTINCT day FROM o)), w AS (SELECT day, x, row_number() OVER (PARTITION BY day ORDER BY x) AS n FROM s WHERE isodow(x) < 6)
+       SELECT o_orderkey, strftime(x, '%Y-%m-%d') AS due FROM o JOIN w ON o.day = w.day AND o.n = w.n""",
 )
 def q65(spark, sf):
     """So many workdays after an order, in closed form; the oracle counts them off."""
-    orders = table(spark, sf, "orders").where("o_orderkey < 5000").select("o_orderkey", F.to_date("o_orderdate").alias("day"), (F.col("o_orderkey") % 9).cast("int").alias("n"))
+    orders = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), (F.col("o_orderkey") % 9).cast("int").alias("n"))
     return orders.where("n > 0").select("o_orderkey", dates.day_key(dates.add_business_days(F.col("day"), F.col("n"))).alias("due"))
 
 
@@ -103,15 +104,58 @@ def q70(spark, sf):
 
 @query(
     "q71_entity_resolution",
-    """WITH m AS (SELECT c_custkey AS mention_id, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) WHEN c_custkey % 3 = 1 THEN 'cust ' || c_custkey ELSE 'zzz' END AS name FROM customer WHERE c_custkey <= 300)
-       SELECT mention_id, CASE WHEN mention_id % 3 < 2 THEN mention_id END AS entity_id, CASE mention_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'alias' ELSE 'none' END AS how FROM m""",
+    """SELECT c_custkey AS mention_id, CASE WHEN c_custkey % 4 < 3 THEN c_custkey END AS entity_id, CASE c_custkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'alias' WHEN 2 THEN 'fuzzy' ELSE 'none' END AS how FROM customer""",
 )
 def q71(spark, sf):
-    """Mentions resolved to customers by name, by alias, or not at all."""
+    """Mentions resolved to customers by name, by alias, in spite of a letter left out, or not at all."""
     k = F.col("c_custkey")
-    some = table(spark, sf, "customer").where("c_custkey <= 300")
-    name = F.when(k % 3 == 0, F.upper("c_name")).when(k % 3 == 1, F.concat(F.lit("cust "), k.cast("string"))).otherwise("zzz")
-    mentions = some.select(k.alias("mention_id"), name.alias("name"))
-    directory = some.select(k.alias("entity_id"), F.col("c_name").alias("name"))
-    aliases = some.select(k.alias("entity_id"), F.concat(F.lit("Cust "), k.cast("string")).alias("alias"))
+    every = table(spark, sf, "customer")
+    slip = F.concat(F.left("c_name", F.lit(3)), F.substring("c_name", 5, 100))
+    name = F.when(k % 4 == 0, F.upper("c_name")).when(k % 4 == 1, F.concat(F.lit("cust "), k.cast("string"))).when(k % 4 == 2, slip).otherwise("zzz")
+    mentions = every.select(k.alias("mention_id"), name.alias("name"))
+    directory = every.select(k.alias("entity_id"), F.col("c_name").alias("name"))
+    aliases = every.select(k.alias("entity_id"), F.concat(F.lit("Cust "), k.cast("string")).alias("alias"))
     return resolution.resolve_entities(mentions, directory, aliases).select("mention_id", "entity_id", "how")
+
+
+PHRASES = [
+    ("by tomorrow", "d + 1"), ("in two weeks", "d + 14"), ("within 30 days", "d + 30"), ("by the end of the month", "last_day(d)"), ("end of next month", "last_day(CAST(d + INTERVAL 1 MONTH AS DATE))"),
+    ("by end of the year", "CAST(make_date(year(d), 12, 31) AS DATE)"), ("next Tuesday", "d + CAST((8 - isodow(d)) % 7 + 1 AS INT)"), ("on Friday", "d + CAST((12 - isodow(d)) % 7 AS INT)"), ("early next week", "d + CAST(8 - isodow(d) AS INT)"),
+    ("by 1999-03-04", "DATE '1999-03-04'"), ("October 14th, 1998", "DATE '1998-10-14'"), ("in 3 months", "CAST(d + INTERVAL 3 MONTH AS DATE)"),
+]
+
+
+@query(
+    "q78_date_phrases",
+    "WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders) SELECT o_orderkey, strftime(CASE o_orderkey % 12 "
+    + " ".join(f"WHEN {k} THEN {day}" for k, (_, day) in enumerate(PHRASES))
+    + " END, '%Y-%m-%d') AS due, o_orderkey % 12 IN (0, 2, 3, 5, 9) AS firm FROM o",
+)
+def q78(spark, sf):
+    """The day that a sentence of each order names, relative to the day it was placed, and whether it binds."""
+    phrase = F.element_at(F.array(*(F.lit(p) for p, _ in PHRASES)), (F.col("o_orderkey") % 12 + 1).cast("int"))
+    said = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("Please send the papers "), phrase, F.lit(".")).alias("text"), F.to_date("o_orderdate").alias("day"))
+    found = said.select("o_orderkey", date_phrases.deadline(date_phrases.date_phrases("text", "day")).alias("due"))
+    return found.select("o_orderkey", dates.day_key(F.col("due.day")).alias("due"), F.col("due.firm").alias("firm"))
+
+
+@query(
+    "q79_fulfilments",
+    """SELECT o_orderkey AS promise_id, l_linenumber AS line, CASE l_linenumber % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'review' WHEN 3 THEN 'review' END AS verdict
+       FROM orders JOIN (SELECT l_orderkey, l_linenumber, max(l_shipdate) AS l_shipdate FROM lineitem GROUP BY 1, 2) ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate AND l_linenumber % 4 <> 2""",
+)
+def q79(spark, sf):
+    """Promises that later messages of their thread, or of their party elsewhere, deliver."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    promises = orders.select(F.col("o_orderkey").alias("promise_id"), F.concat(F.lit("Send pricing sheet "), F.col("o_orderkey").cast("string")).alias("title"), F.col("o_orderkey").alias("thread"), F.col("o_orderkey").alias("party"), F.col("o_orderdate").alias("made_at"))
+    k = F.col("l_orderkey").cast("string")
+    body = F.element_at(F.array(
+        F.concat(F.lit("We've just shared the pricing sheet "), k), F.concat(F.lit("Attached: the sheet "), k), F.concat(F.lit("Lunch on order "), k), F.concat(F.lit("About pricing and sheet "), k),
+    ), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    thread = F.when(F.col("l_linenumber") % 4 == 1, -1).otherwise(F.col("l_orderkey"))
+    messages = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_shipdate").alias("l_shipdate")).select(
+        F.struct("l_orderkey", "l_linenumber").alias("message_id"), body.alias("body"), thread.alias("thread"), F.col("l_orderkey").alias("party"), F.col("l_shipdate").alias("sent_at")
+    )
+    found = resolution.fulfilments(promises, messages)
+    return found.select("promise_id", F.col("message_id.l_linenumber").alias("line"), "verdict")

@@ -8,9 +8,9 @@ from dataclasses import dataclass, fields
 import numpy as np
 
 #: Width of embeddings and state, classes of words, tokens of a training and of a scoring window.
-WIDTH, CLASSES, TRAIN_WINDOW, SCORE_WINDOW = 16, 32, 24, 64
+WIDTH, CLASSES, TRAIN_WINDOW, SCORE_WINDOW = 16, 24, 32, 64
 #: Lanes of texts side by side at most, and at least; Adam's step size.
-LANES_TRAIN, LANES_SCORE, LEAST_LANES, RATE = 128, 512, 32, 0.008
+LANES_TRAIN, LANES_SCORE, LEAST_LANES, RATE = 192, 512, 32, 0.012
 
 
 @dataclass
@@ -101,9 +101,17 @@ def run(net: Gru, ids: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = Non
     return states, h, kept
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def choice(x: np.ndarray, chosen: np.ndarray, grads: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The log of each row's softmax at chosen, and the gradient of its negative (x is overwritten)."""
+    rows = np.arange(len(x))
+    x -= x.max(axis=1, keepdims=True)
+    out = x[rows, chosen]
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    if grads:
+        x /= total[:, None]
+        x[rows, chosen] -= 1
+    return out - np.log(total), x
 
 
 def log_likelihood(net: Gru, states: np.ndarray, targets: np.ndarray, grads: Gru | None = None):
@@ -111,33 +119,33 @@ def log_likelihood(net: Gru, states: np.ndarray, targets: np.ndarray, grads: Gru
     members = net.members
     words = net.word_bias.shape[0]
     kind = np.where(targets < words * members, targets // members, targets - words * (members - 1))
-    logp = log_softmax(states @ net.by_class + net.class_bias)
-    rows = np.arange(len(targets))
-    out = logp[rows, kind].astype(np.float64)
+    own_class = np.argsort(kind, kind="stable")
+    states, kind, targets = states[own_class], kind[own_class], targets[own_class]
+    logp, g = choice(states @ net.by_class + net.class_bias, kind, grads is not None)
+    sorted_out = logp.astype(np.float64)
     back = None
     if grads is not None:
-        g = np.exp(logp)
-        g[rows, kind] -= 1
         grads.by_class += states.T @ g
         grads.class_bias += g.sum(axis=0)
         back = g @ net.by_class.T
-    order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(words + 1))
+    edges = np.searchsorted(kind, np.arange(words + 1))
     for c in range(words):
-        own = order[edges[c] : edges[c + 1]]
-        if not own.size:
+        a, b = edges[c], edges[c + 1]
+        if a == b:
             continue
-        place = targets[own] - c * members
-        s = states[own]
-        logq = log_softmax(s @ net.by_word[c] + net.word_bias[c])
-        at = np.arange(len(own))
-        out[own] += logq[at, place]
+        s = states[a:b]
+        logq, g = choice(s @ net.by_word[c] + net.word_bias[c], targets[a:b] - c * members, grads is not None)
+        sorted_out[a:b] += logq
         if grads is not None:
-            g = np.exp(logq)
-            g[at, place] -= 1
             grads.by_word[c] += s.T @ g
             grads.word_bias[c] += g.sum(axis=0)
-            back[own] += g @ net.by_word[c].T
+            back[a:b] += g @ net.by_word[c].T
+    out = np.empty_like(sorted_out)
+    out[own_class] = sorted_out
+    if back is not None:
+        unsorted = np.empty_like(back)
+        unsorted[own_class] = back
+        back = unsorted
     return out, back
 
 

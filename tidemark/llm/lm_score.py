@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,7 @@ class Vocabulary:
     tail_tokens: np.ndarray
     tail_kinds: np.ndarray
     place: dict | None = field(default=None, repr=False)
+    id_of: dict | None = field(default=None, repr=False)
 
     def __post_init__(self):
         inside = min(len(self.words), NET_WORDS - 1)
@@ -91,17 +93,17 @@ class Vocabulary:
         """Each word's place among the head words, or -1."""
         if self.place is None:
             self.place = {w: k for k, w in enumerate(self.words)}
-        get = self.place.get
-        return np.array([get(w, -1) for w in words], np.int64)
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
 
-    def net_ids(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
+    def net_ids(self, words: list[bytes]) -> np.ndarray:
         """The net's ids of a text's words and of the end."""
-        ids = np.empty(len(places) + 1, np.int64)
-        known = places >= 0
-        ids[:-1][known] = self.ids[places[known]]
-        lacking = np.flatnonzero(~known)
-        ids[lacking] = [self.first_tail + tail_of(words[k]) for k in lacking.tolist()]
+        if self.id_of is None:
+            self.id_of = dict(zip(self.words, self.ids.tolist(), strict=True))
+        ids = np.empty(len(words) + 1, np.int64)
+        ids[:-1] = np.fromiter(map(self.id_of.get, words, repeat(-1)), np.int64, len(words))
         ids[-1] = self.end
+        lacking = np.flatnonzero(ids < 0)
+        ids[lacking] = [self.first_tail + tail_of(words[k]) for k in lacking.tolist()]
         return ids
 
 
@@ -156,7 +158,7 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", id_col: st
             vocab = known.value
             trainer, tokens = gru.Trainer(shared.value), 0
             for batch in batches:
-                texts = [vocab.net_ids(words, vocab.look_up(words)) for words in map(words_of, as_bytes(batch.column(0)))]
+                texts = [vocab.net_ids(words_of(t)) for t in as_bytes(batch.column(0))]
                 trainer.fit(texts, vocab.end)
                 tokens += sum(map(len, texts))
             if tokens:
@@ -214,7 +216,7 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
                 words = words_of(text)
                 places = vocab.look_up(words)
                 inside = places[places >= 0]
-                ids = vocab.net_ids(words, places)
+                ids = vocab.net_ids(words)
                 texts.append(ids.astype(np.int32))
                 rare = log_count[inside[vocab.ids[inside] >= vocab.first_tail]].sum() - log_tail[ids[ids >= vocab.first_tail] - vocab.first_tail].sum()
                 tail = [words[k] for k in np.flatnonzero(places < 0).tolist()] if len(inside) < len(words) else []

@@ -48,3 +48,17 @@ def since_last(df: DataFrame, keys: list[str], order: str, event: Column) -> Dat
     """The rows after each group's last event; all rows of a group without one."""
     last = F.max(F.when(event, F.col(order))).over(Window.partitionBy(*keys))
     return df.withColumn("__last", last).where(F.col("__last").isNull() | (F.col(order) > F.col("__last"))).drop("__last")
+
+
+def first_that_has_rows(frames: list[DataFrame]) -> DataFrame:
+    """The rows of the first of several frames of one schema that isn't empty. Each is looked at for one row only."""
+    every = None
+    for k, df in enumerate(frames):
+        one = df.withColumn("__k", F.lit(k))
+        every = one if every is None else every.unionByName(one)
+    found = [df.limit(1).select(F.lit(k).alias("__first")) for k, df in enumerate(frames)]
+    first = found[0]
+    for df in found[1:]:
+        first = first.unionByName(df)
+    least = first.agg(F.min("__first").alias("__first"))
+    return every.join(F.broadcast(least), F.col("__k") == F.col("__first")).drop("__k", "__first")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import calendar
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date, timedelta
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +92,152 @@ def grouped_results(hits: DataFrame, plan: SearchPlan, order: list[Column]) -> D
     chosen = hits.where(F.col("type").isin(*plan.types)) if plan.types else hits
     ranked = chosen.withColumn("place", F.row_number().over(Window.partitionBy("type").orderBy(*order))).where(F.col("place") <= per + 1)
     return ranked.withColumn("more", F.max("place").over(Window.partitionBy("type")) > per).where(F.col("place") <= per)
+
+
+@dataclass(frozen=True)
+class Query:
+    """A web-style query: clauses that must all hold, each a choice of phrases (tuples of stems), and phrases that must not."""
+
+    clauses: tuple[tuple[tuple[str, ...], ...], ...]
+    without: tuple[tuple[str, ...], ...] = ()
+
+    @staticmethod
+    def parse(text: str) -> Query:
+        """Words and "phrases"; OR between two makes them a choice, a leading - excludes. Words are stemmed when matched."""
+        clauses: list[list[tuple[str, ...]]] = []
+        without: list[tuple[str, ...]] = []
+        joins = False
+        for minus, quoted, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text):
+            if word == "OR" and clauses:
+                joins = True
+                continue
+            phrase = tuple(re.findall(r"[a-z0-9]+", (quoted or word).lower()))
+            if not phrase:
+                continue
+            if minus:
+                without.append(phrase)
+            elif joins:
+                clauses[-1].append(phrase)
+            else:
+                clauses.append([phrase])
+            joins = False
+        return Query(tuple(map(tuple, clauses)), tuple(without))
+
+    def words(self) -> list[str]:
+        return sorted({w for c in (*self.clauses, self.without) for p in c for w in p})
+
+
+def match_query(docs: DataFrame, id_col: str, text_col: str, query: Query, noise: Column | None = None) -> DataFrame:
+    """(id, rank) of the documents that a query fits; rank is the number of wanted words in it, 0.3 of that for noise.
+
+    One scan: words are exploded with their places, and only those whose stem the query has (a
+    few, broadcast) are shuffled, to their document. Phrases are told by the places.
+    """
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame([(w,) for w in query.words()] or [], "raw string").select("raw", light_stem(F.col("raw")).alias("term"))
+    each = docs.select(F.col(id_col).alias("id"), (noise if noise is not None else F.lit(False)).alias("noise"), F.posexplode(F.split(F.regexp_replace(F.lower(F.col(text_col)), "[^a-z0-9]+", " "), " ")).alias("at", "word"))
+    hits = each.select("id", "noise", "at", light_stem(F.col("word")).alias("term")).join(F.broadcast(wanted), "term")
+    found = hits.groupBy("id", "noise").agg(F.collect_set(F.struct("raw", "at")).alias("hits"))
+    places = lambda w: F.transform(F.filter("hits", lambda h: h["raw"] == w), lambda h: h["at"])
+
+    def back_by(k: int) -> Callable[[Column], Column]:
+        return lambda at: at - k
+
+    def has(phrase: tuple[str, ...]) -> Column:
+        starts = [F.transform(places(w), back_by(k)) for k, w in enumerate(phrase)]
+        return F.size(reduce(F.array_intersect, starts)) > 0
+
+    fits = all_of([reduce(lambda a, b: a | b, map(has, clause)) for clause in query.clauses])
+    fits = fits & all_of([~has(p) for p in query.without])
+    asked = [w for c in query.clauses for p in c for w in p]
+    weight = sum((F.size(places(w)) for w in sorted(set(asked))), F.lit(0))
+    return found.where(fits).select("id", (weight * F.when(F.col("noise"), 0.3).otherwise(1.0)).alias("rank"))
+
+
+def headline(text: Column, stems: list[str], words: int = 16, fragments: int = 2) -> Column:
+    """Up to two fragments of ``words`` words around hits, the hits in brackets, joined by an ellipsis. For the few best hits only."""
+    each = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    is_hit = lambda w: light_stem(F.regexp_replace(F.lower(w), "[^a-z0-9]+", "")).isin(stems)
+    marked = F.transform(each, lambda w: F.when(is_hit(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
+    at = F.filter(F.transform(each, lambda w, k: F.when(is_hit(w), k + 1)), lambda k: k.isNotNull())
+    first = F.coalesce(F.get(at, F.lit(0)), F.lit(1))
+    start = F.greatest(F.lit(1), first - words // 4)
+    second = F.get(F.filter(at, lambda k: k >= start + words), F.lit(0))
+    fragment = lambda a: F.array_join(F.slice(marked, a, words), " ")
+    return F.concat_ws(" … ", fragment(start), *([F.when(second.isNotNull(), fragment(F.coalesce(second, F.lit(1))))] if fragments > 1 else []))
+
+
+def result_order(mode: str) -> list[Column]:
+    """How results of a type are put in order: by relevance, newest, due (a missing date last) or open_first; hits have rank, at, due, open and id."""
+    return {
+        "relevance": [F.desc("rank"), F.asc("id")],
+        "newest": [F.desc_nulls_last("at"), F.asc("id")],
+        "due": [F.asc_nulls_last("due"), F.desc("rank"), F.asc("id")],
+        "open_first": [F.desc("open"), F.desc("rank"), F.asc("id")],
+    }[mode]
+
+
+def fetch_all(fetchers: dict[str, Callable[[], DataFrame]], columns: list[str]) -> tuple[DataFrame | None, dict[str, str]]:
+    """The hits of every fetcher with their type, and the errors of those that can't be planned; one failing leaves the others be."""
+    hits, failed = None, {}
+    for kind, fetch in fetchers.items():
+        try:
+            one = fetch().select(F.lit(kind).alias("type"), *columns)
+        except AnalysisException as error:
+            failed[kind] = error.getCondition() or "error"
+            continue
+        hits = one if hits is None else hits.unionByName(one)
+    return hits, failed
+
+
+def ordered_groups(hits: DataFrame, per_type: int, modes: dict[str, str], intents: list[str], default: str = "relevance") -> DataFrame:
+    """hits cut to per_type of each type in the type's own order, with ``place``, and ``group_place``: types of the intent list first, in its order, then by best hit."""
+    parts = None
+    for mode in sorted({default, *modes.values()}):
+        own = [t for t, m in modes.items() if m == mode]
+        rows = hits.where(F.col("type").isin(own) if mode != default else (~F.col("type").isin([t for t, m in modes.items() if m != default]) | F.col("type").isin(own)))
+        placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("type").orderBy(*result_order(mode)))).where(F.col("place") <= per_type)
+        parts = placed if parts is None else parts.unionByName(placed)
+    best = parts.groupBy("type").agg(F.max("rank").alias("best"))
+    ordinal = F.coalesce(F.create_map(*(F.lit(x) for k, t in enumerate(intents) for x in (t, k)))[F.col("type")] if intents else F.lit(None).cast("int"), F.lit(len(intents)))
+    groups = best.withColumn("group_place", F.row_number().over(Window.orderBy(ordinal, F.desc("best"), "type"))).drop("best")  # a row for each type
+    return parts.join(F.broadcast(groups), "type")
+
+
+def time_range(phrase: str, today: date) -> tuple[date, date] | None:
+    """First and last day of "last 7 days", "next 2 weeks", "this month", "since monday", "today" and the like; None if it names none."""
+    words = phrase.lower().split()
+    monday = today - timedelta(today.weekday())
+    first = lambda d: d.replace(day=1)
+    shift = lambda d, n: date(d.year + (d.month - 1 + n) // 12, (d.month - 1 + n) % 12 + 1, 1)
+    if words in (["today"], ["yesterday"], ["tomorrow"]):
+        day = today + timedelta({"today": 0, "yesterday": -1, "tomorrow": 1}[words[0]])
+        return day, day
+    if words == ["recent"] or words == ["recently"]:
+        return today - timedelta(30), today
+    if len(words) == 3 and words[0] in ("last", "past", "next") and words[1].isdigit():
+        n, unit = int(words[1]), words[2].rstrip("s")
+        if unit not in ("day", "week", "month"):
+            return None
+        if unit == "month":
+            other = shift(today, n if words[0] == "next" else -n)
+            edge = other.replace(day=min(today.day, (shift(other, 1) - timedelta(1)).day))
+        else:
+            edge = today + timedelta((n if words[0] == "next" else -n) * (7 if unit == "week" else 1))
+        return (today, edge) if words[0] == "next" else (edge, today)
+    if len(words) == 2 and words[0] in ("this", "next", "last"):
+        n = {"last": -1, "this": 0, "next": 1}[words[0]]
+        if words[1] == "week":
+            return monday + timedelta(7 * n), monday + timedelta(7 * n + 6)
+        if words[1] == "month":
+            return shift(first(today), n), shift(first(today), n + 1) - timedelta(1)
+        if words[1] == "quarter":
+            start = shift(first(today), -((today.month - 1) % 3) + 3 * n)
+            return start, shift(start, 3) - timedelta(1)
+    if len(words) == 2 and words[0] == "since":
+        names = [n.lower() for n in calendar.day_name]
+        if words[1] in names:
+            return today - timedelta((today.weekday() - names.index(words[1])) % 7 or 7), today
+        if re.fullmatch(r"\d{4}-\d\d-\d\d", words[1]):
+            return date.fromisoformat(words[1]), today
+    return None

@@ -66,7 +66,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from tidemark.plans import analytics, boards, hard_joins, ingestion, relational, scalars  # noqa: F401
+    from tidemark.plans import analytics, boards, hard_joins, ingestion, relational, scalars, searching  # noqa: F401
 
 
 load()

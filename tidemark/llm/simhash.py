@@ -14,7 +14,7 @@ from tidemark.llm.components import components
 SEED, WORDS, BITS, LINK = 42, 3, 64, 3
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Shingles hashed at a time, and fingerprints of a shard that one task compares.
-STEP, SHARD = 1 << 16, 4096
+STEP, SHARD = 1 << 16, 2048
 #: Fingerprints below which a tree compares all with all.
 LEAF = 192
 #: Distances in a ring, and by how much a level of rings divides a shard of 32-bit halves.
@@ -205,7 +205,7 @@ def link_within(bits: np.ndarray, radius: int = LINK, leaf: int = LEAF) -> np.nd
 
 def levels_for(count: int, most: int) -> int:
     """Levels of vantage points after which a shard is expected to have well under ``most`` of count fingerprints."""
-    return max(1, round(np.log(max(1, 8 * count / most)) / np.log(PER_LEVEL)))
+    return max(1, round(np.log(max(1, 4 * count / most)) / np.log(PER_LEVEL)))
 
 
 def vantage_shards(nodes: DataFrame, levels: int, halves: int = 2, radius: int = LINK) -> DataFrame:
@@ -275,7 +275,7 @@ def near_links(nodes: DataFrame, radius: int = LINK, halves: int = 2, most: int
 
     nodes has distinct ``bits``. A shard yields a star for each component in it, not its pairs.
     """
-    shards = split_large(vantage_shards(nodes, levels_for(nodes.count(), most), halves, radius), most, radius)
+    shards = split_large(cut(vantage_shards(nodes, levels_for(nodes.count(), most), halves, radius)), most, radius)
     dealt = shards.repartition(shuffle_partitions(nodes.sparkSession), "shard").sortWithinPartitions("shard", "bits")
 
     def work(batches):

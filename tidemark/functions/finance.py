@@ -13,7 +13,8 @@ def profit_rows(report: dict) -> list[tuple[str, float, float, float, bool]]:
     """(month, income, expenses, net, complete) of a profit-and-loss report.
 
     Groups are found at any depth, the first of a name counts; a total column is left out; an
-    empty cell is 0; a missing net income is income less expenses.
+    empty cell is 0; a missing net income is income less cost of goods and expenses, with other
+    income and expenses.
     """
     columns = report.get("Columns", [])
     months = []
@@ -39,11 +40,12 @@ def profit_rows(report: dict) -> list[tuple[str, float, float, float, bool]]:
         except ValueError:
             return 0.0
 
-    income, expenses, net = (find(report.get("Rows", []), g) for g in ("Income", "Expenses", "NetIncome"))
+    income, expenses, net, cogs, more, less = (find(report.get("Rows", []), g) for g in ("Income", "Expenses", "NetIncome", "COGS", "OtherIncome", "OtherExpenses"))
     out = []
     for k, month, whole in months:
-        i, e, n = cell(income, k) or 0.0, cell(expenses, k) or 0.0, cell(net, k)
-        out.append((month, i, e, i - e if n is None else n, whole))
+        i, e, c, m, x = (cell(group, k) or 0.0 for group in (income, expenses, cogs, more, less))
+        n = cell(net, k)
+        out.append((month, i, e, i - c - e + m - x if n is None else n, whole))
     return out
 
 

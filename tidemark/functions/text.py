@@ -218,6 +218,13 @@ def evidence_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def decoded(raw: Column) -> Column:
+    """Bytes as text: a byte-order mark decides, else UTF-8 if the bytes are that, else Latin-1; the mark goes."""
+    start = lambda n: F.hex(F.substring(raw, 1, n))
+    marked = F.when(start(3) == "EFBBBF", F.decode(F.substring(raw, 4, 1 << 30), "UTF-8")).when(start(2).isin("FEFF", "FFFE"), F.decode(raw, "UTF-16"))
+    return marked.when(F.is_valid_utf8(raw.cast("string")), F.decode(raw, "UTF-8")).otherwise(F.decode(raw, "ISO-8859-1"))
+
+
 def domain_of(email: Column) -> Column:
     """The part after the @, lower case; null if there is none."""
     return F.when(email.contains("@"), F.lower(F.trim(F.substring_index(email, "@", -1))))

@@ -97,12 +97,12 @@ def decode_header(texts: pd.Series) -> pd.Series:
 
 def base_subject(subject: Column) -> Column:
     """A subject without reply and forward marks."""
-    return F.trim(F.regexp_replace(subject, r"(?i)^(\s*(re|fwd?|aw|wg|sv|tr)\s*(\[\d+\])?:\s*)+", ""))
+    return F.trim(F.regexp_replace(subject, r"(?i)^(\s*(re|r|fwd?|aw|antw|wg|sv|vs|tr|rv)\s*(\[\d+\])?:\s*)+", ""))
 
 
 def is_automated(sender: Column) -> Column:
     """Senders that no one reads: no-reply, notifications and the like."""
-    return F.lower(sender).rlike(r"^(no-?reply|do-?not-?reply|notifications?|mailer-daemon|postmaster|alerts?|updates?|bounce)([+._-].*)?@")
+    return F.lower(sender).rlike(r"^(no-?reply|do-?not-?reply|notifications?|mailer-daemon|postmaster|alerts?|updates?|bounces?|newsletters?|notify|calendar|invitations?|automated|system)([+._-].*)?@")
 
 
 def direction(sender: Column, own_domains: list[str]) -> Column:

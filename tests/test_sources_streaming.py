@@ -49,6 +49,8 @@ def test_xml_and_html(spark, tmp_path):
     assert sorted(tuple(r) for r in files.read_xml(spark, str(tmp_path / "x.xml"), "item", "id int, n string").collect()) == [(1, "a"), (2, "b")]
     page = "<head><title>t</title></head><p>One &amp; two</p><div>three<br>four</div><script>x</script>"
     assert spark.range(1).select(html.to_text(F.lit(page)).alias("t")).first()["t"] == "One & two\nthree\nfour"
+    page = "<title>no</title><ul><li>a<b>b</b>c</li><li>d &#233;&#x1F600;</li></ul><!-- <p>gone</p> --><template>t</template><table><tr><td>x</td><td>y</td></tr></table>"
+    assert spark.range(1).select(html.to_text(F.lit(page)).alias("t")).first()["t"] == "- abc\n- d é😀\nx y"
 
 
 def test_mail(spark):

@@ -225,6 +225,27 @@ def decoded(raw: Column) -> Column:
     return marked.when(F.is_valid_utf8(raw.cast("string")), F.decode(raw, "UTF-8")).otherwise(F.decode(raw, "ISO-8859-1"))
 
 
+# What a signal is, by the first kind of which its text has a word that begins so, or a phrase.
+SIGNALS = [
+    ("escalation", ["escalat", "urgent", "unacceptable", "breach"], []),
+    ("approval_request", ["approv"], []),
+    ("hiring_decision", [], ["offer", "candidate", "competing offer"]),
+    ("investor_request", [], ["term sheet", "diligence", "data room", "investment committee"]),
+    ("decision_request", [], ["decide", "decision", "go no-go"]),
+    ("commitment", [], ["we will", "i will", "i'll", "commit to", "committed to", "by monday", "by tuesday", "by wednesday", "by thursday", "by friday"]),
+    ("response_needed", [], ["please reply", "please confirm", "please advise", "can you", "let me know", "need your"]),
+    ("risk", ["risk", "delay", "slip", "concern", "churn"], []),
+    ("opportunity", ["opportunit"], ["interested in", "would like to partner", "credits"]),
+]
+
+
+def signal_kind(body: Column, otherwise: str = "development") -> Column:
+    """The first kind of SIGNALS whose words a text has."""
+    said = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.translate(F.lower(body), "/’", " '"), F.lit("([a-z0-9'-]+)"), 1), " "), F.lit(" "))
+    any_of = lambda needles: reduce(lambda a, b: a | b, [F.contains(said, F.lit(n)) for n in needles])
+    return F.coalesce(*(F.when(any_of([f" {s}" for s in starts] + [f" {p} " for p in phrases]), kind) for kind, starts, phrases in SIGNALS), F.lit(otherwise))
+
+
 def domain_of(email: Column) -> Column:
     """The part after the @, lower case; null if there is none."""
     return F.when(email.contains("@"), F.lower(F.trim(F.substring_index(email, "@", -1))))

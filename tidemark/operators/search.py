@@ -68,15 +68,23 @@ def match_all(index: DataFrame, plan: SearchPlan) -> DataFrame:
     return hits
 
 
-def cascade(docs: DataFrame, index: DataFrame, id_col: str, text_col: str, plan: SearchPlan) -> DataFrame:
-    """(id, tier): 1 for whole stems, 2 for words that begin with the terms, 3 for text that contains them; only the best tier that has any."""
-    whole = match_all(index, plan).select("id", F.lit(1).alias("tier"))
+def best_tiers(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
+    """(term, id, tier): 1 for whole stems, 2 for words that begin with the term, 3 for text that contains it; for each term only its best tier that has any.
+
+    One scan tells the tiers of all terms; the best ones, a row a term, are broadcast.
+    """
     low = F.lower(F.col(text_col))
-    begins = docs.where(all_of([low.rlike(rf"(^|[^a-z0-9])\Q{t}\E") for t in plan.terms])).select(F.col(id_col).alias("id"), F.lit(2).alias("tier"))
-    inside = docs.where(all_of([low.like(like_pattern(t)) for t in plan.terms])).select(F.col(id_col).alias("id"), F.lit(3).alias("tier"))
-    every = whole.unionByName(begins).unionByName(inside)
-    best = every.agg(F.min("tier").alias("tier"))
-    return every.join(F.broadcast(best), "tier").select("id", "tier")
+    words = F.split(F.regexp_replace(low, "[^a-z0-9]+", " "), " ")
+
+    def tier(term: str) -> Column:
+        near = F.filter(words, lambda w: F.startswith(w, F.lit(term[:2])))  # a stem keeps the first two letters
+        whole = F.exists(near, lambda w: light_stem(w) == term)
+        return F.when(whole, 1).when(low.rlike(rf"(^|[^a-z0-9])\Q{term}\E"), 2).when(F.contains(low, F.lit(term)), 3)
+
+    each = docs.select(F.col(id_col).alias("id"), F.explode(F.array(*(F.struct(F.lit(t).alias("term"), tier(t).alias("tier")) for t in terms))).alias("hit"))
+    hits = each.select("hit.term", "id", "hit.tier").where("tier IS NOT NULL")
+    best = hits.groupBy("term").agg(F.min("tier").alias("tier"))
+    return hits.join(F.broadcast(best), ["term", "tier"]).select("term", "id", "tier")
 
 
 def all_of(predicates: list[Column]) -> Column:

@@ -288,15 +288,20 @@ def q46f(spark, sf):
     return picked.select(F.col("o_orderstatus").alias("section"), "o_orderkey", "place")
 
 
+SIGNAL_TEXTS = [
+    ("This delay is unacceptable, please confirm", "escalation"), ("Waiting for your approval of the decision", "approval_request"), ("The candidate can start by Monday", "hiring_decision"), ("They want to see the data room", "investor_request"),
+    ("Is it go/no-go? We will know soon", "decision_request"), ("I'll send it", "commitment"), ("Let me know about the risk", "response_needed"), ("Churned accounts", "risk"), ("An opportunity to grow", "opportunity"), ("Nothing of note, offered freely", "development"),
+]
+
+
 @query(
     "q46g_signal_classifier",
-    """SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\\b(password|token|secret)\\b') THEN 'security' WHEN regexp_matches(lower(text), '\\b(licen[cs]e|copyright)\\b') THEN 'legal' WHEN regexp_matches(lower(text), '[a-z0-9]+@[a-z0-9]+\\.[a-z]+') THEN 'contact' ELSE 'other' END AS kind FROM documents""".replace("\\\\", "\\"),
+    "SELECT o_orderkey, CASE o_orderkey % 10 " + " ".join(f"WHEN {k} THEN '{kind}'" for k, (_, kind) in enumerate(SIGNAL_TEXTS)) + " END AS kind FROM orders",
 )
 def q46g(spark, sf):
-    """The first pattern that fits names the signal."""
-    low = F.lower("text")
-    kind = F.when(low.rlike(r"\b(password|token|secret)\b"), "security").when(low.rlike(r"\b(licen[cs]e|copyright)\b"), "legal").when(low.rlike(r"[a-z0-9]+@[a-z0-9]+\.[a-z]+"), "contact").otherwise("other")
-    return table(spark, sf, "documents").select("doc_id", kind.alias("kind"))
+    """What kind of signal a text is, by the first of nine kinds whose words it has."""
+    said = F.element_at(F.array(*(F.lit(t) for t, _ in SIGNAL_TEXTS)), (F.col("o_orderkey") % 10 + 1).cast("int"))
+    return table(spark, sf, "orders").select("o_orderkey", text.signal_kind(said).alias("kind"))
 
 
 @query(

@@ -37,12 +37,7 @@ def q47(spark, sf):
 )
 def q47b(spark, sf):
     """The fallback from whole words to beginnings to any text: the best tier that has hits, for a term of each kind."""
-    docs, out = table(spark, sf, "documents"), None
-    for term in ("erth", "therw", "thain"):
-        plan = search.SearchPlan.parse(term)
-        hits = search.cascade(docs, search.postings(docs, "doc_id", {"text": 1.0}, plan), "doc_id", "text", plan).withColumn("term", F.lit(term))
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    return search.best_tiers(table(spark, sf, "documents"), "doc_id", "text", ["erth", "therw", "thain"])
 
 
 @query(
@@ -172,8 +167,9 @@ def q56(spark, sf):
 
 @query(
     "q57_html_to_text",
-    r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style|head)\b.*?</(script|style|head)>', ' ', 'g') AS t FROM pages),
-        b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<(br|/p|/div|/li|/tr|/h[1-6])[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+    r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<title\b.*?</title\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>', ' ', 'g') AS t FROM pages),
+        s AS (SELECT page_id, regexp_replace(t, '\s+', ' ', 'g') AS t FROM a),
+        b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)<li\b[^>]*>', chr(10) || '- ', 'g'), '(?i)</?(br|p|div|ul|ol|table|tr|section|article|header|footer|main|nav|aside|blockquote|pre|form|h[1-6])\b[^>]*>|</li\s*>', chr(10), 'g'), '(?i)</?(td|th)\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM s),
         c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM b)
         SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS text FROM c""",
 )
@@ -182,9 +178,10 @@ def q57(spark, sf):
     return table(spark, sf, "pages").select("page_id", html.to_text(F.col("html")).alias("text"))
 
 
-def window_hash(size: int):
-    """The hash of the size words of ``w`` from a place on."""
-    return lambda place: F.xxhash64(F.array_join(F.slice("w", place, size), " "))
+def window_hashes(sizes: list[int]):
+    """Hashes of each run of so many words of ``w``, with the number of words."""
+    each = lambda size: lambda place: F.xxhash64(F.lit(size), F.array_join(F.slice("w", place, size), " "))
+    return F.flatten(F.array(*(F.when(F.size("w") >= size, F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), each(size))).otherwise(F.array().cast("array<bigint>")) for size in sizes)))
 
 
 @query(
@@ -196,22 +193,23 @@ def q58(spark, sf):
     """Which documents hold a benchmark passage, after normalisation.
 
     A passage's first eight words find the documents that may hold it, by an equi-join on their
-    hash; only these pairs are compared in full. Passages of fewer words use all of theirs.
+    hash; only these pairs are compared in full. Passages of fewer words use all of theirs. One
+    scan hashes runs of all sizes that passages have; of the runs only those that are a passage's
+    are shuffled.
     """
     n = 8
     form = text.evidence_form(F.col("text"))
-    quotes = table(spark, sf, "benchmark").select("item_id", form.alias("q")).withColumn("w", F.split("q", " "))
-    quotes = quotes.withColumn("n", F.least(F.size("w"), F.lit(n))).select("item_id", "q", "n", F.xxhash64(F.array_join(F.slice("w", 1, n), " ")).alias("h"))
-    sizes = [r["n"] for r in quotes.select("n").distinct().collect()]  # 1 to 8
-    docs = table(spark, sf, "documents").select("doc_id", form.alias("t")).withColumn("w", F.split("t", " "))
-    keys = None
-    for size in sizes:
-        starts = F.when(F.size("w") >= size, F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), window_hash(size)))
-        one = docs.select("doc_id", F.lit(size).alias("n"), F.explode(F.array_distinct(starts)).alias("h"))
-        keys = one if keys is None else keys.unionByName(one)
-    pairs = keys.join(quotes, ["n", "h"]).select("item_id", "q", "doc_id")
+    quotes = table(spark, sf, "benchmark").select("item_id", form.alias("q")).withColumn("w", F.split("q", " ")).withColumn("n", F.least(F.size("w"), F.lit(n)))
+    quotes = quotes.select("item_id", "q", "n", F.xxhash64(F.col("n"), F.array_join(F.slice("w", 1, F.col("n")), " ")).alias("h"))
+    found = quotes.groupBy("n").agg(F.count("*").alias("rows")).collect()  # 1 to 8
+    small = sum(r["rows"] for r in found) <= 1_000_000
+    docs = table(spark, sf, "documents").select("doc_id", form.alias("t"))
+    keys = docs.select("doc_id", F.split("t", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(window_hashes(sorted(r["n"] for r in found)))).alias("h"))
+    wanted = quotes.select("h", "item_id")
+    hits = keys.join(F.broadcast(wanted) if small else wanted, "h").select("item_id", "doc_id").distinct()
     padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    return pairs.join(docs.select("doc_id", "t"), "doc_id").where(F.contains(padded("t"), padded("q"))).select("item_id", "doc_id").distinct()
+    pairs = hits.join(quotes.select("item_id", "q"), "item_id").join(docs, "doc_id")
+    return pairs.where(F.contains(padded("t"), padded("q"))).select("item_id", "doc_id").distinct()
 
 
 @query(

@@ -10,28 +10,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-# What a quoted reply, a signature and a mobile footer begin with.
-QUOTE = re.compile(r"^(On .{5,120} wrote:|-{2,}\s*Original Message\s*-{2,}|From: .+|_{10,}|Begin forwarded message:)\s*$", re.I)
-SIGNATURE = re.compile(r"^(--\s*$|(Best|Kind|Warm)? ?regards,?$|Best,?$|Thanks,?$|Cheers,?$|Sincerely,?$|Sent from my )", re.I)
+# How a line begins and ends from which on a message is quoted, by language and program; lines that come
+# together in a header block; how signatures, footers and notices begin.
+QUOTES = [("on ", " wrote:"), ("am ", ":"), ("le ", " a écrit :"), ("le ", " a écrit:"), ("el ", " escribió:"), ("il ", " ha scritto:"), ("op ", " schreef:"), ("em ", " escreveu:"), ("begin forwarded message", ""), ("anfang der weitergeleiteten", "")]
+RULES = ["original message", "ursprüngliche nachricht", "forwarded message", "message d'origine", "mensaje original"]
+HEADERS = ["from:", "sent:", "to:", "subject:", "date:", "cc:", "von:", "gesendet:", "an:", "betreff:", "de:", "envoyé:", "à:", "objet:", "para:", "asunto:", "enviado:"]
+CLOSINGS = ["best", "best regards", "kind regards", "warm regards", "regards", "thanks", "many thanks", "cheers", "sincerely", "mit freundlichen grüßen", "viele grüße", "cordialement", "saludos"]
+FOOTERS = ["sent from my ", "get outlook for ", "von meinem ", "envoyé de mon ", "enviado desde mi "]
+NOTICES = ["confidentiality notice", "this email and any attachments", "this e-mail and any attachments", "this message is confidential", "disclaimer", "to unsubscribe", "unsubscribe"]
 # Abbreviations after which a sentence goes on.
 ABBREVIATIONS = {"mr", "mrs", "ms", "dr", "prof", "inc", "ltd", "co", "corp", "vs", "etc", "e.g", "i.e", "no", "st", "jr", "sr", "approx", "dept"}
 
 
+def opens_quote(lines: list[str], k: int) -> bool:
+    """Whether what follows line k is an earlier message: an introduction, a rule with a name, or a block of two headers or more."""
+    line = " ".join(lines[k].lower().split())
+    if line.startswith("am ") and "schrieb" not in line:
+        return False
+    if any(line.startswith(a) and line.endswith(b) for a, b in QUOTES) or (line.strip("-_ ") in RULES and line[:1] in "-_"):
+        return True
+    if len(line) >= 10 and not line.strip("_"):
+        return True
+    block = [x for x in lines[k : k + 4] if x.strip().lower().startswith(tuple(HEADERS))]
+    return line.startswith(tuple(HEADERS)) and len(block) >= 2
+
+
 def new_part(text: str | None) -> str | None:
-    """A message without what it quotes and without its signature."""
+    """A message without what it quotes, its signature, mobile footer and legal notice."""
     if text is None:
         return None
-    kept: list[str] = []
-    for line in text.replace("\r\n", "\n").split("\n"):
-        if QUOTE.match(line.strip()):
-            break
-        if not line.lstrip().startswith(">"):
-            kept.append(line.rstrip())
-    for k in range(max(0, len(kept) - 8), len(kept)):
-        if SIGNATURE.match(kept[k].strip()):
-            kept = kept[:k]
-            break
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip()
+    lines = text.replace("\r\n", "\n").split("\n")
+    end = next((k for k in range(len(lines)) if opens_quote(lines, k)), len(lines))
+    kept = [x.rstrip() for x in lines[:end] if not x.lstrip().startswith(">")]
+    plain = [x.strip().lower() for x in kept]
+    foot = next((k for k, x in enumerate(plain) if k and x.startswith(tuple(FOOTERS + NOTICES))), len(kept))
+    closing = lambda k: kept[k].strip() == "--" or plain[k].rstrip(",.!") in CLOSINGS and (plain[k].endswith(",") or k + 1 < foot)
+    foot = next((k for k in range(max(1, foot - 8), foot) if closing(k)), foot)
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(kept[:foot])).strip()
 
 
 def split_sentences(text: str | None) -> list[str] | None:

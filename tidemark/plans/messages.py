@@ -54,7 +54,7 @@ def q132(spark, sf):
     """The format of files, by what they begin with and then by their names."""
     k = F.col("doc_id") % 7
     name = F.when(k == 0, "/a/report.bin").when(k == 1, "/a/data.CSV").when(k == 2, "/a/sheet.xlsx").when(k == 3, "/a/page.htm").when(k == 4, "/a/notes.md").when(k == 5, "/a/readme.txt").otherwise("/a/blob")
-    head = F.when(k == 0, F.lit("%PDF-1.7 x")).otherwise(F.lit("plain words"))
+    head = F.when(k == 0, F.lit("%PDF-1.7 x")).when(k == 2, F.lit("PK\x03\x04 and then xl/workbook.xml")).otherwise(F.lit("plain words"))
     return table(spark, sf, "documents").select("doc_id", files.detect_format(name, F.encode(head, "UTF-8")).alias("format"))
 
 

@@ -50,12 +50,16 @@ def sniff_delimiter(head: str) -> str:
     return best if score[best][1] else ","
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """Delimited text with a header, quotes doubled inside quotes, line ends inside them kept; all cells are text."""
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, line_ends_in_cells: bool = True) -> DataFrame:
+    """Delimited text with a header, quotes doubled inside quotes, line ends inside them kept; all cells are text.
+
+    A file whose cells may have line ends is read by one task. Say that they don't, and Spark
+    splits large files.
+    """
     if delimiter is None:
         head = spark.read.text(path).limit(10).collect()
         delimiter = sniff_delimiter("\n".join(r["value"] for r in head))
-    return spark.read.csv(path, header=True, sep=delimiter, quote='"', escape='"', multiLine=True, inferSchema=False)
+    return spark.read.csv(path, header=True, sep=delimiter, quote='"', escape='"', multiLine=line_ends_in_cells, inferSchema=False)
 
 
 def guard(cell: Column) -> Column:

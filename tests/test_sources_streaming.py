@@ -5,7 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from tidemark.sources import files, html, mail
-from tidemark.sources.changes import ChangeFeed
+from tidemark.sources import changes as feeds
 from tidemark.streaming import events as streams
 
 
@@ -92,9 +92,12 @@ def test_windows_and_sessions_equal_batch(spark, tmp_path):
 def test_upsert_sink_and_thread_state(spark, tmp_path):
     changes = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (1, "c", 2), (1, "c", 3), (3, "d", 4)], "k int, s string, t int")
     stream = replay(spark, changes, str(tmp_path / "in"), "t", 5)
-    sink = streams.UpsertSink(str(tmp_path / "table"), ["k"], ["s"])
+    sink = streams.UpsertSink(str(tmp_path / "table"), ["k"], ["s"], buckets=2)
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(sink.generation(4)).collect())) == [(1, "c", 2), (2, "b", 1), (3, "d", 1)]
+    table = lambda: sorted((r["k"], r["s"], r["version"]) for r in sink.current(spark).collect())
+    assert table() == [(1, "c", 2), (2, "b", 1), (3, "d", 1)]
+    sink(changes.where("t = 4"), 3)  # the last batch once more
+    assert table() == [(1, "c", 2), (2, "b", 1), (3, "d", 1)]
     talk = spark.createDataFrame([(1, 0, "user", "hi?"), (1, 1, "assistant", "done"), (2, 0, "user", "when?"), (3, 0, "user", "x"), (3, 1, "assistant", "which one?")], "conv_id long, turn long, role string, text string")
     stream = replay(spark, talk, str(tmp_path / "talk"), "turn", 2)
     got = streams.run_to_end(streams.thread_states(stream), "threads", str(tmp_path / "c2"), "update").collect()
@@ -102,19 +105,20 @@ def test_upsert_sink_and_thread_state(spark, tmp_path):
     assert last == {1: (2, "RESOLVED"), 2: (1, "AWAITING_US"), 3: (2, "AWAITING_THEM")}
 
 
-def test_change_feed_resumes_from_its_cursor(spark, tmp_path):
-    path = tmp_path / "changes.jsonl"
-    write = lambda rows: path.write_text("".join(json.dumps({"id": str(k), "kind": "doc", "payload": {"n": k}}) + "\n" for k in rows))
-    write(range(5))
-    spark.dataSource.register(ChangeFeed)
+def test_change_feed_resumes_where_it_ended(spark, tmp_path):
+    folder = tmp_path / "pages"
+    folder.mkdir()
+    page = lambda name, rows: (folder / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+    page("0001.json", [{"id": str(k), "kind": "doc", "payload": f"v{k}"} for k in range(3)])
+    page("0002.json", [{"id": "1", "kind": "doc", "payload": "new"}, {"id": "3", "kind": "doc", "payload": "v3"}])
 
     def run():
-        feed = spark.readStream.format("change_feed").option("path", str(path)).option("page", "2").load()
-        q = feed.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
-        q.processAllAvailable()
-        q.stop()
-        return sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
-
-    assert run() == list("01234")
-    write(range(7))
-    assert run() == list("0123456")
+        feed = feeds.change_feed(spark, str(folder), 1)
+        feed.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(str(tmp_path / "out"))
+
+    assert run().count() == 5
+    page("0003.json", [{"id": "2", "kind": "doc", "payload": "v2", "deleted": True}])
+    rows = run()
+    assert rows.count() == 6
+    assert {(r["id"], r["payload"], r["deleted"]) for r in feeds.latest(rows).collect()} == {("0", "v0", False), ("1", "new", False), ("2", "v2", True), ("3", "v3", False)}

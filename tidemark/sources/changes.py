@@ -1,52 +1,25 @@
-"""A change feed as a streaming source: pages of JSON lines behind a cursor."""
+"""Change feeds: pages of changes that connectors drop as files, read as a stream."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
-from pyspark.sql.types import StructType
+PAGE = "id string, kind string, payload string, deleted boolean"
 
 
-class ChangeFeed(DataSource):
-    """spark.readStream.format("change_feed").option("path", file).option("page", n).load()
+def change_feed(spark: SparkSession, folder: str, pages_per_batch: int = 100) -> DataFrame:
+    """A stream of (id, kind, payload, deleted, page) over a folder of JSON-lines pages.
 
-    Rows (id, kind, payload, deleted). The file is what a provider's change list would return,
-    oldest first; the offset is the cursor that the provider would be asked with. A page is
-    stored by the checkpoint before the next is asked for, so a restart goes on where it ended.
+    Which pages were read is kept by the stream's checkpoint, so a restart goes on where it ended
+    and no page is read twice. Pages are read by the executors, side by side. page is the file's
+    name, in whose order changes of one item follow each other.
     """
+    rows = spark.readStream.schema(PAGE).option("maxFilesPerTrigger", pages_per_batch).json(folder)
+    return rows.select("id", "kind", "payload", F.coalesce("deleted", F.lit(False)).alias("deleted"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("page"))
 
-    @classmethod
-    def name(cls) -> str:
-        return "change_feed"
 
-    def schema(self) -> str:
-        return "id string, kind string, payload string, deleted boolean"
-
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:  # noqa: N802
-        return ChangeFeedReader(self.options["path"], int(self.options.get("page", "100")))
-
-
-class ChangeFeedReader(SimpleDataSourceStreamReader):
-    def __init__(self, path: str, page: int):
-        self.path, self.page = path, page
-
-    def initialOffset(self) -> dict:  # noqa: N802
-        return {"cursor": 0}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = list(self.between(start["cursor"], start["cursor"] + self.page))
-        return iter(rows), {"cursor": start["cursor"] + len(rows)}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return self.between(start["cursor"], end["cursor"])
-
-    def between(self, first: int, last: int) -> Iterator[tuple]:
-        with open(self.path, encoding="utf-8") as f:
-            for k, line in enumerate(f):
-                if k >= last:
-                    return
-                if k >= first:
-                    x = json.loads(line)
-                    yield x["id"], x.get("kind"), json.dumps(x.get("payload"), sort_keys=True), bool(x.get("deleted"))
+def latest(changes: DataFrame) -> DataFrame:
+    """Each item's last change, by page; of several on one page, a deletion counts, then the greatest payload."""
+    last = changes.groupBy("id").agg(F.max(F.struct("page", "deleted", "kind", "payload")).alias("last"))
+    return last.select("id", "last.kind", "last.payload", "last.deleted", "last.page")

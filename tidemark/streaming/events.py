@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -41,25 +41,35 @@ def first_of_each(events: DataFrame, keys: list[str], ts: str, within: str) -> D
 class UpsertSink:
     """foreachBatch(UpsertSink(path, keys, payload)): keeps a table of current rows with versions.
 
-    Every batch writes a new generation beside the old one, named by the batch, so that a batch
-    that is run again after a failure writes the same generation. No late row is lost: a change
-    that comes late is a change like any other.
+    Rows lie in buckets by a hash of their key. A batch rewrites only the buckets that it has rows
+    of, each as a generation named by the batch; it reads generations before its own, so a batch
+    that is run again after a failure gives the same, whatever it had written. No late row is
+    lost: a change that comes late is a change like any other. Older generations may be deleted.
     """
 
-    def __init__(self, path: str, keys: list[str], payload: list[str]):
-        self.path, self.keys, self.payload = path, keys, payload
+    def __init__(self, path: str, keys: list[str], payload: list[str], buckets: int = 64):
+        self.path, self.keys, self.payload, self.buckets = path, keys, payload, buckets
 
-    def generation(self, batch: int) -> str:
-        return f"{self.path}/generation={batch:012d}"
+    def current(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
+        """The table's rows, or as they were before a batch; None if nothing was written yet."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return None
+        every = spark.read.parquet(self.path)
+        if before is not None:
+            every = every.where(F.col("generation") < before)
+        newest = every.groupBy("bucket").agg(F.max("generation").alias("generation"))  # a row for each bucket
+        return every.join(F.broadcast(newest), ["bucket", "generation"]).drop("generation")
 
     def __call__(self, rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket")
         fresh = rows.select(*self.keys, *self.payload)
-        if batch == 0:
-            current = fresh.limit(0).withColumn("version", F.lit(1))
-        else:
-            current = spark.read.parquet(self.generation(batch - 1))
-        upsert(current, fresh, self.keys, self.payload).write.mode("overwrite").parquet(self.generation(batch))
+        touched = [r["bucket"] for r in fresh.select(bucket).distinct().collect()]  # as many as there are buckets at most
+        old = self.current(spark, batch)
+        old = fresh.limit(0).withColumn("version", F.lit(1)) if old is None else old.where(F.col("bucket").isin(touched)).drop("bucket")
+        merged = upsert(old, fresh, self.keys, self.payload).select("*", bucket, F.lit(batch).alias("generation"))
+        merged.write.partitionBy("bucket", "generation").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self.path)
 
 
 def thread_states(messages: DataFrame) -> DataFrame:

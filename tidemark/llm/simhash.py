@@ -18,7 +18,7 @@ STEP, SHARD = 1 << 16, 2048
 #: Fingerprints below which a tree compares all with all.
 LEAF = 192
 #: Distances in a ring, and by how much a level of rings divides a shard of 32-bit halves.
-RING, PER_LEVEL = 4, 2.7
+RING, PER_LEVEL = 4, 2.3
 #: Bands of least hashes in which sets of shingles may meet, and hashes of a band. At a likeness of 0.8 a pair misses all bands in 0.2 % of cases.
 BANDS, ROWS = 16, 5
 

@@ -126,7 +126,7 @@ def test_search_tiers_and_groups(spark):
     index = search.postings(docs, "id", {"text": 1.0})
     assert rows(search.match_all(index, search.SearchPlan.parse("contract")).select("id")) == [(1,), (2,)]
     assert rows(search.match_all(index, search.SearchPlan.parse("contract -sign")).select("id")) == [(2,)]
-    find = lambda t: rows(search.cascade(docs, index, "id", "text", search.SearchPlan.parse(t)))
+    find = lambda t: rows(search.best_tiers(docs, "id", "text", [t]).select("id", "tier"))
     assert find("contracts") == [(1, 1), (2, 1)] and find("subcontr") == [(3, 2)] and find("bcontr") == [(3, 3)] and find("zzz") == []
     hits = spark.createDataFrame([("a", k, k) for k in range(4)] + [("b", 9, 9)], "type string, id int, rank int")
     got = rows(search.grouped_results(hits, search.SearchPlan((), per_type=2), [F.desc("rank")]).select("type", "id", "place", "more"))

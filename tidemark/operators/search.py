@@ -78,7 +78,7 @@ def best_tiers(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) ->
 
     def tier(term: str) -> Column:
         near = F.filter(words, lambda w: F.startswith(w, F.lit(term[:2])))  # a stem keeps the first two letters
-        whole = F.exists(near, lambda w: light_stem(w) == term)
+        whole = F.exists(near, lambda w: light_stem(w) == light_stem(F.lit(term)))
         return F.when(whole, 1).when(low.rlike(rf"(^|[^a-z0-9])\Q{term}\E"), 2).when(F.contains(low, F.lit(term)), 3)
 
     each = docs.select(F.col(id_col).alias("id"), F.explode(F.array(*(F.struct(F.lit(t).alias("term"), tier(t).alias("tier")) for t in terms))).alias("hit"))

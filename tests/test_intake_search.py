@@ -35,8 +35,8 @@ def test_time_ranges(phrase, out):
 
 def test_headlines_mark_hits(spark):
     body = " ".join(f"w{k}" for k in range(30)) + " Contracts, " + " ".join(f"v{k}" for k in range(40)) + " contract end"
-    said = spark.createDataFrame([(body,), ("no hit here",)], "t string").select(search.headline(F.col("t"), ["contract"], 8).alias("h"))
-    first, second = (r["h"] for r in said.collect())
+    said = spark.createDataFrame([(body,), ("no hit here",)], "t string")
+    first, second = (r["h"] for r in search.headlines(said, "t", ["contract"], "h", 8).collect())
     assert first == "w28 w29 [Contracts,] v0 v1 v2 v3 v4 … [contract] end" and second == "no hit here"
 
 

@@ -162,17 +162,21 @@ def match_query(docs: DataFrame, id_col: str, text_col: str, query: Query, noise
     return found.where(fits).select("id", (weight * F.when(F.col("noise"), 0.3).otherwise(1.0)).alias("rank"))
 
 
-def headline(text: Column, stems: list[str], words: int = 16, fragments: int = 2) -> Column:
-    """Up to two fragments of ``words`` words around hits, the hits in brackets, joined by an ellipsis. For the few best hits only."""
-    each = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    is_hit = lambda w: light_stem(F.regexp_replace(F.lower(w), "[^a-z0-9]+", "")).isin(stems)
-    marked = F.transform(each, lambda w: F.when(is_hit(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
-    at = F.filter(F.transform(each, lambda w, k: F.when(is_hit(w), k + 1)), lambda k: k.isNotNull())
-    first = F.coalesce(F.get(at, F.lit(0)), F.lit(1))
-    start = F.greatest(F.lit(1), first - words // 4)
-    second = F.get(F.filter(at, lambda k: k >= start + words), F.lit(0))
-    fragment = lambda a: F.array_join(F.slice(marked, a, words), " ")
-    return F.concat_ws(" … ", fragment(start), *([F.when(second.isNotNull(), fragment(F.coalesce(second, F.lit(1))))] if fragments > 1 else []))
+def headlines(hits: DataFrame, text_col: str, stems: list[str], name: str = "headline", words: int = 16, fragments: int = 2) -> DataFrame:
+    """hits with up to two fragments of ``words`` words around what was found, in brackets, joined by an ellipsis. For the few best hits only.
+
+    Words are told apart once, and only those that begin like a stem are stemmed (a stem keeps the first two letters).
+    """
+    begins = "^[^a-z0-9]*(?:" + "|".join(sorted({s[:2] for s in stems})) + ")"
+    is_hit = lambda w: F.lower(w).rlike(begins) & light_stem(F.regexp_replace(F.lower(w), "[^a-z0-9]+", "")).isin(stems)
+    told = hits.withColumn("__words", F.filter(F.split(text_col, r"\s+"), lambda w: w != ""))
+    told = told.withColumn("__at", F.filter(F.transform("__words", lambda w, k: F.when(is_hit(w), k + 1)), lambda k: k.isNotNull()))
+    told = told.withColumn("__from", F.greatest(F.lit(1), F.coalesce(F.get("__at", F.lit(0)), F.lit(1)) - words // 4))
+    told = told.withColumn("__then", F.get(F.filter("__at", lambda k: k >= F.col("__from") + words), F.lit(0)))
+    marked = lambda start: F.transform(F.slice("__words", start, words), lambda w, k: F.when(F.array_contains("__at", k + start), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
+    fragment = lambda start: F.array_join(marked(start), " ")
+    second = [F.when(F.col("__then").isNotNull(), fragment(F.coalesce("__then", F.lit(1))))] if fragments > 1 else []
+    return told.withColumn(name, F.concat_ws(" … ", fragment(F.col("__from")), *second)).drop("__words", "__at", "__from", "__then")
 
 
 def result_order(mode: str) -> list[Column]:

@@ -116,7 +116,7 @@ def q117(spark, sf):
 @query(
     "q118_noise_gate",
     """WITH f AS (SELECT doc_id, 0.5 + CASE WHEN n_chars < 300 THEN -0.3 ELSE 0 END + CASE WHEN source = 'src1' THEN 0.2 ELSE 0 END + CASE WHEN lang <> 'en' THEN -0.15 ELSE 0 END + CASE WHEN contains(lower(text), '@') THEN 0.1 ELSE 0 END + CASE WHEN contains(lower(text), 'unsubscribe') THEN -0.4 ELSE 0 END AS s FROM documents)
-       SELECT doc_id, greatest(0, least(1, round(s, 6))) AS relevance, CASE WHEN round(s, 6) < 0.4 THEN 'noise' ELSE 'kept' END AS verdict FROM f""",
+       SELECT doc_id, CAST(greatest(0, least(1, round(s, 6))) AS DOUBLE) AS relevance, CASE WHEN round(s, 6) < 0.4 THEN 'noise' ELSE 'kept' END AS verdict FROM f""",
 )
 def q118(spark, sf):
     """A document's relevance from what is known of it, and whether it is noise."""
@@ -200,7 +200,7 @@ def q123(spark, sf):
 
 @query(
     "q124_strict_days_and_money",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE o_orderkey % 4 WHEN 0 THEN (o_orderkey % 1000) * 1000.0 WHEN 1 THEN (o_orderkey % 1000) * 1000000.0 WHEN 2 THEN 1000.0 + o_orderkey % 1000 END AS amount FROM orders""",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, CAST(CASE o_orderkey % 4 WHEN 0 THEN (o_orderkey % 1000) * 1000.0 WHEN 1 THEN (o_orderkey % 1000) * 1000000.0 WHEN 2 THEN 1000.0 + o_orderkey % 1000 END AS DOUBLE) AS amount FROM orders""",
 )
 def q124(spark, sf):
     """Days in the one form that counts, and amounts of money in prose."""
@@ -269,7 +269,7 @@ def q128(spark, sf):
 
 @query(
     "q129_weights",
-    "SELECT * FROM (VALUES ('a', 50.0), ('b', 30.0), ('c', 20.0)) v(factor, weight)",
+    "SELECT factor, CAST(weight AS DOUBLE) AS weight FROM (VALUES ('a', 50.0), ('b', 30.0), ('c', 20.0)) v(factor, weight)",
 )
 def q129(spark, sf):
     """Weights as given, brought to a sum of a hundred; what is negative or missing counts as 0 or the default."""

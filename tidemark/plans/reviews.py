@@ -51,7 +51,7 @@ INSIGHTS = {
     "q91_insights",
     "WITH i AS ("
     + " UNION ALL ".join(f"SELECT '{kind}' AS kind, CAST(subject AS VARCHAR) AS subject, CAST(importance AS DOUBLE) AS importance FROM ({sql}) s(subject, importance)" for kind, sql in INSIGHTS.items())
-    + ") SELECT kind || ':' || subject AS fingerprint, kind, subject, round(max(importance), 4) AS importance, count(*) AS n FROM i GROUP BY kind, subject",
+    + ") SELECT kind || ':' || subject AS fingerprint, kind, subject, round(max(importance), 6) AS importance, count(*) AS n FROM i GROUP BY kind, subject",
 )
 def q91(spark, sf):
     """What ten analyzers find, one row a fingerprint."""
@@ -76,7 +76,7 @@ def q91(spark, sf):
         "unlabelled": lambda: row(t("documents").join(t("labels").select("doc_id"), "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("n")), "source", F.col("n")),
         "uncovered": lambda: row(t("nation").join(t("supplier").select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey", "left_anti"), "n_name", F.lit(10)),
     })
-    return found.withColumn("importance", F.round("importance", 4))
+    return found.withColumn("importance", F.round("importance", 6))
 
 
 @query(
@@ -127,7 +127,7 @@ def q94(spark, sf):
 @query(
     "q95_scoreboard",
     """WITH g AS (SELECT * FROM (VALUES ('BUILDING', 40000000.0), ('MACHINERY', 45000000.0), ('HOUSEHOLD', 30000000.0), ('FURNITURE', 90000000.0)) v(segment, target)), a AS (SELECT c_mktsegment AS segment, sum(o_totalprice) AS actual, count(*) AS deals FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' GROUP BY 1)
-       SELECT g.segment, round(coalesce(actual, 0), 2) AS actual, target, CAST(floor(coalesce(actual, 0) * 100 / target + 0.5) AS BIGINT) AS pct, CASE WHEN coalesce(actual, 0) >= target THEN 'ahead' WHEN coalesce(actual, 0) >= target * 0.8 THEN 'on_track' WHEN coalesce(actual, 0) >= target * 0.5 THEN 'at_risk' ELSE 'off_track' END AS status, coalesce(deals, 0) AS deals FROM g LEFT JOIN a ON a.segment = g.segment""",
+       SELECT g.segment, round(coalesce(actual, 0), 2) AS actual, CAST(target AS DOUBLE) AS target, CAST(floor(coalesce(actual, 0) * 100 / target + 0.5) AS BIGINT) AS pct, CASE WHEN coalesce(actual, 0) >= target THEN 'ahead' WHEN coalesce(actual, 0) >= target * 0.8 THEN 'on_track' WHEN coalesce(actual, 0) >= target * 0.5 THEN 'at_risk' ELSE 'off_track' END AS status, coalesce(deals, 0) AS deals FROM g LEFT JOIN a ON a.segment = g.segment""",
 )
 def q95(spark, sf):
     """What was reached of each target, and how it stands."""

@@ -21,7 +21,7 @@ WORDS = "SELECT doc_id, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS \"a
     f"""WITH w AS ({WORDS}), s AS (SELECT doc_id, lang, "at", {STEM} AS term FROM w), k AS (SELECT * FROM s WHERE term IN ('and', 'to', 'of', 'is', 'die')),
              p AS (SELECT DISTINCT a.doc_id FROM k a JOIN k b ON a.doc_id = b.doc_id AND b."at" = a."at" + 1 WHERE a.term = 'of' AND b.term = 'and'),
              d AS (SELECT doc_id, any_value(lang) AS lang, count(*) FILTER (term <> 'die') AS n, count(*) FILTER (term = 'to') AS t, count(*) FILTER (term = 'is') AS i, count(*) FILTER (term = 'die') AS x FROM k GROUP BY 1)
-        SELECT doc_id AS id, n * CASE WHEN lang <> 'en' THEN 0.3 ELSE 1 END AS rank FROM d WHERE (t > 0 OR i > 0) AND x = 0 AND doc_id IN (SELECT doc_id FROM p)""",
+        SELECT doc_id AS id, CAST(n * CASE WHEN lang <> 'en' THEN 0.3 ELSE 1 END AS DOUBLE) AS rank FROM d WHERE (t > 0 OR i > 0) AND x = 0 AND doc_id IN (SELECT doc_id FROM p)""",
 )
 def q80(spark, sf):
     """A query with a phrase, a choice and a word to leave out; documents that aren't English count as noise."""
@@ -40,10 +40,10 @@ def q80(spark, sf):
 def q81(spark, sf):
     """The forty documents with most hits, with two fragments of sixteen words in which these are marked."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    plain = F.transform(F.split("text", r"\s+"), lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]+", ""))
-    n = F.size(F.filter(plain, lambda w: text.light_stem(w) == "and"))
+    near = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.startswith(w, F.lit("a")) | w.rlike("^[^a-z0-9]+an"))
+    n = F.size(F.filter(near, lambda w: text.light_stem(F.regexp_replace(w, "[^a-z0-9]+", "")) == "and"))
     best = docs.withColumn("n", n).where("n > 0").orderBy(F.desc("n"), "doc_id").limit(40)
-    return best.select("doc_id", search.headline(F.col("text"), ["and"]).alias("headline"))
+    return search.headlines(best, "text", ["and"]).select("doc_id", "headline")
 
 
 def nearness(days):

@@ -67,6 +67,12 @@ def keep_ids(docs: DataFrame, ids: DataFrame, drop: bool, most: int = 1_000_000)
     return kept.select(*(f"`{c}`" for c in docs.columns))
 
 
+def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, written once and counted: up to ``most`` rows are broadcast in joins, more are shuffled."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 #: Bytes of text in an Arrow batch. A text longer than this makes a batch of its own.
 BATCH_BYTES = 8 << 20
 

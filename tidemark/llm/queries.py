@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import lm_score, quality
 from tidemark.llm.bpe import encoding_digests
+from tidemark.llm.collision import near_vectors
 from tidemark.llm.common import fold_of, table
+from tidemark.llm.divergence import source_divergence
 from tidemark.llm.exact_dedup import exact_duplicates
+from tidemark.llm.fill_in_middle import fill_in_middle, restore
 from tidemark.llm.langid import identify, sample_by_language
 from tidemark.llm.langid import train as train_languages
 from tidemark.llm.order_minhash import compare_with_edits
@@ -171,3 +174,42 @@ def op4_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of(F.col("doc_id"), 5) == 1
     scored = lm_score.score(table(spark, sf_dir, "documents"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_fill_in_middle")
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at two line ends and put in another order, as digests of the output and of the text rebuilt from it."""
+    rows = restore(fill_in_middle(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@query(
+    "op12_source_divergence",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    t AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs FROM t GROUP BY ALL),
+    v AS (SELECT lang, term, sum(n) AS all_n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+    l AS (SELECT lang, count(*) AS terms, sum(all_n) AS total FROM v GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    gv AS (SELECT g.lang, g.source, v.term, v.all_n, coalesce(c.n, 0) AS n FROM g JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+    p AS (SELECT gv.lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY gv.lang, source) + 5 * l.terms) AS p,
+                 1 + (1000000000::HUGEINT * (all_n + 5)) // (l.total + 5 * l.terms) AS q FROM gv JOIN l ON l.lang = gv.lang),
+    pairs AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+    parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
+)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group of language and source: how far it is from the others in its words, and the words that mark it."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op13_collision_near_vectors")
+def op13_collision_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with the number of vectors of its label at cosine 0.93 or more, and the smallest that links reach."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))

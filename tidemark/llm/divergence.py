@@ -15,7 +15,7 @@ SCALE, SMOOTH = 1_000_000_000, 5
 #: Every byte that no term has becomes a space, A-Z become a-z.
 TO_TERMS = bytes(b if b > 0x7F or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 #: Terms of a vocabulary chunk; successive chunks that one task goes through; groups of a block.
-CHUNK, SLAB, BLOCK = 512, 16, 48
+CHUNK, SLAB, BLOCK = 512, 4, 48
 #: Bytes of a text split at a time, and counts that a task holds before it hands them on.
 STEP, HELD = 1 << 20, 300_000
 

@@ -184,3 +184,60 @@ def test_the_stage_drops_copies_of_likeness_from_eight_tenths(spark):
     assert left >= {k for k, _ in docs} | {x[0] for x in far if x[2] < 0.5}
     bits = {k: simhash.fingerprint(t.encode()) for k, t, *_ in docs + far}
     assert left >= {x[0] for x in far if (bits[x[0]] ^ bits[x[0] - 1000]).bit_count() > 3}
+
+
+@pytest.mark.parametrize("crowd", [1024, 12])
+def test_no_link_of_a_crowded_band_is_lost(spark, monkeypatch, crowd):
+    """Many texts around one passage, of likeness from 0.6 to 0.95: all that share a band and are alike end up connected."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(600)]
+    texts = []
+    for k in range(90):
+        words = list(base)
+        for _ in range(rng.choice([2, 5, 7, 9, 12, 20, 30])):
+            words[rng.randrange(600)] = f"x{k}y{rng.randrange(1000)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash.crossing, "__defaults__", (crowd,))
+    rows = simhash.sketches(docs, 5)
+    links = simhash.alike(rows, docs, 5, 0.8)
+    root = {r["node"]: r["root"] for r in components(links).collect()}
+    bits = {r["doc_id"]: r["bits"] for r in rows.collect()}
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    bands = [set(simhash.band_keys(simhash.least_hashes(x)).tolist()) for x in sets]
+    alike, crowded = [], 0
+    for a in range(90):
+        for b in range(a):
+            if bands[a] & bands[b]:
+                crowded += 1
+                if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])):
+                    alike.append((a, b))
+    want = slow_components_of(90, alike)
+    assert 500 < len(alike) < crowded - 500 and len(set(want)) > 1
+    got = [root.get(bits[k], bits[k]) for k in range(90)]
+    pairs = {(got[a] == got[b], want[a] == want[b]) for a in range(90) for b in range(a)}
+    assert (False, True) not in pairs and (True, False) not in pairs
+
+
+def slow_components_of(n: int, links: list[tuple[int, int]]) -> list[int]:
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return [find(k) for k in range(n)]
+
+
+def test_large_shards_go_down_their_own_tree(spark):
+    rng = random.Random(6)
+    bits = [rng.getrandbits(64) for _ in range(3000)]
+    nodes = spark.createDataFrame([(b - 2**64 if b >> 63 else b,) for b in bits], "bits long")
+    for levels in (0, 1, 3):
+        sizes = simhash.split_large(simhash.vantage_shards(nodes, levels), most=150).groupBy("shard").count()
+        assert sizes.agg(F.max("count")).first()[0] <= 150

@@ -8,15 +8,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, UPPER, as_bytes, cut, keep_ids, map_texts, shuffle_partitions, to_batch
+from tidemark.llm.common import LOWER, UPPER, as_bytes, bounded, cut, keep_ids, map_texts, shuffle_partitions, to_batch
 from tidemark.llm.components import components
 
 SEED, WORDS, BITS, LINK = 42, 3, 64, 3
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Shingles hashed at a time, and fingerprints of a shard that one task compares.
 STEP, SHARD = 1 << 16, 4096
+#: Sets of a band that one task compares.
+CROWD = 1024
 #: Fingerprints below which a tree compares all with all.
 LEAF = 192
+#: The part of a shard that a further level has to keep together for the shard to count as one of near copies.
+DENSE = 0.75
 #: Distances in a ring, and by how much a level of rings divides a shard of 32-bit halves.
 RING, PER_LEVEL = 4, 2.3
 #: Bands of least hashes in which sets of shingles may meet, and hashes of a band. At a likeness of 0.8 a pair misses all bands in 0.2 % of cases.
@@ -75,10 +79,8 @@ def set_key(shingles: np.ndarray) -> int:
     return xxh64_intdigest(shingles.tobytes(), SEED)
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A hash of each band's least hashes. Sets of likeness J share a band with chance J ** ROWS."""
-    from xxhash import xxh64_intdigest
-
+def least_hashes(shingles: np.ndarray) -> np.ndarray:
+    """The least of a set's shingles under each of BANDS * ROWS hashes. Two sets of likeness J agree in each with chance J."""
     draw = np.random.default_rng(SEED)
     factors = draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -86,11 +88,18 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
         mixed = shingles[None, k : k + (1 << 12)] * factors
         mixed = (mixed ^ (mixed >> np.uint64(32))) * factors
         least = np.minimum(least, mixed.min(axis=1))
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A hash of each band's least hashes. Sets of likeness J share a band with chance J ** ROWS."""
+    from xxhash import xxh64_intdigest
+
     return np.array([xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], np.uint64)
 
 
 def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """fingerprints with ``shingles``, the key of a text's set of shingles (null without words), and its bands."""
+    """fingerprints with ``shingles``, the key of a text's set of shingles (null without words), its size, its bands and its least hashes (32 bits of each)."""
 
     def work(batches):
         import pyarrow as pa
@@ -98,43 +107,114 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
         for batch in batches:
             texts = as_bytes(batch.column(1))
             sets = [shingle_set(t, width) for t in texts]
+            least = [least_hashes(x) if len(x) else None for x in sets]
             signed = lambda x: np.array(x, np.uint64).view(np.int64)
             yield to_batch(
                 doc_id=batch.column(0), bits=signed([fingerprint(t) for t in texts]),
                 shingles=pa.array([int(signed([set_key(x)])[0]) if len(x) else None for x in sets], pa.int64()),
-                bands=pa.array([band_keys(x).view(np.int64).tolist() if len(x) else [] for x in sets], pa.list_(pa.int64())),
+                size=pa.array([len(x) for x in sets], pa.int64()),
+                bands=pa.array([[] if x is None else band_keys(x).view(np.int64).tolist() for x in least], pa.list_(pa.int64())),
+                sketch=pa.array([None if x is None else x.astype(np.uint32).tobytes() for x in least], pa.binary()),
             )
 
-    return map_texts(docs, work, "doc_id long, bits long, shingles long, bands array<long>", F.col(id_col).cast("long"), F.col(text_col))
+    return map_texts(docs, work, "doc_id long, bits long, shingles long, size long, bands array<long>, sketch binary", F.col(id_col).cast("long"), F.col(text_col))
 
 
-def alike(rows: DataFrame, docs: DataFrame, width: int, similarity: float, text_col: str = "text", most: int = 1_000_000) -> DataFrame:
-    """Edges (a, b) between fingerprints of rows (see sketches) whose sets of shingles are equal or have
-    a Jaccard likeness of ``similarity`` or more, which is computed from the whole sets.
+def tiles(batches, keys: list[str]):
+    """The rows of each group, one table after the other, of batches in order of ``keys``."""
+    import pyarrow as pa
 
-    A band's sets meet those with its smallest and its largest key, so candidates grow with the
-    rows and not with the square of a group; what is alike in a larger group is connected
-    through these. Sets of texts without a candidate are never shuffled.
+    held, now = [], None
+    for batch in batches:
+        own = np.stack([batch.column(c).to_numpy() for c in keys]).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, (np.diff(own, axis=1) != 0).any(axis=0))) if batch.num_rows else np.empty(0, np.int64)
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+            if held and own[:, start].tolist() != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = own[:, start].tolist()
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def crossing(members: DataFrame, similarity: float, most: int = CROWD) -> DataFrame:
+    """Distinct (a, b), a < b, of sets that share a band (band, shingles, root, size, sketch), have different roots, and of which sizes and least hashes allow the likeness.
+
+    Of so many least hashes, sets of that likeness share ``enough`` with a chance of 0.9998. Bands of over
+    ``most`` sets are cut into tiles of two blocks.
     """
-    own = cut(rows.where("shingles IS NOT NULL").groupBy("shingles").agg(F.min("bits").alias("first"), F.first("bands").alias("bands")))
-    banded = cut(own.select("shingles", F.explode("bands").alias("band")))
-    ends = banded.groupBy("band").agg(F.min("shingles").alias("low"), F.max("shingles").alias("high")).where("low < high")
-    met = banded.join(ends, "band").select("shingles", F.explode(F.array("low", "high")).alias("end")).where("shingles != end")
-    pairs = cut(met.select(F.least("shingles", "end").alias("a"), F.greatest("shingles", "end").alias("b")).distinct())
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("shingles")).distinct())
+    enough = int(BANDS * ROWS * similarity - 3.5 * (BANDS * ROWS * similarity * (1 - similarity)) ** 0.5)
+    large = members.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    large = bounded(large.select("band", F.ceil(2 * F.col("n") / most).cast("int").alias("blocks")))
+    placed = members.join(large, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("shingles"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "other")
+    key = ["band", "low", "high"]
+    dealt = placed.repartition(shuffle_partitions(members.sparkSession), *key).sortWithinPartitions(*key)
 
     def work(batches):
-        import pyarrow as pa
+        for group in tiles(batches, key):
+            names, roots, sizes, block = (group.column(c).to_numpy() for c in ("shingles", "root", "size", "block"))
+            least = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in group.column("sketch")])
+            low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+            left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+            for k in range(0, len(left), 64):
+                own = left[k : k + 64]
+                met = (roots[own][:, None] != roots[right][None, :]) & (np.minimum(sizes[own][:, None], sizes[right]) >= similarity * np.maximum(sizes[own][:, None], sizes[right]))
+                i, j = np.nonzero(met)
+                i, j = own[i], right[j]
+                for s in range(0, len(i), 1 << 14):
+                    x, y = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
+                    fits = (least[x] == least[y]).sum(axis=1) >= enough
+                    x, y = names[x[fits]], names[y[fits]]
+                    yield to_batch(a=np.minimum(x, y), b=np.maximum(x, y))
 
+    return dealt.mapInArrow(work, "a long, b long").distinct()
+
+
+def alike(rows: DataFrame, docs: DataFrame, width: int, similarity: float, text_col: str = "text", most: int = 1_000_000) -> DataFrame:
+    """Edges (a, b) between fingerprints of rows (see sketches) that connect all whose sets of shingles are equal,
+    or share a band and have a Jaccard likeness of ``similarity`` or more, which is computed from the whole sets.
+
+    First a band's sets meet those with its smallest and its largest key, which connects nearly
+    all of a group of near copies by as many pairs as it has members. Then, in bands whose sets
+    aren't all connected, those of different components meet, so no link of a crowded band is lost
+    and what is connected already costs no pair. Ids meet first; sizes and least hashes drop
+    pairs that can't be alike; sets come to what is left. Sets without a candidate are never shuffled.
+    """
+    import pyarrow as pa
+
+    own = cut(rows.where("shingles IS NOT NULL").groupBy("shingles").agg(F.min("bits").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    banded = cut(own.select("shingles", "size", F.explode("bands").alias("band")))
+    ends = banded.groupBy("band").agg(F.min(F.struct("shingles", "size")).alias("low"), F.max(F.struct("shingles", "size")).alias("high"), F.count("*").alias("n")).where("low.shingles < high.shingles")
+    met = banded.join(ends, "band").select("shingles", "size", F.explode(F.array("low", "high")).alias("end")).where("shingles != end.shingles")
+    met = met.where(F.least("size", "end.size") >= F.greatest("size", "end.size") * F.lit(similarity))
+    pairs = cut(met.select(F.least("shingles", "end.shingles").alias("a"), F.greatest("shingles", "end.shingles").alias("b")).distinct())
+
+    def work(batches):
         for batch in batches:
             sets = [shingle_set(t, width) for t in as_bytes(batch.column(0))]
             yield to_batch(shingles=np.array([set_key(x) for x in sets], np.uint64).view(np.int64), members=pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())))
 
-    sets = map_texts(docs, work, "shingles long, members array<long>", F.col(text_col))
-    sets = cut(sets.join(F.broadcast(wanted) if wanted.count() <= most else wanted, "shingles", "left_semi").dropDuplicates(["shingles"]))
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    linked = cut(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("shingles")).distinct())
+        sets = map_texts(docs, work, "shingles long, members array<long>", F.col(text_col))
+        sets = cut(sets.join(F.broadcast(wanted) if wanted.count() <= most else wanted, "shingles", "left_semi").dropDuplicates(["shingles"]))
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return cut(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+
+    linked = verified(pairs)
+    joined = cut(components(linked))
+    placed = banded.join(joined.withColumnRenamed("node", "shingles"), "shingles", "left").select("band", "shingles", "size", F.coalesce("root", "shingles").alias("root"))
+    # In a band of three, all pairs have met an end.
+    mixed = cut(placed.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).where("r <> s AND n > 3").select("band"))
+    if not mixed.isEmpty():
+        members = placed.join(mixed, "band", "left_semi").join(own.select("shingles", "sketch"), "shingles")
+        rest = cut(crossing(members, similarity).join(pairs, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            linked = linked.unionAll(verified(rest))
     firsts = own.select("shingles", "first")
     links = linked.join(firsts.toDF("a", "p"), "a").join(firsts.toDF("b", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
     equal = rows.join(firsts, "shingles").where("bits != first").select(F.col("bits").alias("a"), F.col("first").alias("b"))
@@ -208,8 +288,22 @@ def levels_for(count: int, most: int) -> int:
     return max(1, round(np.log(max(1, 8 * count / most)) / np.log(PER_LEVEL)))
 
 
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def one_level(rows: DataFrame, halves: int, radius: int) -> DataFrame:
+    """rows (tree, shard, bits) a level further down, with ``above``, the shard that each comes from (see vantage_shards)."""
+    edges = [round(k * BITS / halves) for k in range(halves + 1)]
+    masks = F.array(*(F.lit(signed(sum(1 << b for b in range(edges[t], edges[t + 1])))) for t in range(halves)))
+    near = radius // halves
+    far = F.bit_count(F.col("bits").bitwiseXOR(F.xxhash64("shard", F.lit("vantage"))).bitwiseAND(F.get(masks, F.col("tree"))))
+    rings = F.array_distinct(F.array(F.floor(far / RING), F.floor(F.greatest(far - near, F.lit(0)) / RING)))
+    return rows.select("tree", "shard", "bits", F.explode(rings).alias("ring")).select("tree", F.xxhash64("shard", "ring").alias("shard"), "bits", F.col("shard").alias("above"))
+
+
 def vantage_shards(nodes: DataFrame, levels: int, halves: int = 2, radius: int = LINK) -> DataFrame:
-    """(shard, bits): each fingerprint in every shard of the trees in which it may meet a link.
+    """(tree, shard, bits): each fingerprint in every shard of the trees in which it may meet a link.
 
     The bits are cut into ``halves`` parts, each with a tree of its own: fingerprints within
     radius differ by at most near = radius // halves in one of the parts, so they are near
@@ -220,39 +314,54 @@ def vantage_shards(nodes: DataFrame, levels: int, halves: int = 2, radius: int =
     The farther of two neighbours so always comes along to the ring of the nearer, at every node
     on the way down, and both end in a common shard.
     """
-    edges = [round(k * BITS / halves) for k in range(halves + 1)]
-    near = radius // halves
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    shards = None
-    for tree in range(halves):
-        part = F.lit(signed(sum(1 << b for b in range(edges[tree], edges[tree + 1]))))
-        rows = nodes.select(F.xxhash64(F.lit(tree)).alias("shard"), "bits")
-        for _ in range(levels):
-            far = F.bit_count(F.col("bits").bitwiseXOR(F.xxhash64("shard", F.lit("vantage"))).bitwiseAND(part))
-            rings = F.array_distinct(F.array(F.floor(far / RING), F.floor(F.greatest(far - near, F.lit(0)) / RING)))
-            rows = rows.select("shard", "bits", F.explode(rings).alias("ring")).select(F.xxhash64("shard", "ring").alias("shard"), "bits")
-        shards = rows if shards is None else shards.unionAll(rows)
-    return shards
-
-
-def split_large(shards: DataFrame, most: int = SHARD, radius: int = LINK) -> DataFrame:
-    """Shards of over ``most`` fingerprints (dense ones, which vantage points can't part) in smaller ones; no link is lost.
-
-    Fingerprints within radius agree on all bits of b - radius of b blocks. So a large shard is
-    dealt anew by the bits of each such choice, for growing b until it is small: with b = 4 on 16
+    rows = nodes.select(F.explode(F.array(*map(F.lit, range(halves)))).alias("tree"), "bits").select("tree", F.xxhash64("tree").alias("shard"), "bits")
+    for _ in range(levels):
+        rows = one_level(rows, halves, radius).drop("above")
+    return rows
+
+
+def split_large(shards: DataFrame, most: int = SHARD, radius: int = LINK, halves: int = 2) -> DataFrame:
+    """(shard, bits): shards of vantage_shards of which those of over ``most`` fingerprints go on down their tree, each as deep as it needs; no link is lost.
+
+    Only these shards are counted again and split, a level a round. A shard most of which (DENSE)
+    stays together under a vantage point of its own holds near copies, which rings can't part; it
+    is dealt by blocks of bits instead.
+    """
+    done, todo, dense = None, shards, None
+    while True:
+        large = cut(todo.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > most))
+        if large.isEmpty():
+            break
+        small = todo.join(large, "shard", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        above = cut(todo.join(large, "shard", "left_semi"))
+        below = cut(one_level(above, halves, radius))
+        parts = below.groupBy("above", "shard").agg(F.count("*").alias("part")).groupBy("above").agg(F.max("part").alias("part"))
+        stuck = cut(parts.join(large.withColumnRenamed("shard", "above"), "above").where(F.col("part") > F.col("n") * F.lit(DENSE)).select(F.col("above").alias("shard")))
+        if not stuck.isEmpty():
+            held = above.join(stuck, "shard", "left_semi").select("shard", "bits")
+            dense = held if dense is None else dense.unionByName(held)
+        todo = below.join(stuck.withColumnRenamed("shard", "above"), "above", "left_anti").select("tree", "shard", "bits")
+    rest = todo if done is None else done.unionByName(todo)
+    rest = rest.select("shard", "bits")
+    return rest if dense is None else rest.unionByName(split_dense(cut(dense), most, radius))
+
+
+def split_dense(shards: DataFrame, most: int, radius: int) -> DataFrame:
+    """(shard, bits): shards of near copies in smaller ones; no link is lost.
+
+    Fingerprints within radius agree on all bits of b - radius of b blocks. So a shard is dealt
+    anew by the bits of each such choice, for growing b until it is small: with b = 4 on 16
     bits in 4 copies, with 6 on 32 in 20, with 8 on 40 in 56. If even that leaves large ones,
     these are cut by a hash and each pair of cuts compared.
     """
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    done, todo = None, shards.withColumn("part", F.col("shard"))
-    for blocks in (0, radius + 1, radius + 3, radius + 5, None):
+    done, todo = None, shards
+    for blocks in (radius + 1, radius + 3, radius + 5, None):
         if blocks:
             edges = [round(k * BITS / blocks) for k in range(blocks + 1)]
             masks = [sum(1 << b for b in range(edges[k], edges[k + 1])) for k in range(blocks)]
             views = F.explode(F.array(*(F.lit(signed(sum(x))) for x in combinations(masks, blocks - radius))))
             dealt = todo.select("shard", "bits", views.alias("view")).select("shard", "bits", F.xxhash64("shard", "view", F.col("bits").bitwiseAND(F.col("view"))).alias("part"))
-        elif blocks == 0:
-            dealt = todo
         else:
             sizes = cut(todo.groupBy("shard").agg(F.ceil(F.count("*") * 2 / most).cast("int").alias("n")))
             block = F.pmod(F.xxhash64("bits", "shard"), F.col("n")).cast("int")
@@ -275,7 +384,7 @@ def near_links(nodes: DataFrame, radius: int = LINK, halves: int = 2, most: int
 
     nodes has distinct ``bits``. A shard yields a star for each component in it, not its pairs.
     """
-    shards = split_large(cut(vantage_shards(nodes, levels_for(nodes.count(), most), halves, radius)), most, radius)
+    shards = split_large(cut(vantage_shards(nodes, levels_for(nodes.count(), most), halves, radius)), most, radius, halves)
     dealt = shards.repartition(shuffle_partitions(nodes.sparkSession), "shard").sortWithinPartitions("shard", "bits")
 
     def work(batches):

@@ -198,8 +198,7 @@ def test_no_link_of_a_crowded_band_is_lost(spark, monkeypatch, crowd):
             words[rng.randrange(600)] = f"x{k}y{rng.randrange(1000)}"
         texts.append(" ".join(words))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    monkeypatch.setattr(simhash, "CROWD", crowd)
-    monkeypatch.setattr(simhash.crossing, "__defaults__", (crowd,))
+    monkeypatch.setattr(simhash.crossing, "__defaults__", (crowd, 1 << 21))
     rows = simhash.sketches(docs, 5)
     links = simhash.alike(rows, docs, 5, 0.8)
     root = {r["node"]: r["root"] for r in components(links).collect()}
@@ -241,3 +240,9 @@ def test_large_shards_go_down_their_own_tree(spark):
     for levels in (0, 1, 3):
         sizes = simhash.split_large(simhash.vantage_shards(nodes, levels), most=150).groupBy("shard").count()
         assert sizes.agg(F.max("count")).first()[0] <= 150
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(0, 6000))) for _ in range(12)]
+    assert (simhash.shared_counts(sets[:5], sets[5:]) == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]).all()

@@ -15,8 +15,8 @@ SEED, WORDS, BITS, LINK = 42, 3, 64, 3
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Shingles hashed at a time, and fingerprints of a shard that one task compares.
 STEP, SHARD = 1 << 16, 4096
-#: Sets of a band that one task compares.
-CROWD = 1024
+#: Sets of a band, and shingles of these, that one task compares at a time.
+CROWD, ELEMENTS = 1024, 1 << 21
 #: Fingerprints below which a tree compares all with all.
 LEAF = 192
 #: The part of a shard that a further level has to keep together for the shard to count as one of near copies.
@@ -99,7 +99,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """fingerprints with ``shingles``, the key of a text's set of shingles (null without words), its size, its bands and its least hashes (32 bits of each)."""
+    """fingerprints with ``shingles``, the key of a text's set of shingles (null without words), its size and its bands."""
 
     def work(batches):
         import pyarrow as pa
@@ -114,10 +114,9 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
                 shingles=pa.array([int(signed([set_key(x)])[0]) if len(x) else None for x in sets], pa.int64()),
                 size=pa.array([len(x) for x in sets], pa.int64()),
                 bands=pa.array([[] if x is None else band_keys(x).view(np.int64).tolist() for x in least], pa.list_(pa.int64())),
-                sketch=pa.array([None if x is None else x.astype(np.uint32).tobytes() for x in least], pa.binary()),
             )
 
-    return map_texts(docs, work, "doc_id long, bits long, shingles long, size long, bands array<long>, sketch binary", F.col(id_col).cast("long"), F.col(text_col))
+    return map_texts(docs, work, "doc_id long, bits long, shingles long, size long, bands array<long>", F.col(id_col).cast("long"), F.col(text_col))
 
 
 def tiles(batches, keys: list[str]):
@@ -138,15 +137,33 @@ def tiles(batches, keys: list[str]):
         yield pa.Table.from_batches(held)
 
 
-def crossing(members: DataFrame, similarity: float, most: int = CROWD) -> DataFrame:
-    """Distinct (a, b), a < b, of sets that share a band (band, shingles, root, size, sketch), have different roots, and of which sizes and least hashes allow the likeness.
-
-    Of so many least hashes, sets of that likeness share ``enough`` with a chance of 0.9998. Bands of over
-    ``most`` sets are cut into tiles of two blocks.
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of left shares with each of right, through the elements that both sides have."""
+    ids, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    rows = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    there = np.bincount(at[rows < len(left)], minlength=len(ids)).astype(bool) & np.bincount(at[rows >= len(left)], minlength=len(ids)).astype(bool)
+    place = np.cumsum(there) - 1
+    rows, at = rows[there[at]], place[at[there[at]]]
+    order = np.argsort(at, kind="stable")
+    rows, at = rows[order], at[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for k in range(0, int(there.sum()), 4096):
+        part = slice(*np.searchsorted(at, (k, k + 4096)))
+        has = np.zeros((len(left) + len(right), 4096), np.float32)
+        has[rows[part], at[part] - k] = 1
+        out += (has[: len(left)] @ has[len(left) :].T).astype(np.int64)
+    return out
+
+
+def crossing(members: DataFrame, similarity: float, most: int = CROWD, elements: int = ELEMENTS) -> DataFrame:
+    """Edges (a, b) that connect the sets of a band (band, shingles, root, size, members) which have different roots and a Jaccard likeness of ``similarity`` or more.
+
+    All such pairs of a band are compared, by matrix products over the shingles that they share;
+    a star for each component leaves the task, not its pairs. Bands of over ``most`` sets or ``elements`` shingles
+    are cut into tiles of two blocks.
     """
-    enough = int(BANDS * ROWS * similarity - 3.5 * (BANDS * ROWS * similarity * (1 - similarity)) ** 0.5)
-    large = members.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > most)
-    large = bounded(large.select("band", F.ceil(2 * F.col("n") / most).cast("int").alias("blocks")))
+    n = F.ceil(2 * F.greatest(F.count("*") / most, F.sum("size") / elements)).cast("int")
+    large = bounded(members.groupBy("band").agg(n.alias("blocks")).where("blocks > 2"))
     placed = members.join(large, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("shingles"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "other")
@@ -155,20 +172,18 @@ def crossing(members: DataFrame, similarity: float, most: int = CROWD) -> DataFr
 
     def work(batches):
         for group in tiles(batches, key):
-            names, roots, sizes, block = (group.column(c).to_numpy() for c in ("shingles", "root", "size", "block"))
-            least = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in group.column("sketch")])
-            low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
-            left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-            for k in range(0, len(left), 64):
-                own = left[k : k + 64]
-                met = (roots[own][:, None] != roots[right][None, :]) & (np.minimum(sizes[own][:, None], sizes[right]) >= similarity * np.maximum(sizes[own][:, None], sizes[right]))
-                i, j = np.nonzero(met)
-                i, j = own[i], right[j]
-                for s in range(0, len(i), 1 << 14):
-                    x, y = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
-                    fits = (least[x] == least[y]).sum(axis=1) >= enough
-                    x, y = names[x[fits]], names[y[fits]]
-                    yield to_batch(a=np.minimum(x, y), b=np.maximum(x, y))
+            names, roots, block = (group.column(c).to_numpy() for c in ("shingles", "root", "block"))
+            sets = [x.values.to_numpy() for x in group.column("members")]
+            sizes = np.array([len(x) for x in sets])
+            left, right = np.flatnonzero(block == group.column("low")[0].as_py()), np.flatnonzero(block == group.column("high")[0].as_py())
+            if not left.size or not right.size:
+                continue
+            both = shared_counts([sets[k] for k in left], [sets[k] for k in right])
+            i, j = np.nonzero((both >= similarity * (sizes[left][:, None] + sizes[right] - both)) & (roots[left][:, None] != roots[right]))
+            stars = Labels(len(names))
+            stars.link(left[i], right[j])
+            moved = np.flatnonzero(stars.of != np.arange(len(names)))
+            yield to_batch(a=names[stars.of[moved]], b=names[moved])
 
     return dealt.mapInArrow(work, "a long, b long").distinct()
 
@@ -179,13 +194,13 @@ def alike(rows: DataFrame, docs: DataFrame, width: int, similarity: float, text_
 
     First a band's sets meet those with its smallest and its largest key, which connects nearly
     all of a group of near copies by as many pairs as it has members. Then, in bands whose sets
-    aren't all connected, those of different components meet, so no link of a crowded band is lost
-    and what is connected already costs no pair. Ids meet first; sizes and least hashes drop
-    pairs that can't be alike; sets come to what is left. Sets without a candidate are never shuffled.
+    aren't all connected, those of different components are compared as a whole (see crossing), so
+    no link of a crowded band is lost. Ids meet first; pairs whose sizes can't be alike are
+    dropped, and sets come to what is left. Sets without a candidate are never shuffled.
     """
     import pyarrow as pa
 
-    own = cut(rows.where("shingles IS NOT NULL").groupBy("shingles").agg(F.min("bits").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    own = cut(rows.where("shingles IS NOT NULL").groupBy("shingles").agg(F.min("bits").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     banded = cut(own.select("shingles", "size", F.explode("bands").alias("band")))
     ends = banded.groupBy("band").agg(F.min(F.struct("shingles", "size")).alias("low"), F.max(F.struct("shingles", "size")).alias("high"), F.count("*").alias("n")).where("low.shingles < high.shingles")
     met = banded.join(ends, "band").select("shingles", "size", F.explode(F.array("low", "high")).alias("end")).where("shingles != end.shingles")
@@ -197,24 +212,23 @@ def alike(rows: DataFrame, docs: DataFrame, width: int, similarity: float, text_
             sets = [shingle_set(t, width) for t in as_bytes(batch.column(0))]
             yield to_batch(shingles=np.array([set_key(x) for x in sets], np.uint64).view(np.int64), members=pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("shingles")).distinct())
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        wanted = cut(wanted.distinct())
         sets = map_texts(docs, work, "shingles long, members array<long>", F.col(text_col))
-        sets = cut(sets.join(F.broadcast(wanted) if wanted.count() <= most else wanted, "shingles", "left_semi").dropDuplicates(["shingles"]))
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return cut(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+        return cut(sets.join(F.broadcast(wanted) if wanted.count() <= most else wanted, "shingles", "left_semi").dropDuplicates(["shingles"]))
 
-    linked = verified(pairs)
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("shingles")))
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    linked = cut(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
     joined = cut(components(linked))
     placed = banded.join(joined.withColumnRenamed("node", "shingles"), "shingles", "left").select("band", "shingles", "size", F.coalesce("root", "shingles").alias("root"))
     # In a band of three, all pairs have met an end.
     mixed = cut(placed.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).where("r <> s AND n > 3").select("band"))
     if not mixed.isEmpty():
-        members = placed.join(mixed, "band", "left_semi").join(own.select("shingles", "sketch"), "shingles")
-        rest = cut(crossing(members, similarity).join(pairs, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            linked = linked.unionAll(verified(rest))
+        crowd = cut(placed.join(mixed, "band", "left_semi"))
+        members = crowd.join(sets_of(crowd.select("shingles")), "shingles")
+        linked = linked.unionAll(cut(crossing(members, similarity)))
     firsts = own.select("shingles", "first")
     links = linked.join(firsts.toDF("a", "p"), "a").join(firsts.toDF("b", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
     equal = rows.join(firsts, "shingles").where("bits != first").select(F.col("bits").alias("a"), F.col("first").alias("b"))

@@ -73,13 +73,33 @@ def merged_parts(parts: DataFrame, doc: str, order: str, title: str) -> DataFram
     return first.where("__k = 1").drop("__k", "__key")
 
 
+# Words at the end of a title that say which state a document is in.
+STATES = ["final", "draft", "copy"]
+
+
 def clean_title(title: Column) -> Column:
-    """A document's title without file ending, underscores, and version or draft marks at the end."""
+    """A document's title without file ending, underscores and one mark at its end: a state, a version, or a number in brackets.
+
+    The last piece of the title, after a space, a dash or a bracket, is looked at. A state is one of
+    STATES; a version is a number that v or version stands before, with or without a space. A
+    bare number stays. A title that is nothing but a mark stays as it is.
+    """
     plain = F.trim(F.replace(F.regexp_replace(title, r"\.[A-Za-z0-9]{2,5}$", ""), F.lit("_"), F.lit(" ")))
-    mark = r"(?i)\s*[-–(]?\s*\b(v(ersion)?\s?\d+(\.\d+)*|final|draft|copy|\d+)\b\s*\)?\s*$"
-    for _ in range(2):
-        plain = F.trim(F.regexp_replace(plain, mark, ""))
-    return F.coalesce(F.nullif(plain, F.lit("")), title)
+    closed = F.endswith(plain, F.lit(")"))
+    body = F.rtrim(F.when(closed, F.left(plain, F.length(plain) - 1)).otherwise(plain))
+    last = lambda c: F.regexp_extract(c, r"([^\s(–-]*)$", 1)
+    without = lambda c, piece: F.left(c, F.length(c) - F.length(piece))
+    piece = last(body)
+    before = without(body, piece)
+    word = F.lower(piece)
+    spoken = last(F.rtrim(before))
+    number = word.rlike(r"^[0-9]+(\.[0-9]+)*$")
+    counted = number & F.lower(spoken).isin("v", "version")
+    bracketed = closed & word.rlike("^[0-9]+$") & F.endswith(before, F.lit("("))
+    marked = word.isin(STATES) | word.rlike(r"^v(ersion)?[0-9]+(\.[0-9]+)*$") | bracketed
+    rest = F.when(counted, without(F.rtrim(before), spoken)).when(marked, before)
+    cut = F.trim(F.regexp_replace(F.rtrim(rest), "[(–-]$", ""))
+    return F.coalesce(F.nullif(F.coalesce(cut, plain), F.lit("")), title)
 
 
 def noise_gate(facts: dict[str, Column], weights: dict[str, float], base: float, keep: float) -> dict[str, Column]:
@@ -89,22 +109,6 @@ def noise_gate(facts: dict[str, Column], weights: dict[str, float], base: float,
     return {"relevance": relevance, "verdict": F.when(relevance < keep, "noise").otherwise("kept")}
 
 
-def mentions(items: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, most_words: int = 3) -> DataFrame:
-    """(id, entity, n): how often the names of a lexicon (entity, name) occur in a text, as whole words.
-
-    Names and runs of one to most_words words of the text meet by equality.
-    """
-    names = lexicon.select("entity", F.array_join(text.words(F.col("name")), " ").alias("__run")).where("__run <> ''").distinct()
-    words = items.select(id_col, text.words(F.col(text_col)).alias("__w"))
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - n + 1, F.lit(1))), at_place(n)) for n in range(1, most_words + 1)]
-    found = words.select(id_col, F.explode(F.concat(*runs)).alias("__run")).join(names, "__run")
-    return found.groupBy(id_col, "entity").agg(F.count("*").alias("n"))
-
-
-def at_place(n: int):
-    return lambda k: F.array_join(F.slice("__w", k, n), " ")
-
-
 def validated(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """rows with ``reason``: the first check, by order, that fails; null if all hold. A check that is null fails."""
     return rows.withColumn("reason", F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks.items())))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import graphs
+
 
 def asof_backward(left: DataFrame, right: DataFrame, key: str, at: str, ts: str, value: str, name: str) -> DataFrame:
     """Each left row with the value of the last right row of its key at or before ``at``.
@@ -54,18 +56,33 @@ def for_all(parents: DataFrame, children: DataFrame, on: str, holds: Column) ->
     return parents.join(good.select(on), on, "left_semi")
 
 
-def family(edges: DataFrame, roots: DataFrame, most: int = 6) -> DataFrame:
-    """(root, node, depth) of all that hangs below each root in edges (parent, child), down to ``most`` levels.
+def family(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """(root, node, depth) of all that hangs below each root in edges (parent, child), itself at depth 0: at any depth, or down to ``most`` levels.
+
+    A node that is reached again farther down keeps its least depth, so cycles end. A few levels
+    are walked from the roots; without a bound the whole hierarchy's paths are doubled, which
+    takes as many rounds as the depth has binary digits (see graphs).
+    """
+    if most is not None:
+        return graphs.reach(edges, roots, most)
+    own = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).where("root IS NOT NULL").distinct()
+    below = graphs.ancestors(edges).where("node <> ancestor").select(F.col("ancestor").alias("root"), "node", "depth")
+    return own.unionByName(below.join(own.select("root"), "root", "left_semi"))
+
+
+def family_items(entities: DataFrame, edges: DataFrame, items: DataFrame) -> DataFrame:
+    """(entity, members, items, first_seen, last_seen): for each of entities (entity), any table of them, the size of its family below and its members' source items.
 
-    A level is joined from the one before alone, each node once; a node that is reached again
-    farther down keeps its least depth, so cycles do no harm.
+    items (entity, item, seen_at). An item that several members have counts once. A member's items
+    are reduced before they meet the families, and meet each family that the member is in.
     """
-    level = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
-    reached = level
-    for depth in range(1, most + 1):
-        level = level.join(edges, level.node == edges.parent).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
-        reached = reached.unionByName(level)
-    return reached.groupBy("root", "node").agg(F.min("depth").alias("depth"))
+    families = family(edges, entities.select(F.col("entity").alias("root"))).select("root", "node")
+    own = items.groupBy("entity", "item").agg(F.min("seen_at").alias("first"), F.max("seen_at").alias("last"))
+    met = families.join(own, families.node == own.entity, "left").select("root", "node", "item", "first", "last")
+    each = met.groupBy("root", "item").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    found = each.groupBy("root").agg(F.count("item").alias("items"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"))
+    sizes = families.groupBy("root").agg(F.count("*").alias("members"))
+    return sizes.join(found, "root").select(F.col("root").alias("entity"), "members", "items", "first_seen", "last_seen")
 
 
 def neighbours(edges: DataFrame, node: Column, limit: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, finance, scoring, text
-from tidemark.operators import intake, resolution
+from tidemark.operators import intake, resolution, spotting
 from tidemark.plans.registry import query, table
 
 
@@ -136,7 +136,7 @@ def q119(spark, sf):
     said = F.concat("role", F.lit(" said "), F.col("conv_id").cast("string"), F.lit(": red widget, small  bolt. Red-widget "), F.col("turn").cast("string"))
     items = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("item"), said.alias("text"))
     lexicon = table(spark, sf, "part").select(F.col("p_name").alias("entity"), F.col("p_name").alias("name")).distinct()
-    return intake.mentions(items, "item", "text", lexicon)
+    return spotting.mentions(items, "item", "text", lexicon)
 
 
 @query(

@@ -102,22 +102,6 @@ def q70(spark, sf):
     return rows.select("conv_id", "turn", resolution.evidence_found(F.col("text"), quote).alias("found"))
 
 
-@query(
-    "q71_entity_resolution",
-    """SELECT c_custkey AS mention_id, CASE WHEN c_custkey % 4 < 3 THEN c_custkey END AS entity_id, CASE c_custkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'alias' WHEN 2 THEN 'fuzzy' ELSE 'none' END AS how FROM customer""",
-)
-def q71(spark, sf):
-    """Mentions resolved to customers by name, by alias, in spite of a letter left out, or not at all."""
-    k = F.col("c_custkey")
-    every = table(spark, sf, "customer")
-    slip = F.concat(F.left("c_name", F.lit(3)), F.substring("c_name", 5, 100))
-    name = F.when(k % 4 == 0, F.upper("c_name")).when(k % 4 == 1, F.concat(F.lit("cust "), k.cast("string"))).when(k % 4 == 2, slip).otherwise("zzz")
-    mentions = every.select(k.alias("mention_id"), name.alias("name"))
-    directory = every.select(k.alias("entity_id"), F.col("c_name").alias("name"))
-    aliases = every.select(k.alias("entity_id"), F.concat(F.lit("Cust "), k.cast("string")).alias("alias"))
-    return resolution.resolve_entities(mentions, directory, aliases).select("mention_id", "entity_id", "how")
-
-
 PHRASES = [
     ("by tomorrow", "d + 1"), ("in two weeks", "d + 14"), ("within 30 days", "d + 30"), ("by the end of the month", "last_day(d)"), ("end of next month", "last_day(CAST(d + INTERVAL 1 MONTH AS DATE))"),
     ("by end of the year", "CAST(make_date(year(d), 12, 31) AS DATE)"), ("next Tuesday", "d + CAST((8 - isodow(d)) % 7 + 1 AS INT)"), ("on Friday", "d + CAST((12 - isodow(d)) % 7 AS INT)"), ("early next week", "d + CAST(8 - isodow(d) AS INT)"),

@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir and read again, so that later reads cost no more and survive lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name in spark.checkpoint.dir, which all executors see; only a local session without that setting (tests) gets a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="tidemark-kept-")
+    return f"{shared}/tidemark-{uuid.uuid4().hex}"
+
 
-    Only a local session without that setting (tests) gets a temporary folder.
-    """
+def kept(df: DataFrame) -> DataFrame:
+    """df, written to the folder in spark.checkpoint.dir and read again, so that later reads cost no more and survive lost executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if shared is None:
-            if not sc.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="tidemark-kept-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
-from tidemark.operators import groups, percentiles, search, security, upsert
+from tidemark.operators import groups, index, percentiles, search, security, upsert
+from tidemark.operators.kept import shared_folder
 from tidemark.plans.registry import query, table
 from tidemark.sources import html
 
@@ -15,6 +16,20 @@ STEM = """regexp_replace(CASE WHEN regexp_matches(w, '^.{3,}ing$') THEN left(w,
   WHEN regexp_matches(w, '^.{3,}s$') AND NOT regexp_matches(w, '(ss|us|is)$') THEN left(w, length(w) - 1) ELSE w END, '^(.{3,})e$', '\\1')"""
 
 
+#: Where the index of a folder's documents is kept, for each application.
+INDEXES: dict[tuple[str, str], list[str]] = {}
+
+
+def documents_index(spark, sf) -> list[str]:
+    """The segments of the documents' index, which the first query of an application writes and the others read."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in INDEXES:
+        path = shared_folder(spark)
+        index.write_index(table(spark, sf, "documents"), path, "doc_id", ["source", "text"])
+        INDEXES[key] = [path]
+    return INDEXES[key]
+
+
 @query(
     "q47_fts_match",
     f"""WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ')) AS w FROM documents), s AS (SELECT doc_id, {STEM} AS term FROM t WHERE length(w) >= 2)
@@ -23,8 +38,7 @@ STEM = """regexp_replace(CASE WHEN regexp_matches(w, '^.{3,}ing$') THEN left(w,
 def q47(spark, sf):
     """Documents with all stems that are asked for and without those that are not wanted, by weight."""
     plan = search.SearchPlan.parse("the hainha -tion")
-    index = search.postings(table(spark, sf, "documents"), "doc_id", {"text": 1.0}, plan)
-    return search.match_all(index, plan).select("id", F.col("rank").cast("long").alias("rank"))
+    return index.match_stems(spark, documents_index(spark, sf), list(plan.terms), list(plan.without), ["text"]).select("id", F.col("found").alias("rank"))
 
 
 @query(
@@ -37,7 +51,7 @@ def q47(spark, sf):
 )
 def q47b(spark, sf):
     """The fallback from whole words to beginnings to any text: the best tier that has hits, for a term of each kind."""
-    return search.best_tiers(table(spark, sf, "documents"), "doc_id", "text", ["erth", "therw", "thain"])
+    return index.match_tiers(spark, documents_index(spark, sf), ["erth", "therw", "thain"], ["text"])
 
 
 @query(

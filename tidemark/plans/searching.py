@@ -7,8 +7,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tidemark.functions import rounding, text
-from tidemark.operators import groups, search
-from tidemark.plans.ingestion import STEM
+from tidemark.operators import groups, index, search
+from tidemark.plans.ingestion import STEM, documents_index
 from tidemark.plans.registry import query, table
 
 AS_OF = "2001-08-01"
@@ -26,24 +26,45 @@ WORDS = "SELECT doc_id, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS \"a
 def q80(spark, sf):
     """A query with a phrase, a choice and a word to leave out; documents that aren't English count as noise."""
     asked = search.Query.parse('"of and" to OR is -die')
-    return search.match_query(table(spark, sf, "documents"), "doc_id", "text", asked, F.col("lang") != "en").select("id", F.col("rank").cast("double").alias("rank"))
+    foreign = table(spark, sf, "documents").where("lang <> 'en'").select(F.col("doc_id").alias("id"))
+    return index.match_index(spark, documents_index(spark, sf), asked, foreign, ["text"]).select("id", F.col("rank").cast("double").alias("rank"))
 
 
 @query(
     "q81_headlines",
-    r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda w: w <> '') AS ws FROM documents), m AS (SELECT doc_id, ws, list_transform(ws, lambda w: regexp_replace(lower(w), '[^a-z0-9]+', '', 'g') IN ('and', 'ands', 'anded')) AS hit FROM d),
-        r AS (SELECT *, len(list_filter(hit, lambda h: h)) AS n FROM m), t AS (SELECT * FROM r WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 40),
-        p AS (SELECT doc_id, list_transform(ws, lambda w, i: CASE WHEN hit[i] THEN '[' || w || ']' ELSE w END) AS k, list_filter(range(1, len(ws) + 1), lambda i: hit[i]) AS "at" FROM t),
-        q AS (SELECT *, greatest(1, "at"[1] - 4) AS a FROM p), u AS (SELECT *, list_filter("at", lambda i: i >= a + 16)[1] AS b FROM q)
+    f"""WITH h AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, {STEM} AS term FROM ({WORDS}) WHERE length(w) >= 2) WHERE term = 'and' GROUP BY 1 ORDER BY n DESC, doc_id LIMIT 40),"""
+    + r"""
+        t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda w: w <> '') AS ws FROM documents SEMI JOIN h USING (doc_id)),
+        m AS (SELECT doc_id, ws, list_transform(ws, lambda w: regexp_replace(lower(w), '[^a-z0-9]+', '', 'g') IN ('and', 'ands', 'anded')) AS hit FROM t),
+        p AS (SELECT doc_id, list_transform(ws, lambda w, i: CASE WHEN hit[i] THEN '[' || w || ']' ELSE w END) AS k, list_filter(range(1, len(ws) + 1), lambda i: hit[i]) AS "at" FROM m),
+        q AS (SELECT *, greatest(1, coalesce("at"[1], 1) - 4) AS a FROM p), u AS (SELECT *, list_filter("at", lambda i: i >= a + 16)[1] AS b FROM q)
         SELECT doc_id, array_to_string(k[a:a + 15], ' ') || CASE WHEN b IS NOT NULL THEN ' … ' || array_to_string(k[b:b + 15], ' ') ELSE '' END AS headline FROM u""",
 )
 def q81(spark, sf):
-    """The forty documents with most hits, with two fragments of sixteen words in which these are marked."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    near = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.startswith(w, F.lit("a")) | w.rlike("^[^a-z0-9]+an"))
-    n = F.size(F.filter(near, lambda w: text.light_stem(F.regexp_replace(w, "[^a-z0-9]+", "")) == "and"))
-    best = docs.withColumn("n", n).where("n > 0").orderBy(F.desc("n"), "doc_id").limit(40)
-    return search.headlines(best, "text", ["and"]).select("doc_id", "headline")
+    """The forty documents with most hits, told by the index, with two fragments of sixteen words in which these are marked."""
+    best = index.match_stems(spark, documents_index(spark, sf), ["and"], fields=["text"]).orderBy(F.desc("found"), "id").limit(40)
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(F.broadcast(best), F.col("doc_id") == F.col("id"))
+    return search.headlines(docs, "text", ["and"]).select("doc_id", "headline")
+
+
+CLOSE = ["and", "the", "of"]
+
+
+@query(
+    "q149_ranked_by_closeness",
+    f"""WITH w AS (SELECT doc_id, 'text' AS field, unnest(ws) AS w, generate_subscripts(ws, 1) AS "at" FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') AS ws FROM documents)
+               UNION ALL SELECT doc_id, 'source', unnest(ws), generate_subscripts(ws, 1) FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g'), ' ') AS ws FROM documents)),
+             s AS (SELECT doc_id, field, "at", {STEM} AS term FROM w), k AS (SELECT *, CASE field WHEN 'source' THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END AS weight FROM s WHERE term IN ('and', 'the', 'of')),
+             c AS (SELECT doc_id, field, term, any_value(weight) AS weight, count(*) AS n FROM k GROUP BY 1, 2, 3), p AS (SELECT doc_id, sum(weight * n / (n + 1)) AS presence FROM c GROUP BY 1 HAVING count(DISTINCT term) = 3),
+             l AS (SELECT doc_id, field, weight, "at", max("at") FILTER (term = 'and') OVER o AS l1, max("at") FILTER (term = 'the') OVER o AS l2, max("at") FILTER (term = 'of') OVER o AS l3 FROM k WINDOW o AS (PARTITION BY doc_id, field ORDER BY "at")),
+             v AS (SELECT doc_id, field, any_value(weight) AS weight, least(l1, l2, l3) AS b, min("at") AS e FROM l WHERE l1 IS NOT NULL AND l2 IS NOT NULL AND l3 IS NOT NULL GROUP BY doc_id, field, b),
+             d AS (SELECT doc_id, sum(weight / (e - b + 1)) AS density, min(e - b + 1) AS shortest FROM v GROUP BY 1)
+        SELECT p.doc_id AS id, round(presence + coalesce(density, 0), 6) AS rank, shortest FROM p LEFT JOIN d ON d.doc_id = p.doc_id""",
+)
+def q149(spark, sf):
+    """Documents with three words, ranked by how often these stand close together; a source's name weighs more than the text."""
+    found = index.closeness(spark, documents_index(spark, sf), CLOSE, {"source": 1.0, "text": 0.4})
+    return found.select("id", F.round("rank", 6).alias("rank"), F.col("shortest").cast("long").alias("shortest"))
 
 
 def nearness(days):

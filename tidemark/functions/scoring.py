@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.rounding import clamp, half_up, steps
@@ -35,6 +35,20 @@ def normalised_weights(weights: dict[str, float] | None = None, default: dict[st
     return {k: v * 100 / total for k, v in kept.items()} if total > 0 else dict(default)
 
 
+def normalised(given: DataFrame, groups: DataFrame, defaults: DataFrame) -> DataFrame:
+    """(grp, factor, weight) for every group and factor: each group's weights, brought to a sum of 100.
+
+    given (grp, factor, weight), groups (grp), defaults (factor, weight): a fixed list of factors, so
+    it is broadcast. A missing weight counts as its default, a negative one as 0; a group of which
+    nothing is left takes the defaults.
+    """
+    every = groups.select("grp").distinct().crossJoin(F.broadcast(defaults.select("factor", F.col("weight").alias("usual"))))
+    both = every.join(given, ["grp", "factor"], "left").withColumn("own", F.greatest(F.lit(0.0), F.coalesce("weight", "usual")))
+    sums = both.groupBy("grp").agg(F.sum("own").alias("total"), F.sum("usual").alias("usual_total"))
+    share = F.when(F.col("total") > 0, F.col("own") * 100 / F.col("total")).otherwise(F.col("usual") * 100 / F.col("usual_total"))
+    return both.join(sums, "grp").select("grp", "factor", share.alias("weight"))
+
+
 def urgency(days: Column) -> Column:
     """From 5 for today or overdue down to 0.5, also without a date."""
     return F.when(days.isNull(), 0.5).otherwise(steps(days, URGENCY, 0.5))

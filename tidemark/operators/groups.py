@@ -62,3 +62,10 @@ def first_that_has_rows(frames: list[DataFrame]) -> DataFrame:
         first = first.unionByName(df)
     least = first.agg(F.min("__first").alias("__first"))
     return every.join(F.broadcast(least), F.col("__k") == F.col("__first")).drop("__k", "__first")
+
+
+def newest_items(entities: DataFrame, items: DataFrame, most: int) -> DataFrame:
+    """(entity, item, at, place): of each of entities (entity), any table of them, the ``most`` newest items (entity, item, at), an item once."""
+    own = items.join(entities.select("entity").distinct(), "entity", "left_semi").groupBy("entity", "item").agg(F.max("at").alias("at"))
+    place = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("at"), F.asc("item")))
+    return own.withColumn("place", place).where(F.col("place") <= most).select("entity", "item", "at", "place")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.operators import ranking
 
 #: Evidence ids that an edge keeps, the newest.
 EVIDENCE = 20
@@ -49,9 +50,8 @@ def newest_evidence(rows: DataFrame, keys: list[str], item: str, at: str, most:
 
 
 def debounced(requests: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """(key, due, n): requests of one key less than ``seconds`` apart make one run, due that long after the last of them."""
-    gap = F.session_window(at, f"{seconds} seconds")
-    return requests.groupBy(key, gap.alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.end").alias("due"), "n")
+    """(key, due, n): requests of one key less than ``seconds`` apart make one run, due that long after the last of them. A key of any size is several slices of time (see ranking.gap_runs)."""
+    return ranking.gap_runs(requests, key, at, seconds).select(key, (F.col("last") + F.make_dt_interval(secs=F.lit(seconds))).alias("due"), "n")
 
 
 def with_deletions(items: DataFrame, deleted: DataFrame, path: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranking
+
 
 def insights(analyzers: dict[str, Callable[[], DataFrame]]) -> DataFrame:
     """(fingerprint, kind, subject, importance, n) of all analyzers, each of which gives (subject, importance) rows.
@@ -41,9 +43,9 @@ def by_precedence(rows: DataFrame, keys: list[str], source: str, ranks: list[str
 
 
 def day_agenda(items: DataFrame, day: str, starts: Column, all_day: Column, importance: str, id_col: str) -> DataFrame:
-    """items with ``place`` in their local day: by start, all-day items at the day's first instant and before others of that instant, then by importance."""
-    key = F.when(all_day, F.col("midnight")).otherwise(starts)
-    return items.withColumn("place", F.row_number().over(Window.partitionBy(day).orderBy(key, F.when(all_day, 0).otherwise(1), F.desc(importance), id_col)))
+    """items with ``place`` in their local day: by start, all-day items at the day's first instant and before others of that instant, then by importance. A day of any size is several ranges (see ranking.numbered)."""
+    timed = items.withColumn("__start", F.when(all_day, F.col("midnight")).otherwise(starts)).withColumn("__later", F.when(all_day, 0).otherwise(1))
+    return ranking.numbered(timed, [day], [F.asc("__start"), F.asc("__later"), F.desc(importance), F.asc(id_col)]).drop("__start", "__later")
 
 
 def may_lose_role(users: DataFrame, group: str, role: str, keeper: str) -> DataFrame:

@@ -57,25 +57,28 @@ def q141(spark, sf):
 
 @query(
     "q142_dossier",
-    """WITH d AS (SELECT 'deal' AS section, o_orderkey AS id, o_totalprice AS weight FROM orders WHERE o_custkey = 7 AND o_orderstatus <> 'F'), r AS (SELECT 'recent', o_orderkey, epoch(o_orderdate) FROM orders WHERE o_custkey = 7),
-            e AS (SELECT 'touch', event_id, epoch(ts) FROM events WHERE user_id = 7), l AS (SELECT 'supplier', l_suppkey, CAST(count(*) AS DOUBLE) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey = 7 GROUP BY 2),
+    """WITH a AS (SELECT DISTINCT o_custkey AS who FROM orders WHERE o_orderstatus = 'P'), d AS (SELECT o_custkey AS who, 'deal' AS section, o_orderkey AS id, o_totalprice AS weight FROM orders WHERE o_orderstatus <> 'F'), r AS (SELECT o_custkey, 'recent', o_orderkey, epoch(o_orderdate) FROM orders),
+            e AS (SELECT user_id, 'touch', event_id, epoch_us(ts) FROM events), l AS (SELECT o_custkey, 'supplier', l_suppkey, CAST(count(*) AS DOUBLE) FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 3),
             u AS (SELECT * FROM d UNION ALL SELECT * FROM r UNION ALL SELECT * FROM e UNION ALL SELECT * FROM l)
-       SELECT section, id, CAST(row_number() OVER (PARTITION BY section ORDER BY weight DESC, id) AS INTEGER) AS place FROM u QUALIFY row_number() OVER (PARTITION BY section ORDER BY weight DESC, id) <= 5""",
+       SELECT who, section, id, CAST(row_number() OVER (PARTITION BY who, section ORDER BY weight DESC, id) AS INTEGER) AS place FROM u SEMI JOIN a USING (who) QUALIFY row_number() OVER (PARTITION BY who, section ORDER BY weight DESC, id) <= 5""",
 )
 def q142(spark, sf):
-    """What to know before a meeting with a customer: the best five of each section."""
-    orders = table(spark, sf, "orders").where("o_custkey = 7")
-    row = lambda df, section, key, weight: df.select(F.lit(section).alias("section"), F.col(key).alias("id"), weight.cast("double").alias("weight"))
-    lines = table(spark, sf, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    """What to know before a meeting with each customer that has a pending order: the best five of each section."""
+    every = table(spark, sf, "orders")
+    asked = every.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("who")).distinct()
+    orders = every.join(asked, F.col("o_custkey") == F.col("who"), "left_semi")
+    row = lambda df, who, section, key, weight: df.select(F.col(who).alias("who"), F.lit(section).alias("section"), F.col(key).alias("id"), weight.cast("double").alias("weight"))
+    lines = table(spark, sf, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").groupBy("o_custkey", "l_suppkey").agg(F.count("*").alias("n"))
     instant = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    every = (
-        row(orders.where("o_orderstatus <> 'F'"), "deal", "o_orderkey", F.col("o_totalprice"))
-        .unionByName(row(orders, "recent", "o_orderkey", instant("o_orderdate")))
-        .unionByName(row(table(spark, sf, "events").where("user_id = 7"), "touch", "event_id", instant("ts")))
-        .unionByName(row(lines, "supplier", "l_suppkey", F.col("n")))
+    touches = table(spark, sf, "events").join(asked, F.col("user_id") == F.col("who"), "left_semi")
+    rows = (
+        row(orders.where("o_orderstatus <> 'F'"), "o_custkey", "deal", "o_orderkey", F.col("o_totalprice"))
+        .unionByName(row(orders, "o_custkey", "recent", "o_orderkey", instant("o_orderdate")))
+        .unionByName(row(touches, "user_id", "touch", "event_id", instant("ts")))
+        .unionByName(row(lines, "o_custkey", "supplier", "l_suppkey", F.col("n")))
     )
-    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("weight"), "id"))
-    return every.withColumn("place", place).where("place <= 5").select("section", "id", "place")
+    place = F.row_number().over(Window.partitionBy("who", "section").orderBy(F.desc("weight"), "id"))
+    return rows.withColumn("place", place).where("place <= 5").select("who", "section", "id", "place")
 
 
 @query(

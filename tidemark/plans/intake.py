@@ -11,12 +11,12 @@ from tidemark.plans.registry import query, table
 
 @query(
     "q110_chat_as_mail",
-    """SELECT 'chat:' || conv_id || ':' || turn AS item, CAST(conv_id AS VARCHAR) AS thread, CASE WHEN conv_id % 2 = 0 THEN 'Topic ' || conv_id ELSE left(text, 12) END AS subject, role AS sender, 'chat' AS kind FROM (SELECT conv_id, turn, role, repeat('x', 12) AS text FROM conversations)
+    r"""SELECT 'chat:' || conv_id || ':' || turn AS item, CAST(conv_id AS VARCHAR) AS thread, CASE WHEN conv_id % 2 = 0 THEN 'Topic ' || conv_id ELSE CASE WHEN length(line) > 60 THEN left(regexp_replace(left(line, 61), '\s+\S*$', ''), 60) ELSE line END END AS subject, role AS sender, 'chat' AS kind FROM (SELECT *, trim(regexp_extract(text, '^\s*([^\n]*)', 1)) AS line FROM conversations)
        UNION ALL SELECT 'mail:' || doc_id, 'm' || doc_id, source, lang, 'mail' FROM documents""",
 )
 def q110(spark, sf):
     """Chat messages in the shape of mail, united with mail."""
-    chat = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.repeat(F.lit("x"), 12).alias("text"))
+    chat = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     topic = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Topic "), F.col("conv_id").cast("string"))).otherwise(" ")
     mail = table(spark, sf, "documents").select(
         F.concat(F.lit("mail:"), F.col("doc_id").cast("string")).alias("item"), F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("thread"), F.col("source").alias("subject"), F.col("lang").alias("sender"), F.lit("mail").alias("kind")
@@ -76,14 +76,14 @@ def q114(spark, sf):
 
 @query(
     "q115_deletions",
-    """SELECT doc_id, source = 'src1' OR (source = 'src2' AND lang = 'de') OR doc_id = 7 AS gone FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""",
+    """SELECT doc_id, coalesce(source, 'none') = 'src1' OR (coalesce(source, 'none') = 'src2' AND coalesce(lang, 'none') = 'de') OR doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS gone FROM documents""",
 )
 def q115(spark, sf):
     """Items that a deletion upstream takes along: their own path or a folder above."""
-    docs = table(spark, sf, "documents").where("source IS NOT NULL AND lang IS NOT NULL")
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("lang", F.lit("none")).alias("lang"))
     items = docs.select("doc_id", F.concat_ws("/", F.lit(""), "source", "lang", F.col("doc_id").cast("string")).alias("path"))
-    seven = items.where("doc_id = 7").select("path")
-    deleted = spark.createDataFrame([("/src1/",), ("/src2/de",), ("/src",)], "path string").unionByName(seven)
+    toxic = items.join(table(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("path")
+    deleted = spark.createDataFrame([("/src1/",), ("/src2/de",), ("/src",)], "path string").unionByName(toxic)
     return intake.with_deletions(items, deleted, "path").select("doc_id", "gone")
 
 
@@ -269,9 +269,14 @@ def q128(spark, sf):
 
 @query(
     "q129_weights",
-    "SELECT factor, CAST(weight AS DOUBLE) AS weight FROM (VALUES ('a', 50.0), ('b', 30.0), ('c', 20.0)) v(factor, weight)",
+    """WITH w AS (SELECT c_nationkey AS grp, c_mktsegment AS factor, sum(c_acctbal) AS weight FROM customer GROUP BY 1, 2), f AS (SELECT n_nationkey AS grp, factor FROM nation, (SELECT DISTINCT c_mktsegment AS factor FROM customer)),
+             v AS (SELECT f.grp, f.factor, greatest(0, coalesce(weight, 1000)) AS v FROM f LEFT JOIN w ON w.grp = f.grp AND w.factor = f.factor)
+        SELECT grp, factor, round(CASE WHEN sum(v) OVER (PARTITION BY grp) > 0 THEN v * 100 / sum(v) OVER (PARTITION BY grp) ELSE 20.0 END, 6) AS weight FROM v""",
 )
 def q129(spark, sf):
-    """Weights as given, brought to a sum of a hundred; what is negative or missing counts as 0 or the default."""
-    found = scoring.normalised_weights({"a": 5, "b": 3, "c": 2}, {"a": 1.0, "b": 1.0, "c": 1.0})
-    return spark.createDataFrame(sorted((k, float(v)) for k, v in found.items()), "factor string, weight double")
+    """Each nation's weights of the segments, brought to a sum of a hundred; what is negative counts as 0 and what is missing as the default."""
+    customer = table(spark, sf, "customer")
+    given = customer.groupBy(F.col("c_nationkey").alias("grp"), F.col("c_mktsegment").alias("factor")).agg(F.sum("c_acctbal").alias("weight"))
+    defaults = customer.select(F.col("c_mktsegment").alias("factor")).distinct().withColumn("weight", F.lit(1000.0))
+    found = scoring.normalised(given, table(spark, sf, "nation").select(F.col("n_nationkey").alias("grp")), defaults)
+    return found.select("grp", "factor", F.round("weight", 6).alias("weight"))

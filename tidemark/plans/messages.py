@@ -14,7 +14,7 @@ from tidemark.streaming import events as streams
 @query(
     "q130_thread_status",
     """WITH m AS (SELECT user_id AS thread, event_id AS sent, event_type = 'purchase' AS mine, event_type = 'signup' AS automated, value > 60 AS asks, value > 20 AS addressed, value < 15 AS closes FROM events),
-            p AS (SELECT o_custkey AS thread, o_orderkey % 2 = 0 AS inbound, o_orderstatus = 'O' AS is_open, o_orderkey AS made_at FROM orders WHERE o_orderkey % 10 = 0),
+            p AS (SELECT o_custkey AS thread, o_orderkey % 2 = 0 AS inbound, o_orderstatus = 'O' AS is_open, o_orderkey AS made_at FROM orders),
             h AS (SELECT *, max(CASE WHEN mine THEN sent END) OVER (PARTITION BY thread) AS our_last FROM m WHERE NOT automated),
             s AS (SELECT thread, count(*) AS n, arg_max(mine, sent) AS mine, arg_max(asks, sent) AS asks, arg_max(closes, sent) AS closes, arg_max(NOT mine AND asks AND addressed, sent) AS asks_us, max(sent) AS sent,
                          min(sent) FILTER (NOT mine AND asks AND addressed AND (our_last IS NULL OR sent > our_last)) AS asked_at, bool_or(mine) AS wrote, bool_or(addressed) AS addressed FROM h GROUP BY 1),
@@ -30,7 +30,7 @@ def q130(spark, sf):
         F.col("user_id").alias("thread"), F.col("event_id").alias("sent"), (kind == "purchase").alias("mine"), (kind == "signup").alias("automated"), (v > 60).alias("asks"), (v > 20).alias("addressed"), (v < 15).alias("closes")
     )
     k = F.col("o_orderkey")
-    promises = table(spark, sf, "orders").where(k % 10 == 0).select(F.col("o_custkey").alias("thread"), (k % 2 == 0).alias("inbound"), (F.col("o_orderstatus") == "O").alias("is_open"), k.alias("made_at"))
+    promises = table(spark, sf, "orders").select(F.col("o_custkey").alias("thread"), (k % 2 == 0).alias("inbound"), (F.col("o_orderstatus") == "O").alias("is_open"), k.alias("made_at"))
     return threads.thread_status(messages, promises)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, rounding
-from tidemark.operators import review, series
+from tidemark.operators import ranking, review, series
 from tidemark.plans.registry import query, table
 
 TODAY = "2001-08-01"
@@ -228,9 +228,10 @@ def q100(spark, sf):
 def q101(spark, sf):
     """The 25 users farthest from the usual value, with their places by gap and by impact."""
     each = table(spark, sf, "events").groupBy("user_id").agg(F.avg("value").alias("v"), F.count("*").alias("n"))
-    gap, impact = F.round(F.abs(F.col("v") - 50), 6), F.round(F.col("v") * F.col("n"), 6)
-    place = lambda key: F.row_number().over(Window.orderBy(key.desc(), "user_id"))  # noqa: E731  a row for each user
-    return each.select("user_id", place(gap).alias("by_gap"), place(impact).alias("by_impact")).orderBy("by_gap").limit(25)
+    keyed = each.select("user_id", F.round(F.abs(F.col("v") - 50), 6).alias("gap"), F.round(F.col("v") * F.col("n"), 6).alias("impact"))
+    by_impact = ranking.numbered(keyed, [], [F.desc("impact"), F.asc("user_id")], "by_impact")
+    first = by_impact.orderBy(F.desc("gap"), "user_id").limit(25)
+    return first.select("user_id", F.row_number().over(Window.orderBy(F.desc("gap"), "user_id")).alias("by_gap"), "by_impact")
 
 
 @query(

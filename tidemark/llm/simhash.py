@@ -194,7 +194,7 @@ def alike(rows: DataFrame, docs: DataFrame, width: int, similarity: float, text_
 
     First a band's sets meet those with its smallest and its largest key, which connects nearly
     all of a group of near copies by as many pairs as it has members. Then, in bands whose sets
-    aren't all connected, those of different components are compared as a whole (see crossing), so
+    aren't all linked to the smallest one, all that aren't so both are compared (see crossing), so
     no link of a crowded band is lost. Ids meet first; pairs whose sizes can't be alike are
     dropped, and sets come to what is left. Sets without a candidate are never shuffled.
     """
@@ -221,12 +221,14 @@ def alike(rows: DataFrame, docs: DataFrame, width: int, similarity: float, text_
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     linked = cut(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
-    joined = cut(components(linked))
-    placed = banded.join(joined.withColumnRenamed("node", "shingles"), "shingles", "left").select("band", "shingles", "size", F.coalesce("root", "shingles").alias("root"))
+    # In a band, those that are linked to its smallest set go by that one's name.
+    sure = met.withColumn("a", F.least("shingles", "end.shingles")).withColumn("b", F.greatest("shingles", "end.shingles")).join(linked, ["a", "b"], "left_semi")
+    named = sure.groupBy("band", "shingles").agg(F.min("end.shingles").alias("root"))
+    placed = cut(banded.join(named, ["band", "shingles"], "left").select("band", "shingles", "size", F.least("shingles", F.coalesce("root", "shingles")).alias("root")))
     # In a band of three, all pairs have met an end.
-    mixed = cut(placed.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).where("r <> s AND n > 3").select("band"))
-    if not mixed.isEmpty():
-        crowd = cut(placed.join(mixed, "band", "left_semi"))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).where("r <> s AND n > 3").select("band")
+    crowd = cut(placed.join(mixed, "band", "left_semi"))
+    if not crowd.isEmpty():
         members = crowd.join(sets_of(crowd.select("shingles")), "shingles")
         linked = linked.unionAll(cut(crossing(members, similarity)))
     firsts = own.select("shingles", "first")

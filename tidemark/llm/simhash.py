@@ -203,7 +203,7 @@ def alike(rows: DataFrame, docs: DataFrame, width: int, similarity: float, text_
     own = cut(rows.where("shingles IS NOT NULL").groupBy("shingles").agg(F.min("bits").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     banded = cut(own.select("shingles", "size", F.explode("bands").alias("band")))
     ends = banded.groupBy("band").agg(F.min(F.struct("shingles", "size")).alias("low"), F.max(F.struct("shingles", "size")).alias("high"), F.count("*").alias("n")).where("low.shingles < high.shingles")
-    met = banded.join(ends, "band").select("shingles", "size", F.explode(F.array("low", "high")).alias("end")).where("shingles != end.shingles")
+    met = banded.join(ends, "band").select("band", "shingles", "size", F.explode(F.array("low", "high")).alias("end")).where("shingles != end.shingles")
     met = met.where(F.least("size", "end.size") >= F.greatest("size", "end.size") * F.lit(similarity))
     pairs = cut(met.select(F.least("shingles", "end.shingles").alias("a"), F.greatest("shingles", "end.shingles").alias("b")).distinct())
 

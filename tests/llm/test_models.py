@@ -341,3 +341,15 @@ def test_the_net_learns_from_every_training_document_once(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "words_of", lambda text, own=lm_score.words_of: seen.add(1) or own(text))
     lm_score.train(docs, vocab)
     assert seen.value == 4000
+
+
+def test_a_labelled_sample_keeps_to_rows_and_bytes(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat('x', 1000 + cast(id AS int)) AS text").unionByName(spark.sql("SELECT 7L AS doc_id, 'shorter' AS text UNION ALL SELECT 8L, NULL UNION ALL SELECT NULL, 'no id'"))
+    labels = spark.range(300).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    texts, marks = quality.labelled_sample(docs, labels, F.lit(True), rows=100)
+    assert len(texts) == len(marks) == 100
+    texts, marks = quality.labelled_sample(docs, labels, F.lit(True), rows=300, most_bytes=50_000)
+    assert 35 <= len(texts) <= 50 and sum(map(len, texts)) <= 50_000 and sum(map(len, texts)) > 48_000
+    every, marks = quality.labelled_sample(docs, labels, F.lit(True), rows=300)
+    assert len(every) == 300 and sorted(map(len, every))[0] == 7 and all((len(t) - 1000) % 2 == m for t, m in zip(every, marks, strict=True) if len(t) > 7)
+    assert quality.labelled_sample(docs.limit(0), labels, F.lit(True)) == ([], [])

@@ -7,15 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, keep_ids, limit_batches, map_texts, to_batch
+from tidemark.llm.common import as_bytes, cut, keep_ids, limit_batches, map_texts, to_batch
 
 #: Filters of a member net, members, bytes under a filter, bytes of a block, and blocks of a chunk; chunks overlap by a block.
 FILTERS, MEMBERS, WIDTH, BLOCK, CHUNK = 8, 4, 5, 64, 8
 #: Labelled rows to learn from at most, and bytes of each (longer texts aren't learned from); training steps, rows of a step, and step size.
 SAMPLE_ROWS, LONGEST, STEPS, STEP_ROWS, RATE = 2000, 1 << 20, 480, 32, 0.01
+#: Bytes of all texts to learn from at most.
+SAMPLE_BYTES = 32 << 20
 #: Bytes through the filters at a time.
 SPAN = 1 << 18
 
@@ -155,21 +157,28 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Net:
     return join_members([pickle.loads(r["net"]) for r in sorted(found, key=lambda r: r["id"])])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], list[int]]:
-    """At most ``rows`` whole texts with their labels, of the rows of labels that learn_from picks.
+def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], list[int]]:
+    """At most ``rows`` whole texts with their labels, of most_bytes bytes together, of the rows of labels that learn_from picks.
 
     A row is drawn by a hash of its id with a chance that gives 1.2 times ``rows``; the ids
-    drawn, bounded so, fetch their texts. Null labels, null ids and texts of over LONGEST bytes are
-    left out, a null text is empty.
+    drawn, bounded so, fetch their texts, one an id (the smallest, where rows share it). Of these
+    the first by the draw are learned from, up to both bounds, which hold in the plan, before
+    anything reaches the driver. Null labels, null ids and texts of over LONGEST bytes are left
+    out, a null text is empty. Without a labelled row the sample is empty.
     """
     usable = labels.where(learn_from & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
     count = usable.count()
     drawn = usable.where(draw < min(1.0, 1.2 * rows / max(1, count))).withColumn("draw", draw)
     texts = keep_ids(docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST), drawn, drop=False)
-    found = drawn.join(texts, "doc_id").select("draw", "doc_id", "text", "quality").collect()
-    found = sorted(found, key=lambda r: (r["draw"], r["doc_id"], r["text"] or "", r["quality"]))[:rows]
-    return [(r["text"] or "").encode() for r in found], [int(r["quality"]) for r in found]
+    texts = texts.groupBy("doc_id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    found = cut(drawn.join(texts, "doc_id").select("draw", "doc_id", "text", "quality"))
+    order = Window.orderBy("draw", "doc_id", "quality").rowsBetween(Window.unboundedPreceding, 0)  # about 1.2 times ``rows``, without their texts
+    sizes = found.select("draw", "doc_id", "quality", F.octet_length("text").cast("long").alias("size"))
+    first = sizes.withColumn("bytes", F.sum("size").over(order)).withColumn("k", F.count("*").over(order)).where((F.col("bytes") <= most_bytes) & (F.col("k") <= rows))
+    picked = found.join(F.broadcast(first.select("doc_id", "quality").distinct()), ["doc_id", "quality"]).collect()
+    picked = sorted(picked, key=lambda r: (r["draw"], r["doc_id"], r["quality"]))
+    return [r["text"].encode() for r in picked], [int(r["quality"]) for r in picked]
 
 
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,7 +199,7 @@ def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "te
 
 
 def of_quality(docs: DataFrame, net: Net, least: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of docs, as they are, that score ``least`` or more."""
+    """The rows of docs, as they are, that score ``least`` or more. Null counts as the empty text; rows that repeat stay or go together; an empty table stays empty."""
     limit_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

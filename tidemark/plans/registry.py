@@ -66,7 +66,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from tidemark.plans import analytics, assistant, boards, entities, hard_joins, ingestion, intake, messages, relational, reviews, scalars, searching  # noqa: F401
+    from tidemark.plans import analytics, assistant, boards, entities, hard_joins, history, ingestion, intake, messages, relational, reviews, scalars, searching  # noqa: F401
 
 
 load()

@@ -122,3 +122,16 @@ def test_change_feed_resumes_where_it_ended(spark, tmp_path):
     rows = run()
     assert rows.count() == 6
     assert {(r["id"], r["payload"], r["deleted"]) for r in feeds.latest(rows).collect()} == {("0", "v0", False), ("1", "new", False), ("2", "v2", True), ("3", "v3", False)}
+
+
+def test_automated_mail_by_name_and_headers(spark):
+    cases = [
+        ("acme-newsletter@x.io", {}, True), ("ada.digest+7@x.io", {}, True), ("No-Reply@x.io", {}, True), ("newsroom@x.io", {}, False), ("ada@x.io", {"LIST-ID": "x"}, True), ("ada@x.io", {"Precedence": " Bulk "}, True), ("ada@x.io", {"precedence": "first"}, False),
+        ("ada@x.io", {"Auto-Submitted": "auto-replied"}, True), ("ada@x.io", {"auto-submitted": "NO"}, False), ("ada@x.io", None, False), ("updates@x.io", None, True), ("update@x.io", {}, False),
+    ]
+    df = spark.createDataFrame([(s, h) for s, h, _ in cases], "s string, h map<string,string>")
+    assert [r.a for r in df.select(mail.is_automated(F.col("s"), F.col("h")).alias("a")).collect()] == [a for *_, a in cases]
+    sent = spark.createDataFrame([("a@own.io", ["b@OWN.io"]), ("a@own.io", ["b@own.io", "c@x.io"]), ("c@x.io", ["a@own.io"]), ("a@own.io", [])], "s string, r array<string>")
+    assert [r.d for r in sent.select(mail.direction(F.col("s"), ["own.io"], F.col("r")).alias("d")).collect()] == ["internal", "outbound", "inbound", "outbound"]
+    assert [r.d for r in sent.select(mail.direction(F.col("s"), ["own.io"], F.col("r"), ["boss@own.io"]).alias("d")).collect()] == ["internal", "inbound", "inbound", "internal"]
+    assert spark.createDataFrame([("Re: ",)], "s string").select(mail.base_subject(F.col("s")).alias("s")).first()[0] == "(no subject)"

@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import graphs
+from tidemark.functions import text
+from tidemark.operators import graphs, likeness
+from tidemark.operators.kept import kept
 
 
 def asof_backward(left: DataFrame, right: DataFrame, key: str, at: str, ts: str, value: str, name: str) -> DataFrame:
@@ -152,15 +154,16 @@ def bag_difference(before: DataFrame, after: DataFrame, key: str, value: str) ->
 def jaccard_pairs(df: DataFrame, key: str, id_col: str, tokens: str, least: float) -> DataFrame:
     """(key, a, b, likeness) of rows of one key, a < b, whose token sets have a Jaccard likeness of ``least`` or more.
 
-    Prefix filter: in one order of all tokens (long ones first, which are rare), two such sets
-    share a token among the first size - ceil(least * size) + 1 of each. So only pairs that share
-    one of these are made, not all of a key.
+    Shared tokens are counted: rows of a key meet by token, and a pair's meetings are added up, in
+    part before the shuffle. Pairs carry two sizes and no sets. From a half on, rows meet by the rarest tokens of one of
+    them alone (see likeness.containment_candidates) before they are compared.
     """
-    ordered = F.transform(F.array_sort(F.transform(F.array_distinct(tokens), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"])
-    sets = df.select(key, id_col, ordered.alias("__set")).where("size(__set) > 0")
-    first = F.slice("__set", 1, F.size("__set") - F.ceil(F.size("__set") * F.lit(least)).cast("int") + 1)
-    side = lambda name: sets.select(key, F.col(id_col).alias(name), F.col("__set").alias(f"__{name}"), F.explode(first).alias("__token"))
-    met = side("a").join(side("b"), [key, "__token"]).where("a < b").dropDuplicates([key, "a", "b"])
-    shared = F.size(F.array_intersect("__a", "__b"))
-    likeness = shared / (F.size("__a") + F.size("__b") - shared)
-    return met.select(key, "a", "b", likeness.alias("likeness")).where(F.col("likeness") >= least)
+    sets = df.select(key, id_col, F.array_distinct(tokens).alias("__set")).where("size(__set) > 0")
+    if least >= 0.5:
+        rows = kept(sets.select(F.struct(key, id_col).alias("id"), F.col("__set").alias("tokens"), key))
+        met = likeness.containment_candidates(rows, rows, least, [key]).where(F.col(f"left_id.{id_col}") < F.col(f"right_id.{id_col}"))
+        both = likeness.with_tokens(met, rows, rows)
+        return both.select(F.col(f"left_id.{key}").alias(key), F.col(f"left_id.{id_col}").alias("a"), F.col(f"right_id.{id_col}").alias("b"), text.jaccard(F.col("left_tokens"), F.col("right_tokens")).alias("likeness")).where(F.col("likeness") >= least)
+    side = lambda name: sets.select(key, F.col(id_col).alias(name), F.size("__set").alias(f"__{name}"), F.explode("__set").alias("__token"))
+    shared = side("a").join(side("b"), [key, "__token"]).where("a < b").groupBy(key, "a", "b", "__a", "__b").agg(F.count("*").alias("__n"))
+    return shared.select(key, "a", "b", (F.col("__n") / (F.col("__a") + F.col("__b") - F.col("__n"))).alias("likeness")).where(F.col("likeness") >= least)

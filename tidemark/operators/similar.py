@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.operators import likeness
 
 GRAM = 2
 
@@ -38,17 +39,7 @@ def edit_pairs(names: DataFrame, column: str, least: float) -> DataFrame:
 
 
 def jaro_winkler_pairs(names: DataFrame, column: str, least: float, prefix: int) -> DataFrame:
-    """(a, b) of distinct names, a < b, that begin with the same ``prefix`` letters and are alike by Jaro-Winkler.
-
-    The score favours a shared beginning. Letters that the two have in common bound it, so pairs
-    that can't reach it are dropped before the scoring.
-    """
+    """(a, b) of distinct names, a < b, that begin with the same ``prefix`` letters and are alike by Jaro-Winkler, ``least`` being 0.85 or more. Names meet by groups of letters (see likeness), not by their beginning."""
     own = names.select(F.col(column).alias("name")).where("name IS NOT NULL").distinct()
-    own = own.select("name", F.left("name", F.lit(prefix)).alias("start"), F.array_sort(F.split("name", "")).alias("letters"))
-    a, b = own.toDF("a", "start", "x"), own.toDF("b", "start", "y")
-    pairs = a.join(b, "start").where("a < b")
-    n, m = F.length("a"), F.length("b")
-    kinds = F.array_intersect("x", "y")
-    common = F.aggregate(kinds, F.lit(0), lambda t, c: t + F.least(F.size(F.filter("x", lambda o: o == c)), F.size(F.filter("y", lambda o: o == c))))
-    jaro = (common / n + common / m + 1) / 3
-    return pairs.where(jaro + 0.4 * (1 - jaro) >= least).where(text.jaro_winkler("a", "b") >= least).select("a", "b")
+    found = likeness.jaro_winkler_matches(own, own, least).where("a < b")
+    return found.where(F.left("a", F.lit(prefix)) == F.left("b", F.lit(prefix))).select("a", "b")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import email.header
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -111,14 +112,42 @@ def decode_header(texts: pd.Series) -> pd.Series:
 
 
 def base_subject(subject: Column) -> Column:
-    """A subject without reply and forward marks."""
-    return F.trim(F.regexp_replace(subject, r"(?i)^(\s*(re|r|fwd?|aw|antw|wg|sv|vs|tr|rv)\s*(\[\d+\])?:\s*)+", ""))
-
-
-def is_automated(sender: Column) -> Column:
-    """Senders that no one reads: no-reply, notifications and the like."""
-    return F.lower(sender).rlike(r"^(no-?reply|do-?not-?reply|notifications?|mailer-daemon|postmaster|alerts?|updates?|bounces?|newsletters?|notify|calendar|invitations?|automated|system)([+._-].*)?@")
-
-
-def direction(sender: Column, own_domains: list[str]) -> Column:
-    return F.when(F.lower(F.substring_index(sender, "@", -1)).isin(own_domains), "outbound").otherwise("inbound")
+    """A subject without reply and forward marks; "(no subject)" if nothing is left."""
+    plain = F.trim(F.regexp_replace(subject, r"(?i)^(\s*(re|r|fwd?|aw|antw|wg|sv|vs|tr)\s*(\[\d+\])?\s*:\s*)+", ""))
+    return F.when(plain == "", "(no subject)").otherwise(plain)
+
+
+# Parts of a sender's name that say that no one reads there.
+UNREAD = [
+    "no-reply", "noreply", "do-not-reply", "do-notreply", "donot-reply", "donotreply", "notification", "notifications", "notify", "newsletter", "newsletters", "mailer-daemon", "postmaster",
+    "bounce", "bounces", "alert", "alerts", "digest", "news", "marketing", "updates", "calendar-notification",
+]
+# Headers that only bulk mail and answering machines have, and what Precedence says in bulk mail.
+BULK_HEADERS = ["list-unsubscribe", "list-id", "x-autoreply", "x-autorespond"]
+BULK = ["bulk", "list", "junk", "auto_reply"]
+
+
+def header(headers: Column, name: str) -> Column:
+    """A header's value, trimmed, however its name is written; empty if it isn't there."""
+    found = F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name)
+    return F.coalesce(F.trim(F.get(found, F.lit(0))["value"]), F.lit(""))
+
+
+def is_automated(sender: Column, headers: Column | None = None) -> Column:
+    """Newsletters, bulk mail, answering machines, notifications and bounces: by headers (a map), or by a whole part of the sender's name between ``. _ + -``."""
+    name = F.substring_index(F.lower(sender), "@", 1)
+    by_name = name.rlike(f"(^|[._+-])({'|'.join(UNREAD)})($|[._+-])")
+    if headers is None:
+        return by_name
+    listed = reduce(lambda a, b: a | b, (header(headers, h) != "" for h in BULK_HEADERS))
+    submitted = F.lower(header(headers, "auto-submitted"))
+    return F.coalesce(listed | F.lower(header(headers, "precedence")).isin(BULK) | ~submitted.isin("", "no") | by_name, F.lit(False))
+
+
+def direction(sender: Column, own_domains: list[str], recipients: Column | None = None, own_addresses: list[str] | None = None) -> Column:
+    """outbound if sent from an own address, or from an own domain where no addresses are given; internal where recipients (an array) are known and all are, with the sender, at own domains; else inbound."""
+    own = lambda c: F.coalesce(F.lower(F.substring_index(c, "@", -1)).isin(own_domains), F.lit(False))
+    mine = F.lower(sender).isin(own_addresses) if own_addresses is not None else own(sender)
+    inside = own(sender) & F.forall(recipients, own) if recipients is not None else F.lit(False)
+    first, then = ((mine, "outbound"), (inside, "internal")) if own_addresses is not None else ((inside & (F.size(recipients) > 0) if recipients is not None else inside, "internal"), (mine, "outbound"))
+    return F.when(*first).when(*then).otherwise("inbound")

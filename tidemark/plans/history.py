@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import intervals, ledger, sketches
+from tidemark.operators import detectors, intervals, ledger, sketches
 from tidemark.operators.kept import kept, shared_folder
 from tidemark.plans.registry import query, table
 
@@ -95,3 +95,42 @@ def q154(spark, sf):
         _, worked = ledger.run_stages(items, "o_orderkey", path, stages)
         rows += [(run, stage, n) for stage, n in worked.items()]
     return spark.createDataFrame(rows, "run int, stage string, worked long")
+
+
+DETECTED_SQL = """
+    l AS (SELECT l_orderkey AS k, min(l_shipdate) AS first, max(l_shipdate) AS last, count(*) AS lines, max(l_discount) AS discount FROM lineitem GROUP BY 1),
+    a AS (SELECT o_custkey AS item, CASE WHEN c_acctbal < 0 THEN 'PROSPECT' WHEN c_mktsegment = 'MACHINERY' THEN 'VENDOR' ELSE 'CUSTOMER' END AS company_type, o_orderkey AS k, first AS due, o_totalprice AS value FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN l ON l.k = o_orderkey WHERE o_orderstatus = 'P'),
+    r AS (SELECT 'customer_deliverable_requested' AS kind, item, CASE WHEN company_type = 'CUSTOMER' OR value >= 500000 THEN 4 ELSE 3 END AS importance, true AS requires_owner FROM a WHERE company_type <> 'VENDOR' AND due IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item ORDER BY due, 'deliver order ' || k) = 1),
+    m AS (SELECT 'deadline_moved', k, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 4 ELSE 3 END, lines > 3 OR o_orderstatus = 'O' FROM orders JOIN l ON l.k = o_orderkey WHERE CAST(first AS DATE) <> CAST(last AS DATE)),
+    d AS (SELECT 'document_changed', doc_id, least(5, greatest(CASE WHEN quality = 1 THEN 4 ELSE 2 END, 3) + CASE WHEN source = 'src1' THEN 1 ELSE 0 END) AS w, least(5, greatest(CASE WHEN quality = 1 THEN 4 ELSE 2 END, 3) + CASE WHEN source = 'src1' THEN 1 ELSE 0 END) >= 4
+          FROM documents JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id) WHERE n_chars > 500),
+    k AS (SELECT 'new_risk', s_suppkey, least(5, CAST(floor(-s_acctbal / 100) AS INT)), true FROM supplier WHERE floor(-s_acctbal / 100) >= 4),
+    i AS (SELECT 'new_investor', user_id, 4 + max(CASE WHEN value > 95 THEN 1 ELSE 0 END), true FROM events WHERE event_type = 'signup' GROUP BY 2),
+    s AS (SELECT DISTINCT 'contract_status_changed', o_custkey, 5, true FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000),
+    u AS (SELECT * FROM r UNION ALL SELECT * FROM m UNION ALL SELECT * FROM d UNION ALL SELECT * FROM k UNION ALL SELECT * FROM i UNION ALL SELECT * FROM s)"""
+
+
+@query("q155_change_detectors", f"WITH {DETECTED_SQL} SELECT kind, item, importance, requires_owner FROM u")
+def q155(spark, sf):
+    """Requests of buyers, moved dates, changed documents, serious risks, possible investors and signed contracts, by the detectors' own rules."""
+    orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"), F.count("*").alias("lines"))
+    dated = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    kind = F.when(F.col("c_acctbal") < 0, "PROSPECT").when(F.col("c_mktsegment") == "MACHINERY", "VENDOR").otherwise("CUSTOMER")
+    asks = dated.where("o_orderstatus = 'P'").select(
+        F.col("o_custkey").alias("item"), F.lit(None).cast("long").alias("thread"), kind.alias("company_type"), F.lit(True).alias("inbound"), F.concat(F.lit("deliver order "), F.col("o_orderkey").cast("string")).alias("title"),
+        F.col("first").alias("due"), F.lit(None).cast("long").alias("task"), F.lit(None).cast("string").alias("deal_name"), F.col("o_totalprice").alias("deal_value"),
+    )
+    priority = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "P1").otherwise("P3")
+    moves = dated.select(F.lit("TASK").alias("type"), F.col("o_orderkey").alias("id"), F.to_date("first").alias("before"), F.to_date("last").alias("after"), priority.alias("priority"), (F.col("lines") <= 3).alias("applied"), (F.col("o_orderstatus") == "O").alias("by_owner"))
+    labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    versions = table(spark, sf, "documents").join(labels, "doc_id").select(
+        F.col("doc_id").alias("document"), F.when(F.col("source") == "src1", "INVESTOR_DECK").otherwise("OTHER").alias("doc_type"), F.lit(2).alias("version"), (F.col("n_chars") > 500).alias("significant"), F.lit("length").alias("label"),
+        F.when(F.col("quality") == 1, "high").otherwise("0.4").alias("significance"),
+    )
+    risks = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(True).alias("created"), F.floor(-F.col("s_acctbal") / 100).cast("int").alias("severity"))
+    investors = table(spark, sf, "events").where("event_type = 'signup'").select(F.col("user_id").cast("string").alias("name"), F.lit(None).cast("string").alias("domain"), F.when(F.col("value") > 95, "HIGH").otherwise("LOW").alias("relevance"))
+    signings = orders.where("o_orderstatus = 'F' AND o_totalprice > 300000").select(F.col("o_custkey").alias("company"), F.lit("MSA").alias("contract"))
+    found = detectors.folded_changes(detectors.requested(asks), detectors.moved(moves), detectors.changed_documents(versions), detectors.new_risks(risks), detectors.new_investors(investors), detectors.signed_contracts(signings))
+    item = F.when(F.col("kind") == "customer_deliverable_requested", F.element_at(F.split("fingerprint", ":"), 3)).when(F.col("kind") == "deadline_moved", F.element_at(F.split("fingerprint", ":"), 4)).otherwise(F.regexp_replace(F.element_at(F.split("fingerprint", ":"), 3), "=.*", ""))
+    return found.select("kind", item.cast("long").alias("item"), "importance", "requires_owner")

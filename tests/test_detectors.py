@@ -44,3 +44,15 @@ def test_results_meet_milestones(spark):
     )
     goals = spark.createDataFrame([(1, "Validate the toxicity model on patients"), (2, "Hire a cook")], "id int, title string")
     assert sorted((r.importance, r.requires_owner) for r in d.results(facts, goals).collect()) == [(3, False), (4, True)]
+
+
+def test_ranks_of_kinds(spark):
+    from tidemark.operators import ranks
+
+    now = F.lit("2026-03-01").cast("timestamp")
+    deals = spark.createDataFrame([(1, "Alpha deal", "OPEN", 50.0), (2, "Alpha", "LOST", None), (3, "Other", "OPEN", 90.0)], "id int, title string, status string, number double")
+    goals = spark.createDataFrame([(1, "Close the round", 2), (2, "alpha first", None), (3, "none", None)], "id int, title string, place int")
+    notes = spark.createDataFrame([(1, "talk about alpha", "2026-03-01"), (2, "alpha", "2025-01-01"), (3, "alpha", None)], "id int, body string, at string")
+    found = {(r.type, r.id): round(r["rank"], 6) for r in ranks.ranked({"deal": deals, "goal": goals, "note": notes}, ["alpha"], now).collect()}
+    assert found == {("deal", 1): 0.85, ("deal", 2): 0.3, ("goal", 1): 0.9, ("goal", 2): 1.0, ("note", 1): 0.7, ("note", 2): 0.3, ("note", 3): 0.3}
+    assert [r.id for r in ranks.ranked({"deal": deals}, [], now, 2).collect()] == [3, 1]

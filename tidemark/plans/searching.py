@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tidemark.functions import rounding, text
-from tidemark.operators import groups, index, search
+from tidemark.operators import groups, index, ranks, search
 from tidemark.plans.ingestion import STEM, documents_index
 from tidemark.plans.registry import query, table
 
@@ -221,3 +221,39 @@ def q88(spark, sf):
     asked = F.when(k == 0, "Give me a status overview").when(k == 1, "What is due this week?").when(k == 2, "How much runway is left").when(k == 3, "Who is the owner?").when(k == 4, "who has the deadline").otherwise("hello")
     intent = F.coalesce(*(F.when(F.lower(asked).rlike(pattern), name) for name, pattern in ROUTES), F.lit("search"))
     return table(spark, sf, "orders").select("o_orderkey", intent.alias("intent"))
+
+
+KINDS = ["commitment", "task", "meeting", "decision", "milestone", "goal", "deal", "risk", "opportunity", "company", "person", "project", "report", "note", "insight"]
+
+
+@query(
+    "q156_rank_formulas",
+    """WITH p AS (SELECT p_partkey AS id, lower(p_name) AS title, lower(p_type) AS body, CASE p_size % 5 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'NEEDED' WHEN 2 THEN 'BLOCKED' WHEN 3 THEN 'PURSUING' ELSE 'DONE' END AS status, DATE '2001-06-01' + CAST(p_size * 3 AS INT) AS due, p_size AS number, CASE WHEN p_partkey < 4 THEN p_partkey END AS place FROM part),
+            f AS (SELECT *, (CASE WHEN contains(title, 'widget') THEN 1.0 WHEN contains(body, 'widget') THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(title, '(^|[^a-z0-9])ring') THEN 1.0 WHEN regexp_matches(body, '(^|[^a-z0-9])ring') THEN 0.5 ELSE 0 END) / 2 AS fit,
+                         datediff('day', DATE '2001-08-01', due) AS days, abs(datediff('day', DATE '2001-08-01', due)) AS apart FROM p),
+            k AS (SELECT unnest(['commitment', 'task', 'meeting', 'decision', 'milestone', 'goal', 'deal', 'risk', 'opportunity', 'company', 'person', 'project', 'report', 'note', 'insight']) AS type)
+       SELECT type, id, round(CAST(CASE type
+           WHEN 'commitment' THEN 0.3 * fit + CASE WHEN status = 'OPEN' THEN 0.6 ELSE 0.2 END + greatest(0, 0.1 - apart / 300) + CASE WHEN days < 0 AND status = 'OPEN' THEN 0.3 ELSE 0 END
+           WHEN 'task' THEN 0.6 * fit + CASE WHEN status = 'OPEN' THEN 0.25 ELSE 0 END + least(0.15, number / 700)
+           WHEN 'meeting' THEN 0.6 * fit + 0.4 * greatest(0, 1 - apart / 60)
+           WHEN 'decision' THEN 0.6 * fit + CASE WHEN status = 'NEEDED' THEN 0.3 ELSE 0.1 END
+           WHEN 'milestone' THEN 0.6 * fit + CASE WHEN status = 'BLOCKED' THEN 0.3 ELSE 0.15 END
+           WHEN 'goal' THEN coalesce(1 - place * 0.05, fit)
+           WHEN 'deal' THEN 0.2 * fit + CASE WHEN status = 'OPEN' THEN 0.5 ELSE 0.1 END + 0.3 * number / 100
+           WHEN 'risk' THEN 0.5 * fit + number / 10
+           WHEN 'opportunity' THEN 0.5 * fit + CASE WHEN status IN ('OPEN', 'PURSUING') THEN 0.3 ELSE 0.1 END
+           WHEN 'project' THEN coalesce(place * 0 + 1, fit)
+           WHEN 'report' THEN 0.8 * fit + 0.1
+           WHEN 'note' THEN 0.6 * fit + 0.4 * greatest(0, 1 - apart / 90)
+           WHEN 'insight' THEN 0.4 * fit + number / 10 + 0.1 * greatest(0, 1 - apart / 30)
+           ELSE coalesce(place * 0 + 1, 0.8 * fit + 0.1) END AS DOUBLE), 6) AS rank
+       FROM f, k WHERE fit > 0 OR (place IS NOT NULL AND type IN ('goal', 'company', 'person', 'project'))""",
+)
+def q156(spark, sf):
+    """The ranks that all parts have under two terms, taken as records of each of fifteen kinds."""
+    size = F.col("p_size")
+    status = F.element_at(F.array(*map(F.lit, ("OPEN", "NEEDED", "BLOCKED", "PURSUING", "DONE"))), (size % 5 + 1).cast("int"))
+    due = F.date_add(F.lit("2001-06-01").cast("date"), (size * 3).cast("int"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("body"), status.alias("status"), due.alias("due"), due.alias("at"), size.alias("number"), F.when(F.col("p_partkey") < 4, F.col("p_partkey")).alias("place"))
+    found = ranks.ranked(dict.fromkeys(KINDS, rows), ["widget", "ring"], F.lit(AS_OF).cast("timestamp"))
+    return found.select("type", "id", F.round("rank", 6).alias("rank"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import detectors, intervals, ledger, sketches
 from tidemark.operators.kept import kept, shared_folder
 from tidemark.plans.registry import query, table
+from tidemark.streaming import timers
 
 #: An order is open from its day, in delivery from the first shipment, done from the last.
 LOG_SQL = """s AS (SELECT l_orderkey AS k, CAST(min(l_shipdate) AS TIMESTAMP) AS first, CAST(max(l_shipdate) AS TIMESTAMP) AS last FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey AS k, o_totalprice AS v, CAST(o_orderdate AS TIMESTAMP) AS day, first, last FROM orders LEFT JOIN s ON s.k = o_orderkey)"""
@@ -134,3 +135,18 @@ def q155(spark, sf):
     found = detectors.folded_changes(detectors.requested(asks), detectors.moved(moves), detectors.changed_documents(versions), detectors.new_risks(risks), detectors.new_investors(investors), detectors.signed_contracts(signings))
     item = F.when(F.col("kind") == "customer_deliverable_requested", F.element_at(F.split("fingerprint", ":"), 3)).when(F.col("kind") == "deadline_moved", F.element_at(F.split("fingerprint", ":"), 4)).otherwise(F.regexp_replace(F.element_at(F.split("fingerprint", ":"), 3), "=.*", ""))
     return found.select("kind", item.cast("long").alias("item"), "importance", "requires_owner")
+
+
+@query(
+    "q157_timed_sessions",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+            r AS (SELECT user_id, min(ts) AS began, max(ts) + INTERVAL 3 HOUR AS ended, count(*) AS n FROM s GROUP BY user_id, k)
+       SELECT CAST(user_id AS VARCHAR) AS who, strftime(began, '%Y-%m-%d %H:%M:%S') AS began, strftime(ended, '%Y-%m-%d %H:%M:%S') AS ended, n FROM r WHERE ended < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+)
+def q157(spark, sf):
+    """Each person's sessions as a stream hands them out by its timers, once the watermark has passed their end."""
+    rows = table(spark, sf, "events")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{sf}/events.parquet*").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    found = timers.run_into(timers.timed_sessions(stream, "user_id", "ts", 3 * 3600, None, "1 hour"), shared_folder(spark))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return found.select(F.col("key").alias("who"), stamp("began"), stamp("ended"), "n")

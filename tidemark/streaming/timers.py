@@ -27,7 +27,7 @@ class Sessions(StatefulProcessor):
     """Sessions of a key: one ends ``idle`` milliseconds after its last event, or ``longest`` after its first.
 
     State of a key: the open session, and the times that the watermark hasn't reached. Timers
-    stand at these times and at the open session's end; what is due is taken in order.
+    stand at the first of these and at the open session's end; all that is due is taken in order.
     """
 
     def __init__(self, idle: int, longest: int | None):
@@ -43,9 +43,9 @@ class Sessions(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         began, last, n, waiting = self.held()
         fresh = [int(t) for batch in rows for t in batch["at"]]
-        for t in set(fresh):
-            self.handle.registerTimer(t)
-        self.state.update((began, last, n, sorted([*waiting, *fresh])))
+        waiting = sorted([*waiting, *fresh])
+        self.handle.registerTimer(waiting[0])
+        self.state.update((began, last, n, waiting))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -64,6 +64,8 @@ class Sessions(StatefulProcessor):
         waiting = waiting[len(due) :]
         if n or waiting:
             self.state.update((began, last, n, waiting))
+            if waiting:
+                self.handle.registerTimer(waiting[0])
             if n:
                 self.handle.registerTimer(self.end(began, last))
         else:

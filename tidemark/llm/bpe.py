@@ -275,7 +275,7 @@ def encode_and_decode(docs: DataFrame, path: str, spaces: str = "word", id_col:
 
 
 def encoding_digests(docs: DataFrame, path: str, spaces: str = "word", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode_and_decode without the bytes."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode_and_decode without the bytes. Other columns are not read; an empty table gives an empty result."""
 
     def work(batches):
         own = encoder(path, spaces)

@@ -180,7 +180,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     lang_pred is the language whose tree codes the whole text in the fewest bits (ties: the
     first by name), score its share of 2^-bits over all languages. A text that is null or has
     no letter is UNKNOWN with score 0, as is any text if training had no language. Ids may
-    repeat or be null; other columns are not read.
+    repeat or be null; other columns are not read. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

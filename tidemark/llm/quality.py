@@ -185,7 +185,7 @@ def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, score) of each row: the probability that its whole text has label 1.
 
     Null counts as the empty text, which is scored like a text of zero bytes. The text is all
-    that is read; ids may repeat or be null.
+    that is read; ids may repeat or be null. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

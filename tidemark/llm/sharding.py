@@ -84,7 +84,7 @@ def assign_shards(docs: DataFrame, topology: Topology, id_col: str = "doc_id", t
     UTF-8 bytes (null: none) plus 1; the crc32 of a null text is that of the empty one. slot
     numbers a shard's rows from 0 without gaps, in the order of md5(id), then id, then the
     text's crc32. A null id is a key of its own. Repeated rows get slots of their own. Other
-    columns are not read.
+    columns are not read. An empty table gives an empty result.
 
     Numbering takes no task a whole shard: the md5 order is cut into ``buckets`` ranges per
     shard, each numbered by itself, and shifted by the rows of the ranges before. Their counts,

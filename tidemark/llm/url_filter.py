@@ -84,7 +84,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     literals fits, the verdict ``otherwise``. Each distinct host and path is judged once,
     however many rows have it; rows then fetch the verdict by a join that AQE can split.
     Only rules whose token the URL has run their regular expression. Repeated and null ids are
-    kept as they are; other columns are not read.
+    kept as they are; other columns are not read. An empty table gives an empty result.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).withColumns(host_and_path(F.col("url"))).drop("url")

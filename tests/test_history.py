@@ -81,3 +81,21 @@ def test_window_query_counts_thousands_of_people_exactly(spark, tmp_path):
     got = {r.day: r.people for r in registry.QUERIES["q153_window_sketches"](spark, str(tmp_path)).collect()}
     plain = [(k % 9, k * 7 % 20_011) for k in range(30_000)]
     assert got == {f"2024-01-{d + 1:02}": len({u for at, u in plain if d - 6 <= at <= d}) for d in range(9)}
+
+
+def test_totals_at_instants_equal_what_held_and_meet_no_interval(spark):
+    rng = random.Random(11)
+    spans = [(rng.choice(["a", "a", "b", None]), a := rng.randrange(3000), rng.choice([None, a + rng.randrange(1, 900)]), rng.randrange(100)) for _ in range(3000)]
+    df = spark.createDataFrame(spans, "state string, a long, b long, v int").select("state", F.timestamp_seconds("a").alias("valid_from"), F.timestamp_seconds("b").alias("valid_to"), F.col("v").cast("double").alias("v")).repartition(4)
+    asked = spark.createDataFrame([(k, None if k == 7 else k * 11 % 4000 - 50) for k in range(900)], "who int, s long").withColumn("t", F.timestamp_seconds("s"))
+    got = {(r.who, r.state): (r.n, r.v) for r in intervals.totals_at(df, asked, "t", "state", "v").collect()}
+    want = {}
+    for k in range(900):
+        for state, a, b, v in spans:
+            t = k * 11 % 4000 - 50
+            if k != 7 and a <= t and (b is None or t < b):
+                n, total = want.get((k, state), (0, 0))
+                want[k, state] = (n + 1, total + v)
+    assert got == want
+    plan = intervals.totals_at(df, asked, "t", "state")._jdf.queryExecution().optimizedPlan().toString()
+    assert "valid_from" not in plan  # steps are summed up before instants come

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.kept import counted, kept
-from tidemark.operators.ranking import numbered
+from tidemark.operators.ranking import numbered, running_total
 
 
 def validity(changes: DataFrame, key: str, at: str, tie: str, state: list[str]) -> DataFrame:
@@ -42,3 +42,21 @@ def held_at(intervals: DataFrame, instants: DataFrame, instant: str) -> DataFram
     points = instants.crossJoin(F.broadcast(classes)).withColumn("__bucket", F.floor(F.unix_seconds(instant) / width))
     met = placed.join(points, ["__class", "__bucket"])
     return met.where((F.col("valid_from") <= F.col(instant)) & (F.col("valid_to").isNull() | (F.col(instant) < F.col("valid_to")))).drop("__class", "__bucket")
+
+
+def totals_at(intervals: DataFrame, instants: DataFrame, instant: str, state: str, value: str | None = None) -> DataFrame:
+    """Each instant with every state that some interval is in then: n intervals, and the sum of ``value`` over them if given.
+
+    For counts, no instant meets an interval: an interval adds one to its state at its beginning and
+    takes it away at its end, and a running sum of these steps is read at the instants. Rows are at
+    most those of different times of change and different instants, for each state.
+    """
+    sums = ["n"] if value is None else ["n", value]
+    step = lambda at, sign: F.struct(F.col(at).alias("at"), F.lit(sign).alias("n"), *([] if value is None else [(sign * F.col(value)).alias(value)]))
+    each = intervals.select(F.col(state).alias("state"), F.explode(F.array(step("valid_from", 1), step("valid_to", -1))).alias("s")).where("s.at IS NOT NULL")
+    steps = kept(each.select("state", "s.*").groupBy("state", "at").agg(*(F.sum(s).alias(s) for s in sums)))
+    asked = instants.select(F.col(instant).alias("at")).where("at IS NOT NULL").distinct()
+    points = asked.crossJoin(F.broadcast(steps.select("state").distinct())).select("state", "at", *(F.lit(0).cast(steps.schema[s].dataType).alias(s) for s in sums))
+    both = steps.unionByName(points).groupBy("state", "at").agg(*(F.sum(s).alias(s) for s in sums))
+    held = running_total(both, ["state"], "at", sums).where("n > 0").select(F.col("state").alias(state), F.col("at").alias("__at"), *sums)
+    return instants.join(held, F.col(instant) == F.col("__at")).drop("__at")

@@ -26,6 +26,23 @@ def numbered(df: DataFrame, by: list[str], order: list[Column], name: str = "pla
     return own.join(renamed, same).select(*df.columns, (F.col("__k") + F.col("__before")).cast("int").alias(name))
 
 
+def running_total(df: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
+    """df, one row for each group ``by`` and ``order``, with ``values`` summed up in order within the group, the row itself included.
+
+    As in numbered, a group of any size is cut into ranges, and a range adds what the ranges before it sum up to.
+    """
+    rows = kept(df.repartitionByRange(*by, order).withColumn("__range", F.spark_partition_id()))
+    upto = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*by, "__range").agg(*(F.sum(v).alias(v) for v in values))
+    before = counted(sums.select(*(F.col(b).alias(f"__by{k}") for k, b in enumerate(by)), F.col("__range").alias("__r"), *(F.coalesce(F.sum(v).over(upto), F.lit(0)).alias(f"__{v}") for v in values)))
+    along = Window.partitionBy(*by, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.select(*by, order, "__range", *(F.coalesce(F.sum(v).over(along), F.lit(0)).alias(v) for v in values))
+    same = F.col("__range") == F.col("__r")
+    for k, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"__by{k}"))
+    return own.join(before, same).select(*by, order, *((F.col(v) + F.col(f"__{v}")).alias(v) for v in values))
+
+
 def gap_runs(rows: DataFrame, key: str, at: str, gap: int, slice_: int | None = None) -> DataFrame:
     """(key, began, last, n): rows of a key of which each comes less than ``gap`` seconds after the one before.
 

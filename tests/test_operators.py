@@ -131,3 +131,31 @@ def test_search_tiers_and_groups(spark):
     hits = spark.createDataFrame([("a", k, k) for k in range(4)] + [("b", 9, 9)], "type string, id int, rank int")
     got = rows(search.grouped_results(hits, search.SearchPlan((), per_type=2), [F.desc("rank")]).select("type", "id", "place", "more"))
     assert got == [("a", 2, 2, True), ("a", 3, 1, True), ("b", 9, 1, False)]
+
+
+def test_ordered_sums_have_one_last_digit(spark):
+    from tidemark.operators import series
+
+    values = [0.1, 0.2, 0.3, 1e16, 0.7, -1e16, 5.55, 2.05] * 7
+    rows = spark.createDataFrame([(g, k, v) for g in "ab" for k, v in enumerate(values)], "g string, k int, v double")
+    plain = 0.0
+    for v in values:
+        plain += v
+    for parts in (1, 3, 13):
+        got = series.ordered_sum(rows.repartition(parts), ["g"], "v", "k").collect()
+        assert sorted((r.g, r.v) for r in got) == [("a", plain), ("b", plain)]
+
+
+def test_metric_change_rounds_halves_like_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import registry
+
+    pairs = [(240.0, 136.86), (161.6, 81.81), (184.0, 50.37), (2.0, 3.0), (100.0, 100.0)]
+    rows = [(2 * k + j, f"2024-01-0{1 + j} 10:00:00", k, v) for k, pair in enumerate(pairs) for j, v in enumerate(pair)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.user_id: r.change for r in registry.QUERIES["q39_metric_view"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == {r[0]: r[3] for r in con.execute(registry.ORACLES["q39_metric_view"]).fetchall()}

@@ -10,6 +10,12 @@ def half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
+def half_away(x: Column, digits: int = 0) -> Column:
+    """x rounded to so many decimals as C and SQL engines do it: scaled, halves away from zero. F.round goes by the shortest decimal form of x instead, which differs where x is a hair off a half."""
+    scale = float(10**digits)
+    return F.round(x * scale) / scale
+
+
 def percent(part: Column, whole: Column) -> Column:
     """part in whole as an integer percentage; null if whole is null, zero or less."""
     return F.when(whole > 0, F.floor(part / whole * 100 + 0.5)).cast("long")

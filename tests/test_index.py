@@ -80,3 +80,31 @@ def test_queries_and_tiers(spark, docs, tmp_path):
     tiers = {(r.term, r.tier) for r in index.match_tiers(spark, [path], ["contract", "bud", "udge", "zzz"], ["body"]).collect()}
     assert tiers == {("contract", 1), ("bud", 2), ("udge", 3)}
     assert index.match_stems(spark, [path], ["the"], ["of"], ["body"]).select(F.collect_set("id")).first()[0].__len__() == sum("the" in w and "of" not in w for w in body.values())
+
+
+def planned(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_gathered_within_a_row(spark, docs, monkeypatch):
+    rows, df = docs
+    assert "Exchange" not in planned(index.postings(spark.createDataFrame(rows, "id int, title string, body string"), "id", ["title", "body"]))
+    monkeypatch.setattr(index, "PLACES", 7)  # texts of several parts
+    got = {}
+    for r in index.postings(df, "id", ["title", "body"]).collect():
+        assert len({(p - 1) // 7 for p in r.places}) == 1 and r.places == sorted(r.places)
+        got.setdefault((r.id, r.field, r.word), []).extend(r.places)
+    want = {}
+    for k, *texts in rows:
+        for field, text in zip(("title", "body"), texts, strict=True):
+            for at, word in enumerate(re.split("[^a-z0-9]+", (text or "").lower()), 1):
+                if word:
+                    want.setdefault((k, field, word), []).append(at)
+    assert {key: sorted(v) for key, v in got.items()} == want
+
+
+def test_tiers_do_not_shuffle_the_words_of_the_index(spark, docs, tmp_path):
+    path = str(tmp_path / "0")
+    index.write_index(docs[1], path, "id", ["title", "body"])
+    plan = planned(index.match_tiers(spark, [path], ["contract", "bud"], ["body"]))
+    assert not re.search(r"Exchange hashpartitioning\(word", plan) and "SortMergeJoin" not in plan

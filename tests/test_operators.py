@@ -159,3 +159,17 @@ def test_metric_change_rounds_halves_like_its_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert got == {r[0]: r[3] for r in con.execute(registry.ORACLES["q39_metric_view"]).fetchall()}
+
+
+def test_partitions_grow_with_rows(spark, tmp_path, monkeypatch):
+    from tidemark.operators import groups
+    from tidemark.plans import assistant
+
+    assert groups.parts(spark, 0) == 4 and groups.parts(spark, 4 * groups.ROWS + 1) == 5
+    spark.sql("SELECT id AS o_orderkey, id % 7 AS o_custkey, if(id % 2 = 0, 'P', 'O') AS o_orderstatus, id * 1D AS o_totalprice, timestamp_ntz'2001-01-01 00:00:00' AS o_orderdate FROM range(50)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT id % 50 AS l_orderkey, id % 9 AS l_suppkey FROM range(90)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT id AS event_id, id % 8 AS user_id, timestamp_ntz'2001-01-01 00:00:00' AS ts FROM range(40)").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(groups, "ROWS", 10)
+    found = assistant.q142(spark, str(tmp_path))
+    assert "hashpartitioning(o_custkey" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 9), REPARTITION_BY_NUM" in plan
+    assert {(r.who, r.section, r.n) for r in found.groupBy("who", "section").agg({"*": "count"}).toDF("who", "section", "n").collect()} == {(w, s, 5) for w in range(7) for s in ("deal", "recent", "touch", "supplier")}

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that a task sorts or gathers, as aimed at.
+ROWS = 500_000
+
+
+def parts(spark: SparkSession, rows: int) -> int:
+    """Into how many partitions so many rows are dealt: ROWS each, and no fewer than the session has."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """The first n rows of each group. Give order a unique last key, or ties fall anyhow.
 

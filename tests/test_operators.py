@@ -173,3 +173,15 @@ def test_partitions_grow_with_rows(spark, tmp_path, monkeypatch):
     found = assistant.q142(spark, str(tmp_path))
     assert "hashpartitioning(o_custkey" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 9), REPARTITION_BY_NUM" in plan
     assert {(r.who, r.section, r.n) for r in found.groupBy("who", "section").agg({"*": "count"}).toDF("who", "section", "n").collect()} == {(w, s, 5) for w in range(7) for s in ("deal", "recent", "touch", "supplier")}
+
+
+def test_family_items_are_dealt_by_number(spark, monkeypatch):
+    from tidemark.operators import groups, joins
+
+    monkeypatch.setattr(groups, "ROWS", 10)
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "parent int, child int")
+    items = spark.createDataFrame([(k % 4, k % 30, k) for k in range(90)], "entity int, item int, seen_at int")
+    found = joins.family_items(spark.createDataFrame([(1,), (3,)], "entity int"), edges, items)
+    assert found._jdf.queryExecution().executedPlan().toString().count(", 9), REPARTITION_BY_NUM") >= 2
+    want = {(e, len(m), len({k % 30 for k in range(90) if k % 4 in m}), min(k for k in range(90) if k % 4 in m), max(k for k in range(90) if k % 4 in m)) for e, m in ((1, {1, 2, 3}), (3, {3}))}
+    assert set(map(tuple, found.collect())) == want

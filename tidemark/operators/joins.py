@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import graphs, likeness
+from tidemark.operators import graphs, groups, likeness
 from tidemark.operators.kept import kept
 
 
@@ -76,12 +76,14 @@ def family_items(entities: DataFrame, edges: DataFrame, items: DataFrame) -> Dat
     """(entity, members, items, first_seen, last_seen): for each of entities (entity), any table of them, the size of its family below and its members' source items.
 
     items (entity, item, seen_at). An item that several members have counts once. A member's items
-    are reduced before they meet the families, and meet each family that the member is in.
+    are reduced before they meet the families, and meet each family that the member is in. Items
+    are dealt into partitions by their number, before and after that.
     """
     families = family(edges, entities.select(F.col("entity").alias("root"))).select("root", "node")
-    own = items.groupBy("entity", "item").agg(F.min("seen_at").alias("first"), F.max("seen_at").alias("last"))
-    met = families.join(own, families.node == own.entity, "left").select("root", "node", "item", "first", "last")
-    each = met.groupBy("root", "item").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    n = groups.parts(items.sparkSession, items.count())
+    own = items.repartition(n, "entity", "item").groupBy("entity", "item").agg(F.min("seen_at").alias("first"), F.max("seen_at").alias("last"))
+    met = families.join(own, families.node == own.entity, "left").select("root", "item", "first", "last")
+    each = met.repartition(n, "root", "item").groupBy("root", "item").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     found = each.groupBy("root").agg(F.count("item").alias("items"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"))
     sizes = families.groupBy("root").agg(F.count("*").alias("members"))
     return sizes.join(found, "root").select(F.col("root").alias("entity"), "members", "items", "first_seen", "last_seen")

@@ -58,3 +58,33 @@ def test_a_source_of_all_drafts_is_decided_by_rounds(spark):
         best.setdefault(r[2], r)
     stay = sorted(best.values(), key=lambda r: (not r[6], -r[3], r[1]))
     assert got == {r[1] for k, r in enumerate(stay) if r[6] or k < 5}
+
+
+def test_small_and_large_sources_are_decided_alike(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"word{k}" for k in range(9)]
+    rows = [(rng.choice(["a", "b", "c", None, *map(str, range(30))]), f"f{k % 700}", " ".join(rng.sample(words, rng.randrange(0, 5))), rng.randrange(4), k % 3 == 0, 0.5, rng.choice([True, False, False, None])) for k in range(1500)]
+    rows = list({(r[0], r[1]): r for r in rows}.values())
+    df = spark.createDataFrame(rows, "source string, fingerprint string, title string, impact int, protected boolean, confidence double, pending boolean").repartition(5).cache()
+
+    def plain(slots):
+        out = set()
+        for source in {r[0] for r in rows}:
+            stay = []
+            for r in sorted((r for r in rows if r[0] == source), key=lambda r: (-r[3], -r[4], r[1])):
+                own = set(r[2].split())
+                if source is None or not any(own & set(s[2].split()) and len(own & set(s[2].split())) / len(own | set(s[2].split())) >= 0.6 for s in stay):
+                    stay.append(r)
+            order = sorted(stay, key=lambda r: {True: 0, False: 1, None: 2}[r[6]])
+            out |= {(source, r[1]) for k, r in enumerate(order) if r[6] or k < slots}
+        return out
+
+    found = lambda: {(r.source, r.fingerprint) for r in resolution.review_queue(df, 3).collect()}
+    want = plain(3)
+    for most in (10_000, 40, 0):  # all small; some large; all large
+        monkeypatch.setattr(resolution, "SIDE_BY_SIDE", most)
+        assert found() == want
+    monkeypatch.undo()
+    monkeypatch.setattr(ranking, "greedy_choice", None)  # small sources need no rounds
+    small = df.where("source IS NOT NULL AND length(source) < 3 AND source > '0' AND source < 'a'")
+    assert resolution.review_queue(small, 3).count() == sum(x[0] is not None and "0" < x[0] < "a" for x in want)

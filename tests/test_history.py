@@ -99,3 +99,19 @@ def test_totals_at_instants_equal_what_held_and_meet_no_interval(spark):
     assert got == want
     plan = intervals.totals_at(df, asked, "t", "state")._jdf.queryExecution().optimizedPlan().toString()
     assert "valid_from" not in plan  # steps are summed up before instants come
+
+
+def test_a_ledger_reads_its_items_once_a_run(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(k):
+        seen.add(1)
+        return f"text {k}"
+
+    items = spark.range(20).select(F.col("id").alias("item"), read("id").alias("text"))
+    stages = {name: lambda df: df.select("item", "content", F.concat("text", F.lit("x")).alias("text")) for name in ("one", "two", "three")}
+    for run, fresh in enumerate((20, 0), 1):
+        out, worked = ledger.run_stages(items, "item", str(tmp_path / "ledger"), stages)
+        assert worked == dict.fromkeys(stages, fresh) and {r.text for r in out.collect()} == {f"text {k}xxx" for k in range(20)}
+        assert seen.value == 20 * run

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.kept import kept
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -17,32 +19,34 @@ def exists(spark: SparkSession, path: str) -> bool:
 def content_hash(items: DataFrame, item: str) -> DataFrame:
     """items with ``content``, a digest of all columns but the item's; null and empty differ."""
     rest = [c for c in items.columns if c != item]
-    return items.withColumn("content", F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256))
+    return items.withColumn("content", F.unhex(F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256)))
 
 
 def run_stage(items: DataFrame, item: str, path: str, stage: str, work: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
     """(outputs of all items, how many of them were worked out now).
 
     items has a row an item. work takes rows (item, content, ...) and gives any number of rows with item
-    and content. What an item of this content gave in an earlier run is read, not worked out again; the
-    rest is appended to the stage's folder in one commit, so a stage that fails leaves nothing
-    and a later run goes on after the last stage that ended. A list of done items
-    stands beside the outputs, for items that gave none; it is written after them, and
-    outputs without an entry in it are never read.
+    and content. What an item of this content gave in an earlier run is read, not worked out again. A run
+    has folders of its own for outputs and for the list of done items, which also holds those that gave none; last
+    it names itself in the stage's list of runs. Folders without an entry there are never read, so a stage
+    that fails leaves nothing, and a later run goes on after the last stage that ended. What was
+    worked out now is current and needs no join; earlier outputs meet the items once.
     """
     spark = items.sparkSession
-    marked = content_hash(items, item)
-    done_at, out_at = f"{path}/{stage}/done", f"{path}/{stage}/out"
-    done = spark.read.parquet(done_at) if exists(spark, done_at) else None
-    todo = marked if done is None else marked.join(done, [item, "content"], "left_anti")
+    marked = kept(content_hash(items, item))
+    runs_at, done_at, out_at = (f"{path}/{stage}/{part}" for part in ("runs", "done", "out"))
+    runs = [r["run"] for r in spark.read.parquet(runs_at).collect()] if exists(spark, runs_at) else []
+    earlier = lambda at: spark.read.parquet(*(f"{at}/{run}" for run in runs))
+    todo = kept(marked.join(earlier(done_at).select(item, "content"), [item, "content"], "left_anti")) if runs else marked
     batch = uuid.uuid4().hex
-    work(todo).withColumn("__run", F.lit(batch)).write.mode("append").parquet(out_at)
-    todo.select(item, "content").withColumn("__run", F.lit(batch)).write.mode("append").parquet(done_at)
-    ended = spark.read.parquet(done_at)
-    fresh = ended.where(F.col("__run") == batch).count()
-    current = marked.select(item, "content").join(ended, [item, "content"])
-    outputs = spark.read.parquet(out_at).join(current, [item, "content", "__run"], "left_semi").drop("content", "__run")
-    return outputs, fresh
+    work(todo).write.parquet(f"{out_at}/{batch}")
+    todo.select(item, "content").write.parquet(f"{done_at}/{batch}")
+    spark.range(1).select(F.lit(batch).alias("run")).coalesce(1).write.mode("append").parquet(runs_at)
+    fresh = spark.read.parquet(f"{done_at}/{batch}").count()
+    outputs = spark.read.parquet(f"{out_at}/{batch}")
+    if runs:
+        outputs = earlier(out_at).join(marked.select(item, "content"), [item, "content"], "left_semi").unionByName(outputs)
+    return outputs.drop("content"), fresh
 
 
 def run_stages(items: DataFrame, item: str, path: str, stages: dict[str, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, dict[str, int]]:

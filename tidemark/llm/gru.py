@@ -73,7 +73,10 @@ def start(counts: np.ndarray, tails: np.ndarray, seed: int = 11) -> Gru:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    out = np.negative(x)
+    np.exp(out, out=out)
+    out += 1
+    return np.divide(1, out, out=out)
 
 
 def run(net: Gru, ids: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, keep: bool = False):

@@ -73,7 +73,6 @@ class Vocabulary:
     tail_tokens: np.ndarray
     tail_kinds: np.ndarray
     place: dict | None = field(default=None, repr=False)
-    id_of: dict | None = field(default=None, repr=False)
 
     def __post_init__(self):
         inside = min(len(self.words), NET_WORDS - 1)
@@ -95,12 +94,12 @@ class Vocabulary:
             self.place = {w: k for k, w in enumerate(self.words)}
         return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
 
-    def net_ids(self, words: list[bytes]) -> np.ndarray:
-        """The net's ids of a text's words and of the end."""
-        if self.id_of is None:
-            self.id_of = dict(zip(self.words, self.ids.tolist(), strict=True))
-        ids = np.empty(len(words) + 1, np.int64)
-        ids[:-1] = np.fromiter(map(self.id_of.get, words, repeat(-1)), np.int64, len(words))
+    def net_ids(self, words: list[bytes], places: np.ndarray | None = None) -> np.ndarray:
+        """The net's ids of a text's words and of the end; places, if known, are what look_up gives."""
+        places = self.look_up(words) if places is None else places
+        ids = np.full(len(words) + 1, -1, np.int64)
+        inside = np.flatnonzero(places >= 0)
+        ids[inside] = self.ids[places[inside]]
         ids[-1] = self.end
         lacking = np.flatnonzero(ids < 0)
         ids[lacking] = [self.first_tail + tail_of(words[k]) for k in lacking.tolist()]
@@ -216,7 +215,7 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
                 words = words_of(text)
                 places = vocab.look_up(words)
                 inside = places[places >= 0]
-                ids = vocab.net_ids(words)
+                ids = vocab.net_ids(words, places)
                 texts.append(ids.astype(np.int32))
                 rare = log_count[inside[vocab.ids[inside] >= vocab.first_tail]].sum() - log_tail[ids[ids >= vocab.first_tail] - vocab.first_tail].sum()
                 tail = [words[k] for k in np.flatnonzero(places < 0).tolist()] if len(inside) < len(words) else []

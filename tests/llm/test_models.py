@@ -221,6 +221,41 @@ def test_net_gradient():
         assert (loss(v + e) - loss(v - e)) / 2e-2 == pytest.approx(g[i], abs=0.02 * max(1, abs(g[i])))
 
 
+def test_training_leaves_the_shared_net_as_it_was():
+    net, texts = perturbed(40), [np.append(np.random.default_rng(k).integers(0, 43, 50), 3) for k in range(4)]
+    before, trained = net.vector(), []
+    for _ in range(2):  # as two tasks of one worker that share a broadcast net
+        trainer = gru.Trainer(net)
+        trainer.fit(texts, 3)
+        trained.append(trainer.net.vector())
+    assert np.array_equal(net.vector(), before) and np.array_equal(*trained) and not np.array_equal(trained[0], before)
+
+
+def test_a_window_takes_two_blocks_of_exponentials_however_many_classes(monkeypatch):
+    net, calls = perturbed(1024), []
+    targets = np.random.default_rng(2).integers(0, 1000, 300)
+    states = np.random.default_rng(3).uniform(-1, 1, (300, gru.WIDTH)).astype(np.float32)
+    monkeypatch.setattr(gru.np, "exp", lambda *a, own=np.exp, **k: calls.append(1) or own(*a, **k))
+    gru.log_likelihood(net, states, targets)
+    assert len(calls) == 2
+
+
+@pytest.mark.parametrize("scale", [1, 300])
+def test_chances_of_large_weights_are_finite(scale):
+    net = perturbed(40)
+    net.by_class *= scale
+    net.by_word *= scale
+    states = np.random.default_rng(5).uniform(-1, 1, (50, gru.WIDTH)).astype(np.float32)
+    targets = np.random.default_rng(6).integers(0, 40, 50)
+    used, members = gru.shape_of(40)
+
+    def share(x, k):
+        return x[k] - x.max() - np.log(np.exp(x - x.max()).sum())
+
+    want = [share(h @ net.by_class.astype(float) + net.class_bias, t // members) + share(h @ net.by_word[t // members].astype(float) + net.word_bias[t // members], t % members) for h, t in zip(states.astype(float), targets, strict=True)]
+    assert gru.log_likelihood(net, states, targets)[0] == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
 def test_state_is_carried_across_windows_and_lanes(monkeypatch):
     net = perturbed(40)
     texts = [np.append(np.random.default_rng(k).integers(0, 43, n - 1), 3) for k, n in enumerate((300, 1, 64, 65, 7, 300))]

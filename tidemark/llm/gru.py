@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
+from itertools import pairwise, repeat
 
 import numpy as np
 
@@ -40,10 +41,11 @@ class Gru:
         return np.concatenate([getattr(self, f.name).ravel() for f in fields(self)])
 
     def load(self, vector: np.ndarray) -> Gru:
+        """Takes its weights from vector; they are parts of it if it is of float32."""
         at = 0
         for f in fields(self):
             old = getattr(self, f.name)
-            setattr(self, f.name, vector[at : at + old.size].reshape(old.shape).astype(np.float32))
+            setattr(self, f.name, vector[at : at + old.size].reshape(old.shape).astype(np.float32, copy=False))
             at += old.size
         return self
 
@@ -72,83 +74,114 @@ def start(counts: np.ndarray, tails: np.ndarray, seed: int = 11) -> Gru:
     )
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    out = np.negative(x)
-    np.exp(out, out=out)
-    out += 1
-    return np.divide(1, out, out=out)
-
-
 def run(net: Gru, ids: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, keep: bool = False):
-    """States (time, lane, WIDTH) after each of ids (time, lane), and what a backward pass needs.
+    """States (time, lane, WIDTH) after each of ids (time, lane), the last of them, and what a backward pass needs.
 
-    fresh (time, lane) says where a text begins: there the state is 0.
+    fresh (time, lane) says where a text begins: there the state is 0. In memory lanes lie last,
+    so that a gate of all lanes is one block. The gates' inputs are negated, as their sigmoid wants them.
+    """
+    d, steps, lanes = WIDTH, *ids.shape
+    given = np.append(net.inputs, np.ones((len(net.inputs), 1), np.float32), axis=1)[ids]
+    into, state = np.vstack((net.into, net.bias)).T.copy(), net.state.T.copy()
+    into[: 2 * d] *= -1
+    state[: 2 * d] *= -1
+    x = into @ given.transpose(0, 2, 1)
+    states, news = (np.empty((steps, d, lanes), np.float32) for _ in range(2))
+    gates, us = np.empty((steps, 2 * d, lanes), np.float32), np.empty((steps if keep else 1, 3 * d, lanes), np.float32)
+    begins = fresh.any(axis=1).tolist() if fresh is not None else [False] * steps
+    first = h = h.T
+    views = zip(begins, x[:, : 2 * d], x[:, 2 * d :], gates, gates[:, :d], gates[:, d:], news, states, us if keep else repeat(us[0]))
+    for t, (begin, x_gates, x_new, gate, r, z, new, out, u) in enumerate(views):
+        if begin:
+            h = np.where(fresh[t], np.float32(0), h)
+        np.matmul(state, h, out=u)
+        np.add(x_gates, u[: 2 * d], out=gate)
+        np.exp(gate, out=gate)
+        gate += 1
+        np.reciprocal(gate, out=gate)
+        np.multiply(r, u[2 * d :], out=new)
+        new += x_new
+        np.tanh(new, out=new)
+        np.subtract(h, new, out=out)
+        out *= z
+        out += new
+        h = out
+    kept = None
+    if keep:
+        before = np.concatenate((first[None], states[:-1]))
+        if fresh is not None:
+            before *= ~fresh[:, None]
+        kept = given, before, gates[:, :d], gates[:, d:], news, us[:, 2 * d :]
+    return states.transpose(0, 2, 1), h.T, kept
+
+
+def widened(states: np.ndarray) -> np.ndarray:
+    """The states with a last column of ones, which biases are multiplied by."""
+    out = np.ones((len(states), states.shape[1] + 1), np.float32)
+    out[:, :-1] = states
+    return out
+
+
+def shift(weights: np.ndarray, reach: float) -> np.ndarray | None:
+    """What may be subtracted from all logits, for states within +-reach, so that no row's exponentials overflow or vanish.
+
+    The last two axes of weights are inputs, of which the last is 1, and outputs. None if there is no such number.
     """
-    table = net.inputs @ net.into + net.bias
-    states = np.empty((*ids.shape, WIDTH), np.float32)
-    kept = []
-    d = WIDTH
-    begins = fresh.any(axis=1) if fresh is not None else np.zeros(len(ids), bool)
-    for t in range(len(ids)):
-        if begins[t]:
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-        x = table[ids[t]]
-        u = h @ net.state
-        gates = sigmoid(x[:, : 2 * d] + u[:, : 2 * d])
-        r, z = gates[:, :d], gates[:, d:]
-        new = np.tanh(x[:, 2 * d :] + r * u[:, 2 * d :])
-        if keep:
-            kept.append((h, r, z, new, u[:, 2 * d :]))
-        h = new + z * (h - new)
-        states[t] = h
-    return states, h, kept
-
-
-def choice(x: np.ndarray, chosen: np.ndarray, grads: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The log of each row's softmax at chosen, and the gradient of its negative (x is overwritten)."""
+    far, bias = np.abs(weights[..., :-1, :]).sum(axis=-2) * reach, weights[..., -1, :]
+    most, sure = (bias + far).max(axis=-1), (bias - far).max(axis=-1)
+    return most if (most - sure).max() < 60 else None
+
+
+def choice(x: np.ndarray, chosen: np.ndarray, shifted: bool, grads: bool) -> np.ndarray:
+    """The log of each row's softmax at chosen; with grads, x becomes the gradient of its negative."""
     rows = np.arange(len(x))
-    x -= x.max(axis=1, keepdims=True)
+    if not shifted:
+        x -= x.max(axis=1, keepdims=True)
     out = x[rows, chosen]
     np.exp(x, out=x)
-    total = x.sum(axis=1)
+    total = x @ np.ones(x.shape[1], np.float32)
     if grads:
-        x /= total[:, None]
+        x *= (1 / total)[:, None]
         x[rows, chosen] -= 1
-    return out - np.log(total), x
+    return out - np.log(total)
 
 
 def log_likelihood(net: Gru, states: np.ndarray, targets: np.ndarray, grads: Gru | None = None):
     """Natural log-probability of each target, and the loss gradient of the states if grads is given."""
-    members = net.members
-    words = net.word_bias.shape[0]
-    kind = np.where(targets < words * members, targets // members, targets - words * (members - 1))
-    own_class = np.argsort(kind, kind="stable")
-    states, kind, targets = states[own_class], kind[own_class], targets[own_class]
-    logp, g = choice(states @ net.by_class + net.class_bias, kind, grads is not None)
-    sorted_out = logp.astype(np.float64)
-    back = None
-    if grads is not None:
-        grads.by_class += states.T @ g
-        grads.class_bias += g.sum(axis=0)
-        back = g @ net.by_class.T
-    edges = np.searchsorted(kind, np.arange(words + 1))
-    for c in range(words):
-        a, b = edges[c], edges[c + 1]
-        if a == b:
-            continue
-        s = states[a:b]
-        logq, g = choice(s @ net.by_word[c] + net.word_bias[c], targets[a:b] - c * members, grads is not None)
-        sorted_out[a:b] += logq
-        if grads is not None:
-            grads.by_word[c] += s.T @ g
-            grads.word_bias[c] += g.sum(axis=0)
-            back[a:b] += g @ net.by_word[c].T
-    out = np.empty_like(sorted_out)
-    out[own_class] = sorted_out
-    if back is not None:
-        unsorted = np.empty_like(back)
-        unsorted[own_class] = back
-        back = unsorted
+    members, words = net.members, net.word_bias.shape[0]
+    kind = np.where(targets < words * members, targets // members, targets - words * (members - 1)).astype(np.min_scalar_type(len(net.class_bias)))
+    states = widened(states)
+    reach = float(np.abs(states).max(initial=0))
+    by_class, by_word = np.vstack((net.by_class, net.class_bias)), np.concatenate((net.by_word, net.word_bias[:, None]), axis=1)
+    low, lows = shift(by_class, reach), shift(by_word, reach)
+    if low is not None:
+        by_class[-1] -= low
+    if lows is not None:
+        by_word[:, -1] -= lows[:, None]
+    x = states @ by_class
+    out = choice(x, kind, low is not None, grads is not None).astype(np.float64)
+    # Words class by class: one block of logits, a class's rows side by side.
+    inner = np.flatnonzero(kind < words)
+    inner = inner[np.argsort(kind[inner], kind="stable")]
+    s, own = states[inner], kind[inner]
+    edges = np.searchsorted(own, np.arange(words + 1, dtype=own.dtype)).tolist()
+    spans = [(c, slice(a, b)) for c, (a, b) in enumerate(pairwise(edges)) if a < b]
+    y = np.empty((len(inner), members), np.float32)
+    for c, part in spans:
+        np.matmul(s[part], by_word[c], out=y[part])
+    out[inner] += choice(y, targets[inner] - own * np.int64(members), lows is not None, grads is not None)
+    if grads is None:
+        return out, None
+    g = states.T @ x
+    grads.by_class += g[:-1]
+    grads.class_bias += g[-1]
+    back, inner_back = x @ net.by_class.T, np.empty((len(inner), WIDTH), np.float32)
+    for c, part in spans:
+        g = s[part].T @ y[part]
+        grads.by_word[c] += g[:-1]
+        grads.word_bias[c] += g[-1]
+        np.matmul(y[part], net.by_word[c].T, out=inner_back[part])
+    back[inner] += inner_back
     return out, back
 
 
@@ -218,11 +251,13 @@ def score(net: Gru, texts: list[np.ndarray], end: int) -> np.ndarray:
 
 
 class Trainer:
-    """Adam over truncated backpropagation through time."""
+    """Adam over truncated backpropagation through time, on a copy of a net."""
 
     def __init__(self, net: Gru):
-        self.net, self.steps = net, 0
-        self.m, self.v = np.zeros_like(net.vector()), np.zeros_like(net.vector())
+        self.weights, self.steps = net.vector(), 0
+        self.net = replace(net).load(self.weights)
+        self.gradient, self.m, self.v = (np.zeros_like(self.weights) for _ in range(3))
+        self.grads = replace(net).load(self.gradient)
 
     def fit(self, texts: list[np.ndarray], end: int) -> None:
         """One pass: windows of TRAIN_WINDOW tokens, the state carried on, the gradient cut between windows."""
@@ -231,40 +266,44 @@ class Trainer:
             h = self.step(given, h[: given.shape[1]], target, mask, fresh)
 
     def step(self, given: np.ndarray, h: np.ndarray, target: np.ndarray, mask: np.ndarray, fresh: np.ndarray | None = None) -> np.ndarray:
-        net, d = self.net, WIDTH
-        grads = Gru(*(np.zeros_like(getattr(net, f.name)) for f in fields(net)))
-        states, last, kept = run(net, given, h, fresh, keep=True)
-        _, back = log_likelihood(net, states[mask], target[mask], grads)
-        to_states = np.zeros_like(states)
-        to_states[mask] = back
-        before, r, z, new, u = (np.stack(x) for x in zip(*kept, strict=True))
-        # What the gradient of a state hands to the candidate, and to the update and reset gates; only dh goes from step to step.
-        to_new, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), u * r * (1 - r)
-        dx, du = (np.empty((*given.shape, 3 * d), np.float32) for _ in range(2))
-        dh = np.zeros_like(h)
-        for t in range(len(given) - 1, -1, -1):
-            dh = dh + to_states[t]
-            dnew = dh * to_new[t]
-            dx[t, :, 2 * d :] = dnew
-            dx[t, :, d : 2 * d] = dh * to_z[t]
-            dx[t, :, :d] = dnew * to_r[t]
-            du[t, :, : 2 * d] = dx[t, :, : 2 * d]
-            du[t, :, 2 * d :] = dnew * r[t]
-            dh = dh * z[t] + du[t] @ net.state.T
-            if fresh is not None:
-                dh[fresh[t]] = 0
-        grads.state += before.reshape(-1, d).T @ du.reshape(-1, 3 * d)
-        ids = given.ravel()
+        net, grads, d = self.net, self.grads, WIDTH
+        self.gradient[:] = 0
+        states, last, (inputs, before, r, z, new, u) = run(net, given, h, fresh, keep=True)
+        to_states = np.zeros((*given.shape, d), np.float32)
+        _, to_states[mask] = log_likelihood(net, states[mask], target[mask], grads)
+        to_states = to_states.transpose(0, 2, 1).copy()
+        # All that the gradient of a state is multiplied by: for the candidate, the reset and update gates, what the state adds to the candidate, and the state before.
+        steps, lanes = given.shape
+        factors = np.empty((steps, 5, d, lanes), np.float32)
+        to_new = factors[:, 0]
+        np.multiply(1 - z, 1 - new * new, out=to_new)
+        np.multiply(to_new, r, out=factors[:, 3])
+        np.multiply(factors[:, 3], u * (1 - r), out=factors[:, 1])
+        np.multiply((before - new) * z, 1 - z, out=factors[:, 2])
+        factors[:, 4] = z
+        flows = np.empty_like(factors)
+        du = flows[:, 1:4].reshape(steps, 3 * d, lanes)
+        dh, begins = np.zeros((d, lanes), np.float32), fresh.any(axis=1).tolist() if fresh is not None else [False] * steps
+        for t in range(steps - 1, -1, -1):
+            dh += to_states[t]
+            np.multiply(factors[t], dh, out=flows[t])
+            np.matmul(net.state, du[t], out=dh)
+            dh += flows[t, 4]
+            if begins[t]:
+                dh[:, fresh[t]] = 0
+        grads.state += np.matmul(before, du.transpose(0, 2, 1)).sum(axis=0)
+        dx = np.concatenate((flows[:, 1:3], flows[:, :1]), axis=1).reshape(steps, 3 * d, lanes).transpose(0, 2, 1).reshape(-1, 3 * d)
+        by_input = inputs.reshape(-1, d + 1).T @ dx
+        grads.into += by_input[:-1]
+        grads.bias += by_input[-1]
+        ids = given.ravel().astype(np.min_scalar_type(len(net.inputs)))
         order = np.argsort(ids, kind="stable")
-        firsts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        table_grad = np.zeros((net.inputs.shape[0], 3 * d), np.float32)
-        table_grad[ids[order[firsts]]] = np.add.reduceat(dx.reshape(-1, 3 * d)[order], firsts, axis=0)
-        grads.into += net.inputs.T @ table_grad
-        grads.bias += table_grad.sum(axis=0)
-        grads.inputs += table_grad @ net.into.T
-        g = grads.vector() / max(1, int(mask.sum()))
+        firsts = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
+        grads.inputs[ids[order[firsts]]] += np.add.reduceat((dx @ net.into.T)[order], firsts, axis=0)
+        g = self.gradient
+        g /= max(1, int(mask.sum()))
         self.steps += 1
         self.m += 0.1 * (g - self.m)
         self.v += 0.01 * (g * g - self.v)
-        net.load(net.vector() - RATE * (self.m / (1 - 0.9**self.steps)) / (np.sqrt(self.v / (1 - 0.99**self.steps)) + 1e-7))
+        self.weights -= RATE * (self.m / (1 - 0.9**self.steps)) / (np.sqrt(self.v / (1 - 0.99**self.steps)) + 1e-7)
         return last

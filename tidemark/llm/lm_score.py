@@ -5,10 +5,11 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ class Vocabulary:
     kinds: int
     tail_tokens: np.ndarray
     tail_kinds: np.ndarray
-    place: dict | None = field(default=None, repr=False)
+    head: pa.Array | None = field(default=None, repr=False)
 
     def __post_init__(self):
         inside = min(len(self.words), NET_WORDS - 1)
@@ -90,21 +91,29 @@ class Vocabulary:
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
         """Each word's place among the head words, or -1."""
-        if self.place is None:
-            self.place = {w: k for k, w in enumerate(self.words)}
-        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
-
-    def net_ids(self, words: list[bytes], places: np.ndarray | None = None) -> np.ndarray:
-        """The net's ids of a text's words and of the end; places, if known, are what look_up gives."""
-        places = self.look_up(words) if places is None else places
-        ids = np.full(len(words) + 1, -1, np.int64)
-        inside = np.flatnonzero(places >= 0)
+        if self.head is None:
+            self.head = pa.array(self.words, pa.binary())
+        return pc.fill_null(pc.index_in(pa.array(words, pa.binary()), value_set=self.head), -1).to_numpy()
+
+    def net_ids(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
+        """The net's ids of words, of which look_up gave the places."""
+        ids, inside = np.empty(len(words), np.int32), places >= 0
         ids[inside] = self.ids[places[inside]]
-        ids[-1] = self.end
-        lacking = np.flatnonzero(ids < 0)
+        lacking = np.flatnonzero(~inside)
         ids[lacking] = [self.first_tail + tail_of(words[k]) for k in lacking.tolist()]
         return ids
 
+    def with_ends(self, ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """The ids of texts of so many words each, which lie one after the other, with the end after each."""
+        ends = np.cumsum(sizes)
+        ids = np.insert(ids, ends, self.end)
+        return [ids[a:b] for a, b in pairwise([0, *(ends + np.arange(1, len(ends) + 1)).tolist()])]
+
+
+def in_a_row(words: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
+    """All texts' words, one after the other, and how many each has."""
+    return list(chain.from_iterable(words)), np.array([len(w) for w in words], np.int64)
+
 
 def vocabulary(counts: DataFrame, ends: int, most: int = HEAD_WORDS) -> Vocabulary:
     """Head words: all with counts from the least one on that leaves ``most`` words at most.
@@ -157,7 +166,8 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", id_col: st
             vocab = known.value
             trainer, tokens = gru.Trainer(shared.value), 0
             for batch in batches:
-                texts = [vocab.net_ids(words_of(t)) for t in as_bytes(batch.column(0))]
+                words, sizes = in_a_row([words_of(t) for t in as_bytes(batch.column(0))])
+                texts = vocab.with_ends(vocab.net_ids(words, vocab.look_up(words)), sizes)
                 trainer.fit(texts, vocab.end)
                 tokens += sum(map(len, texts))
             if tokens:
@@ -205,25 +215,19 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
 
     def work(batches):
         vocab, net = known.value, shared.value
-        log_count = np.log10(vocab.counts + 0.5)
+        log_count = np.append(np.log10(vocab.counts + 0.5), 0)  # nothing for the place -1
         log_end = np.log10(vocab.ends + 0.5)
         log_tail = np.log10(vocab.tail_tokens + 0.5 * (vocab.tail_kinds + 1))
         for batch in batches:
-            rows: list[tuple] = []
-            texts = []
-            for text in as_bytes(batch.column(2)):
-                words = words_of(text)
-                places = vocab.look_up(words)
-                inside = places[places >= 0]
-                ids = vocab.net_ids(words, places)
-                texts.append(ids.astype(np.int32))
-                rare = log_count[inside[vocab.ids[inside] >= vocab.first_tail]].sum() - log_tail[ids[ids >= vocab.first_tail] - vocab.first_tail].sum()
-                tail = [words[k] for k in np.flatnonzero(places < 0).tolist()] if len(inside) < len(words) else []
-                rows.append((len(words) + 1, len(inside) + (vocab.ends > 0), log_count[inside].sum() + log_end, rare, tail))
-            n, known_, head, rare, tails = zip(*rows, strict=True) if rows else [()] * 5
+            words, sizes = in_a_row([words_of(t) for t in as_bytes(batch.column(2))])
+            places = vocab.look_up(words)
+            ids, own, shares = vocab.net_ids(words, places), np.repeat(np.arange(len(sizes)), sizes), log_count[places]
+            rare, lacking = ids >= vocab.first_tail, np.flatnonzero(places < 0)
+            n_lacking = np.bincount(own[lacking], minlength=len(sizes))
+            tails = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_lacking)), pa.int32()), pa.array([words[k] for k in lacking.tolist()], pa.binary()))
             yield to_batch(
-                row=batch.column(0), doc_id=batch.column(1), n_tokens=pa.array(n, pa.int64()), n_known=pa.array(map(int, known_), pa.int64()), head=pa.array(map(float, head), pa.float64()),
-                rare_head=pa.array(map(float, rare), pa.float64()), net=gru.score(net, texts, vocab.end), tail=pa.array(tails, pa.list_(pa.binary())),
+                row=batch.column(0), doc_id=batch.column(1), n_tokens=sizes + 1, n_known=sizes - n_lacking + int(vocab.ends > 0), head=np.bincount(own, shares, len(sizes)) + log_end,
+                rare_head=np.bincount(own[rare], shares[rare] - log_tail[ids[rare] - vocab.first_tail], len(sizes)), net=gru.score(net, vocab.with_ends(ids, sizes), vocab.end), tail=tails,
             )
 
     rows = cut(map_texts(docs.withColumn("__row", F.monotonically_increasing_id()), work, schema, "__row", F.col(id_col).cast("long"), F.col(text_col)))

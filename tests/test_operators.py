@@ -161,6 +161,23 @@ def test_metric_change_rounds_halves_like_its_sql(spark, tmp_path):
     assert got == {r[0]: r[3] for r in con.execute(registry.ORACLES["q39_metric_view"]).fetchall()}
 
 
+def test_metric_view_has_its_sqls_signs_and_places(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import registry
+
+    days = ["2024-01-01 10:00:00", "2024-01-02 10:00:00", None]
+    series = [(1000.0, 999.99), (999.99, 1000.0), (5.0, 5.0), (-0.00002, -0.00003), (7.0, 9.0, 11.0), (2.00005, 1.00005), (None, 3.0)]
+    rows = [(3 * k + j, days[j], k, v) for k, values in enumerate(series) for j, v in enumerate(values)] + [(90, days[2], 90, 4.0), (91, days[0], 90, 6.0)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    found = registry.QUERIES["q39_metric_view"](spark, str(tmp_path)).select("user_id", "current", "previous", "change", "target_progress")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(map(repr, con.execute(registry.ORACLES["q39_metric_view"]).fetchall()))
+    assert sorted(repr(tuple(r)) for r in found.collect()) == want and any("-0.0," in r for r in want)
+
+
 def test_partitions_grow_with_rows(spark, tmp_path, monkeypatch):
     from tidemark.operators import groups
     from tidemark.plans import assistant

@@ -11,9 +11,10 @@ def half_up(x: Column, digits: int = 0) -> Column:
 
 
 def half_away(x: Column, digits: int = 0) -> Column:
-    """x rounded to so many decimals as C and SQL engines do it: scaled, halves away from zero. F.round goes by the shortest decimal form of x instead, which differs where x is a hair off a half."""
+    """x rounded to so many decimals as C and SQL engines do it: scaled, halves away from zero, and what is less than half a step below zero is -0.0. F.round goes by the shortest decimal form of x instead, which differs where x is a hair off a half, and knows one zero."""
     scale = float(10**digits)
-    return F.round(x * scale) / scale
+    whole = F.round(x * scale)
+    return F.when(whole == 0, x * 0.0).otherwise(whole / scale)
 
 
 def percent(part: Column, whole: Column) -> Column:

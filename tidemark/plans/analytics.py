@@ -101,11 +101,11 @@ def q39(spark, sf):
     """Each metric's current and previous daily value, change and progress towards a target of 200."""
     # A day's values are added up in the order of the table, as the SQL does it: halves are rounded by the sum's last digit.
     daily = series.ordered_sum(table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day"), F.col("value").alias("v"), "event_id"), ["user_id", "day"], "v", "event_id")
-    last = Window.partitionBy("user_id").orderBy("day")
-    points = daily.withColumn("p", F.lag("v").over(last)).withColumn("change", series.change_from_previous(F.col("v"), [F.col("day")], ["user_id"]))
+    along = F.asc_nulls_last("day")
+    points = daily.withColumn("p", F.lag("v").over(Window.partitionBy("user_id").orderBy(along))).withColumn("change", series.change_from_previous(F.col("v"), [along], ["user_id"]))
     progress = F.floor(rounding.clamp(F.col("v") / 200 * 100, 0.0, 100.0) + 0.5)
     current = groups.top_per_group(points, ["user_id"], [F.desc("day")])
-    return current.select("user_id", F.round("v", 4).alias("current"), F.round("p", 4).alias("previous"), rounding.half_away(F.col("change"), 4).alias("change"), progress.alias("target_progress"))
+    return current.select("user_id", *(rounding.half_away(F.col(c), 4).alias(name) for c, name in (("v", "current"), ("p", "previous"), ("change", "change"))), progress.alias("target_progress"))
 
 
 MONTHLY = """m AS (SELECT date_trunc('month', o_orderdate) AS month, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) AS paid, sum(CASE WHEN o_orderstatus <> 'F' THEN o_totalprice ELSE 0 END) AS spent FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01' AND o_orderdate < TIMESTAMP '2001-08-01' GROUP BY 1)"""

@@ -33,6 +33,25 @@ def test_sessions_with_timers_equal_the_batch(spark, tmp_path, longest):
         assert want.where(F.unix_seconds("ended") - F.unix_seconds("began") > longest).count() == 0
 
 
+def test_sessions_of_microseconds_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import registry
+
+    # Gaps of 3 hours less 0.8 ms, of exactly 3 hours and of one microsecond less; an end at the watermark and one just before it.
+    times = {
+        1: ["00:00:00.000900", "03:00:00.000100"], 2: ["00:00:00.000900", "03:00:00.000900"], 3: ["00:00:00.000001", "03:00:00.000000"],
+        4: ["20:00:00.000000"], 5: ["19:59:59.998999", "19:59:59.998999"], 6: ["00:00:00.000000", "02:59:59.999999", "05:59:59.999999"],
+    }
+    rows = [(who, f"2024-01-01 {t}") for who, each in times.items() for t in each] + [(9, "2024-01-02 00:00:00"), (1, None), (None, None), (None, "2024-01-01 01:00:00")]
+    spark.createDataFrame(rows, "user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(map(tuple, registry.QUERIES["q157_timed_sessions"](spark, str(tmp_path)).select("who", "began", "ended", "n").collect()), key=repr)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(registry.ORACLES["q157_timed_sessions"]).fetchall(), key=repr)
+    assert got == want and len(want) == 8
+
+
 def test_overdue_promises_come_out_by_themselves(spark, tmp_path):
     promises = [(1, "a", 0, 10), (2, "a", 5, 8), (3, "b", 0, 20), (4, "c", 1, 2), (5, None, 0, 9)]
     sent = [(10, "a", 9), (11, "a", 4), (12, "b", 30), (13, "c", 2), (14, "zz", 1)]

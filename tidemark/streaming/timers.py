@@ -2,7 +2,8 @@
 
 State is held until the watermark has passed and taken in order of event time then, so rows that
 come late, within the watermark, give what a batch over the same rows gives. State goes when a
-run or session is handed out. transformWithState needs the RocksDB state store (see use_rocksdb).
+run or session is handed out. Times are microseconds, as Spark's and SQL's are; watermarks and timers
+are whole milliseconds. transformWithState needs the RocksDB state store (see use_rocksdb).
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class Sessions(StatefulProcessor):
-    """Sessions of a key: one ends ``idle`` milliseconds after its last event, or ``longest`` after its first.
+    """Sessions of a key: one ends ``idle`` microseconds after its last event, or ``longest`` after its first.
 
     State of a key: the open session, and the times that the watermark hasn't reached. Timers
-    stand at the first of these and at the open session's end; all that is due is taken in order.
+    stand at the first of these and just after the open session's end; all that is due is taken in order.
     """
 
     def __init__(self, idle: int, longest: int | None):
@@ -44,13 +45,13 @@ class Sessions(StatefulProcessor):
         began, last, n, waiting = self.held()
         fresh = [int(t) for batch in rows for t in batch["at"]]
         waiting = sorted([*waiting, *fresh])
-        self.handle.registerTimer(waiting[0])
+        self.handle.registerTimer(-(-waiting[0] // 1000))
         self.state.update((began, last, n, waiting))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         began, last, n, waiting = self.held()
-        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
         ended = []
         due = [t for t in waiting if t <= now]
         for t in due:
@@ -58,16 +59,16 @@ class Sessions(StatefulProcessor):
                 ended.append((began, self.end(began, last), n))
                 n = 0
             began, last, n = (t, t, 1) if not n else (began, t, n + 1)
-        if n and self.end(began, last) <= now:
+        if n and self.end(began, last) < now:
             ended.append((began, self.end(began, last), n))
             began, last, n = 0, 0, 0
         waiting = waiting[len(due) :]
         if n or waiting:
             self.state.update((began, last, n, waiting))
             if waiting:
-                self.handle.registerTimer(waiting[0])
+                self.handle.registerTimer(-(-waiting[0] // 1000))
             if n:
-                self.handle.registerTimer(self.end(began, last))
+                self.handle.registerTimer(self.end(began, last) // 1000 + 1)
         else:
             self.state.clear()
         if ended:
@@ -83,13 +84,13 @@ class Sessions(StatefulProcessor):
 def timed_sessions(events: DataFrame, key: str, ts: str, idle: int, longest: int | None = None, late: str = "1 hour") -> DataFrame:
     """(key, began, ended, n) of each session once the watermark has passed its end; idle and longest in seconds.
 
-    As batch_sessions over the rows that aren't later than ``late``. With longest left out this is
+    As batch_sessions over the rows that aren't later than ``late``: rows without a time are left out, those without a key are one key's. With longest left out this is
     the debounced run: requests less than idle apart are one run, which is due at ended.
     """
     use_rocksdb(events.sparkSession)
-    marked = events.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("event_time"), F.unix_millis(ts).alias("at")).withWatermark("event_time", late)
-    found = marked.groupBy("key").transformWithStateInPandas(Sessions(idle * 1000, longest and longest * 1000), "key string, began long, ended long, n long", "Append", "EventTime")
-    return found.select("key", F.timestamp_millis("began").alias("began"), F.timestamp_millis("ended").alias("ended"), "n")
+    marked = events.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("event_time"), F.unix_micros(ts).alias("at")).where("at IS NOT NULL").withWatermark("event_time", late)
+    found = marked.groupBy("key").transformWithStateInPandas(Sessions(idle * 1_000_000, longest and longest * 1_000_000), "key string, began long, ended long, n long", "Append", "EventTime")
+    return found.select("key", F.timestamp_micros("began").alias("began"), F.timestamp_micros("ended").alias("ended"), "n")
 
 
 def batch_sessions(events: DataFrame, key: str, ts: str, idle: int, longest: int | None = None) -> DataFrame:
@@ -97,7 +98,7 @@ def batch_sessions(events: DataFrame, key: str, ts: str, idle: int, longest: int
 
     def split(batches):
         key, began, last, n = None, 0, 0, 0
-        end = lambda: last + idle * 1000 if longest is None else min(last + idle * 1000, began + longest * 1000)
+        end = lambda: last + idle * 1_000_000 if longest is None else min(last + idle * 1_000_000, began + longest * 1_000_000)
         for batch in batches:
             out = []
             for k, t in zip(batch["key"], batch["at"], strict=True):
@@ -109,9 +110,9 @@ def batch_sessions(events: DataFrame, key: str, ts: str, idle: int, longest: int
         if n:
             yield pd.DataFrame([(key, began, end(), n)], columns=["key", "began", "ended", "n"])
 
-    rows = events.select(F.col(key).cast("string").alias("key"), F.unix_millis(ts).alias("at")).where("key IS NOT NULL AND at IS NOT NULL")
+    rows = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(ts).alias("at")).where("at IS NOT NULL")
     found = rows.repartition("key").sortWithinPartitions("key", "at").mapInPandas(split, "key string, began long, ended long, n long")
-    return found.select("key", F.timestamp_millis("began").alias("began"), F.timestamp_millis("ended").alias("ended"), "n")
+    return found.select("key", F.timestamp_micros("began").alias("began"), F.timestamp_micros("ended").alias("ended"), "n")
 
 
 def promise_outcomes(promises: DataFrame, deliveries: DataFrame, late: str = "1 hour") -> DataFrame:

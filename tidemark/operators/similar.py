@@ -39,7 +39,7 @@ def edit_pairs(names: DataFrame, column: str, least: float) -> DataFrame:
 
 
 def jaro_winkler_pairs(names: DataFrame, column: str, least: float, prefix: int) -> DataFrame:
-    """(a, b) of distinct names, a < b, that begin with the same ``prefix`` letters and are alike by Jaro-Winkler, ``least`` being 0.85 or more. Names meet by groups of letters (see likeness), not by their beginning."""
+    """(a, b) of distinct names, a < b, that begin with the same ``prefix`` letters and are alike by Jaro-Winkler, ``least`` being 0.85 or more. Names meet in tiles (see likeness), not by their beginning."""
     own = names.select(F.col(column).alias("name")).where("name IS NOT NULL").distinct()
     found = likeness.jaro_winkler_matches(own, own, least).where("a < b")
     return found.where(F.left("a", F.lit(prefix)) == F.left("b", F.lit(prefix))).select("a", "b")
